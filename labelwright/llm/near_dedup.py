@@ -37,7 +37,7 @@ def sketch(items: np.ndarray, offsets: np.ndarray, coords: int) -> np.ndarray:
     owner = np.repeat(np.arange(sets) * coords, np.diff(offsets))
     low = U64((1 << 48) - 1)
     for i in range(2 * coords):
-        h = mixed(items + U64(i + 1) * base.MIX_B)
+        h = mixed(items + U64((i + 1) * int(base.MIX_B) % (1 << 64)))
         bins = ((h >> U64(40)) * U64(coords) >> U64(24)).astype(np.int64) if i < coords else i - coords
         np.minimum.at(flat, owner + bins, (U64(i) << U64(48)) | (mixed(h) & low))
         if i < 8 or i % 8 == 0:
