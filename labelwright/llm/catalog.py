@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_dedup, suffix_dedup
+from . import bpe, langid, near_dedup, packing, suffix_dedup
 from .base import documents
 
 
@@ -19,7 +19,40 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op3_near_dedup)}
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def held_out():
+    """Rows that no model may learn from."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+
+
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = langid.trained(docs.where(~held_out()))
+    return langid.identified(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "margin", "rejected")
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer("byte_bpe_50k.json")
+    docs = bpe.encoded(documents(spark, sf_dir).select("doc_id", "text"), path)
+    docs = bpe.decoded(docs.select("doc_id", "ids"), path)
+    return docs.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def packed_documents(docs: DataFrame) -> DataFrame:
+    pieces = packing.pieces(docs, tokenizer("word_bpe_49k.json")).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return packing.packed(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_documents(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op3_near_dedup, op4_langid, op5_bpe, op9_packing)}
 
 
 def queries() -> dict:
