@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, near_dedup, packing, suffix_dedup
+from . import bpe, fingerprint, langid, near_dedup, packing, pii, suffix_dedup, toxicity
 from .base import documents
 
 
+def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fingerprint.compared(documents(spark, sf_dir))
+    return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.without_repeats(documents(spark, sf_dir))
     size = F.octet_length("kept").cast("long")
@@ -43,6 +48,21 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    labels = documents(spark, sf_dir, "labels").where(~held_out()).select("doc_id", "toxic")
+    model = toxicity.trained(docs.join(labels, "doc_id"))
+    out = toxicity.scored(docs, model)
+    return out.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.personal_data(documents(spark, sf_dir))
+    plain = [F.size(F.filter("spans", lambda s, k=k: (s["kind"] == k) & ~s["added"])).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    added = F.size(F.filter("spans", lambda s: s["added"])).cast("long").alias("n_added")
+    return out.select("doc_id", *plain, F.sha2(pii.joined("spans", False), 256).alias("base_sha256"), pii.joined("spans", True).alias("spans"), added)
+
+
 def packed_documents(docs: DataFrame) -> DataFrame:
     pieces = packing.pieces(docs, tokenizer("word_bpe_49k.json")).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return packing.packed(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -52,7 +72,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op3_near_dedup, op4_langid, op5_bpe, op9_packing)}
+QUERIES = {f.__name__: f for f in (op1_fingerprint, op2_suffix_dedup, op3_near_dedup, op4_langid, op5_bpe, op6_toxicity, op7_pii, op9_packing)}
 
 
 def queries() -> dict:

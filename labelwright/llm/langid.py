@@ -1,8 +1,8 @@
 """Language identification by compression against per-language dictionaries.
 
 A text's letters are lower-cased and its distinct words joined; for each language they are compressed by
-zstandard with a raw-content dictionary of that language, and the smallest result wins. Below `short` bytes the
-sizes at a higher level are added, as one level's sizes are too coarse there. Equal sizes go to the language with
+zstandard with a raw-content dictionary of that language, and the smallest result wins. For short texts sizes at
+higher levels are averaged in (FINER: below so many bytes, level), as one level's sizes are too coarse there. Equal sizes go to the language with
 more training documents. The margin is (second - best) / length; a narrow one is a rejection.
 """
 
@@ -19,12 +19,13 @@ from pyspark.sql import functions as F
 from . import base
 
 UNDETERMINED = "und"
-ROWS_PER_LANGUAGE, DICTIONARY_BYTES, LEVEL, SHORT, SHORT_LEVEL, NARROW = 400, 256 << 10, 3, 320, 12, 0.002
+ROWS_PER_LANGUAGE, DICTIONARY_BYTES, LEVEL, FINER, NARROW = 400, 256 << 10, 3, ((320, 12), (64, 19)), 0.002
 LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
 def words_of(text: str) -> bytes:
-    return " ".join(dict.fromkeys(LETTERS.findall(text.lower()))).encode()
+    found = dict.fromkeys(LETTERS.findall(text.lower()))
+    return " ".join(["", *found, ""]).encode() if found else b""
 
 
 def trained(labelled: DataFrame, rows: int = ROWS_PER_LANGUAGE, size: int = DICTIONARY_BYTES) -> list[tuple[str, bytes, int]]:
@@ -48,7 +49,7 @@ def trained(labelled: DataFrame, rows: int = ROWS_PER_LANGUAGE, size: int = DICT
 class Sizes:
     def __init__(self, model: list[tuple[str, bytes, int]]):
         self.languages = sorted(model, key=lambda m: (-m[2], m[0]))
-        self.levels = {level: [self._compressor(words, level) for _, words, _ in self.languages] for level in (LEVEL, SHORT_LEVEL)}
+        self.levels = {level: [self._compressor(words, level) for _, words, _ in self.languages] for level in (LEVEL, *(level for _, level in FINER))}
 
     @staticmethod
     def _compressor(words: bytes, level: int) -> zstandard.ZstdCompressor:
@@ -62,8 +63,9 @@ class Sizes:
         if not words or not self.languages:
             return UNDETERMINED, 0.0, 0.0
         sizes = [float(len(c.compress(words))) for c in self.levels[LEVEL]]
-        if len(words) < SHORT:
-            sizes = [(s + len(c.compress(words))) / 2 for s, c in zip(sizes, self.levels[SHORT_LEVEL])]
+        finer = [self.levels[level] for most, level in FINER if len(words) < most]
+        if finer:
+            sizes = [(s + sum(len(level[i].compress(words)) for level in finer)) / (1 + len(finer)) for i, s in enumerate(sizes)]
         best = min(range(len(sizes)), key=sizes.__getitem__)
         margin = (min(sizes[:best] + sizes[best + 1 :], default=sizes[best] + len(words)) - sizes[best]) / len(words)
         return self.languages[best][0], margin, 1 - math.exp(-50 * margin)
