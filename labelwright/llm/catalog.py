@@ -56,9 +56,13 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def _plain_of(kind: str):
+    return lambda s: (s["kind"] == kind) & ~s["added"]
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.personal_data(documents(spark, sf_dir))
-    plain = [F.size(F.filter("spans", lambda s, k=k: (s["kind"] == k) & ~s["added"])).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    plain = [F.size(F.filter("spans", _plain_of(k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
     added = F.size(F.filter("spans", lambda s: s["added"])).cast("long").alias("n_added")
     return out.select("doc_id", *plain, F.sha2(pii.joined("spans", False), 256).alias("base_sha256"), pii.joined("spans", True).alias("spans"), added)
 
