@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, langid, near_dedup, packing, pii, suffix_dedup, toxicity
+from . import bpe, fingerprint, hamming, langid, near_dedup, packing, pii, quality, suffix_dedup, toxicity
 from .base import documents
 
 
@@ -76,7 +76,18 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprint, op2_suffix_dedup, op3_near_dedup, op4_langid, op5_bpe, op6_toxicity, op7_pii, op9_packing)}
+def op8_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = documents(spark, sf_dir, "embeddings").select("vec_id", hamming.signs("embedding").alias("code"))
+    return hamming.top_k(codes, codes.where("vec_id % 20 = 0"), "vec_id", "code")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    good = documents(spark, sf_dir, "labels").where((F.col("quality") == 1) & ~held_out()).select("doc_id").distinct()
+    return quality.resampled(docs, docs.join(good, "doc_id", "left_semi"))
+
+
+QUERIES = {f.__name__: f for f in (op1_fingerprint, op2_suffix_dedup, op3_near_dedup, op4_langid, op5_bpe, op6_toxicity, op7_pii, op8_hamming, op9_packing, op10_quality)}
 
 
 def queries() -> dict:
