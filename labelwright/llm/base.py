@@ -167,12 +167,28 @@ def unpacked(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
-def zipped(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, z): compressed texts for a shuffle."""
+def zipped(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, z, rest): compressed texts of (doc_id, text) for a shuffle; rest is a struct of the carried columns."""
+    rest = F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)])
+    own = docs.select("doc_id", "text", rest.alias("rest"))
 
     def run(batch):
         c = zstandard.ZstdCompressor(level=1)
         rows = [c.compress((x or "").encode()) for x in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["doc_id", "z"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary()), batch.column(2)], names=["doc_id", "z", "rest"])
 
-    return mapped(docs.select(F.col(key).alias("doc_id"), "text"), run, "doc_id long, z binary")
+    return mapped(own, run, f"doc_id long, z binary, rest {own.schema['rest'].dataType.simpleString()}")
+
+
+def appended(df: DataFrame, source: str, name: str, kind: str, function: Callable[[list], pa.Array], size: Callable = lambda x: len(x or ""), most: int = 1 << 20, listed: Callable = pa.Array.to_pylist) -> DataFrame:
+    """df with a column computed from the values of another by a function of lists; a column of that name is replaced."""
+    kept = [c for c in df.columns if c != name]
+    inner = df.select(F.col(f"`{source}`").alias("value"), F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)]).alias("rest"))
+
+    def run(batch):
+        values = listed(batch.column(0))
+        for a, b in chunks([size(v) for v in values], most):
+            yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), function(values[a:b])], names=["rest", "made"])
+
+    out = mapped(inner, run, f"rest {inner.schema['rest'].dataType.simpleString()}, made {kind}")
+    return out.select(*[F.col(f"rest.c{i}").alias(c) for i, c in enumerate(kept)], F.col("made").alias(name))

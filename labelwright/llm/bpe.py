@@ -12,13 +12,11 @@ spaces, where the pre-tokenizer always cuts too; a worker remembers the ids of p
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import base
 
@@ -227,7 +225,7 @@ def encoded(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "id
     The same ids as the tokenizers library gives without special tokens added; a special token's string in the text
     becomes its id, as there. Null or empty text: no ids. A column named ids_col is replaced; others pass through.
     """
-    return _appended(df, text_col, ids_col, "array<int>", lambda texts: int_lists(encoder(path).ids([x or "" for x in texts])), lambda x: len(x or ""))
+    return base.appended(df, text_col, ids_col, "array<int>", lambda texts: int_lists(encoder(path).ids([x or "" for x in texts])), most=BATCH_CHARS)
 
 
 def decoded(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -237,18 +235,5 @@ def decoded(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "dec
         own = encoder(path)
         return pa.array([own.text(r) for r in rows], pa.string())
 
-    return _appended(df, ids_col, text_col, "string", texts, lambda x: 4 * len(x or ()), lambda column: [r.tolist() if r is not None else [] for r in column.to_numpy(zero_copy_only=False)])
-
-
-def _appended(df: DataFrame, source: str, name: str, kind: str, function: Callable[[list], pa.Array], size: Callable, listed=pa.Array.to_pylist) -> DataFrame:
-    kept = [c for c in df.columns if c != name]
-    inner = df.select(F.col(f"`{source}`").alias("value"), F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)]).alias("rest"))
-    schema = f"rest {inner.schema['rest'].dataType.simpleString()}, made {kind}"
-
-    def run(batch):
-        values = listed(batch.column(0))
-        for a, b in base.chunks([size(v) for v in values], BATCH_CHARS):
-            yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), function(values[a:b])], names=["rest", "made"])
-
-    out = base.mapped(inner, run, schema)
-    return out.select(*[F.col(f"rest.c{i}").alias(c) for i, c in enumerate(kept)], F.col("made").alias(name))
+    lists = lambda column: [r.tolist() if r is not None else [] for r in column.to_numpy(zero_copy_only=False)]
+    return base.appended(df, ids_col, text_col, "string", texts, lambda x: 4 * len(x), BATCH_CHARS, lists)

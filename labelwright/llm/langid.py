@@ -71,23 +71,28 @@ class Sizes:
         return self.languages[best][0], margin, 1 - math.exp(-50 * margin)
 
 
-def identified(docs: DataFrame, model: list[tuple[str, bytes, int]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, lang_pred, score (0 to 1), margin, rejected.
+def judged(docs: DataFrame, model: list[tuple[str, bytes, int]], text_col: str = "text", name: str = "language") -> DataFrame:
+    """docs with a struct column (lang_pred, score, margin, rejected); every other column passes through.
 
     Null text or no letter: `und`, score 0, rejected. Otherwise a language of the model, rejected where the margin
-    is below NARROW. Without any training row all is `und`. Ids may be null or repeat; other columns are ignored.
+    is below NARROW. Without any training row all is `und`. A column of that name is replaced.
     """
     held: list[Sizes] = []
     shared = docs.sparkSession.sparkContext.broadcast(model)  # DICTIONARY_BYTES a language at most
 
-    def run(batch):
+    def found(texts):
         if not held:
             held.append(Sizes(shared.value))
-        found = [held[0].of(x) for x in batch.column(1).to_pylist()]
-        columns = [pa.array(c, t) for c, t in zip(zip(*found), (pa.string(), pa.float64(), pa.float64()))]
-        rejected = pa.array([lang == UNDETERMINED or margin < NARROW for lang, margin, _ in found])
-        yield pa.RecordBatch.from_arrays([batch.column(0), columns[0], columns[2], columns[1], rejected], names=["doc_id", "lang_pred", "score", "margin", "rejected"])
-
-    own = base.renamed(docs, doc_id=id_col, text=text_col)
-    kind = own.schema["doc_id"].dataType.simpleString()
-    return base.mapped(own, run, f"doc_id {kind}, lang_pred string, score double, margin double, rejected boolean")
+        rows = [(lang, score, margin, lang == UNDETERMINED or margin < NARROW) for lang, margin, score in map(held[0].of, texts)]
+        kinds = (pa.string(), pa.float64(), pa.float64(), pa.bool_())
+        return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["lang_pred", "score", "margin", "rejected"])
+
+    return base.appended(docs, text_col, name, "struct<lang_pred:string,score:double,margin:double,rejected:boolean>", found)
+
+
+def identified(docs: DataFrame, model: list[tuple[str, bytes, int]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, lang_pred, score (0 to 1), margin, rejected, as judged() defines them.
+
+    Ids may be null or repeat; other columns are ignored.
+    """
+    return judged(base.renamed(docs, doc_id=id_col, text=text_col), model).select("doc_id", "language.*")

@@ -201,23 +201,26 @@ def masked(text: str, found: list[tuple[int, int, str, bool]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, spans (array of struct start, stop, kind, added), masked (the text without them).
+def searched(docs: DataFrame, text_col: str = "text", name: str = "personal") -> DataFrame:
+    """docs with a struct column: spans (array of struct start, stop, kind, added) and masked, the text without them.
 
-    Null text: no spans, null masked. Empty text: no spans. Texts are searched whole. Ids may be null or repeat; other
-    columns are ignored. added tells spans that only the rewritten text showed.
+    Null text: no spans, null masked. Empty text: no spans. Texts are searched whole. Every other column passes through;
+    one of that name is replaced. added tells spans that only the rewritten text showed.
     """
 
-    def run(batch):
-        texts = batch.column(1).to_pylist()
-        found = [spans(x) for x in texts]
-        rows = [[{"start": a, "stop": b, "kind": k, "added": d} for a, b, k, d in f] for f in found]
+    def found(texts):
+        own = [spans(x) for x in texts]
+        rows = [[{"start": a, "stop": b, "kind": k, "added": d} for a, b, k, d in f] for f in own]
         kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("kind", pa.string()), ("added", pa.bool_())]))
-        clean = [x if not f else masked(x, f) for x, f in zip(texts, found)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind), pa.array(clean, pa.string())], names=["doc_id", "spans", "masked"])
+        clean = [x if not f else masked(x, f) for x, f in zip(texts, own)]
+        return pa.StructArray.from_arrays([pa.array(rows, kind), pa.array(clean, pa.string())], names=["spans", "masked"])
+
+    return base.appended(docs, text_col, name, "struct<spans:array<struct<start:long,stop:long,kind:string,added:boolean>>,masked:string>", found)
 
-    own = base.renamed(docs, doc_id=id_col, text=text_col)
-    return base.mapped(own, run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, spans array<struct<start:long,stop:long,kind:string,added:boolean>>, masked string")
+
+def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, spans, masked, as searched() defines them. Ids may be null or repeat; other columns are ignored."""
+    return searched(base.renamed(docs, doc_id=id_col, text=text_col)).select("doc_id", "personal.*")
 
 
 def joined(column: str, added: bool):

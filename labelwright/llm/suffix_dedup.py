@@ -283,20 +283,31 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
     return out
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """One row per document: doc_id, n_bytes, spans (array of struct start, stop), kept (binary).
+def whole_characters(text: bytes, a: int, b: int) -> tuple[int, int]:
+    """The run a..b without the characters that it only cuts."""
+    while a < b and text[a] & 0xC0 == 0x80:
+        a += 1
+    while b > a and b < len(text) and text[b] & 0xC0 == 0x80:
+        b -= 1
+    return a, b
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT, carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
+    """One row per document: doc_id, n_bytes, spans (array of struct start, stop), kept (binary), and the carried columns.
 
     spans are the maximal byte runs covered by a `length`-byte string that starts at another place too, in any
-    document; overlapping occurrences count and strings are judged on the input. kept is the rest.
+    document; overlapping occurrences count and strings are judged on the input. kept is the rest; as_text makes it a
+    string that also keeps the characters of which a run covers a part only.
     Null text: as empty. Texts shorter than `length` are kept whole. Repeated rows are repeats of each other.
-    Rows with a null id can't be addressed: they take no part and are left out. Other columns are ignored.
+    Rows with a null id can't be addressed: they take no part and are left out. Columns not carried are ignored.
     """
-    docs = base.renamed(docs, doc_id=id_col, text=text_col).where("doc_id IS NOT NULL")
-    found = repeated(docs, length, gram, hot)
+    own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)]).alias("rest")).where("doc_id IS NOT NULL")
+    found = repeated(own.select("doc_id", "text"), length, gram, hot)
     spans = found.select("doc_id", "start", "size").distinct().groupBy("doc_id").agg(F.collect_list(F.struct("start", "size")).alias("found"))
+    joined = base.zipped(own, ("rest",)).join(spans, "doc_id", "left").select("doc_id", "z", "found", F.col("rest.c0").alias("rest"))
 
     def run(batch):
-        ids, kept, sizes, runs = batch.column(0), [], [], []
+        kept, sizes, runs = [], [], []
         for z, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             text = base.unpacked(z)
             sizes.append(len(text))
@@ -306,11 +317,14 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     own[-1][1] = max(own[-1][1], e)
                 else:
                     own.append([a, e])
-            edges = [0, *(x for pair in own for x in pair), len(text)]
-            kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])))
+            cut = [whole_characters(text, a, b) for a, b in own] if as_text else own
+            edges = [0, *(x for pair in cut for x in pair), len(text)]
+            left = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
+            kept.append(left.decode() if as_text else left)
             runs.append([{"start": a, "stop": b} for a, b in own])
         span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-        yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(runs, span), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(runs, span), pa.array(kept, pa.string() if as_text else pa.binary()), batch.column(3)], names=["doc_id", "n_bytes", "spans", "kept", "rest"])
 
-    joined = base.zipped(docs).join(spans, "doc_id", "left").select("doc_id", "z", "found")
-    return base.mapped(joined, run, "doc_id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary")
+    kind = own.schema["rest"].dataType.simpleString()
+    out = base.mapped(joined, run, f"doc_id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept {'string' if as_text else 'binary'}, rest {kind}")
+    return out.select("doc_id", "n_bytes", "spans", "kept", *[F.col(f"rest.c{i}").alias(c) for i, c in enumerate(carry)])
