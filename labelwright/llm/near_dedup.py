@@ -7,9 +7,11 @@ probability of the Jaccard similarity, with the concentration of independent Min
 
 Links: documents of one banding bucket are first compared with two agreed leaders of the bucket, which is
 linear in its size. Buckets whose documents are then not yet of one component are completed: every
-document outside the component of the bucket's first is compared with those of the other components whose
-size and sketch allow the similarity. No pair of different components that shares a bucket is left out,
-so nothing is capped. Verification counts the intersection of the full shingle sets.
+document outside the least component of its bucket is compared with those of other components. In buckets of up to
+SMALL documents, pairs whose sizes and sketches allow the similarity are verified. Larger buckets are pooled by
+their least component; a pool's outsiders are the query set against all of the pool, in cells of bounded blocks,
+where an inverted index counts intersections and only links come out. No pair of different components that shares a
+bucket is left out. Verification counts the intersection of the full shingle sets.
 At 64 bands of 6 coordinates a pair at 0.75 shares no bucket with probability 4e-6.
 """
 
@@ -26,6 +28,7 @@ from .base import U64, mixed
 from .components import components
 
 WIDTH, PERCENT, BANDS, ROWS = 5, 75, 64, 6
+SMALL, BLOCK = 32, 500
 BATCH_BYTES = 4 << 20
 UNSET = U64(0xFFFFFFFFFFFFFFFF)
 
@@ -141,27 +144,68 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     parts = components(edges)
     placed = shared.select("key", "doc_id").join(parts.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    spread = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
-    loose = placed.join(spread.select("key", "least"), "key").join(reps.select("doc_id", F.col("n_shingles").alias("n"), "bits"), "doc_id")
-    loose = base.written(loose, "loose")
-    left, right = loose.where("component <> least").alias("x"), loose.alias("y")
-    rest = left.join(right, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.least")) | (F.col("x.doc_id") < F.col("y.doc_id"))) & _sizes_allow("x.n", "y.n", percent) & _bits_allow("x.bits", "y.bits", percent, bands * rows))
+    spread = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("size")).where("least < most")
+    loose = base.written(placed.join(spread.select("key", "least", "size"), "key"), "loose")
+    narrow = loose.where(F.col("size") <= SMALL).join(reps.select("doc_id", F.col("n_shingles").alias("n"), "bits"), "doc_id")
+    left, right = narrow.where("component <> least").alias("x"), narrow.alias("y")
+    apart = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.least")) | (F.col("x.doc_id") < F.col("y.doc_id")))
+    rest = left.join(right, (F.col("x.key") == F.col("y.key")) & apart & _sizes_allow("x.n", "y.n", percent) & _bits_allow("x.bits", "y.bits", percent, bands * rows))
     rest = rest.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = base.written(verified(base.written(rest, "rest"), docs, width, percent).distinct(), "links")
+    pools = base.written(loose.where(F.col("size") > SMALL).select("least", "doc_id", "component").distinct(), "pools")
+    more = more.union(base.written(pooled(pools, docs, width, percent).distinct(), "links"))
     groups = components(edges.union(more).union(copies.select("a", "b")))
-    base.release(shared, loose, parts, reps)
+    base.release(shared, loose, pools, parts, reps)
     out = first.select("doc_id", "n_shingles").join(groups.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def pooled(pools: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between documents of different components in a pool (least, doc_id, component).
+
+    One side is the pool's documents outside the least component, the other all of them; each cell holds a block of both.
+    """
+    sizes = pools.groupBy("least").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("rows"), F.ceil(F.sum((F.col("component") != F.col("least")).cast("int")) / BLOCK).cast("int").alias("asks"))
+    texts = base.zipped(docs.join(pools.select("doc_id").distinct(), "doc_id", "left_semi")).select("doc_id", "z")
+    own = pools.join(sizes, "least").join(texts, "doc_id")
+    block = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ("least", "doc_id", "component", "z")
+    rows = own.select(*columns, F.lit(False).alias("asks_"), block("rows").alias("r"), every("asks").alias("q"))
+    asks = own.where("component <> least").select(*columns, F.lit(True).alias("asks_"), every("rows").alias("r"), block("asks").alias("q"))
+
+    def cell(table: pa.Table) -> pa.Table:
+        ids, parts, ask = (np.asarray(table.column(c)) for c in ("doc_id", "component", "asks_"))
+        texts = [base.unpacked(z).decode() for z in table.column("z").to_pylist()]
+        items, offsets = base.word_shingles(texts, width)
+        n = np.diff(offsets)
+        owner = np.repeat(np.arange(len(ids)), n)
+        held = ~ask[owner]
+        order = np.argsort(items[held], kind="stable")
+        keys, holders = items[held][order], owner[held][order]
+        found = []
+        for i in np.flatnonzero(ask):
+            mine = items[offsets[i] : offsets[i + 1]]
+            low, high = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
+            count = high - low
+            at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
+            both = np.bincount(holders[at], minlength=len(ids))
+            yes = np.flatnonzero((both > 0) & (parts != parts[i]) & (100 * both >= percent * (n + n[i] - both)))
+            found += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in yes]
+        return pa.table([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    base.ship(docs.sparkSession)
+    return rows.unionByName(asks).groupBy("least", "r", "q").applyInArrow(cell, "a long, b long")
+
+
 def _sizes_allow(x: str, y: str, percent: int):
     return F.least(x, y) * 100 >= F.greatest(x, y) * percent
 
 
 def _bits_allow(x: str, y: str, percent: int, coords: int):
-    """Bits differ with half the probability of unlike coordinates; six deviations above what the similarity asks for."""
+    """Bits differ with half the probability of unlike coordinates; five deviations above what the similarity asks for."""
     p = (1 - percent / 100) / 2
-    most = int(coords * p + 6 * (coords * p * (1 - p)) ** 0.5)
+    most = int(coords * p + 5 * (coords * p * (1 - p)) ** 0.5)
     differ = sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range((coords + 63) // 64)), F.lit(0))
     return differ <= most
 
