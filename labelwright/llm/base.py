@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -180,15 +181,16 @@ def zipped(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     return mapped(own, run, f"doc_id long, z binary, rest {own.schema['rest'].dataType.simpleString()}")
 
 
-def appended(df: DataFrame, source: str, name: str, kind: str, function: Callable[[list], pa.Array], size: Callable = lambda x: len(x or ""), most: int = 1 << 20, listed: Callable = pa.Array.to_pylist) -> DataFrame:
-    """df with a column computed from the values of another by a function of lists; a column of that name is replaced."""
+def appended(df: DataFrame, source: str, name: str, kind: str, function: Callable[[pa.Array], pa.Array], most: int = 1 << 20) -> DataFrame:
+    """df with a column computed from a string or int-array column, in slices of about `most` bytes; a column of that name is replaced."""
     kept = [c for c in df.columns if c != name]
     inner = df.select(F.col(f"`{source}`").alias("value"), F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)]).alias("rest"))
 
     def run(batch):
-        values = listed(batch.column(0))
-        for a, b in chunks([size(v) for v in values], most):
-            yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), function(values[a:b])], names=["rest", "made"])
+        values = batch.column(0)
+        sizes = pc.multiply(pc.list_value_length(values), 4) if pa.types.is_list(values.type) else pc.binary_length(values)
+        for a, b in chunks(pc.fill_null(sizes, 0).to_pylist(), most):
+            yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), function(values.slice(a, b - a))], names=["rest", "made"])
 
     out = mapped(inner, run, f"rest {inner.schema['rest'].dataType.simpleString()}, made {kind}")
     return out.select(*[F.col(f"rest.c{i}").alias(c) for i, c in enumerate(kept)], F.col("made").alias(name))

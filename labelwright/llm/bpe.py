@@ -15,6 +15,7 @@ import json
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -22,8 +23,8 @@ from . import base
 
 #: The byte-level pre-tokenizer's pattern, as the tokenizer files' format defines it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-REMEMBERED = 200_000
-BATCH_CHARS = 1 << 20
+REMEMBERED = 150_000
+BATCH_CHARS = 1 << 19
 NONE = np.int64(1 << 62)
 AS_IT_IS = "\ud800"  # no text has a lone surrogate
 
@@ -147,11 +148,6 @@ class Encoder:
         self.merges = Merges([(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs], max(named.values()) + 1)
         signs = byte_symbols()
         self.first = np.array([vocab[s] for s in signs])
-        back = {s: b for b, s in enumerate(signs)}
-        self.token = [b""] * self.merges.ids
-        for name, i in named.items():
-            whole = all(c in back for c in name)
-            self.token[i] = bytes(back[c] for c in name) if whole else name.encode()
         self.cut = regex.compile(PATTERN)
         self.stops = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.odd = regex.compile(r"\s(?=\s)")
@@ -201,10 +197,33 @@ class Encoder:
             known[key] = next(made) if len(own) == 1 else b"".join([next(made) for _ in own])
         return [b"".join(map(known.__getitem__, own)) for own in cut]
 
-    def text(self, ids: list[int]) -> str:
-        return b"".join(map(self.token.__getitem__, ids)).decode("utf-8", "replace")
 
+class Decoder:
+    """The bytes of a byte-level BPE file's tokens, in one array."""
 
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        named = {**spec["model"]["vocab"], **{t["content"]: t["id"] for t in spec["added_tokens"]}}
+        back = {s: b for b, s in enumerate(byte_symbols())}
+        tokens = [b""] * (max(named.values()) + 1)
+        for name, i in named.items():
+            tokens[i] = bytes(back[c] for c in name) if all(c in back for c in name) else name.encode()
+        self.sizes = np.array([len(t) for t in tokens])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def texts(self, ids: np.ndarray, sizes: np.ndarray) -> list[str]:
+        """Texts of joined id lists of the given sizes; bytes that are not UTF-8 become U+FFFD."""
+        own = self.sizes[ids]
+        ends = np.cumsum(own)
+        at = np.repeat(self.starts[ids] - (ends - own), own) + np.arange(ends[-1] if len(ends) else 0)
+        data = self.bytes[at].tobytes()
+        edges = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(sizes)))].tolist()
+        return [data[a:b].decode("utf-8", "replace") for a, b in zip(edges, edges[1:])]
+
+
+_decoders: dict[str, Decoder] = {}
 _encoders: dict[str, Encoder] = {}
 
 
@@ -225,15 +244,17 @@ def encoded(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "id
     The same ids as the tokenizers library gives without special tokens added; a special token's string in the text
     becomes its id, as there. Null or empty text: no ids. A column named ids_col is replaced; others pass through.
     """
-    return base.appended(df, text_col, ids_col, "array<int>", lambda texts: int_lists(encoder(path).ids([x or "" for x in texts])), most=BATCH_CHARS)
+    return base.appended(df, text_col, ids_col, "array<int>", lambda texts: int_lists(encoder(path).ids([x or "" for x in texts.to_pylist()])), BATCH_CHARS)
 
 
 def decoded(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """df with text_col: the text of ids_col; bytes that are not UTF-8 become U+FFFD. Null ids: the empty text."""
 
     def texts(rows):
-        own = encoder(path)
-        return pa.array([own.text(r) for r in rows], pa.string())
+        if path not in _decoders:
+            _decoders[path] = Decoder(path)
+        flat = rows.flatten().to_numpy(zero_copy_only=False)
+        sizes = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False)
+        return pa.array(_decoders[path].texts(flat, sizes), pa.string())
 
-    lists = lambda column: [r.tolist() if r is not None else [] for r in column.to_numpy(zero_copy_only=False)]
-    return base.appended(df, ids_col, text_col, "string", texts, lambda x: 4 * len(x), BATCH_CHARS, lists)
+    return base.appended(df, ids_col, text_col, "string", texts, BATCH_CHARS)

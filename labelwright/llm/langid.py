@@ -83,7 +83,7 @@ def judged(docs: DataFrame, model: list[tuple[str, bytes, int]], text_col: str =
     def found(texts):
         if not held:
             held.append(Sizes(shared.value))
-        rows = [(lang, score, margin, lang == UNDETERMINED or margin < NARROW) for lang, margin, score in map(held[0].of, texts)]
+        rows = [(lang, score, margin, lang == UNDETERMINED or margin < NARROW) for lang, margin, score in map(held[0].of, texts.to_pylist())]
         kinds = (pa.string(), pa.float64(), pa.float64(), pa.bool_())
         return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["lang_pred", "score", "margin", "rejected"])
 

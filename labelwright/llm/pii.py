@@ -208,7 +208,8 @@ def searched(docs: DataFrame, text_col: str = "text", name: str = "personal") ->
     one of that name is replaced. added tells spans that only the rewritten text showed.
     """
 
-    def found(texts):
+    def found(column):
+        texts = column.to_pylist()
         own = [spans(x) for x in texts]
         rows = [[{"start": a, "stop": b, "kind": k, "added": d} for a, b, k, d in f] for f in own]
         kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("kind", pa.string()), ("added", pa.bool_())]))
