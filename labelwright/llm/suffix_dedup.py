@@ -218,7 +218,8 @@ def candidates(texts: DataFrame, length: int, gram: int) -> DataFrame:
 def grouped(found: DataFrame, length: int) -> DataFrame:
     """Maximal repeat groups (repeat, doc_id, start, size) of candidates: one row an occurrence.
 
-    repeat: 64-bit hash that the occurrences of one group share in a task; null where only the span is known.
+    repeat: 64-bit hash of the string that a group's occurrences share; null where a task knew the span before. A group
+    is maximal within its minimizer's windows; a longer repeat comes as overlapping groups of the same occurrences.
     """
     names = ["repeat", "doc_id", "start", "size"]
 
