@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from . import base
 
 UNDETERMINED = "und"
+MOST_BROADCAST = 10_000
 ROWS_PER_LANGUAGE, DICTIONARY_BYTES, LEVEL, FINER, NARROW = 400, 256 << 10, 3, ((320, 12), (64, 19)), 0.002
 LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
@@ -35,6 +36,9 @@ def trained(labelled: DataFrame, rows: int = ROWS_PER_LANGUAGE, size: int = DICT
     bytes; texts over 64k characters are not sampled. Rows without text or language are left out.
     """
     counts = labelled.where("lang IS NOT NULL AND text IS NOT NULL").groupBy("lang").agg(F.count("*").alias("n"))
+    counts = base.written(counts, "languages")
+    if counts.count() <= MOST_BROADCAST:  # a row a language; else Spark joins as it likes
+        counts = F.broadcast(counts)
     h = F.abs(F.xxhash64("doc_id", "lang") % 1_000_000)
     near = labelled.where(F.length("text").between(1, 1 << 16)).withColumn("h", h).join(counts, "lang").where(F.col("h") * F.col("n") <= 4 * rows * 1_000_000)
     ranked = near.select("lang", "n", "text", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "text")).alias("k")).where(F.col("k") <= rows)
