@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -118,7 +119,7 @@ def long_hash(data: bytes) -> int:
 class WordHashes(dict):
     """Word -> 64-bit hash; cleared when large, so a worker's memory stays bounded."""
 
-    LARGEST = 400_000
+    LARGEST = 250_000
 
     def __missing__(self, word: bytes) -> int:
         h = self[word] = xxhash.xxh3_64_intdigest(word)
@@ -181,6 +182,40 @@ def zipped(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     return mapped(own, run, f"doc_id long, z binary, rest {own.schema['rest'].dataType.simpleString()}")
 
 
+MAP_BITS = 25
+
+
+def may_hold(ids: DataFrame) -> Callable:
+    """A condition on an id column that holds for every id of the one-column table, and for few others.
+
+    Ids are hashed into a bitmap of 2^MAP_BITS bits, 4 MB whatever their number: many more ids make it less selective,
+    never wrong. It keeps rows that a join would drop out of the join's shuffle.
+    """
+    spark, column = ids.sparkSession, ids.columns[0]
+    at = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(1 << MAP_BITS))
+    words = ids.select(F.floor(at / 64).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(cast(`{column}` as bigint)), 64) as int))").alias("bit"))
+    bits = np.zeros(1 << (MAP_BITS - 6), np.int64)
+    for r in words.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect():
+        bits[r.word] = r.bits
+    shared = spark.sparkContext.broadcast(bits.view(U64))
+    ship(spark)
+
+    @F.pandas_udf("boolean")
+    def held(places: pd.Series) -> pd.Series:
+        at = places.to_numpy()
+        return pd.Series((shared.value[at >> 6] >> (at & 63).astype(U64)) & U64(1) == 1)
+
+    return lambda c: held(F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(1 << MAP_BITS)))
+
+
+def without_ids(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """df without the rows whose key is in the one-column table of ids; only rows that may be in it are shuffled. Null keys stay."""
+    marked = df.withColumn("_may_go", may_hold(ids)(key))
+    stay = marked.where(f"NOT _may_go OR `{key}` IS NULL").drop("_may_go")
+    gone = ids.select(F.col(ids.columns[0]).alias(key))
+    return stay.unionByName(marked.where(f"_may_go AND `{key}` IS NOT NULL").drop("_may_go").join(gone, key, "left_anti"))
+
+
 def appended(df: DataFrame, source: str, name: str, kind: str, function: Callable[[pa.Array], pa.Array], most: int = 1 << 20) -> DataFrame:
     """df with a column computed from a string or int-array column, in slices of about `most` bytes; a column of that name is replaced."""
     kept = [c for c in df.columns if c != name]

@@ -93,7 +93,7 @@ def sketched(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough. Texts are shuffled compressed, once by each side."""
     need = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = base.zipped(docs.join(need, "doc_id", "left_semi"))
+    texts = base.zipped(docs.where(base.may_hold(need)("doc_id")))
     sided = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("z").alias("za")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("z").alias("zb")), "b")
 
     def run(batches):
@@ -166,7 +166,7 @@ def pooled(pools: DataFrame, docs: DataFrame, width: int, percent: int) -> DataF
     One side is the pool's documents outside the least component, the other all of them; each cell holds a block of both.
     """
     sizes = pools.groupBy("least").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("rows"), F.ceil(F.sum((F.col("component") != F.col("least")).cast("int")) / BLOCK).cast("int").alias("asks"))
-    texts = base.zipped(docs.join(pools.select("doc_id").distinct(), "doc_id", "left_semi")).select("doc_id", "z")
+    texts = base.zipped(docs.where(base.may_hold(pools.select("doc_id").distinct())("doc_id"))).select("doc_id", "z")
     own = pools.join(sizes, "least").join(texts, "doc_id")
     block = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))

@@ -30,7 +30,7 @@ from .base import U64, mixed
 
 LENGTH, GRAM, HOT = 200, 50, 5000
 SEGMENT = 1 << 20
-SEEN = 200_000
+SEEN = 100_000
 BASE = U64(0x5851F42D4C957F2D)
 INVERSE = U64(pow(0x5851F42D4C957F2D, -1, 1 << 64))
 POSITION = U64((1 << 24) - 1)
