@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelwright.llm import langid, near_dedup, pii, suffix_dedup
-from labelwright.llm.base import documents, written
+from labelwright.llm.base import documents, without_ids, written
 from labelwright.llm.catalog import held_out, packed_documents
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -34,8 +34,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = near_dedup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+    gone = written(near_dedup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct(), "gone")
+    return without_ids(docs.select(*COLUMNS), gone)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
