@@ -3,11 +3,12 @@
 Plain spans are found by patterns. For disguised ones, transducers rewrite the text: look-alike characters become
 ASCII and invisible ones vanish; spelled digits become digits; at/dot disguises become @ and a point. Every
 rewritten character keeps the source range it came from, so identifiers that are found in the rewritten text map back
-to source spans. Texts without a sign of disguise are not rewritten.
+to source spans. A text is rewritten if it has any sign of what a transducer handles; signs() is wider than they are.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pyarrow as pa
@@ -41,7 +42,6 @@ INVISIBLE = "­​‌‍⁠﻿"
 
 _word = "|".join(sorted(SPELLED, key=len, reverse=True))
 _digit = rf"(?:(?<![^\W_])(?:{_word})(?![^\W_])|[0-9])"
-DIGIT_WORDS = regex.compile(rf"(?<![^\W_])(?:{_word})(?![^\W_])(?:[\s,.-]{{0,2}}{_digit}){{2,}}", regex.I)
 SPELLED_RUN = regex.compile(rf"(?:(?<![^\W_])plus\s|\+\s?)?{_digit}(?:[\s,-]{{0,2}}{_digit}|\s?(?<![^\W_])(?:dot|punkt|punto|point)(?![^\W_])\s?|\.(?={_digit})){{5,}}", regex.I)
 _at, _dot = "|".join(AT_WORDS), "|".join(DOT_WORDS)
 _open, _shut = r"[\[({<]\s{0,2}", r"\s{0,2}[\])}>]"
@@ -50,9 +50,25 @@ DOT = rf"(?:\s{{0,2}}{_open}(?:\.|{_dot}){_shut}\s{{0,2}}|\s(?:{_dot})\s|\.)"
 DISGUISED = regex.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]++(?:{DOT}[A-Za-z0-9_%+-]++){{0,5}}?(?P<at>{AT})[A-Za-z0-9-]++(?P<dots>(?:{DOT}[A-Za-z0-9-]++){{1,6}})", regex.I)
 AT_RE, DOT_RE = regex.compile(AT, regex.I), regex.compile(DOT, regex.I)
 BRACKETED = regex.compile(rf"{_open}(?:@|{_at}|\.|{_dot}){_shut}", regex.I)
-SPOKEN = regex.compile(rf"\s(?:{_at})\s.{{1,80}}?\s(?:{_dot})\s", regex.I)
 SPOKEN_DOT = regex.compile(rf"\s(?:{_dot})\s", regex.I)
 MIXED = regex.compile(r"[0-9][ -]?[OoIl|][ -]?[0-9]")
+#: A spaced @ before these is no address: a handle, which has no space after the @, or a price or an hour.
+HANDLE, NUMBER = regex.compile(r"\s@"), regex.compile(r"[0-9]+\.[0-9]+")
+
+
+def _trie(words: list[str]) -> str:
+    heads: dict[str, list[str]] = {}
+    for w in words:
+        heads.setdefault(w[:1], []).append(w[1:])
+    whole = heads.pop("", None)
+    return f"(?:{'|'.join(h + _trie(t) for h, t in heads.items())}){'?' * bool(whole)}" if heads else ""
+
+
+#: Signs, for lower-case texts. Of a run: a spelled digit beside another digit, a disguised point between two, plus before one. Of
+#: an address: a worded at and a label before a point of any form.
+_one, _point = rf"{_trie(list(SPELLED))}(?![^\W_])", rf"\s?(?:{_dot})\s?|\s{{0,2}}{_open}(?:\.|{_dot}){_shut}\s{{0,2}}"
+RUN_SIGNS = [re.compile(p) for p in (rf"\b{_one}(?:(?:{_point})?[\s,-]{{0,2}}|\.)(?:[0-9]|{_one})", rf"[0-9](?:(?:[\s,-]{{0,2}}|\.){_one}|(?:{_point})[\s,-]{{0,2}}(?:[0-9]|{_one}))", r"\bplus\s[0-9]")]
+MAIL_SIGN = regex.compile(rf"(?<=[\s\[({{<])(?:{_at})\s{{0,2}}[\])}}>]?\s{{0,2}}[a-z0-9-]++{DOT}[a-z0-9-]")
 
 Span = tuple[int, int, str]
 
@@ -140,11 +156,18 @@ def _digits(tape: Tape) -> None:
     tape.rewrite(edits)
 
 
+def _ending(m: regex.Match) -> str:
+    return regex.split(r"[^A-Za-z0-9-]", m[0])[-1].lower()
+
+
 def _mails(tape: Tape) -> None:
     edits = []
     for m in DISGUISED.finditer(tape.text):
+        spaced = m["at"] != "@" and m["at"].strip() == "@"
+        if spaced and (HANDLE.fullmatch(m["at"]) and _ending(m) not in ENDINGS or NUMBER.fullmatch(tape.text, m.end("at"), m.end())):
+            continue
         worded = any(c.isalpha() for c in m["at"]) and not any(c in m["at"] for c in "[({<")
-        if worded and not BRACKETED.search(m["dots"]) and not (SPOKEN_DOT.search(m["dots"]) and regex.split(r"[\s.]", m[0])[-1].lower() in ENDINGS):
+        if worded and not BRACKETED.search(m["dots"]) and not (SPOKEN_DOT.search(m["dots"]) and _ending(m) in ENDINGS):
             continue  # an ordinary "at", before an address or among other words
         a, b = m.span("at")
         edits += [(*d.span(), ".") for d in DOT_RE.finditer(tape.text, m.start(), a) if d[0] != "."]
@@ -153,19 +176,23 @@ def _mails(tape: Tape) -> None:
     tape.rewrite(edits)
 
 
+def signs(text: str) -> bool:
+    """Whether any transducer may rewrite the text. None looks for less than its sign."""
+    if "@" in text or DIGIT.search(text) and MIXED.search(text):
+        return True
+    lower = text.lower()
+    return any(p.search(lower) for p in RUN_SIGNS) or bool(MAIL_SIGN.search(lower))
+
+
 def disguised(text: str, known: list[Span]) -> list[Span]:
     """Spans that only the rewritten text shows; none that lies within a plain one of its kind."""
     marks = () if text.isascii() else {c for c in set(text) if c > "\u007f" and _lookalike(c) != c}
-    brackets = BRACKETED.search(text) if any(b in text for b in "[({<") else None
-    spoken = any(w in text for w in (" dot ", " punkt ", " punto ", " point ")) or any(w in text.lower() for w in (" dot ", " punkt ", " punto "))
-    digits = DIGIT_WORDS.search(text)
-    look = DIGIT.search(text) and MIXED.search(text)
-    if not (marks or brackets or digits or look or spoken and SPOKEN.search(text)):
+    if not (marks or signs(text)):
         return []
     tape = Tape(text)
     if marks:
         tape.rewrite([(i, i + 1, _lookalike(c)) for i, c in enumerate(text) if c in marks])
-    if look:
+    if MIXED.search(tape.text):
         one = str.maketrans("OoIl|", "00111")
         edits = []
         for m in regex.finditer(r"(?<=[0-9][ -]?)[OoIl|](?=[ -]?[0-9])", tape.text):

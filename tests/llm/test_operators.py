@@ -284,6 +284,23 @@ def test_disguised_personal_data(text, span, kind):
     assert span not in pii.masked(text, found)
 
 
+@pytest.mark.parametrize(
+    ("text", "kind"),
+    [
+        ("alice@example dot com", "email"), ("alice @ example.com", "email"), ("alice@ example.com", "email"), ("alice @example.com", "email"), ("alice AT example DOT com", "email"),
+        ("192 dot 168 dot 0 dot 1", "ip"), ("eight dot eight dot eight dot eight", "ip"), ("8 Dot 8 Dot 8 Dot 8", "ip"), ("plus 49 171 2345678", "phone"), ("alice at\nexample dot com", "email"),
+    ],
+)
+def test_each_disguise_alone(text, kind):
+    assert pii.spans(text) == [(0, len(text), kind, True)]
+    assert pii.masked(f"see {text}, now", pii.spans(f"see {text}, now")) == f"see <{kind.upper()}>, now"
+
+
+def test_spaced_at_of_no_address():
+    for text in ("photo by @jane.doe today", "2 kg @ 4.50 each", "we met @ noon. Then"):
+        assert pii.spans(text) == []
+
+
 def test_clean_text_has_no_personal_data(spark):
     for text in ("look at example.com today", "he was at the dot and of. But", "one two three", "in 1999 and 2004", "un deux trois", "a.b.c.d"):
         assert pii.spans(text) == []
