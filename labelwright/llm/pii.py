@@ -35,6 +35,8 @@ SPELLED = {
     "cero": 0, "uno": 1, "dos": 2, "tres": 3, "cuatro": 4, "cinco": 5, "seis": 6, "siete": 7, "ocho": 8, "nueve": 9,
 }
 ENDINGS = frozenset("com org net edu gov mil int info biz io co dev app ai me tv de fr es it nl be at ch uk eu us ca au jp cn in br mx pl se no fi dk pt ie ru".split())
+#: Labels that make a spoken address ordinary words ("was at the dot and").
+COMMON = frozenset("a an the this that these those some any each every no one and or but of in on to is was were are be it he she we you they i as for with by from then there which what who when where not so if than his her its our your their my".split())
 AT_WORDS, DOT_WORDS = ("at", "arobase", "arroba"), ("dot", "punkt", "punto", "point")
 #: Letters of other scripts that look like ASCII ones; compatibility forms come from Unicode itself.
 LOOKALIKES = dict(zip("аеорсухіјѕԁһԛԝАВЕКМНОРСТУХІЈЅαονρΑΒΕΖΗΙΚΜΝΟΡΤΥΧıɑ", "aeopcyxijsdhqwABEKMHOPCTYXIJSaovpABEZHIKMNOPTYXia"))
@@ -42,16 +44,21 @@ INVISIBLE = "­​‌‍⁠﻿"
 
 _word = "|".join(sorted(SPELLED, key=len, reverse=True))
 _digit = rf"(?:(?<![^\W_])(?:{_word})(?![^\W_])|[0-9])"
-SPELLED_RUN = regex.compile(rf"(?:(?<![^\W_])plus\s|\+\s?)?{_digit}(?:[\s,-]{{0,2}}{_digit}|\s?(?<![^\W_])(?:dot|punkt|punto|point)(?![^\W_])\s?|\.(?={_digit})){{5,}}", regex.I)
 _at, _dot = "|".join(AT_WORDS), "|".join(DOT_WORDS)
 _open, _shut = r"[\[({<]\s{0,2}", r"\s{0,2}[\])}>]"
+_bracketed = rf"\s{{0,2}}{_open}(?:\.|{_dot}){_shut}\s{{0,2}}"
+SPELLED_RUN = regex.compile(rf"(?:(?<![^\W_])plus\s|\+\s?)?{_digit}(?:[\s,-]{{0,2}}{_digit}|{_bracketed}|\s?(?<![^\W_])(?:{_dot})(?![^\W_])\s?|\.(?={_digit})){{5,}}", regex.I)
+RUN_PART = regex.compile(rf"(?P<plus>plus\s|\+)|(?P<dot>{_bracketed}|\s?(?<![^\W_])(?:{_dot})(?![^\W_])\s?|\.)|(?P<digit>{_digit})", regex.I)
 AT = rf"(?:\s{{0,2}}{_open}(?:@|{_at}){_shut}\s{{0,2}}|\s(?:{_at})\s|\s?@\s?)"
 DOT = rf"(?:\s{{0,2}}{_open}(?:\.|{_dot}){_shut}\s{{0,2}}|\s(?:{_dot})\s|\.)"
 DISGUISED = regex.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]++(?:{DOT}[A-Za-z0-9_%+-]++){{0,5}}?(?P<at>{AT})[A-Za-z0-9-]++(?P<dots>(?:{DOT}[A-Za-z0-9-]++){{1,6}})", regex.I)
 AT_RE, DOT_RE = regex.compile(AT, regex.I), regex.compile(DOT, regex.I)
 BRACKETED = regex.compile(rf"{_open}(?:@|{_at}|\.|{_dot}){_shut}", regex.I)
 SPOKEN_DOT = regex.compile(rf"\s(?:{_dot})\s", regex.I)
-MIXED = regex.compile(r"[0-9][ -]?[OoIl|][ -]?[0-9]")
+MIXED = re.compile(r"[0-9][ -]?[OoIl|]|[OoIl|][0-9]")
+LETTERS = regex.compile(r"(?<![^\W0-9_])[OoIl|](?:[ -]?[OoIl|])*(?![^\W0-9_])")
+LETTER_GROUP, SPACED = regex.compile("[OoIl|]+"), regex.compile("[0-9][ -]")
+LETTER_DIGITS = str.maketrans("OoIl|", "00111")
 #: A spaced @ before these is no address: a handle, which has no space after the @, or a price or an hour.
 HANDLE, NUMBER = regex.compile(r"\s@"), regex.compile(r"[0-9]+\.[0-9]+")
 
@@ -143,16 +150,34 @@ def _lookalike(c: str) -> str:
     return plain_form if len(plain_form) == 1 and plain_form.isascii() else c
 
 
+def _letters(tape: Tape) -> None:
+    """Look-alike letters between digits, each perhaps after a space or hyphen; of other runs the letters that touch a digit, bars apart."""
+    text, edits = tape.text, []
+    for m in LETTERS.finditer(text):
+        a, b = m.span()
+        touch = text[a - 1 : a].isdecimal(), text[b : b + 1].isdecimal()
+        near = touch[0] or bool(SPACED.fullmatch(text, max(a - 2, 0), a)), touch[1] or bool(SPACED.match(text[b : b + 2][::-1]))
+        own = range(a, b)
+        if not all(near):
+            parts = [p.span() for p in LETTER_GROUP.finditer(text, a, b) if "|" not in p[0]]
+            own = [i for x, y in parts if touch[0] and x == a or touch[1] and y == b for i in range(x, y)]
+        edits += [(i, i + 1, text[i].translate(LETTER_DIGITS)) for i in own if text[i] not in " -"]
+    tape.rewrite(edits)
+
+
 def _digits(tape: Tape) -> None:
     edits = []
     for run in SPELLED_RUN.finditer(tape.text):
-        if not any(c.isalpha() for c in run[0]):
+        if not any(c.isalpha() or c in "[({<" for c in run[0]):
             continue
-        at = run.start()
-        for m in regex.finditer(rf"(?P<plus>plus\s|\+)|(?P<dot>\s?(?<![^\W_])(?:{_dot})(?![^\W_])\s?|\.)|(?P<digit>{_digit})", run[0], regex.I):
+        at, last = run.start(), ""
+        for m in RUN_PART.finditer(run[0]):
             new = "+" if m["plus"] else "." if m["dot"] else str(SPELLED.get(m["digit"].lower(), m["digit"]))
+            begin = run.start() + m.start()
+            if last.isdecimal() and m[0].isdecimal() and tape.text[at:begin] in (" ", "-"):
+                at = begin  # identifiers may hold it, and an address may follow another number
             edits.append((at, run.start() + m.end(), new))
-            at = run.start() + m.end()
+            at, last = run.start() + m.end(), m[0]
     tape.rewrite(edits)
 
 
@@ -160,6 +185,13 @@ def _ending(m: regex.Match) -> str:
     return regex.split(r"[^A-Za-z0-9-]", m[0])[-1].lower()
 
 
+def _labelled(m: regex.Match) -> bool:
+    """Whether a spoken address of an ending that is not listed has labels for words. "at ... point" is ordinary English."""
+    labels = [x for x in DOT_RE.split(m[0][m.end("at") - m.start() :].lower()) if x]
+    english = m["at"].strip().lower() == "at" and any(d.strip().lower() == "point" for d in DOT_RE.findall(m["dots"]))
+    return not english and labels[-1][:1].isalpha() and len(labels[-1]) > 1 and COMMON.isdisjoint(labels)
+
+
 def _mails(tape: Tape) -> None:
     edits = []
     for m in DISGUISED.finditer(tape.text):
@@ -167,7 +199,7 @@ def _mails(tape: Tape) -> None:
         if spaced and (HANDLE.fullmatch(m["at"]) and _ending(m) not in ENDINGS or NUMBER.fullmatch(tape.text, m.end("at"), m.end())):
             continue
         worded = any(c.isalpha() for c in m["at"]) and not any(c in m["at"] for c in "[({<")
-        if worded and not BRACKETED.search(m["dots"]) and not (SPOKEN_DOT.search(m["dots"]) and _ending(m) in ENDINGS):
+        if worded and not BRACKETED.search(m["dots"]) and not (SPOKEN_DOT.search(m["dots"]) and (_ending(m) in ENDINGS or _labelled(m))):
             continue  # an ordinary "at", before an address or among other words
         a, b = m.span("at")
         edits += [(*d.span(), ".") for d in DOT_RE.finditer(tape.text, m.start(), a) if d[0] != "."]
@@ -193,11 +225,7 @@ def disguised(text: str, known: list[Span]) -> list[Span]:
     if marks:
         tape.rewrite([(i, i + 1, _lookalike(c)) for i, c in enumerate(text) if c in marks])
     if MIXED.search(tape.text):
-        one = str.maketrans("OoIl|", "00111")
-        edits = []
-        for m in regex.finditer(r"(?<=[0-9][ -]?)[OoIl|](?=[ -]?[0-9])", tape.text):
-            edits.append((*m.span(), m[0].translate(one)))
-        tape.rewrite(edits)
+        _letters(tape)
     _digits(tape)
     _mails(tape)
     if tape.text == text:

@@ -296,6 +296,25 @@ def test_each_disguise_alone(text, kind):
     assert pii.masked(f"see {text}, now", pii.spans(f"see {text}, now")) == f"see <{kind.upper()}>, now"
 
 
+@pytest.mark.parametrize(
+    ("text", "kind"),
+    [
+        ("192[.]168[.]0[.]1", "ip"), ("192 (dot) 168 (dot) 0 (dot) 1", "ip"), ("192 {dot} one six eight [.] 0 . 1".replace(" . ", "."), "ip"), ("4OO1 1111 1111 1114", "card"), ("41ll 1111 1111 1111", "card"),
+        ("4lll llll llll 1111", "card"), ("4111 1111 1111 11ll", "card"), ("O123 4567 8901 28", "card"), ("alice at corp dot example", "email"), ("alice at corp dot xyz", "email"), ("alice arroba corp punto barcelona", "email"),
+    ],
+)
+def test_more_disguises_of_digits_and_endings(text, kind):
+    assert [s for s in pii.spans(text) if s[2] == kind] == [(0, len(text), kind, True)]
+
+
+def test_disguises_beside_others():
+    text = "in 8 192 dot 168 dot 0 dot 1"
+    assert pii.spans(text) == [(5, len(text), "ip", True)]
+    for text in ("| 4111 1111 1111 1112 |", "4 Illinois 10l of oil", "at this point we", "he was at a dot near", "open at 10 dot 5"):
+        assert pii.spans(text) == []
+    assert [s[:3] for s in pii.spans("|4111 1111 1111 1111| I paid")] == [(1, 20, "card")]
+
+
 def test_spaced_at_of_no_address():
     for text in ("photo by @jane.doe today", "2 kg @ 4.50 each", "we met @ noon. Then"):
         assert pii.spans(text) == []
