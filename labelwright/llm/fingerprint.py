@@ -6,8 +6,8 @@ labels, of which neighbours differ. Blocks start at local maxima of the labels,
 around them only, and a block's name is the hash of its symbols: a substring has the same interior names at any
 offset of any text. The names of the block level are the symbols of the next.
 
-A fingerprint holds, for each of three levels (phrases of about 9, 27 and 80 characters), 32 16-bit minima of hashed
-names. The likeness of two is the share of equal minima, the mean Jaccard similarity of their phrase sets.
+A fingerprint holds, for each of three levels (phrases of about 9, 27 and 80 characters), 32 minima of hashed
+names, each hashed again to 16 bits. The likeness of two is the share of equal minima, the mean Jaccard similarity of their phrase sets.
 """
 
 from __future__ import annotations
@@ -81,7 +81,7 @@ def minima(texts: list[str]) -> np.ndarray:
             at = LEVELS.index(level) * SLOTS
             for j, seed in enumerate(SEEDS):
                 least = np.minimum.reduceat((names ^ seed) * base.MIX_A, starts)
-                out[full, at + j] = (least >> U64(48)).astype(np.uint16)
+                out[full, at + j] = (mixed(least) >> U64(48)).astype(np.uint16)  # the top bits of a minimum of many are all 0
     return out
 
 

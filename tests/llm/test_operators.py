@@ -216,6 +216,14 @@ def test_parsing_is_locally_consistent():
     assert (a[:-1] == a[1:]).mean() < 0.3
 
 
+def test_long_unrelated_texts_are_unlike():
+    rng = np.random.default_rng(9)
+    a, b = ("".join(map(chr, rng.integers(97, 123, 1 << 20))) for _ in range(2))
+    x, y, z = fingerprint.minima([a, b, ""])
+    assert (x == y).mean() < 0.05 and (x == z).mean() < 0.05
+    assert (x == fingerprint.minima([a[: len(a) // 2] + b[len(b) // 2 :]])[0]).mean() > 0.2
+
+
 def test_langid(spark):
     docs = base.documents(spark, SF)
     model = langid.trained(docs.where(~catalog.held_out()))
