@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir), works on all rows of docs and returns a
 columns of documents, with text and n_chars as the stage leaves them. run() writes each stage's rows to the shared folder.
 
 1. language: documents whose language is rejected go: no text, no letter, or no margin between the languages.
-2. near_dedup: of each group of near copies the document of the smallest id stays. A null id stays.
+2. near_dedup: of each group of near copies the document of the smallest id stays, as one row: rows of one id are copies or
+   versions of one document, of which the longest text stays. A null id stays.
 3. suffix_dedup: repeated passages of 200 bytes or more go from the texts, in whole characters. No document goes; one that
    is nothing but repeats has an empty text. A null id keeps its text.
 4. pii: personal data is replaced by its kind.
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelwright.llm import langid, near_dedup, pii, suffix_dedup
-from labelwright.llm.base import documents, without_ids, written
+from labelwright.llm.base import documents, may_hold, without_ids, written
 from labelwright.llm.catalog import held_out, packed_documents
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -35,7 +36,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     gone = written(near_dedup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct(), "gone")
-    return without_ids(docs.select(*COLUMNS), gone)
+    return one_row_each(without_ids(docs.select(*COLUMNS), gone))
+
+
+def one_row_each(docs: DataFrame) -> DataFrame:
+    """Of the rows of each id that is not null the one of the longest text; only rows whose id may repeat are shuffled."""
+    often = written(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated_ids")
+    marked = docs.withColumn("_may_repeat", may_hold(often)("doc_id"))
+    alone = marked.where("NOT _may_repeat OR doc_id IS NULL").select(*COLUMNS)
+    rest = [c for c in COLUMNS if c != "doc_id"]
+    longest = F.max(F.struct(F.length("text").alias("_size"), *rest)).alias("_row")
+    repeats = marked.where("_may_repeat AND doc_id IS NOT NULL").groupBy("doc_id").agg(longest)
+    return alone.unionByName(repeats.select("doc_id", *[F.col(f"_row.{c}").alias(c) for c in rest]))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

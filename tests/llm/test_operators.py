@@ -390,6 +390,20 @@ def test_pipeline(spark):
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).drop("sequence_id", "offset").collect())) == sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in packed)
 
 
+def test_pipeline_keeps_the_text_of_repeated_rows(spark):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(500)]
+    a, b, c, d = (words(rng, 90, vocabulary) for _ in range(4))
+    rows = [(1, a), (1, a), (2, b), (3, a), (4, None), (4, c), (4, c[:100]), (None, d), (None, d), (5, None), (5, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for stage in (corpus_pipeline.near_duplicates, corpus_pipeline.repeated_passages):
+        docs = base.written(stage(spark, docs, SF), "stage")
+        got = sorted((r.doc_id or 0, r.text) for r in docs.collect())
+        assert got == [(0, d), (0, d), (1, a), (2, b), (4, c), (5, "")]
+
+
 def test_held_out_is_crc32(spark):
     got = {r.doc_id: r.h for r in spark.range(50).select(F.col("id").alias("doc_id")).select("doc_id", catalog.held_out().alias("h")).collect()}
     assert got == {i: zlib.crc32(str(i).encode()) % 4 == 2 for i in range(50)}
