@@ -101,6 +101,24 @@ def test_statement(spark):
     assert statement.block(lines.where("id = 1"), "id").first().statement.startswith("GOVERNMENT WARNING")
 
 
+def test_statement_without_an_intact_prefix(spark):
+    body, far = STATEMENT_BODY, "x" * 170
+    rows = [
+        (f"G0VERNM WARNING: {body}", 0, 0), (f"G0VERNM WARNING: {body}", 2, 2), (f"G0VERNM WARNING: {body}", 2, 1), (f"fine\n{body}", 1, 1),
+        (f"warning {'y' * 41} {body}", 0, 0), (f"warning\n{body}", 0, 0), (f"according to the {far} birth defects", 1, 1), ("according to the maker", 1, 1),
+        (f"{STATEMENT_PREFIX} {body}", 1, 1), (f"{STATEMENT_PREFIX} {body.replace('drive', 'drve')}", 1, 1), (f"{STATEMENT_PREFIX} {body.replace('birth defects', 'harm')}", 3, 3), (None, 1, 1),
+    ]
+    cols = statement.checked(F.col("t"), differing=F.col("d"), illegible=F.col("i"))
+    got = [tuple(r) for r in values(spark, rows, "t string, d int, i int", F.struct(cols["found"], cols["prefix_upper"], cols["exact"], cols["outcome"]).alias("r")) for r in [r[0]]]
+    read, lost = (True, None, True), (False, None, False)
+    assert got == [
+        (*read, "mismatch"), (*read, "not_certified"), (*read, "mismatch"), (*read, "not_certified"), (*read, "mismatch"), (*read, "mismatch"), (*lost, "mismatch"), (*lost, "mismatch"),
+        (True, True, True, "match"), (True, True, False, "needs_review"), (True, True, False, "not_certified"), (*lost, "mismatch"),
+    ]
+    lines = spark.createDataFrame([(1, "According to the Sur-", 50.0), (1, "geon Genxral", 60.0), (1, "birth defcts", 90.0), (1, "123", 10.0)], "id int, text string, confidence double")
+    assert tuple(statement.legibility(lines, "id").first()) == (1, 2, 1)
+
+
 def test_layout(spark):
     words = spark.createDataFrame([(1, i, t, 90.0, a, 10 * b, a + 40, 10, 1, 1, 1, b) for i, (t, a, b) in enumerate([("one", 0, 0), ("two", 45, 0), ("far", 500, 0), ("next", 0, 1)])], "sheet int, word_idx int, text string, conf double, left int, top int, right int, height int, page int, block int, par int, line int").withColumn("width", F.lit(40))
     sheets = spark.createDataFrame([(1, 1000)], "sheet int, width int")
