@@ -13,6 +13,7 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -21,9 +22,9 @@ from pyspark.sql import functions as F
 from . import base, bpe
 
 CAPACITY, END_ID, SLACK, ITEMS_PER_TASK, FAN_IN = 4096, 1, 8, 100_000, 8
-REMEMBERED = 150_000
-BATCH_CHARS = 1 << 20
-SEPARATORS = regex.compile("[\x1c-\x1f]")  # str.split() cuts there; the tokenizer does not
+BATCH_BYTES = 1 << 22
+SEPARATORS = "[\x1c-\x1f]"  # white space by some rules and not by the tokenizer's
+LATIN = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"  # letters whose lower case is one letter, and which are in normal form
 
 
 #: Fixed value: the pre-tokenizer's pattern in the tokenizer file; what it does not match is dropped.
@@ -32,10 +33,10 @@ WORD_END = "</w>"
 
 
 class Tokens:
-    """Ids of whole texts by a BPE file with word ends that drops white space; the words between are remembered.
+    """Ids of whole texts by a BPE file with word ends that drops white space.
 
-    Words are merged by the segment trees of `bpe`; those that hold a special token's string, and texts with
-    separators that only one of the two white-space rules knows, by the tokenizers library itself.
+    Distinct words are merged once a batch by the segment trees of `bpe`; those that hold a special token's string, and
+    texts with separators that only one of the two white-space rules knows, by the tokenizers library itself.
     """
 
     def __init__(self, path: str):
@@ -53,15 +54,16 @@ class Tokens:
         self.final = np.array([vocab[x + WORD_END] for x in signs])
         pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         self.merges = bpe.Merges([(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs], len(vocab) + len(spec["added_tokens"]))
+        self.special = [t["content"] for t in spec["added_tokens"]]
         self.cut = regex.compile(PATTERN)
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
 
-    def _encoded(self, texts: list[str]) -> list[bytes]:
+    def _encoded(self, texts: list[str]) -> bpe.Runs:
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        return [np.array(e.ids, "<u4").tobytes() for e in encode(texts, add_special_tokens=False)]
+        found = [np.array(e.ids, np.int32) for e in encode(texts, add_special_tokens=False)]
+        return bpe.Runs(np.concatenate(found) if found else np.empty(0, np.int32), np.array([len(x) for x in found], np.int64))
 
-    def _words(self, word: str) -> list[str]:
+    def _parts(self, word: str) -> list[str]:
+        """What the pre-tokenizer cuts out of a word."""
         if not word.isascii():
             word = unicodedata.normalize("NFC", word)
             word = word.lower() if "Σ" not in word else "".join(map(str.lower, word))
@@ -69,35 +71,39 @@ class Tokens:
             word = word.lower()
         return [word] if word.isalpha() else self.cut.findall(word)
 
-    def _merge(self, words: list[str]) -> None:
-        """Adds the ids of words to the known ones. What the pre-tokenizer cuts out of a word is a word itself."""
-        known = self.known
-        cut = list(map(self._words, words))
-        new = list(set().union(*cut).difference(known))
-        made = dict(zip(new, bpe.merged([x.encode() for x in new], self.inner, self.merges, self.final)))
-        for word, own in zip(words, cut):
-            known[word] = b"".join([made.get(x) or known[x] for x in own])
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        odd = [i for i, x in enumerate(texts) if SEPARATORS.search(x)]
-        whole = dict(zip(odd, self._encoded([texts[i] for i in odd])))
-        words = [() if i in whole else x.split() for i, x in enumerate(texts)]
-        if len(self.known) > REMEMBERED:
-            self.older, self.known = self.known, {}
-        known, older, new = self.known, self.older, []
-        for w in set().union(*words).difference(known):
-            if (ids := older.get(w)) is not None:
-                known[w] = ids
-            else:
-                new.append(w)
-        special = [w for w in new if "<|" in w]
-        plain = [w for w in new if "<|" not in w] if special else new
-        self._merge(plain)
-        known.update(zip(special, self._encoded(special)))
-        return [whole[i] if i in whole else b"".join(map(known.__getitem__, own)) for i, own in enumerate(words)]
-
-
-_tokens: dict[str, Tokens] = {}
+    def _words(self, words: pa.Array) -> bpe.Runs:
+        """Ids of distinct words, which hold no white space."""
+        special = pc.equal(words, None).fill_null(False)
+        for token in self.special:
+            special = pc.or_(special, pc.match_substring(words, token))
+        special = special.to_numpy(zero_copy_only=False)
+        plain, known = np.flatnonzero(~special), np.flatnonzero(special)
+        cut, parts = bpe.cut_pieces(words.take(pa.array(plain)), self._parts)
+        lower = parts.dictionary_encode() if not len(parts) else pc.if_else(pc.match_substring_regex(parts, LATIN), pc.utf8_lower(parts), parts).dictionary_encode()
+        found = bpe.merged(lower.dictionary, self.inner, self.merges, self.final).take(lower.indices.to_numpy())
+        back = np.empty(len(words), np.int64)
+        back[np.concatenate((plain, known))] = np.arange(len(words))
+        return bpe.joined([cut.through(found), self._encoded(words.take(pa.array(known)).to_pylist())]).take(back)
+
+    def ids(self, texts: pa.Array) -> bpe.Runs:
+        """Token ids of each text."""
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, SEPARATORS).to_numpy(zero_copy_only=False)
+        plain, whole = np.flatnonzero(~odd), np.flatnonzero(odd)
+        at, words, sizes = bpe.word_runs(pc.ascii_split_whitespace(texts.take(pa.array(plain))))
+        found = bpe.Runs(at, sizes).through(self._words(words))
+        back = np.empty(len(texts), np.int64)
+        back[np.concatenate((plain, whole))] = np.arange(len(texts))
+        return bpe.joined([found, self._encoded(texts.take(pa.array(whole)).to_pylist())]).take(back)
+
+
+_tokens: dict[str, Tokens] = base.remembered({})
+
+
+def tokens(path: str) -> Tokens:
+    if path not in _tokens:
+        _tokens[path] = Tokens(path)
+    return _tokens[path]
 
 
 def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -107,22 +113,23 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     more than `capacity` is cut, every `capacity` tokens. Null or empty text: one piece, end_id alone. Ids may be null or
     repeat; each row has pieces of its own. Other columns are ignored.
     """
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batch):
-        if path not in _tokens:
-            _tokens[path] = Tokens(path)
-        texts = [x or "" for x in batch.column(1).to_pylist()]
-        for a, b in base.chunks([len(x) for x in texts], BATCH_CHARS):
-            rows, numbers, starts, parts = [], [], [], []
-            for i, ids in zip(range(a, b), _tokens[path].ids(texts[a:b])):
-                ids += end
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    rows.append(i)
-                    numbers.append(k)
-                    starts.append(at // 4)
-                    parts.append(ids[at : at + 4 * capacity])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(numbers, pa.int32()), pa.array(starts, pa.int64()), pa.array([len(p) // 4 for p in parts], pa.int64()), pa.array(parts, pa.binary())], names=["doc_id", "piece", "start", "length", "ids"])
+        texts = batch.column(1)
+        for a, b in base.chunks(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), BATCH_BYTES):
+            found = tokens(path).ids(texts.slice(a, b - a))
+            ends = np.cumsum(found.counts)
+            values = np.insert(found.values, ends, end_id).astype("<u4")
+            sizes = found.counts + 1
+            cuts = -(-sizes // capacity)
+            row = np.repeat(np.arange(b - a), cuts)
+            number = np.arange(len(row)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+            start = number * capacity
+            length = np.minimum(sizes[row] - start, capacity)
+            edges = pa.py_buffer((4 * np.concatenate(([0], np.cumsum(length)))).astype(np.int32))
+            ids = pa.Array.from_buffers(pa.binary(), len(row), [None, edges, pa.py_buffer(values)])
+            made = [batch.column(0).take(pa.array(a + row)), pa.array(number, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), ids]
+            yield pa.RecordBatch.from_arrays(made, names=["doc_id", "piece", "start", "length", "ids"])
 
     own = base.renamed(docs, doc_id=id_col, text=text_col)
     return base.mapped(own, run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids binary")
