@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -27,9 +27,11 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset, as in tests, one of our own."""
+    """The folder named by spark.checkpoint.dir; where that is unset in local mode, as in tests, one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = getattr(spark, "_labelwright_dir", None)
         if not found:
             found = spark._labelwright_dir = f"file://{tempfile.mkdtemp(prefix='labelwright-')}"
@@ -72,12 +74,44 @@ def renamed(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])
 
 
-def by_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+_remembered: list = []
+_owner = [""]
+
+
+def remembered(cache):
+    """Registers what a module keeps between tasks; a worker clears it when another module's function comes."""
+    _remembered.append(cache)
+    return cache
+
+
+def settle(owner: str) -> None:
+    """Workers are used again by other operators: before a task, what an earlier operator kept goes."""
+    if _owner[0] != owner:
+        for cache in _remembered:
+            cache.clear()
+        _owner[0] = owner
+
+
+def trim() -> None:
+    """After a task, free memory goes back to the system, as executors' Python workers live on."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def by_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, owner: str = "") -> DataFrame:
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    owner = owner or function.__module__
+
+    def run(batches):
+        settle(owner)
+        yield from function(batches)
+        trim()
 
+    return df.mapInArrow(run, schema)
 
-def mapped(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+
+def mapped(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str, owner: str = "") -> DataFrame:
     """mapInArrow with a function of one batch."""
 
     def run(batches):
@@ -85,14 +119,14 @@ def mapped(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.Recor
             if batch.num_rows:
                 yield from function(batch)
 
-    return by_arrow(df, run, schema)
+    return by_arrow(df, run, schema, owner or function.__module__)
 
 
-def chunks(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
-    """Consecutive row ranges whose sizes sum to about `most` at most; a larger row stands alone."""
+def chunks(sizes: list[int], most: int, rows: int = 1 << 30) -> Iterator[tuple[int, int]]:
+    """Consecutive row ranges whose sizes sum to about `most` at most, of at most `rows` rows; a larger row stands alone."""
     start = total = 0
     for i, n in enumerate(sizes):
-        if i > start and total + n > most:
+        if i > start and (total + n > most or i - start == rows):
             yield start, i
             start, total = i, 0
         total += n
@@ -131,7 +165,7 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), U64, len(words))
 
 
-WORDS = WordHashes()
+WORDS = remembered(WordHashes())
 
 
 def word_shingles(texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -169,51 +203,58 @@ def unpacked(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
-def zipped(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, z, rest): compressed texts of (doc_id, text) for a shuffle; rest is a struct of the carried columns."""
+def zipped(docs: DataFrame, carry: tuple[str, ...] = (), keyed: bool = False) -> DataFrame:
+    """(doc_id, z, rest): compressed texts of (doc_id, text) for a shuffle; rest is a struct of the carried columns.
+
+    keyed adds text_key, 128 bits of the hash of the text's bytes.
+    """
     rest = F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)])
     own = docs.select("doc_id", "text", rest.alias("rest"))
 
     def run(batch):
         c = zstandard.ZstdCompressor(level=1)
-        rows = [c.compress((x or "").encode()) for x in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary()), batch.column(2)], names=["doc_id", "z", "rest"])
+        sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
+        for a, b in chunks(sizes, 1 << 23):
+            rows = [(x or "").encode() for x in batch.column(1).slice(a, b - a).to_pylist()]
+            made = {"doc_id": batch.column(0).slice(a, b - a), "z": pa.array(map(c.compress, rows), pa.binary()), "rest": batch.column(2).slice(a, b - a)}
+            if keyed:
+                made["text_key"] = pa.array(map(xxhash.xxh3_128_digest, rows), pa.binary())
+            yield pa.RecordBatch.from_arrays(list(made.values()), names=list(made))
 
-    return mapped(own, run, f"doc_id long, z binary, rest {own.schema['rest'].dataType.simpleString()}")
+    return mapped(own, run, f"doc_id long, z binary, rest {own.schema['rest'].dataType.simpleString()}" + ", text_key binary" * keyed)
 
 
-MAP_BITS = 25
+BITS_AN_ID, MOST_BITS = 16, 27
 
 
-def may_hold(ids: DataFrame) -> Callable:
-    """A condition on an id column that holds for every id of the one-column table, and for few others.
+def marked(df: DataFrame, ids: DataFrame, key: str = "doc_id", name: str = "_may") -> DataFrame:
+    """df with a boolean column that is true for every key in the one-column table of ids, and for few others.
 
-    Ids are hashed into a bitmap of 2^MAP_BITS bits, 4 MB whatever their number: many more ids make it less selective,
-    never wrong. It keeps rows that a join would drop out of the join's shuffle.
+    Ids are hashed into a bitmap of 16 bits an id, up to 2^MOST_BITS bits (2 million 64-bit words): a larger number of ids
+    makes it less selective, never wrong. It is joined by broadcast of its words that are not 0, and keeps rows that a join
+    would drop out of the join's shuffle. A null key may be either.
     """
-    spark, column = ids.sparkSession, ids.columns[0]
-    at = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(1 << MAP_BITS))
-    words = ids.select(F.floor(at / 64).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(cast(`{column}` as bigint)), 64) as int))").alias("bit"))
-    bits = np.zeros(1 << (MAP_BITS - 6), np.int64)
-    for r in words.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect():
-        bits[r.word] = r.bits
-    shared = spark.sparkContext.broadcast(bits.view(U64))
-    ship(spark)
+    n = ids.count()
+    bits = min(max(16, (n * BITS_AN_ID).bit_length()), MOST_BITS)
+    at = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(1 << bits))
+    flag = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), (at(c) % 64).cast("int"))
+    words = ids.select(F.col(ids.columns[0]).alias("_id")).select(F.floor(at("_id") / 64).alias("_word"), flag("_id").alias("_bits"))
+    words = words.groupBy("_word").agg(F.bit_or("_bits").alias("_bits"))
+    found = df.join(F.broadcast(words), F.floor(at(key) / 64) == F.col("_word"), "left")  # 2^21 rows of 16 bytes at most
+    return found.withColumn(name, F.coalesce(F.col("_bits").bitwiseAND(flag(key)) != 0, F.lit(False))).drop("_word", "_bits")
 
-    @F.pandas_udf("boolean")
-    def held(places: pd.Series) -> pd.Series:
-        at = places.to_numpy()
-        return pd.Series((shared.value[at >> 6] >> (at & 63).astype(U64)) & U64(1) == 1)
 
-    return lambda c: held(F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(1 << MAP_BITS)))
+def among(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of df whose key may be in the one-column table of ids: all that are, and few others."""
+    return marked(df, ids, key).where("_may").drop("_may")
 
 
 def without_ids(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """df without the rows whose key is in the one-column table of ids; only rows that may be in it are shuffled. Null keys stay."""
-    marked = df.withColumn("_may_go", may_hold(ids)(key))
-    stay = marked.where(f"NOT _may_go OR `{key}` IS NULL").drop("_may_go")
+    seen = marked(df, ids, key)
+    stay = seen.where(f"NOT _may OR `{key}` IS NULL").drop("_may")
     gone = ids.select(F.col(ids.columns[0]).alias(key))
-    return stay.unionByName(marked.where(f"_may_go AND `{key}` IS NOT NULL").drop("_may_go").join(gone, key, "left_anti"))
+    return stay.unionByName(seen.where(f"_may AND `{key}` IS NOT NULL").drop("_may").join(gone, key, "left_anti"))
 
 
 def appended(df: DataFrame, source: str, name: str, kind: str, function: Callable[[pa.Array], pa.Array], most: int = 1 << 20) -> DataFrame:
@@ -227,5 +268,5 @@ def appended(df: DataFrame, source: str, name: str, kind: str, function: Callabl
         for a, b in chunks(pc.fill_null(sizes, 0).to_pylist(), most):
             yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), function(values.slice(a, b - a))], names=["rest", "made"])
 
-    out = mapped(inner, run, f"rest {inner.schema['rest'].dataType.simpleString()}, made {kind}")
+    out = mapped(inner, run, f"rest {inner.schema['rest'].dataType.simpleString()}, made {kind}", function.__module__)
     return out.select(*[F.col(f"rest.c{i}").alias(c) for i, c in enumerate(kept)], F.col("made").alias(name))

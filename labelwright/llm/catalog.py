@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, fingerprint, hamming, langid, near_dedup, oracles, packing, pii, quality, suffix_dedup, toxicity
-from .base import documents, may_hold, written
+from .base import among, documents, written
 
 
 def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +52,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     labels = documents(spark, sf_dir, "labels").where(~held_out()).select("doc_id", "toxic")
     some = written(toxicity.sampled(labels), "labels")
-    model = toxicity.trained(docs.where(may_hold(some.select("doc_id"))("doc_id")).join(some, "doc_id"))
+    model = toxicity.trained(among(docs, some.select("doc_id")).join(some, "doc_id"))
     out = toxicity.scored(docs, model)
     return out.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
@@ -85,7 +85,7 @@ def op8_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     good = documents(spark, sf_dir, "labels").where((F.col("quality") == 1) & ~held_out()).select("doc_id").distinct()
-    near = docs.where(may_hold(good)("doc_id"))  # of the texts, only these are shuffled
+    near = among(docs, good)  # of the texts, only these are shuffled
     return quality.resampled(docs, near.join(good.hint("merge"), "doc_id", "left_semi"))
 
 

@@ -28,8 +28,8 @@ from .base import U64, mixed
 from .components import components
 
 WIDTH, PERCENT, BANDS, ROWS = 5, 75, 64, 6
-SMALL, BLOCK = 32, 500
-BATCH_BYTES = 4 << 20
+SMALL, BLOCK, BLOCK_SHINGLES = 32, 500, 500_000
+BATCH_BYTES, BATCH_ROWS = 2 << 20, 2000
 UNSET = U64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -68,7 +68,7 @@ def sketched(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
 
     def run(batch):
         ids, texts = batch.column(0), batch.column(1).to_pylist()
-        for a, b in base.chunks([len(x or "") for x in texts], BATCH_BYTES):
+        for a, b in base.chunks([len(x or "") for x in texts], BATCH_BYTES, BATCH_ROWS):
             items, offsets = base.word_shingles(texts[a:b], width)
             sizes = np.diff(offsets)
             full = np.flatnonzero(sizes)
@@ -90,32 +90,47 @@ def sketched(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     return base.mapped(docs, run, "doc_id long, n_shingles long, set_key binary, bands array<long>, bits array<long>")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough. Texts are shuffled compressed, once by each side."""
-    need = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = base.zipped(docs.where(base.may_hold(need)("doc_id")))
-    sided = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("z").alias("za")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("z").alias("zb")), "b")
+def matches(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    if not len(x) or not len(y):
+        return 0
+    at = np.searchsorted(x, y)
+    return int((x[np.minimum(at, len(x) - 1)] == y).sum())
 
-    def run(batches):
-        kept: dict[int, tuple[bytes, np.ndarray]] = {}
 
-        def of(key, z):
-            if key not in kept or kept[key][0] != z:
-                if len(kept) > 256:
-                    kept.clear()
-                kept[key] = z, base.word_shingles([base.unpacked(z).decode()], width)[0]
-            return kept[key][1]
+def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets are similar enough.
 
-        for batch in batches:
-            a, b, za, zb = (c.to_pylist() for c in batch.columns)
-            yes = []
-            for i in range(len(a)):
-                x, y = of(a[i], za[i]), of(b[i], zb[i])
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                yes.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(yes))
+    Compressed texts are shuffled: b's to its pairs, and a's once to each block of BLOCK of its pairs, before them. A task
+    reads them in that order and holds one a's set, and those of a bounded slice of its b.
+    """
+    need = base.written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "need")
+    texts = base.zipped(base.among(docs, need))
+    blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
+    dealt = pairs.join(blocks, "a").select("a", "b", F.pmod(F.xxhash64("b"), "n").cast("int").alias("block"))
+    members = dealt.join(texts.select(F.col("doc_id").alias("b"), "z"), "b").select("a", "block", F.lit(1).alias("turn"), "b", "z")
+    heads = blocks.select("a", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("block"))
+    heads = heads.join(texts.select(F.col("doc_id").alias("a"), "z"), "a").select("a", "block", F.lit(0).alias("turn"), F.col("a").alias("b"), "z")
+    rows = heads.unionByName(members).repartition(base.shuffle_parts(docs.sparkSession), "a", "block").sortWithinPartitions("a", "block", "turn")
 
-    return base.by_arrow(sided.select("a", "b", "za", "zb"), run, "a long, b long")
+    def run(batches):
+        own, held = None, {}
+        for batch in batches:
+            z = batch.column(4).to_pylist()
+            for s, e in base.chunks(list(map(len, z)), BATCH_BYTES >> 2, BATCH_ROWS):
+                a, _, turn, b, _ = (c.slice(s, e - s).to_pylist() for c in batch.columns)
+                items, offsets = base.word_shingles([base.unpacked(x).decode() for x in z[s:e]], width)
+                yes = []
+                for i in range(e - s):
+                    mine = items[offsets[i] : offsets[i + 1]]
+                    if a[i] != own:
+                        own, held = a[i], {}
+                    if not turn[i]:
+                        held[xxhash.xxh3_128_digest(mine.tobytes())] = mine.copy()  # rows of one id may differ
+                    yes.append(bool(turn[i]) and any((n := matches(x, mine)) and 100 * n >= percent * (len(x) + len(mine) - n) for x in held.values()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, e - s), batch.column(3).slice(s, e - s)], names=["a", "b"]).filter(pa.array(yes))
+
+    return base.by_arrow(rows, run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -124,8 +139,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Documents link when 100 * |A & B| >= percent * |A | B| over their sets of `width`-word shingles.
     component_id is the smallest id reachable over links, the document's own included.
     Null or empty text: no shingles, no links, its own component. Fewer than `width` words: one shingle, the
-    whole sequence. Repeated rows get a row each, with the same component. A null id has a null component and
-    kept = true. An empty table gives an empty result. Other columns of the input are ignored.
+    whole sequence. Repeated rows get a row each, with the same component; rows of one id and different texts are one
+    document that links by any of its texts. A null id has a null component and kept = true. An empty table gives an empty result. Other columns of the input are ignored.
     """
     docs = base.renamed(docs, doc_id=id_col, text=text_col)
     first = base.written(sketched(docs, width, bands, rows), "sketches")
@@ -152,7 +167,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = left.join(right, (F.col("x.key") == F.col("y.key")) & apart & _sizes_allow("x.n", "y.n", percent) & _bits_allow("x.bits", "y.bits", percent, bands * rows))
     rest = rest.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = base.written(verified(base.written(rest, "rest"), docs, width, percent).distinct(), "links")
-    pools = base.written(loose.where(F.col("size") > SMALL).select("least", "doc_id", "component").distinct(), "pools")
+    pools = loose.where(F.col("size") > SMALL).select("least", "doc_id", "component").distinct()
+    pools = base.written(pools.join(reps.select("doc_id", F.col("n_shingles").alias("n")).distinct(), "doc_id").select("least", "doc_id", "component", "n"), "pools")
     more = more.union(base.written(pooled(pools, docs, width, percent).distinct(), "links"))
     groups = components(edges.union(more).union(copies.select("a", "b")))
     base.release(shared, loose, pools, parts, reps)
@@ -161,12 +177,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def pooled(pools: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) between documents of different components in a pool (least, doc_id, component).
+    """Links (a, b) between documents of different components in a pool (least, doc_id, component, n).
 
-    One side is the pool's documents outside the least component, the other all of them; each cell holds a block of both.
+    One side is the pool's documents outside the least component, the other all of them; each cell holds a block of both,
+    of about BLOCK documents and BLOCK_SHINGLES shingles (n).
     """
-    sizes = pools.groupBy("least").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("rows"), F.ceil(F.sum((F.col("component") != F.col("least")).cast("int")) / BLOCK).cast("int").alias("asks"))
-    texts = base.zipped(docs.where(base.may_hold(pools.select("doc_id").distinct())("doc_id"))).select("doc_id", "z")
+    blocks = lambda rows, n: F.ceil(F.greatest(rows / BLOCK, n / BLOCK_SHINGLES)).cast("int")
+    out = (F.col("component") != F.col("least")).cast("int")
+    sizes = pools.groupBy("least").agg(blocks(F.count("*"), F.sum("n")).alias("rows"), blocks(F.sum(out), F.sum(out * F.col("n"))).alias("asks"))
+    texts = base.zipped(base.among(docs, pools.select("doc_id").distinct())).select("doc_id", "z")
     own = pools.join(sizes, "least").join(texts, "doc_id")
     block = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
