@@ -12,7 +12,8 @@ maximal repeat of l + d bytes, reported with all its occurrences, not only neigh
 
 Skew: equal texts are one text; equal snippets of a task are reported there and sent once; minimizers with more
 than `hot` occurrences are dealt out by whole windows (hashed with 128 bits) instead, of which each task
-sends one, so that no group is without bound and none is dropped.
+sends one, so that no group is without bound and none is dropped. Texts are named by 128 bits of their hash. Where only
+the covered bytes are asked for, each task unites the spans of a text before it writes them.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ BASE = U64(0x5851F42D4C957F2D)
 INVERSE = U64(pow(0x5851F42D4C957F2D, -1, 1 << 64))
 POSITION = U64((1 << 24) - 1)
 BYTE_HASH = mixed(np.arange(1, 257, dtype=U64) * base.MIX_A)
-_powers: list[np.ndarray] = []
+_powers: list[np.ndarray] = base.remembered([])
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -158,76 +159,107 @@ def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return base.mapped(docs, run, "doc_id long, n_bytes long, text_key binary, anchors array<long>")
 
 
-ROWS = "key long, doc_id long, start long, pre long, size long, window binary, snippet binary"
+ROWS = "key long, text binary, start long, pre long, size long, window binary, snippet binary, twin binary, twin_start long"
+KINDS = (pa.int64(), pa.binary(), *(pa.int64(),) * 3, *(pa.binary(),) * 3, pa.int64())
+FLUSH = 20_000
 
 
-def candidates(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """Of (doc_id, z, repeated): the snippets to compare; rows without key say that a span is repeated.
+def united(spans: list[tuple[bytes, int, int]]) -> Iterator[tuple[bytes, int, int]]:
+    """The maximal runs (text, start, size) of spans of such."""
+    now: list | None = None
+    for text, start, size in sorted(spans):
+        if now and now[0] == text and start <= now[1] + now[2]:
+            now[2] = max(now[2], start + size - now[1])
+        else:
+            if now:
+                yield tuple(now)
+            now = [text, start, size]
+    if now:
+        yield tuple(now)
+
+
+def candidates(texts: DataFrame, length: int, gram: int, groups: bool) -> DataFrame:
+    """Of (text_key, z, repeated): the snippets to compare.
 
-    repeated: the text's minimizers that occur twice or more, with a flag for hot ones.
+    repeated: the text's minimizers that occur twice or more, with a flag for hot ones. Rows without key are spans that
+    are known to repeat: a task met the same string before, at twin_start of the text twin (groups), or runs of such.
     """
 
     def run(batches):
-        seen: dict[bytes, tuple | None] = {}
-        for batch in batches:
-            ids = batch.column(0).to_pylist()
-            texts = [base.unpacked(z) for z in batch.column(1).to_pylist()]
-            wanted = [{x["a"]: x["h"] for x in r} for r in batch.column(2).to_pylist()]
-            out: list[tuple] = []
-
-            def known(key: bytes, doc: int, start: int, size: int, windows: int) -> bool:
-                """Whether this task has met the string before; if so, both places are reported."""
-                if key in seen:
-                    if first := seen[key]:
-                        out.append((None, *first, None, None))
-                        seen[key] = None
-                    out.append((None, doc, start, 0, size, None, None))
-                    return True
+        seen: dict[bytes, list] = {}
+        out: list[tuple] = []
+        spans: list[tuple] = []
+
+        def known(key: bytes, text: bytes, start: int, size: int) -> bool:
+            """Whether this task has met the string before; if so, both places are reported."""
+            if (first := seen.get(key)) is None:
                 if len(seen) > SEEN:
                     seen.clear()
-                seen[key] = (doc, start, 0, size)
+                seen[key] = [text, start, False]
                 return False
+            if groups:
+                out.append((None, text, start, 0, size, key, None, first[0], first[1]))
+            else:
+                spans.append((text, start, size))
+            if not first[2]:
+                first[2] = True
+                if groups:
+                    out.append((None, *first[:2], 0, size, key, None, *first[:2]))
+                else:
+                    spans.append((*first[:2], size))
+            return True
 
+        def rows():
+            out.extend((None, text, start, 0, size, None, None, None, None) for text, start, size in united(spans))
+            made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), KINDS)], names=[x.split()[0] for x in ROWS.split(", ")])
+            out.clear()
+            spans.clear()
+            return made
+
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            texts = [base.unpacked(z) for z in batch.column(1).to_pylist()]
+            wanted = [{x["a"]: x["h"] for x in r} for r in batch.column(2).to_pylist()]
             for owner, begin, count, pre, h in snippets(texts, length, gram):
                 for i, a, n, p, key in zip(owner.tolist(), begin.tolist(), count.tolist(), pre.tolist(), h.tolist()):
                     if (hot := wanted[i].get(key)) is None:
                         continue
                     part = texts[i][a : a + n + length - 1]
-                    if known(xxhash.xxh3_128_digest(part), ids[i], a, len(part), n):
+                    if known(xxhash.xxh3_128_digest(part), names[i], a, len(part)):
                         continue
                     if not hot:
-                        out.append((key, ids[i], a, p, len(part), None, part))
+                        out.append((key, names[i], a, p, len(part), None, part, None, None))
                         continue
                     for j in range(n):
                         w = xxhash.xxh3_128_digest(part[j : j + length])
-                        if n == 1 or not known(w, ids[i], a + j, length, 1):
-                            out.append((int.from_bytes(w[:8], "little", signed=True), ids[i], a + j, 0, length, w, None))
-                if len(out) > 20_000:
-                    yield rows(out)
-                    out.clear()
-            if out:
-                yield rows(out)
-
-    def rows(out):
-        kinds = (pa.int64(),) * 5 + (pa.binary(),) * 2
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=[x.split()[0] for x in ROWS.split(", ")])
+                        if n == 1 or not known(w, names[i], a + j, length):
+                            out.append((int.from_bytes(w[:8], "little", signed=True), names[i], a + j, 0, length, w, None, None, None))
+                if len(out) + len(spans) > FLUSH:
+                    yield rows()
+        if out or spans:
+            yield rows()
 
     return base.by_arrow(texts, run, ROWS)
 
 
-def grouped(found: DataFrame, length: int) -> DataFrame:
-    """Maximal repeat groups (repeat, doc_id, start, size) of candidates: one row an occurrence.
+GROUP = "repeat long, text binary, start long, size long, snippet long, twin binary, twin_start long"
+
 
-    repeat: 64-bit hash of the string that a group's occurrences share; null where a task knew the span before. A group
-    is maximal within its minimizer's windows; a longer repeat comes as overlapping groups of the same occurrences.
+def grouped(found: DataFrame, length: int, groups: bool) -> DataFrame:
+    """Of candidates, with groups the maximal repeats by occurrence, else the runs (text, start, size) that they cover.
+
+    repeat: 64-bit hash of the string that a group's occurrences share; snippet: where the occurrence's snippet starts. A
+    group is maximal within its minimizer's windows; a longer repeat comes as overlapping groups of the same occurrences.
+    Rows with twin are strings that a task has met before.
     """
-    names = ["repeat", "doc_id", "start", "size"]
+    schema = GROUP if groups else "text binary, start long, size long"
+    kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()) if groups else (pa.binary(), pa.int64(), pa.int64())
 
     def run(batches):
         out: list[tuple] = []
         group: list[tuple] = []
 
-        def close():
+        def close() -> Iterator[pa.RecordBatch]:
             windows: dict[bytes, list] = {}
             strings = [r for r in group if r[6] is not None]
             for r in group:
@@ -235,53 +267,87 @@ def grouped(found: DataFrame, length: int) -> DataFrame:
                     windows.setdefault(r[5], []).append(r)
             for w, own in windows.items():
                 if len(own) > 1:
-                    out.extend((r[0], r[1], r[2], r[4]) for r in own)
+                    name = signed(w)
+                    out.extend((name, r[1], r[2], r[4], r[2], None, None) if groups else (r[1], r[2], r[4]) for r in own)
             if len(strings) > 1:
                 for left, right, own in repeats([r[6][r[3] :] for r in strings], [r[6][: r[3]][::-1] for r in strings], length):
-                    r = strings[own[0]]
-                    name = base.long_hash(r[6][r[3] - left : r[3] + right])
-                    out.extend((name, strings[i][1], strings[i][2] + strings[i][3] - left, left + right) for i in own)
+                    if groups:
+                        r = strings[own[0]]
+                        name = signed(xxhash.xxh3_128_digest(r[6][r[3] - left : r[3] + right]))
+                        out.extend((name, strings[i][1], strings[i][2] + strings[i][3] - left, left + right, strings[i][2], None, None) for i in own)
+                    else:
+                        out.extend((strings[i][1], strings[i][2] + strings[i][3] - left, left + right) for i in own)
+                    if len(out) > FLUSH:
+                        yield from rows(5 * FLUSH)
+            yield from rows(FLUSH)
+
+        def rows(most: int) -> Iterator[pa.RecordBatch]:
+            """What is found, once it is more than most; runs that touch are one."""
+            if len(out) > most and not groups:
+                out[:] = united(out)
+            if len(out) > most >> 1:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=[x.split()[0] for x in schema.split(", ")])
+                out.clear()
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if row[0] is None:
-                    out.append((None, row[1], row[2], row[4]))
+                    out.append((signed(row[5]), row[1], row[2], row[4], row[2], row[7], row[8]) if groups else (row[1], row[2], row[4]))
                     continue
                 if group and group[0][0] != row[0]:
-                    close()
+                    yield from close()
                     group = []
                 group.append(row)
-            if len(out) > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=names)
-                out.clear()
+            yield from rows(5 * FLUSH)
         if group:
-            close()
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=names)
+            yield from close()
+        if not groups:
+            out[:] = united(out)
+        yield from rows(0)
 
     parts = base.shuffle_parts(found.sparkSession)
-    dealt = found.repartition(parts, F.coalesce("key", F.xxhash64("doc_id", "start"))).sortWithinPartitions("key")
-    return base.by_arrow(dealt, run, ", ".join(f"{n} long" for n in names))
+    dealt = found.repartition(parts, F.coalesce("key", F.xxhash64("text", "start"))).sortWithinPartitions("key")
+    return base.by_arrow(dealt, run, schema)
+
+
+def signed(digest: bytes) -> int:
+    return int.from_bytes(digest[:8], "little", signed=True)
+
+
+class Found:
+    """Tables of one search: texts (doc_id, n_bytes, text_key), equal (text_key, rep, n), and spans as grouped() defines them."""
+
+    def __init__(self, docs: DataFrame, length: int, gram: int, hot: int, groups: bool):
+        first = base.written(anchors(docs, length, gram).where(F.col("n_bytes") >= length), "anchors")
+        self.texts = first.select("doc_id", "n_bytes", "text_key")
+        self.equal = base.written(self.texts.groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "texts")
+        reps = self.equal.select("text_key", F.col("rep").alias("doc_id"))
+        places = first.join(reps, ["doc_id", "text_key"], "left_semi").select("doc_id", "text_key", F.explode("anchors").alias("a"))
+        often = places.groupBy("a").count().where("count > 1").select("a", (F.col("count") > hot).alias("h"))
+        wanted = places.distinct().join(often, "a").groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("a", "h")).alias("repeated"))
+        wanted = base.written(wanted, "minimizers")
+        texts = base.zipped(docs, keyed=True).join(wanted, ["doc_id", "text_key"])
+        self.spans = base.written(grouped(candidates(texts.select("text_key", "z", "repeated"), length, gram, groups), length, groups), "repeats")
 
 
 def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """Occurrences (repeat, doc_id, start, size) of repeated strings of `length` bytes or more in (doc_id, text).
+    """Maximal repeat groups (repeat, doc_id, start, size) of (doc_id, text): a row for each of a group's occurrences.
 
-    Together they cover exactly the bytes that lie in a string of `length` bytes which also starts elsewhere.
-    Of equal texts, each is one occurrence as a whole.
+    repeat names the string that a group's occurrences share. Occurrences that a task did not send, as it had met their
+    snippet before, follow their twin into its groups, and equal texts follow the one that stands for them; a text that
+    comes twice is a group as a whole. Rows with a null id are left out.
     """
-    first = base.written(anchors(docs, length, gram).where(F.col("n_bytes") >= length), "anchors")
-    equal = base.written(first.groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "texts")
-    whole = first.select("doc_id", "n_bytes", "text_key").join(equal.where("n > 1"), "text_key")
+    found = Found(docs, length, gram, hot, True)
+    own = found.spans.where("twin IS NULL").select("repeat", "text", "start", "size", "snippet")
+    twins = found.spans.where("twin IS NOT NULL")
+    away = twins.where("text <> twin OR start <> twin_start").select("twin", "twin_start", F.col("text").alias("text_"), F.col("start").alias("start_"), F.col("size").alias("size_"))
+    same = own.join(away, (F.col("text") == F.col("twin")) & (F.col("snippet") == F.col("twin_start")))
+    moved = same.select("repeat", F.col("text_").alias("text"), (F.col("start_") + F.col("start") - F.col("snippet")).alias("start"), "size")
+    every = own.drop("snippet").unionByName(moved).unionByName(twins.select("repeat", "text", "start", "size")).distinct()
+    holders = found.texts.select("doc_id", F.col("text_key").alias("text")).distinct()
+    whole = found.texts.join(found.equal.where("n > 1").select("text_key"), "text_key")
     whole = whole.select(F.xxhash64("text_key").alias("repeat"), "doc_id", F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("size"))
-    places = first.join(equal.select(F.col("rep").alias("doc_id"), "text_key"), ["doc_id", "text_key"], "left_semi").select("doc_id", F.explode("anchors").alias("a"))
-    often = places.groupBy("a").count().where("count > 1").select("a", (F.col("count") > hot).alias("h"))
-    wanted = base.written(places.distinct().join(often, "a").groupBy("doc_id").agg(F.collect_list(F.struct("a", "h")).alias("repeated")), "minimizers")
-    texts = base.zipped(docs).join(wanted, "doc_id")
-    spans = base.written(grouped(candidates(texts.select("doc_id", "z", "repeated"), length, gram), length), "repeats")
-    out = spans.unionByName(whole)
-    out._used = first, equal, wanted
-    return out
+    return every.join(holders, "text").select("repeat", "doc_id", "start", "size").unionByName(whole)
 
 
 def whole_characters(text: bytes, a: int, b: int) -> tuple[int, int]:
@@ -299,13 +365,18 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spans are the maximal byte runs covered by a `length`-byte string that starts at another place too, in any
     document; overlapping occurrences count and strings are judged on the input. kept is the rest; as_text makes it a
     string that also keeps the characters of which a run covers a part only.
-    Null text: as empty. Texts shorter than `length` are kept whole. Repeated rows are repeats of each other.
+    Null text: as empty. Texts shorter than `length` are kept whole. Repeated rows are repeats of each other; rows of one id
+    and different texts are texts of their own.
     Rows with a null id can't be addressed: they take no part and are left out. Columns not carried are ignored.
     """
-    own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)]).alias("rest")).where("doc_id IS NOT NULL")
-    found = repeated(own.select("doc_id", "text"), length, gram, hot)
-    spans = found.select("doc_id", "start", "size").distinct().groupBy("doc_id").agg(F.collect_list(F.struct("start", "size")).alias("found"))
-    joined = base.zipped(own, ("rest",)).join(spans, "doc_id", "left").select("doc_id", "z", "found", F.col("rest.c0").alias("rest"))
+    own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)]).alias("rest")).where("doc_id IS NOT NULL")
+    found = Found(own.select("doc_id", "text"), length, gram, hot, False)
+    one = found.equal.where("n = 1").select("text_key", F.col("rep").alias("doc_id"))
+    parts = found.spans.groupBy(F.col("text").alias("text_key")).agg(F.collect_list(F.struct("start", "size")).alias("found"))
+    whole = found.equal.where("n > 1").select("text_key").join(found.texts, "text_key")
+    whole = whole.select("doc_id", "text_key", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("size"))).alias("found")).distinct()
+    spans = parts.join(one, "text_key").select("doc_id", "text_key", "found").unionByName(whole)
+    joined = base.zipped(own, ("rest",), keyed=True).join(spans, ["doc_id", "text_key"], "left").select("doc_id", "z", "found", F.col("rest.c0").alias("rest"))
 
     def run(batch):
         kept, sizes, runs = [], [], []

@@ -408,3 +408,26 @@ def test_held_out_is_crc32(spark):
     got = {r.doc_id: r.h for r in spark.range(50).select(F.col("id").alias("doc_id")).select("doc_id", catalog.held_out().alias("h")).collect()}
     assert got == {i: zlib.crc32(str(i).encode()) % 4 == 2 for i in range(50)}
     assert oracles.NEAR_DEDUP and oracles.HAMMING
+
+
+def test_repeats_of_clashing_ids(spark):
+    rng = random.Random(8)
+    shared, a, b, c = ("".join(rng.choice("abcdef") for _ in range(n)) for n in (60, 80, 90, 70))
+    rows = [(1, a + shared), (1, b), (2, c + shared), (3, None)]
+    out = suffix_dedup.without_repeats(table(spark, rows), length=20, gram=6).collect()
+    assert sorted(bytes(r.kept).decode() for r in out) == sorted([a, b, c, ""])
+
+
+def test_groups_are_complete_over_tasks(spark):
+    rng = random.Random(9)
+    passages = ["".join(rng.choice("abcdefgh") for _ in range(50)) for _ in range(4)]
+    texts = ["".join(rng.choice(passages)[rng.randint(0, 9) :] + "".join(rng.choice("uvwxyz") for _ in range(30)) for _ in range(3)) for _ in range(40)]
+    texts += texts[:3]
+    docs = table(spark, list(enumerate(texts)), False).repartition(5)
+    groups = collections.defaultdict(set)
+    for r in suffix_dedup.repeated(docs, length=20, gram=6).collect():
+        groups[r.repeat].add((r.doc_id, r.start, r.size))
+    assert groups
+    for group in groups.values():
+        (string,) = {texts[i][a : a + n] for i, a, n in group}
+        assert {(i, a) for i, a, _ in group} == {(i, a) for i, t in enumerate(texts) for a in range(len(t)) if t.startswith(string, a)}
