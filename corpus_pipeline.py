@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelwright.llm import langid, near_dedup, pii, suffix_dedup
-from labelwright.llm.base import documents, may_hold, without_ids, written
+from labelwright.llm.base import documents, marked, without_ids, written
 from labelwright.llm.catalog import held_out, packed_documents
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -42,11 +42,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def one_row_each(docs: DataFrame) -> DataFrame:
     """Of the rows of each id that is not null the one of the longest text; only rows whose id may repeat are shuffled."""
     often = written(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated_ids")
-    marked = docs.withColumn("_may_repeat", may_hold(often)("doc_id"))
-    alone = marked.where("NOT _may_repeat OR doc_id IS NULL").select(*COLUMNS)
+    seen = marked(docs, often)
+    alone = seen.where("NOT _may OR doc_id IS NULL").select(*COLUMNS)
     rest = [c for c in COLUMNS if c != "doc_id"]
     longest = F.max(F.struct(F.length("text").alias("_size"), *rest)).alias("_row")
-    repeats = marked.where("_may_repeat AND doc_id IS NOT NULL").groupBy("doc_id").agg(longest)
+    repeats = seen.where("_may AND doc_id IS NOT NULL").groupBy("doc_id").agg(longest)
     return alone.unionByName(repeats.select("doc_id", *[F.col(f"_row.{c}").alias(c) for c in rest]))
 
 
