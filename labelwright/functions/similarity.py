@@ -11,11 +11,32 @@ from pyspark.sql import functions as F
 from ..session import ship
 
 
-def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence, by a dynamic programme over arrays of characters.
+BITS = 62
+
 
-    One row of the programme is an array; each character of a maps the row to the next.
+def lcs_length(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence. Up to BITS characters of the shorter text a row of the dynamic programme is
+    the bits of one number, and each character of the other maps it to the next; longer texts have arrays as rows.
     """
+    short, long_ = F.when(F.length(a) < F.length(b), a).otherwise(b), F.when(F.length(a) < F.length(b), b).otherwise(a)
+    return F.when(F.length(short) <= BITS, _lcs_bits(long_, short)).otherwise(_lcs_arrays(a, b))
+
+
+def _lcs_bits(a: Column, b: Column) -> Column:
+    one, n = F.lit(1).cast("long"), F.length(b)
+    full = F.call_function("shiftleft", one, n) - 1
+    letters = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
+
+    def step(row: Column, ch: Column) -> Column:
+        bits = F.transform(letters(b), lambda x, j: F.when(x == ch, F.call_function("shiftleft", one, j)).otherwise(F.lit(0).cast("long")))
+        hit = row.bitwiseAND(F.aggregate(bits, F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(x)))
+        return (row + hit).bitwiseOR(row - hit).bitwiseAND(full)
+
+    return (n - F.bit_count(F.aggregate(letters(a), full, step))).cast("int")
+
+
+def _lcs_arrays(a: Column, b: Column) -> Column:
+    """One row of the programme is an array; each character of a maps the row to the next."""
     left, right = F.filter(F.split(a, ""), lambda x: x != ""), F.filter(F.split(b, ""), lambda x: x != "")
     zero = F.array_repeat(F.lit(0), F.size(right) + 1)
 

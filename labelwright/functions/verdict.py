@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
 from ..vocab import OUTCOMES, ROLL_UP
-from .similarity import lcs_length, reaches
+from .quantities import once, verdict
+from .similarity import lcs_length, ratio, reaches
 from .text import missing, normalized
 
 
@@ -31,6 +32,25 @@ def compared_text(label: Column, declared: Column, settings: Settings = DEFAULT,
     return F.coalesce(missing_outcome(label, declared), F.when((a == "") | (b == ""), "needs_review"), F.when(a == b, "match").otherwise(banded(common(a, b), a, b, settings)))
 
 
+def text_verdict(label: Column, declared: Column, settings: Settings = DEFAULT, lcs: Column | None = None) -> Column:
+    """struct (outcome, score, code) of two texts; outcomes as compared_text() gives them, scores to one decimal.
+
+    lcs: a column with the common length of the normalized texts, where it is computed already.
+    """
+
+    def decide(a: Column, b: Column, n: Column) -> Column:
+        return (
+            F.when(missing(declared), verdict("not_compared", None, "undeclared"))
+            .when(missing(label), verdict("mismatch", None, "absent"))
+            .when((a == "") | (b == ""), verdict("needs_review", None, "no_text"))
+            .when(a == b, verdict("match", 100.0, "text"))
+            .otherwise(verdict(banded(n, a, b, settings), F.round(ratio(n, a, b), 1), "text"))
+        )
+
+    a, b = normalized(label), normalized(declared)
+    return once(decide, a, b, F.when(a != b, lcs_length(a, b)) if lcs is None else lcs)
+
+
 def presence(label: Column, declared: Column) -> Column:
     """Fields that need only be there: present or mismatch where nothing is declared, null else."""
     return F.when(missing(declared), F.when(missing(label), "mismatch").otherwise("present"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
@@ -77,5 +77,42 @@ def stand_out(found: DataFrame, *keys: str, settings: Settings = DEFAULT) -> Dat
     The tallest counts if the next is at most 0.7 of it; a sole block always does; without heights the first line's does.
     """
     order = Window.partitionBy(*keys).orderBy(F.desc("height"), "top", "first_line")
+    found = found.where(~F.coalesce(F.col("sideways"), F.lit(False))) if "sideways" in found.columns else found
     ranked = found.withColumn("rank", F.row_number().over(order)).withColumn("next", F.lead("height").over(order)).where(F.col("rank") == 1)
     return ranked.where(F.col("next").isNull() | (F.col("height") <= 0) | (F.col("next") <= F.col("height") * settings.stand_out)).drop("rank", "next")
+
+
+def unclaimed(rows: DataFrame, claims: list[DataFrame], *keys: str) -> DataFrame:
+    """Lines that no field located by pattern has claimed: claims are tables of keys and line_idx. Places stay, so that a claimed line parts its neighbours."""
+    taken = claims[0].select(*keys, "line_idx")
+    for more in claims[1:]:
+        taken = taken.unionByName(more.select(*keys, "line_idx"))
+    return rows.join(taken.distinct(), [*keys, "line_idx"], "left_anti")
+
+
+def two_fields(found: DataFrame, sheets: DataFrame, *keys: str, settings: Settings = DEFAULT) -> DataFrame:
+    """(keys, field, text, declined): brand_name, the block that stands out, and class_type, the one that does of the rest.
+
+    The second is looked for only where there is a first. declined: there were blocks, and none stood out.
+    """
+    first = stand_out(found, *keys, settings=settings).select(*keys, "first_line", "text")
+    rest = found.join(first.select(*keys, "first_line"), [*keys, "first_line"], "left_anti").join(first.select(*keys), list(keys), "left_semi")
+    second = stand_out(rest, *keys, settings=settings).select(*keys, "text")
+    some = lambda table: table.select(*keys).distinct().withColumn("had", F.lit(True))
+    made = lambda name, hits, had: sheets.select(*keys).join(hits.select(*keys, "text"), list(keys), "left").join(some(had), list(keys), "left").select(*keys, F.lit(name).alias("field"), "text", (F.col("text").isNull() & F.coalesce("had", F.lit(False))).alias("declined"))
+    return made("brand_name", first, found).unionByName(made("class_type", second, rest))
+
+
+def segmentation(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, columns, regions, n_lines, confidence) of lines; confidence is their mean to one decimal, 0 where there is none."""
+    return rows.groupBy(*keys).agg(F.count_distinct("column").alias("columns"), F.count_distinct("column", "block").alias("regions"), F.count("*").alias("n_lines"), mean_confidence(F.col("confidence")).alias("confidence"))
+
+
+def mean_confidence(c: Column) -> Column:
+    """An aggregate: the mean to one decimal, 0.0 of nothing."""
+    return F.round(F.coalesce(F.avg(c), F.lit(0.0)), 1)
+
+
+def item_confidence(sheets: DataFrame, *keys: str) -> DataFrame:
+    """(keys, confidence): the mean of the usable sheets' means (keys, confidence, error), not weighted by words."""
+    return sheets.groupBy(*keys).agg(F.round(F.coalesce(F.avg(F.when(F.col("error").isNull(), F.col("confidence"))), F.lit(0.0)), 1).alias("confidence"))

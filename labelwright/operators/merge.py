@@ -29,9 +29,13 @@ def declined(readings: DataFrame, *keys: str) -> DataFrame:
 
 
 def combined_error(readings: DataFrame, *keys: str) -> DataFrame:
-    """(keys, error): of items without a usable reading, the code they share or `several`; null for others."""
-    own = readings.groupBy(*keys).agg(F.bool_or(F.col("error").isNull()).alias("usable"), F.sort_array(F.collect_set("error")).alias("codes"))
-    return own.select(*keys, F.when(F.col("usable"), None).when(F.size("codes") == 1, F.col("codes")[0]).otherwise(F.lit("several")).alias("error"))
+    """(keys, error, detail): of items without a usable reading. One reading keeps its code; of several it is
+    all_photos_unreadable, with the code that they share or `mixed`. Null for items with a usable reading.
+    """
+    own = readings.groupBy(*keys).agg(F.count("*").alias("n"), F.bool_or(F.col("error").isNull()).alias("usable"), F.sort_array(F.collect_set("error")).alias("codes"))
+    shared = F.when(F.size("codes") == 1, F.get("codes", F.lit(0))).otherwise(F.lit("mixed"))
+    failed = lambda c: F.when(~F.col("usable"), c)
+    return own.select(*keys, failed(F.when(F.col("n") == 1, F.get("codes", F.lit(0))).otherwise("all_photos_unreadable")).alias("error"), failed(F.when(F.col("n") > 1, shared)).alias("detail"))
 
 
 def arm(readings: DataFrame, *keys: str, settings: Settings = DEFAULT) -> DataFrame:

@@ -26,3 +26,24 @@ def phase_totals(df: DataFrame, phases: list[str], *keys: str) -> DataFrame:
     of = lambda p: F.coalesce(F.sum(F.when(F.col("phase") == p, F.col("ms"))), F.lit(0.0))
     own = df.groupBy(*keys).agg(of("total").alias("total"), *[of(p).alias(p) for p in phases])
     return own.withColumn("unaccounted", F.greatest(F.col("total") - sum((F.col(p) for p in phases), F.lit(0.0)), F.lit(0.0)))
+
+
+def word_counts(readings: DataFrame, text: str, *keys: str) -> DataFrame:
+    """(keys, words): words of the readings' texts, cut at white space."""
+    own = F.size(F.filter(F.split(F.col(text), r"(?U)\s+"), lambda w: w != ""))
+    return readings.groupBy(*keys).agg(F.coalesce(F.sum(F.when(F.col(text).isNotNull(), own)), F.lit(0)).cast("long").alias("words"))
+
+
+def histogram(df: DataFrame, of: str, *keys: str) -> DataFrame:
+    return df.groupBy(*keys, of).agg(F.count("*").alias("n"))
+
+
+def expected_rows(expected: DataFrame, applications: DataFrame) -> DataFrame:
+    """Golden rows: what is printed and what is declared, by file name, with the fields of applications under said_*."""
+    said = applications.select("filename", *[F.col(c).alias(f"said_{c}") for c in applications.columns if c != "filename"])
+    return expected.join(said, F.col("image_filename") == F.col("filename"), "inner").drop("filename")
+
+
+def replicated(files: DataFrame, copies: int) -> DataFrame:
+    """Each file `copies` times under stems of their own."""
+    return files.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies)))).withColumn("filename", F.format_string("%03d-%s", "copy", "filename"))

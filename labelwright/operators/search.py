@@ -39,15 +39,19 @@ def found(pairs: DataFrame, *keys: str, common=lcs_length) -> DataFrame:
     exact = at.where("at IS NOT NULL").select(*keys, "unit", F.lit(0).alias("size"), F.col("at").alias("start"), printed(F.slice("words", F.col("at"), F.col("n"))).alias("hit"), F.lit(100.0).alias("raw"), F.lit(1).alias("sure"))
     rest = at.join(exact.select(*keys).distinct(), list(keys), "left_anti")
     sizes = F.array_distinct(F.transform(F.array(F.col("n") - 1, F.col("n"), F.col("n") + 1), lambda s: F.least(F.greatest(s, F.lit(1)), F.size("words"))))
-    windows = rest.where(F.size("words") > 0).select(*keys, "unit", "words", "goal", F.explode(sizes).alias("size"))
-    windows = windows.select(*keys, "unit", "words", "goal", "size", F.explode(F.sequence(F.lit(1), F.size("words") - F.col("size") + 1)).alias("start"))
-    cut = windows.withColumn("hit", F.slice("words", F.col("start"), F.col("size"))).withColumn("seen", F.array_join(F.transform("hit", lambda t: t["norm"]), " "))
-    scored = cut.select(*keys, "unit", "size", "start", printed(F.col("hit")).alias("hit"), ratio(common(F.col("seen"), F.col("goal")), F.col("seen"), F.col("goal")).alias("raw"), F.lit(0).alias("sure"))
+    def cut(size: Column, start: Column) -> Column:
+        own = F.slice("words", start, size)
+        return F.struct(size.alias("size"), start.alias("start"), printed(own).alias("hit"), F.array_join(F.transform(own, lambda t: t["norm"]), " ").alias("seen"))
+
+    every = F.flatten(F.transform(sizes, lambda s: F.transform(F.sequence(F.lit(1), F.size("words") - s + 1), lambda i: cut(s, i))))
+    windows = rest.where(F.size("words") > 0).select(*keys, "unit", "goal", every.alias("every")).select(*keys, "unit", "goal", F.explode("every").alias("w"))
+    windows = windows.select(*keys, "unit", "goal", "w.*")  # a row carries its own window, not the text
+    scored = windows.select(*keys, "unit", "size", "start", "hit", ratio(common(F.col("seen"), F.col("goal")), F.col("seen"), F.col("goal")).alias("raw"), F.lit(0).alias("sure"))
     order = F.struct("sure", "raw", -F.col("unit"), -F.col("size"), -F.col("start"))
     return exact.unionByName(scored).groupBy(*keys).agg(F.max_by(F.struct("hit", "raw", "unit"), order).alias("best")).select(*keys, F.col("best.hit").alias("hit"), F.round("best.raw", 1).alias("score"), F.col("best.unit").alias("unit"))
 
 
-def verified(pairs: DataFrame, *keys: str, strip_code: bool = True, settings: Settings = DEFAULT, common=lcs_length) -> DataFrame:
+def verified(pairs: DataFrame, *keys: str, strip_code: bool | Column = True, settings: Settings = DEFAULT, common=lcs_length) -> DataFrame:
     """Outcome of searching each needle: keys, hit, score, code, outcome.
 
     A value that does not match is searched again without its trailing code, and that hit is taken if it is better.
@@ -56,11 +60,37 @@ def verified(pairs: DataFrame, *keys: str, strip_code: bool = True, settings: Se
     plain = found(pairs, *keys, common=common)
     asked = pairs.select(*keys, "needle").distinct()
     out = asked.join(plain, list(keys), "left").withColumn("code", F.lit(None).cast("string"))
-    if strip_code:
-        again = pairs.join(plain.where(F.col("score") >= settings.match_threshold).select(*keys), list(keys), "left_anti").withColumn("shorter", without_code(F.col("needle"))).where("shorter IS NOT NULL")
+    if strip_code is not False:
+        stripped = pairs.where(strip_code) if isinstance(strip_code, Column) else pairs
+        again = stripped.join(plain.where(F.col("score") >= settings.match_threshold).select(*keys), list(keys), "left_anti").withColumn("shorter", without_code(F.col("needle"))).where("shorter IS NOT NULL")
         second = found(again.drop("needle").withColumnRenamed("shorter", "needle"), *keys, common=common)
         second = second.select(*keys, *[F.col(c).alias(f"{c}2") for c in ("hit", "score", "unit")])
         out = out.join(second, list(keys), "left")
         better = F.coalesce(F.col("score2") > F.coalesce("score", F.lit(-1.0)), F.lit(False))
         out = out.select(*keys, "needle", *[F.when(better, F.col(f"{c}2")).otherwise(F.col(c)).alias(c) for c in ("hit", "score", "unit")], F.when(better, F.regexp_extract("needle", r"([A-Z0-9]{1,3})\s*$", 1)).alias("code"))
     return out.select(*keys, "hit", "score", "unit", "code", F.when(F.col("score").isNull(), "mismatch").otherwise(band(F.col("score"), settings)).alias("outcome"))
+
+
+RUN = 5
+
+
+def contained(needles: DataFrame, texts: DataFrame, needle_id: str, text_id: str) -> DataFrame:
+    """Distinct (needle_id, text_id) of needles (needle_id, text) that are whole-word runs of texts (text_id, text).
+
+    A needle's key is the hash of its first RUN words, or of all where they are fewer. Texts give (id, hash) rows of the
+    runs of the lengths that needles have, never the text; those that meet a key are few, and are joined with their texts
+    again and compared. Needles without words are in nothing.
+    """
+    words = lambda c: F.filter(F.split(normalized(F.col(c)), " "), lambda w: w != "")
+    own = needles.select(needle_id, words("text").alias("w")).where(F.size("w") > 0)
+    own = own.select(needle_id, F.array_join("w", " ").alias("want"), F.least(F.size("w"), F.lit(RUN)).alias("n"), F.xxhash64(F.array_join(F.slice("w", 1, RUN), " ")).alias("h"))
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, n), " ")))
+    hay = texts.select(text_id, words("text").alias("w")).where(F.size("w") > 0)
+    keys = own.select("h", "n").distinct()
+    met = None
+    for n in range(1, RUN + 1):
+        hits = hay.where(F.size("w") >= n).select(text_id, F.explode(F.array_distinct(runs(n))).alias("h")).join(keys.where(F.col("n") == n).select("h"), "h", "left_semi")
+        met = hits if met is None else met.unionByName(hits)
+    pairs = met.distinct().join(own, "h").select(needle_id, text_id, "want").distinct()
+    full = texts.select(text_id, F.concat(F.lit(" "), normalized(F.col("text")), F.lit(" ")).alias("have"))
+    return pairs.join(full, text_id).where(F.contains("have", F.concat(F.lit(" "), "want", F.lit(" ")))).select(needle_id, text_id).distinct()

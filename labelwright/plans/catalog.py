@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import quantities as Q
@@ -11,27 +10,7 @@ from ..functions import verdict as V
 from ..functions.similarity import differences, lcs_length_udf
 from ..operators import batch, documents, layout, merge, quality, search, statement
 from ..vocab import OUTCOMES, STATEMENT_BODY, STATEMENT_PREFIX, UNITS
-
-FOUND: dict = {}
-ORACLES: dict = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        FOUND[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def sql_normalized(c: str) -> str:
-    return rf"lower(trim(regexp_replace(regexp_replace(translate({c}, '{T.QUOTES}', '{T.STRAIGHT.replace(chr(39), chr(39) * 2)}'), '\p{{P}}', ' ', 'g'), '\s+', ' ', 'g')))"
+from .registry import FOUND, ORACLES, query, sql_abv, sql_missing, sql_net, sql_normalized, sql_verified, table
 
 
 # --- text and similarity -------------------------------------------------------------------------------------------
@@ -96,54 +75,59 @@ def trailing_code(spark, sf_dir):
 # --- quantities ----------------------------------------------------------------------------------------------------
 
 
+_P, _SAID = "CAST(round(l_discount * 100, 0) AS INT)", "CAST(round(l_tax * 100, 0) AS INT)"
+_ABV_TEXT = (
+    f"CASE l_linenumber WHEN 1 THEN concat({_P}, '% Alc./Vol.') WHEN 2 THEN concat({_P}, ' percent (', 2 * {_P}, ' Proof)') WHEN 3 THEN concat({_P}, '% (', 2 * {_P}, '-5 PROOF)') "
+    f"WHEN 4 THEN concat('ALC ', {_P}, ' to ', {_P} + 2, '% alc/vol') WHEN 5 THEN concat({_P}, CASE WHEN l_orderkey % 3 = 0 THEN '.5' ELSE '' END) WHEN 6 THEN l_returnflag ELSE CASE WHEN l_orderkey % 2 = 0 THEN ' ' END END"
+)
+_ABV_SAID = f"CASE WHEN l_orderkey % 5 = 0 THEN NULL WHEN l_orderkey % 7 = 0 THEN l_returnflag ELSE concat({_SAID}, '%') END"
+
+
 def _abv(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem")
-    p = F.round(F.col("l_discount") * 100, 0).cast("int")
-    proof = F.when(F.col("l_linenumber") % 2 == 0, p * 2).otherwise(p * 2 + 2)
-    label = F.when(F.col("l_linenumber") == 1, F.format_string("%d%% Alc./Vol.", p)).when(F.col("l_linenumber") == 2, F.format_string("%d percent (%d Proof)", p, proof)).when(F.col("l_linenumber") == 3, F.format_string("%d%% (%d-5 PROOF)", p, p * 2)).when(F.col("l_linenumber") == 4, F.format_string("%d to %d%% alc/vol", p, p + 2)).when(F.col("l_linenumber") == 5, F.format_string("%d", p)).otherwise(F.lit("strong"))
-    declared = F.when(F.col("l_orderkey") % 5 == 0, None).otherwise(F.format_string("%d%%", F.round(F.col("l_tax") * 100, 0).cast("int")))
-    return li.select("l_orderkey", "l_linenumber", label.alias("label"), declared.alias("declared"))
+    return table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", f"{_ABV_TEXT} AS label", f"{_ABV_SAID} AS declared")
 
 
-_ABV = """abv AS (SELECT l_orderkey, l_linenumber, p, CASE WHEN l_linenumber IN (1, 2, 3, 5) THEN p::DOUBLE END AS percent,
-  CASE WHEN l_linenumber = 2 THEN (p * 2)::DOUBLE WHEN l_linenumber = 3 THEN p * 2 + 0.5::DOUBLE END AS proof,
-  CASE WHEN l_linenumber = 4 THEN p::DOUBLE END AS low, CASE WHEN l_linenumber = 4 THEN (p + 2)::DOUBLE END AS high,
-  CASE WHEN l_orderkey % 5 <> 0 THEN round(l_tax * 100, 0) END AS said
-  FROM (SELECT *, round(l_discount * 100, 0)::INT AS p FROM lineitem))"""
+_ABV = f"""texts AS (SELECT l_orderkey, l_linenumber, {_ABV_TEXT} AS label, {_ABV_SAID} AS declared FROM lineitem), abv AS (SELECT *, {sql_abv('label')} AS v, {sql_abv('declared')} AS s FROM texts)"""
+SQL_ABV = f"""CASE WHEN {sql_missing('label')} THEN {{'outcome': 'mismatch', 'score': NULL::DOUBLE, 'code': 'absent'}} WHEN v.proof IS NOT NULL AND v.percent IS NOT NULL AND abs(v.proof - 2 * v.percent) > 1e-9 THEN {{'outcome': 'needs_review', 'score': NULL, 'code': 'contradiction'}}
+  WHEN {sql_missing('declared')} THEN {{'outcome': 'present', 'score': NULL, 'code': 'present'}} WHEN v.low IS NOT NULL THEN {{'outcome': 'needs_review', 'score': NULL, 'code': 'range'}} WHEN v.percent IS NULL OR s.percent IS NULL THEN {{'outcome': 'needs_review', 'score': $text, 'code': 'unread'}}
+  WHEN v.percent = s.percent THEN {{'outcome': 'match', 'score': 100.0, 'code': 'equal'}} ELSE {{'outcome': 'mismatch', 'score': 0.0, 'code': 'differs'}} END"""
 
 
-@query(f"WITH {_ABV} SELECT l_orderkey, l_linenumber, percent, proof, low, high FROM abv")
+@query(f"WITH {_ABV} SELECT l_orderkey, l_linenumber, v.percent AS percent, v.proof AS proof, v.low AS low, v.high AS high FROM abv")
 def abv_parse(spark, sf_dir):
     return _abv(spark, sf_dir).select("l_orderkey", "l_linenumber", Q.abv(F.col("label")).alias("v")).select("l_orderkey", "l_linenumber", "v.*")
 
 
-@query(f"WITH {_ABV} SELECT l_orderkey, l_linenumber, CASE WHEN proof IS NOT NULL AND abs(proof - 2 * percent) > 1e-9 THEN 'needs_review' WHEN said IS NULL THEN 'present' WHEN low IS NOT NULL OR percent IS NULL THEN 'needs_review' WHEN percent = said THEN 'match' ELSE 'mismatch' END AS outcome FROM abv")
+@query(f"WITH {_ABV} SELECT l_orderkey, l_linenumber, r.outcome AS outcome, r.score AS score, r.code AS code FROM (SELECT *, {SQL_ABV.replace('$text', 'NULL')} AS r FROM abv)")
 def abv_compare(spark, sf_dir):
-    return _abv(spark, sf_dir).select("l_orderkey", "l_linenumber", Q.compared_abv(F.col("label"), F.col("declared"), F.lit("needs_review")).alias("outcome"))
+    return _abv(spark, sf_dir).select("l_orderkey", "l_linenumber", Q.abv_verdict(F.col("label"), F.col("declared"), F.lit(None)).alias("v")).select("l_orderkey", "l_linenumber", "v.*")
 
 
 _SPELLINGS = [n for names in UNITS.values() for n in names if not n.startswith("fluid")]  # in print those two are spaced
+_UNIT_CASE = "CASE p_partkey % {n} " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate([*_SPELLINGS, "fl. oz.", "fluid ounces", "milli litres", "barrels"])) + " END"
+_UNIT_CASE = _UNIT_CASE.format(n=len(_SPELLINGS) + 4)
+_NET_TEXT = f"CASE WHEN p_partkey % 6 = 0 THEN CAST(p_size AS STRING) WHEN p_partkey % 11 = 0 THEN p_name WHEN p_partkey % 17 = 0 THEN '' ELSE concat('CONT. ', p_size, ' ', upper({_UNIT_CASE})) END"
+_NET_SAID = f"CASE WHEN p_partkey % 5 = 0 THEN ' ' WHEN p_partkey % 7 = 0 THEN concat(p_size, ' Gal.') WHEN p_partkey % 8 = 0 THEN concat(p_size + 1, {_UNIT_CASE}) WHEN p_partkey % 13 = 0 THEN upper(p_name) ELSE concat(p_size, {_UNIT_CASE}) END"
 
 
 def _contents(spark, sf_dir):
-    names = F.array(*map(F.lit, _SPELLINGS))
-    at = lambda d: F.element_at(names, (F.col("p_partkey") % len(_SPELLINGS) + d).cast("int"))
-    label = F.when(F.col("p_partkey") % 6 == 0, F.col("p_size").cast("string")).otherwise(F.concat(F.lit("CONT. "), F.col("p_size").cast("string"), F.lit(" "), F.upper(at(1))))
-    declared = F.when(F.col("p_partkey") % 5 == 0, F.lit(" ")).when(F.col("p_partkey") % 7 == 0, F.format_string("%d Gal.", "p_size")).otherwise(F.concat(F.col("p_size").cast("string"), at(1)))
-    return table(spark, sf_dir, "part").select("p_partkey", label.alias("label"), declared.alias("declared"))
+    return table(spark, sf_dir, "part").selectExpr("p_partkey", f"{_NET_TEXT} AS label", f"{_NET_SAID} AS declared")
 
 
-_UNIT_ROWS = ", ".join(f"({i}, '{u}')" for i, u in enumerate(u for u, names in UNITS.items() for n in names if not n.startswith("fluid")))
+_NET = f"texts AS (SELECT p_partkey, {_NET_TEXT} AS label, {_NET_SAID} AS declared FROM part), net AS (SELECT *, {sql_net('label', UNITS)} AS v, {sql_net('declared', UNITS)} AS s FROM texts)"
+SQL_NET = f"""CASE WHEN {sql_missing('label')} THEN {{'outcome': 'mismatch', 'score': NULL::DOUBLE, 'code': 'absent'}} WHEN {sql_missing('declared')} THEN {{'outcome': 'present', 'score': NULL, 'code': 'present'}} WHEN v.value IS NULL OR s.value IS NULL THEN {{'outcome': $outcome, 'score': $score, 'code': 'text'}}
+  WHEN v.unit IS NULL OR s.unit IS NULL THEN {{'outcome': 'needs_review', 'score': NULL, 'code': 'no_unit'}} WHEN v.unit <> s.unit THEN {{'outcome': 'needs_review', 'score': NULL, 'code': 'units'}} WHEN abs(v.value - s.value) < 1e-9 THEN {{'outcome': 'match', 'score': 100.0, 'code': 'equal'}} ELSE {{'outcome': 'mismatch', 'score': 0.0, 'code': 'differs'}} END"""
 
 
-@query(f"WITH u(i, unit) AS (VALUES {_UNIT_ROWS}) SELECT p_partkey, p_size::DOUBLE AS value, CASE WHEN p_partkey % 6 <> 0 THEN unit END AS unit FROM part JOIN u ON i = p_partkey % {len(_SPELLINGS)}")
+@query(f"WITH {_NET} SELECT p_partkey, v.value AS value, v.unit AS unit FROM net")
 def net_contents_parse(spark, sf_dir):
     return _contents(spark, sf_dir).select("p_partkey", Q.net_contents(F.col("label")).alias("v")).select("p_partkey", "v.*")
 
 
-@query(f"WITH u(i, unit) AS (VALUES {_UNIT_ROWS}) SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'present' WHEN p_partkey % 6 = 0 THEN 'needs_review' WHEN p_partkey % 7 = 0 AND unit <> 'gallon' THEN 'needs_review' ELSE 'match' END AS outcome FROM part JOIN u ON i = p_partkey % {len(_SPELLINGS)}")
+@query(f"WITH {_NET} SELECT p_partkey, r.outcome AS outcome, r.score AS score, r.code AS code FROM (SELECT *, {SQL_NET.replace('$outcome', repr('by_text')).replace('$score', 'NULL')} AS r FROM net)")
 def net_contents_compare(spark, sf_dir):
-    return _contents(spark, sf_dir).select("p_partkey", Q.compared_net_contents(F.col("label"), F.col("declared"), F.lit("needs_review")).alias("outcome"))
+    by_text = F.struct(F.lit("by_text").alias("outcome"), F.lit(None).cast("double").alias("score"))
+    return _contents(spark, sf_dir).select("p_partkey", Q.net_contents_verdict(F.col("label"), F.col("declared"), by_text).alias("v")).select("p_partkey", "v.*")
 
 
 @query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN CASE WHEN p_partkey % 3 = 0 THEN 'mismatch' ELSE 'present' END END AS outcome FROM part")
@@ -167,29 +151,19 @@ def located_lines(spark, sf_dir):
 @query(f"""SELECT b.item_id, d.doc_id FROM (SELECT item_id, {sql_normalized('text')} AS n FROM benchmark) b
   JOIN (SELECT doc_id, {sql_normalized('text')} AS n FROM documents) d ON contains(' ' || d.n || ' ', ' ' || b.n || ' ') WHERE b.n <> ''""")
 def search_benchmark_exact(spark, sf_dir):
-    """Whole-word runs of benchmark texts in documents: candidates share the run's first five words, found by an equi-join."""
-    grams = lambda df, key, first: df.select(key, F.split(T.normalized(F.col("text")), " ").alias("w")).where("w[0] <> ''").select(key, "w", (F.lit(1) if first else F.explode(F.sequence(F.lit(1), F.greatest(F.size("w") - 4, F.lit(1))))).alias("at"))
-    needle = grams(table(spark, sf_dir, "benchmark"), "item_id", True)
-    hay = grams(table(spark, sf_dir, "documents"), "doc_id", False)
-    key = lambda n: F.array_join(F.slice("w", F.col("at"), n), " ")
-    out = []
-    for short in (False, True):  # needles of fewer than five words meet on their first word
-        own = needle.where((F.size("w") < 5) if short else (F.size("w") >= 5)).withColumn("k", key(1 if short else 5)).withColumnRenamed("w", "want").drop("at")
-        texts = hay
-        if short:
-            texts = table(spark, sf_dir, "documents").select("doc_id", F.split(T.normalized(F.col("text")), " ").alias("w")).where("w[0] <> ''").select("doc_id", "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("at"))
-        found = texts.withColumn("k", key(1 if short else 5)).join(own, "k").where(F.slice("w", F.col("at"), F.size("want")) == F.col("want"))
-        out.append(found.select("item_id", "doc_id"))
-    return out[0].union(out[1]).distinct()
-
-
-@query()
+    """Whole-word runs of benchmark texts in documents."""
+    return search.contained(table(spark, sf_dir, "benchmark").select("item_id", "text"), table(spark, sf_dir, "documents").select("doc_id", "text"), "item_id", "doc_id")
+
+
+_NEEDLES = "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN concat(p_name, ' FB') WHEN 1 THEN translate(p_name, 'e', 'c') ELSE p_name END AS needle FROM part WHERE p_partkey > 0"
+_TEXTS = "SELECT p_partkey - d AS p_partkey, CAST(d AS INT) AS unit, concat('the fine ', p_name, ' label') AS text FROM part JOIN (SELECT 0 AS d UNION ALL SELECT 1) t ON true WHERE p_partkey > 0"
+
+
+@query(f"WITH RECURSIVE {sql_verified('v', f'SELECT p_partkey, needle, unit, text FROM ({_NEEDLES}) n JOIN ({_TEXTS}) t USING (p_partkey)', 'p_partkey')} SELECT p_partkey, hit, score, code, outcome FROM v")
 def search_fuzzy_names(spark, sf_dir):
-    """Part names, damaged by rule, searched in the names that follow them; the tests hold it against a plain loop."""
-    p = table(spark, sf_dir, "part").where("p_partkey > 0")
-    needle = p.select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, F.concat(F.col("p_name"), F.lit(" FB"))).when(F.col("p_partkey") % 3 == 1, F.translate("p_name", "e", "c")).otherwise(F.col("p_name")).alias("needle"))
-    text = p.select(F.explode(F.array(F.col("p_partkey"), F.col("p_partkey") - 1)).alias("p_partkey"), F.col("p_partkey").alias("from_"), F.concat_ws(" ", F.lit("the fine"), "p_name", F.lit("label")).alias("text"))
-    pairs = needle.join(text, "p_partkey").select("p_partkey", "needle", (F.col("from_") - F.col("p_partkey")).cast("int").alias("unit"), "text")
+    """Part names, damaged by rule, searched in the names that follow them."""
+    table(spark, sf_dir, "part").createOrReplaceTempView("_searched_parts")
+    pairs = spark.sql(f"SELECT p_partkey, needle, unit, text FROM ({_NEEDLES}) n JOIN ({_TEXTS}) t USING (p_partkey)".replace("FROM part", "FROM _searched_parts"))
     return search.verified(pairs, "p_partkey", common=lcs_length_udf(spark)).select("p_partkey", "hit", "score", "code", "outcome")
 
 
@@ -205,10 +179,17 @@ def statement_check(spark, sf_dir):
     return _statements(spark, sf_dir).select("item_id", *[c.alias(n) for n, c in statement.checked(F.col("statement")).items()])
 
 
-@query()
+_BODY = STATEMENT_BODY.replace("'", "''")
+
+
+@query(f"""SELECT item_id, CASE item_id % 6 WHEN 0 THEN concat_ws(' ', '{STATEMENT_PREFIX}', b) WHEN 1 THEN concat_ws('  ', '{STATEMENT_PREFIX}', upper(b)) WHEN 2 THEN concat_ws(' ', '{STATEMENT_PREFIX}', replace(b, 'drive', 'drve')) WHEN 3 THEN concat_ws(' ', 'Government Warning:', b) WHEN 4 THEN concat_ws(' ', '{STATEMENT_PREFIX}', replace(b, 'birth defects', 'harm')) ELSE text END AS seen,
+  lower('{STATEMENT_PREFIX} ' || b) AS want FROM (SELECT item_id, text, '{_BODY}' AS b FROM benchmark)""")
 def statement_diff(spark, sf_dir):
+    """The differences, put together again: what is the same and added gives the text, what is the same and missing the statement, case aside."""
     diff = differences(spark)
-    return _statements(spark, sf_dir).select("item_id", diff(F.col("statement"), F.lit(f"{STATEMENT_PREFIX} {STATEMENT_BODY}")).alias("diff")).select("item_id", F.size("diff").cast("long").alias("segments"), F.to_json("diff").alias("diff"))
+    own = _statements(spark, sf_dir).select("item_id", diff(F.col("statement"), F.lit(f"{STATEMENT_PREFIX} {STATEMENT_BODY}")).alias("diff"))
+    side = lambda kind: F.array_join(F.transform(F.filter("diff", lambda d: d["kind"].isin("same", kind)), lambda d: d["text"]), "")
+    return own.select("item_id", side("added").alias("seen"), F.lower(side("missing")).alias("want"))
 
 
 # --- batches and verdict rows --------------------------------------------------------------------------------------
@@ -224,7 +205,7 @@ def _verdicts(spark, sf_dir):
 
 
 @query(f"""WITH {_VERDICT}, worst AS (SELECT l_orderkey, min(CASE outcome WHEN 'mismatch' THEN 1 WHEN 'needs_review' THEN 3 WHEN 'not_compared' THEN 4 WHEN 'artwork_derived' THEN 5 WHEN 'match' THEN 6 ELSE 7 END) AS r FROM verdicts GROUP BY 1)
-  SELECT b.bucket, count(w.r) AS n FROM (VALUES ('match', 6), ('needs_review', 3), ('mismatch', 1), ('not_compared', 4), ('present', 7), ('artwork_derived', 5), ('not_certified', 2), ('error', 0)) b(bucket, r) LEFT JOIN worst w ON w.r = b.r GROUP BY 1""")
+  SELECT b.turn, b.bucket, count(w.r) AS n FROM (VALUES (0, 'match', 6), (1, 'needs_review', 3), (2, 'mismatch', 1), (3, 'not_compared', 4), (4, 'present', 7), (5, 'artwork_derived', 5), (6, 'not_certified', 2), (7, 'error', 0)) b(turn, bucket, r) LEFT JOIN worst w ON w.r = b.r GROUP BY 1, 2""")
 def row_outcome(spark, sf_dir):
     return batch.bucket_tally(V.rolled_up(_verdicts(spark, sf_dir), "outcome", "l_orderkey"))
 
@@ -320,7 +301,11 @@ def column_gaps(spark, sf_dir):
     return layout.gaps(_boxes(spark, sf_dir), "sheet")
 
 
-@query()
+@query("""WITH b AS (SELECT l_orderkey AS sheet, (l_partkey % 997)::INT AS l, (l_partkey % 997)::INT + l_quantity::INT AS r, 12 AS height FROM lineitem), s AS (SELECT *, max(r) OVER (PARTITION BY sheet ORDER BY l, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM b),
+  g AS (SELECT sheet, reach + 1 AS a, l - 1 AS z, l - 1 - reach AS size FROM s WHERE l > reach + 1 AND l - 1 - reach >= greatest(1, round_even(1100 * 0.025, 0))),
+  t AS (SELECT g.sheet, a, z, size, max(least(r - l + 1, height)) FILTER (r >= a - size AND l <= z + size) AS type FROM g JOIN b ON b.sheet = g.sheet GROUP BY ALL),
+  c AS (SELECT sheet, (a + z) // 2 AS col_left FROM t WHERE type IS NULL OR size >= 1.25 * type UNION ALL SELECT DISTINCT sheet, 0 FROM b)
+  SELECT sheet, (row_number() OVER w - 1)::INT AS column, col_left::INT AS col_left, coalesce(lead(col_left) OVER w, 1100)::INT AS col_right FROM c WINDOW w AS (PARTITION BY sheet ORDER BY col_left)""")
 def column_cuts(spark, sf_dir):
     boxes = _boxes(spark, sf_dir)
     return layout.columns(boxes, boxes.select("sheet").distinct().withColumn("width", F.lit(1100)), "sheet")
@@ -335,10 +320,25 @@ def line_blocks(spark, sf_dir):
     return layout.blocks(li, "l_orderkey").select("l_orderkey", F.col("island").cast("long").alias("island"), "first_line", "n_lines", "height")
 
 
-@query("SELECT conv_id, role, string_agg(text, ' ' ORDER BY turn) AS text, count(*) AS n FROM conversations GROUP BY 1, 2")
+_WORD = "l_orderkey AS sheet, (CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey * 100 + CAST(l_quantity AS INT)) AS word_idx, CASE WHEN l_linenumber % 5 = 0 THEN ' ' ELSE l_returnflag END AS text, CAST(l_quantity * 2 - 5 AS DOUBLE) AS conf, CAST(l_partkey % 997 AS INT) AS left, CAST(l_suppkey % 300 AS INT) AS top, CAST(l_quantity AS INT) AS width, CAST(l_suppkey % 40 AS INT) AS height, CAST(l_linenumber % 2 AS INT) AS page, CAST(l_partkey % 2 AS INT) AS column, 1 AS block, 1 AS par, CAST(l_linenumber % 3 AS INT) AS line"
+
+
+@query(f"""WITH w AS (SELECT {_WORD.replace('AS left', 'AS "left"').replace('AS column', 'AS "column"')} FROM lineitem), g AS (SELECT sheet, page, "column", line, string_agg(text, ' ' ORDER BY word_idx) AS text, round(avg(conf), 1) AS confidence, avg(height) AS height, round(avg(width), 1) AS width, min(top) AS top, min(word_idx) AS first FROM w WHERE trim(text) <> '' AND conf >= 0 GROUP BY 1, 2, 3, 4)
+  SELECT sheet, row_number() OVER (PARTITION BY sheet ORDER BY page, "column", top, first) - 1 AS line_idx, text, confidence, round(height, 6) AS height, width, top, width > 0 AND g.height > width AS sideways FROM g""")
 def line_assembly(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations")
-    return c.groupBy("conv_id", "role").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " ").alias("text"), F.count("*").alias("n"))
+    words = table(spark, sf_dir, "lineitem").selectExpr(*_split(_WORD))
+    return layout.lines(words, "sheet").select("sheet", F.col("line_idx").cast("long").alias("line_idx"), "text", "confidence", F.round("height", 6).alias("height"), "width", "top", "sideways")
+
+
+def _split(columns: str) -> list[str]:
+    """A select list's columns; commas within parentheses part none."""
+    out, depth = [""], 0
+    for ch in columns:
+        depth += (ch == "(") - (ch == ")")
+        out[-1] += ch if ch != "," or depth else ""
+        if ch == "," and not depth:
+            out.append("")
+    return out
 
 
 def _captioned(spark, sf_dir):
@@ -355,8 +355,8 @@ def _captioned(spark, sf_dir):
 @query("""SELECT doc_id, f AS field, CASE f WHEN 'brand_name' THEN CASE WHEN doc_id % 4 < 2 THEN 'B' || doc_id END WHEN 'class_type' THEN '141 - T' || doc_id END AS value FROM documents, (VALUES ('brand_name'), ('class_type'), ('net_contents')) v(f)
   UNION ALL SELECT doc_id, 'fanciful_name', NULL FROM documents WHERE doc_id % 4 = 2""")
 def caption_values(spark, sf_dir):
-    """A fanciful name's caption without a value is a row too; the class code's caption gives none."""
-    return documents.caption_values(_captioned(spark, sf_dir), "doc_id").select("doc_id", "field", F.when((F.col("field") == "fanciful_name"), None).otherwise(F.col("value")).alias("value"))
+    """The form's lines stand before the document's own; a fanciful name's caption has its text's first line below it."""
+    return documents.caption_values(_captioned(spark, sf_dir), "doc_id")
 
 
 @query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'wine' WHEN 1 THEN 'malt beverage' END AS product_type FROM documents")
@@ -403,15 +403,12 @@ def latency_stats(spark, sf_dir):
     return quality.latencies(table(spark, sf_dir, "events"), "value", "event_type").withColumn("mean", F.round("mean", 6))
 
 
-@query("SELECT user_id, count(*) AS n, coalesce(sum((value * 100)::BIGINT) FILTER (event_type = 'click'), 0)::DOUBLE AS click, coalesce(sum((value * 100)::BIGINT) FILTER (event_type = 'view'), 0)::DOUBLE AS view FROM events GROUP BY 1")
-def phase_totals(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("phase"), F.round(F.col("value") * 100).cast("long").cast("double").alias("ms"))
-    return quality.phase_totals(e, ["click", "view"], "user_id").join(e.groupBy("user_id").agg(F.count("*").alias("n")), "user_id").select("user_id", "n", "click", "view")
-
-
 def queries() -> dict:
+    from . import batches, papers, verdicts  # noqa: F401  they register their queries
+
     return dict(FOUND)
 
 
 def oracle_sql() -> dict:
+    queries()
     return dict(ORACLES)

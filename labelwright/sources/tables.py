@@ -11,9 +11,35 @@ APPLICATIONS = "filename string, brand_name string, class_type string, alcohol_c
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
-    """Submitted files of a folder; their place follows their path."""
+    """Submitted files of a folder with idx, their place by path. Paths alone are sorted, in ranges, and numbered."""
     own = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return own.withColumn("idx", F.row_number().over(Window.orderBy("path")) - 1).withColumn("filename", F.element_at(F.split("path", "/"), -1))
+    return own.join(numbered(own.select("path"), "path"), "path").withColumn("filename", F.element_at(F.split("path", "/"), -1))
+
+
+def numbered(df: DataFrame, by: str) -> DataFrame:
+    """df with idx, the place from 0 in the order of `by`: partitions are ranges of it, and only their sizes are summed in one place."""
+    ranged = df.repartitionByRange(by).sortWithinPartitions(by).withColumn("_part", F.spark_partition_id())
+    own = ranged.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(by)))
+    sizes = own.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return own.join(sizes.select("_part", before.alias("_before")), "_part").withColumn("idx", F.col("_before") + F.col("_at") - 1).drop("_part", "_at", "_before")
+
+
+def submitted(parts: DataFrame, *keys: str) -> DataFrame:
+    """Parts (keys, part, turn, filename) as one list: files, then images, then the document; idx from 0, and file-N for a missing name."""
+    rank = F.array_position(F.array(*map(F.lit, PARTS)), F.col("part"))
+    idx = F.row_number().over(Window.partitionBy(*keys).orderBy(rank, "turn")) - 1
+    return parts.withColumn("idx", idx).withColumn("filename", F.when(F.trim("filename") != "", F.col("filename")).otherwise(F.concat(F.lit("file-"), (F.col("idx") + 1).cast("string"))))
+
+
+def page_lines(pages: DataFrame, *keys: str) -> DataFrame:
+    """(keys, line_idx, text): non-blank lines of pages (keys, page, text), numbered across pages; a page without text is skipped."""
+    split = pages.where("text IS NOT NULL").select(*keys, "page", F.posexplode(F.split("text", r"\R")).alias("at", "line")).withColumn("text", _stripped("line")).where("text <> ''")
+    return split.withColumn("line_idx", F.row_number().over(Window.partitionBy(*keys).orderBy("page", "at")) - 1).select(*keys, "line_idx", "text")
+
+
+def _stripped(c: str):
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
 def csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -22,7 +48,7 @@ def csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def text_lines(docs: DataFrame, text: str, *keys: str, keep_top: bool = True) -> DataFrame:
     """Non-blank lines of a text column: keys, line_idx, top (the place before blanks went), text, stripped."""
-    split = docs.select(*keys, F.posexplode(F.split(text, r"\R")).alias("top", "line")).withColumn("text", F.trim(F.regexp_replace("line", r"^(?U)\s+|\s+$", ""))).where("text <> ''")
+    split = docs.select(*keys, F.posexplode(F.split(text, r"\R")).alias("top", "line")).withColumn("text", _stripped("line")).where("text <> ''")
     return split.withColumn("line_idx", F.row_number().over(Window.partitionBy(*keys).orderBy("top")) - 1).select(*keys, "line_idx", *(["top"] if keep_top else []), "text")
 
 
@@ -30,5 +56,18 @@ def write_ndjson(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
+#: The export's header, and the parts of an upload in their order.
+EXPORT = {"item": "Item", "field": "Field", "label_value": "Label value", "application_value": "Application value", "score": "Score", "outcome": "Outcome", "reason": "Reason", "error": "Error"}
+PARTS = ("files", "image", "application_document")
+
+
+def write_csv(rows: DataFrame, path: str) -> None:
+    """export_rows() as CSV of eight columns with a header, quoted where needed; lines end in CR LF.
+
+    Rows are lines of text in order of position, as Spark's CSV writer has no line end of two characters.
+    """
+    cell = lambda c: F.coalesce(F.when(F.col(c).rlike(r'[",\r\n]'), F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.col(c)), F.lit(""))
+    line = F.concat_ws(",", *[cell(c) for c in EXPORT])
+    head = rows.sparkSession.createDataFrame([(-1, ",".join(EXPORT.values()))], "position long, line string")
+    ordered = head.unionByName(rows.select(F.col("position").cast("long").alias("position"), line.alias("line"))).orderBy("position").select("line")
+    ordered.write.mode("overwrite").option("lineSep", "\r\n").text(path)

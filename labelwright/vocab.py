@@ -15,6 +15,10 @@ UNITS = {
     "quart": ("quart", "quarts", "qt"),
     "gallon": ("gallon", "gallons", "gal"),
 }
+#: First parts of unit names that print may set apart from the rest.
+UNIT_PARTS = ("fluid", "fl", "milli", "centi")
+ALCOHOL_WORDS = ("alcohol", "alc", "abv", "volume", "vol", "proof")
+COMPARED = FIELDS[:4]
 STATEMENT_PREFIX = "GOVERNMENT WARNING:"
 STATEMENT_BODY = (
     "(1) According to the Surgeon General, women should not drink alcoholic beverages during pregnancy because of the "

@@ -61,12 +61,12 @@ def test_abv(spark, text, want):
 
 
 def test_compared_quantities(spark):
-    abv = [("45% Alc./Vol. (90 Proof)", "45"), ("45", "45.1"), ("45% Alc./Vol. (92 Proof)", "45"), ("12 to 14% alc/vol", "13"), ("forty five", "45"), (None, "45"), ("45%", None)]
-    got = values(spark, abv, "a string, b string", Q.compared_abv(F.col("a"), F.col("b"), F.lit("x")))
-    assert [r[0] for r in got] == ["match", "mismatch", "needs_review", "needs_review", "needs_review", "mismatch", "present"]
-    net = [("750 mL", "750ml"), ("1 PINT", "1 pt"), ("12 OZ", "12 fl. oz."), ("CONT.700ML.e", "700 mL"), ("750 mL", "25.4 fl oz"), ("750", "750 mL"), ("750 mL", "700 mL"), ("half", "some"), ("50 CL", "")]
-    got = values(spark, net, "a string, b string", Q.compared_net_contents(F.col("a"), F.col("b"), F.lit("text")))
-    assert [r[0] for r in got] == ["match", "match", "match", "match", "needs_review", "needs_review", "mismatch", "text", "present"]
+    abv = [("45% Alc./Vol. (90 Proof)", "45"), ("45", "45.1"), ("45% Alc./Vol. (92 Proof)", "45"), ("12 to 14% alc/vol", "13"), ("forty five", "45"), (None, "45"), ("45%", None), (None, None)]
+    got = values(spark, abv, "a string, b string", Q.abv_verdict(F.col("a"), F.col("b"))["outcome"])
+    assert [r[0] for r in got] == ["match", "mismatch", "needs_review", "needs_review", "needs_review", "mismatch", "present", "mismatch"]
+    net = [("750 mL", "750ml"), ("1 PINT", "1 pt"), ("12 OZ", "12 fl. oz."), ("CONT.700ML.e", "700 mL"), ("750 mL", "25.4 fl oz"), ("750", "750 mL"), ("750 mL", "700 mL"), ("half", "some"), ("50 CL", ""), ("", None)]
+    got = values(spark, net, "a string, b string", Q.net_contents_verdict(F.col("a"), F.col("b"), F.struct(F.lit("text").alias("outcome"), F.lit(1.0).alias("score")))["outcome"])
+    assert [r[0] for r in got] == ["match", "match", "match", "match", "needs_review", "needs_review", "mismatch", "text", "present", "mismatch"]
     lines = [("44% ALC/VOL 700 ML",), ("impact by 7%",), ("ALC/VOL",), ("750",), ("ALCIVOL 40",), ("ML",)]
     assert values(spark, lines, "t string", Q.states_alcohol(F.col("t")), Q.states_net_contents(F.col("t"))) == [(True, True), (False, False), (False, False), (False, False), (True, False), (False, False)]
 
