@@ -23,16 +23,20 @@ def lcs_length(a: Column, b: Column) -> Column:
 
 
 def _lcs_bits(a: Column, b: Column) -> Column:
-    one, n = F.lit(1).cast("long"), F.length(b)
-    full = F.call_function("shiftleft", one, n) - 1
+    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
     letters = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
 
-    def step(row: Column, ch: Column) -> Column:
-        bits = F.transform(letters(b), lambda x, j: F.when(x == ch, F.call_function("shiftleft", one, j)).otherwise(F.lit(0).cast("long")))
-        hit = row.bitwiseAND(F.aggregate(bits, F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(x)))
-        return (row + hit).bitwiseOR(row - hit).bitwiseAND(full)
+    def length(long_: Column, short: Column) -> Column:
+        full = F.call_function("shiftleft", one, F.size(short)) - 1
+
+        def step(row: Column, ch: Column) -> Column:
+            hit = row.bitwiseAND(F.aggregate(short, zero, lambda m, x: F.call_function("shiftleft", m, F.lit(1)) + F.when(x == ch, one).otherwise(zero)))
+            return (row + hit).bitwiseOR(row - hit).bitwiseAND(full)
+
+        return F.size(short) - F.bit_count(F.aggregate(long_, full, step))
 
-    return (n - F.bit_count(F.aggregate(letters(a), full, step))).cast("int")
+    held = F.array(F.struct(letters(a).alias("a"), F.reverse(letters(b)).alias("b")))  # letters are cut once a row
+    return F.get(F.transform(held, lambda r: length(r["a"], r["b"])), F.lit(0)).cast("int")
 
 
 def _lcs_arrays(a: Column, b: Column) -> Column:

@@ -6,11 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
+from ..functions.quantities import once
 from ..functions.similarity import lcs_length, ratio
 from ..functions.text import normalized, tokens, without_code
 from ..functions.verdict import band
 
 
+STRETCH = 64
+
+
 def units(lines: DataFrame, item: str = "item_id") -> DataFrame:
     """Search units of lines (item, column, block, line_idx, text): one per region in order of first appearance."""
     own = lines.groupBy(item, "column", "block").agg(F.min("line_idx").alias("first"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_idx", "text"))), lambda x: x["text"]), " ").alias("text"))
@@ -34,19 +38,22 @@ def found(pairs: DataFrame, *keys: str, common=lcs_length) -> DataFrame:
     split = pairs.withColumn("words", tokens(F.col("text"))).withColumn("want", F.transform(tokens(F.col("needle")), lambda t: t["norm"]))
     split = split.where(F.size("want") > 0).withColumn("n", F.size("want")).withColumn("goal", normalized(F.col("needle")))
     norms = F.transform("words", lambda t: t["norm"])
-    at = split.withColumn("at", exact_at(norms, F.col("want")))
+    at = split.withColumn("at", once(exact_at, norms, F.col("want")))  # not cut into words for every place
     printed = lambda w: F.array_join(F.transform(w, lambda t: t["printed"]), " ")
     exact = at.where("at IS NOT NULL").select(*keys, "unit", F.lit(0).alias("size"), F.col("at").alias("start"), printed(F.slice("words", F.col("at"), F.col("n"))).alias("hit"), F.lit(100.0).alias("raw"), F.lit(1).alias("sure"))
     rest = at.join(exact.select(*keys).distinct(), list(keys), "left_anti")
     sizes = F.array_distinct(F.transform(F.array(F.col("n") - 1, F.col("n"), F.col("n") + 1), lambda s: F.least(F.greatest(s, F.lit(1)), F.size("words"))))
-    def cut(size: Column, start: Column) -> Column:
-        own = F.slice("words", start, size)
-        return F.struct(size.alias("size"), start.alias("start"), printed(own).alias("hit"), F.array_join(F.transform(own, lambda t: t["norm"]), " ").alias("seen"))
-
-    every = F.flatten(F.transform(sizes, lambda s: F.transform(F.sequence(F.lit(1), F.size("words") - s + 1), lambda i: cut(s, i))))
-    windows = rest.where(F.size("words") > 0).select(*keys, "unit", "goal", every.alias("every")).select(*keys, "unit", "goal", F.explode("every").alias("w"))
-    windows = windows.select(*keys, "unit", "goal", "w.*")  # a row carries its own window, not the text
-    scored = windows.select(*keys, "unit", "size", "start", "hit", ratio(common(F.col("seen"), F.col("goal")), F.col("seen"), F.col("goal")).alias("raw"), F.lit(0).alias("sure"))
+    # a row of windows carries a stretch of the text, long enough for the windows that start in it, never the whole text
+    first = F.explode(F.sequence(F.lit(0), F.size("words") - 1, F.lit(STRETCH)))
+    stretches = rest.where(F.size("words") > 0).select(*keys, "unit", "goal", "n", "words", sizes.alias("sizes"), F.size("words").alias("m"), first.alias("before"))
+    stretches = stretches.select(*keys, "unit", "goal", "m", "sizes", "before", F.slice("words", F.col("before") + 1, F.col("n") + STRETCH).alias("words"))
+    stretches = stretches.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "unit", "before")  # a long text is many tasks' work
+    windows = stretches.select("*", F.explode("sizes").alias("size")).drop("sizes")
+    last = F.least(F.lit(STRETCH), F.col("m") - F.col("before") - F.col("size") + 1)
+    windows = windows.withColumn("last", last).where("last > 0").select("*", F.explode(F.sequence(F.lit(1), F.col("last"))).alias("at"))
+    cut = windows.withColumn("own", F.slice("words", F.col("at"), F.col("size"))).drop("words")
+    cut = cut.select(*keys, "unit", "goal", "size", (F.col("before") + F.col("at")).alias("start"), printed(F.col("own")).alias("hit"), F.array_join(F.transform("own", lambda t: t["norm"]), " ").alias("seen"))
+    scored = cut.select(*keys, "unit", "size", "start", "hit", ratio(common(F.col("seen"), F.col("goal")), F.col("seen"), F.col("goal")).alias("raw"), F.lit(0).alias("sure"))
     order = F.struct("sure", "raw", -F.col("unit"), -F.col("size"), -F.col("start"))
     return exact.unionByName(scored).groupBy(*keys).agg(F.max_by(F.struct("hit", "raw", "unit"), order).alias("best")).select(*keys, F.col("best.hit").alias("hit"), F.round("best.raw", 1).alias("score"), F.col("best.unit").alias("unit"))
 
@@ -81,16 +88,17 @@ def contained(needles: DataFrame, texts: DataFrame, needle_id: str, text_id: str
     runs of the lengths that needles have, never the text; those that meet a key are few, and are joined with their texts
     again and compared. Needles without words are in nothing.
     """
-    words = lambda c: F.filter(F.split(normalized(F.col(c)), " "), lambda w: w != "")
-    own = needles.select(needle_id, words("text").alias("w")).where(F.size("w") > 0)
+    words = F.split(normalized(F.col("text")), " +")  # no text: one word that is empty
+    own = needles.select(needle_id, words.alias("w")).where("w[0] <> ''")
     own = own.select(needle_id, F.array_join("w", " ").alias("want"), F.least(F.size("w"), F.lit(RUN)).alias("n"), F.xxhash64(F.array_join(F.slice("w", 1, RUN), " ")).alias("h"))
-    runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, n), " ")))
-    hay = texts.select(text_id, words("text").alias("w")).where(F.size("w") > 0)
-    keys = own.select("h", "n").distinct()
-    met = None
-    for n in range(1, RUN + 1):
-        hits = hay.where(F.size("w") >= n).select(text_id, F.explode(F.array_distinct(runs(n))).alias("h")).join(keys.where(F.col("n") == n).select("h"), "h", "left_semi")
-        met = hits if met is None else met.unionByName(hits)
-    pairs = met.distinct().join(own, "h").select(needle_id, text_id, "want").distinct()
-    full = texts.select(text_id, F.concat(F.lit(" "), normalized(F.col("text")), F.lit(" ")).alias("have"))
-    return pairs.join(full, text_id).where(F.contains("have", F.concat(F.lit(" "), "want", F.lit(" ")))).select(needle_id, text_id).distinct()
+    lengths = sorted(r.n for r in own.select("n").distinct().collect())  # RUN numbers at most
+    hay = texts.select(text_id, words.alias("w")).select(text_id, "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1, F.lit(STRETCH))).alias("before")) if lengths else None
+    if hay is None:
+        return needles.select(needle_id).join(texts.select(text_id), F.lit(False))
+    hay = hay.select(text_id, (F.size("w") - F.col("before")).alias("left"), F.slice("w", F.col("before") + 1, STRETCH + RUN - 1).alias("w"))
+    hay = hay.select("*", F.explode(F.array(*map(F.lit, lengths))).alias("n")).withColumn("last", F.least(F.lit(STRETCH), F.col("left") - F.col("n") + 1)).where("last > 0")
+    hay = hay.select(text_id, "w", "n", F.explode(F.sequence(F.lit(1), F.col("last"))).alias("at")).select(text_id, F.xxhash64(F.array_join(F.slice("w", F.col("at"), F.col("n")), " ")).alias("h"))
+    pairs = hay.join(own.select("h").distinct(), "h", "left_semi").distinct().join(own, "h").select(needle_id, text_id, "want").distinct()
+    both = pairs.join(texts.select(text_id, "text"), text_id)
+    have = F.concat(F.lit(" "), normalized(F.col("text")), F.lit(" "))
+    return both.where(F.contains(have, F.concat(F.lit(" "), "want", F.lit(" ")))).select(needle_id, text_id).distinct()

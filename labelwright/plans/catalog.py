@@ -95,12 +95,14 @@ SQL_ABV = f"""CASE WHEN {sql_missing('label')} THEN {{'outcome': 'mismatch', 'sc
 
 @query(f"WITH {_ABV} SELECT l_orderkey, l_linenumber, v.percent AS percent, v.proof AS proof, v.low AS low, v.high AS high FROM abv")
 def abv_parse(spark, sf_dir):
-    return _abv(spark, sf_dir).select("l_orderkey", "l_linenumber", Q.abv(F.col("label")).alias("v")).select("l_orderkey", "l_linenumber", "v.*")
+    return Q.with_abv(_abv(spark, sf_dir), "label", "").drop("label", "declared")
 
 
 @query(f"WITH {_ABV} SELECT l_orderkey, l_linenumber, r.outcome AS outcome, r.score AS score, r.code AS code FROM (SELECT *, {SQL_ABV.replace('$text', 'NULL')} AS r FROM abv)")
 def abv_compare(spark, sf_dir):
-    return _abv(spark, sf_dir).select("l_orderkey", "l_linenumber", Q.abv_verdict(F.col("label"), F.col("declared"), F.lit(None)).alias("v")).select("l_orderkey", "l_linenumber", "v.*")
+    read = Q.with_abv(Q.with_abv(_abv(spark, sf_dir), "label", "seen_"), "declared", "said_")
+    made = Q.abv_verdict(F.col("label"), F.col("declared"), F.lit(None), readings=(Q.held("seen_"), Q.held("said_")))
+    return read.select("l_orderkey", "l_linenumber", made.alias("v")).select("l_orderkey", "l_linenumber", "v.*")
 
 
 _SPELLINGS = [n for names in UNITS.values() for n in names if not n.startswith("fluid")]  # in print those two are spaced
