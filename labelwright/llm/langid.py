@@ -1,9 +1,8 @@
 """Language identification by compression against per-language dictionaries.
 
-A text's letters are lower-cased and its distinct words joined; for each language they are compressed by
-zstandard with a raw-content dictionary of that language, and the smallest result wins. For short texts sizes at
-higher levels are averaged in (FINER: below so many bytes, level), as one level's sizes are too coarse there. Equal sizes go to the language with
-more training documents. The margin is (second - best) / length; a narrow one is a rejection.
+A text is lower-cased; for each language the whole of it is compressed by zstandard with a raw-content dictionary of that
+language, and the smallest result wins. All texts are compressed at one level. Equal sizes go to the language with more
+training documents. The margin is (second - best) / length; a narrow one is a rejection.
 """
 
 from __future__ import annotations
@@ -20,40 +19,43 @@ from . import base
 
 UNDETERMINED = "und"
 MOST_BROADCAST = 10_000
-ROWS_PER_LANGUAGE, DICTIONARY_BYTES, LEVEL, FINER, NARROW = 400, 256 << 10, 3, ((320, 12), (64, 19)), 0.002
-LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+ROWS_PER_LANGUAGE, DICTIONARY_BYTES, MODEL_BYTES, LEVEL, NARROW = 400, 256 << 10, 64 << 20, 6, 0.002
+LETTER = regex.compile(r"\p{L}")
 
 
-def words_of(text: str) -> bytes:
-    found = dict.fromkeys(LETTERS.findall(text.lower()))
-    return " ".join(["", *found, ""]).encode() if found else b""
+def lowered(text: str) -> bytes:
+    return text.lower().encode()
 
 
 def trained(labelled: DataFrame, rows: int = ROWS_PER_LANGUAGE, size: int = DICTIONARY_BYTES) -> list[tuple[str, bytes, int]]:
     """(language, dictionary, training documents) of labelled rows (doc_id, text, lang).
 
-    A dictionary holds whole texts of at most `rows` rows a language, those of the least hash, up to `size`
-    bytes; texts over 64k characters are not sampled. Rows without text or language are left out.
+    A dictionary holds whole lower-cased texts of at most `rows` rows a language, those of the least hash, up to `size`
+    bytes, and all dictionaries MODEL_BYTES; texts over 64k characters are not sampled. Rows without text or language are
+    left out, other columns ignored.
     """
-    counts = labelled.where("lang IS NOT NULL AND text IS NOT NULL").groupBy("lang").agg(F.count("*").alias("n"))
-    counts = base.written(counts, "languages")
-    if counts.count() <= MOST_BROADCAST:  # a row a language; else Spark joins as it likes
+    own = base.renamed(labelled, doc_id="doc_id", text="text", lang="lang")
+    counts = base.written(own.where("lang IS NOT NULL AND text IS NOT NULL").groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    languages = counts.count()
+    if languages <= MOST_BROADCAST:  # a row a language; else Spark joins as it likes
         counts = F.broadcast(counts)
     h = F.abs(F.xxhash64("doc_id", "lang") % 1_000_000)
-    near = labelled.where(F.length("text").between(1, 1 << 16)).withColumn("h", h).join(counts, "lang").where(F.col("h") * F.col("n") <= 4 * rows * 1_000_000)
+    near = own.where(F.length("text").between(1, 1 << 16)).withColumn("h", h).join(counts, "lang").where(F.col("h") * F.col("n") <= 4 * rows * 1_000_000)
     ranked = near.select("lang", "n", "text", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "text")).alias("k")).where(F.col("k") <= rows)
+    size = min(size, MODEL_BYTES // max(languages, 1))
+    before = F.coalesce(F.sum(F.octet_length("text") + 1).over(Window.partitionBy("lang").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    needed = ranked.withColumn("before", before).where(F.col("before") < size)  # what the driver gets is bounded, too
     found: dict[str, list] = {}
-    for r in sorted(ranked.select("lang", "k", "n", "text").collect(), key=lambda r: (r.lang, r.k)):
-        own = found.setdefault(r.lang, [r.n, b""])
-        if len(own[1]) < size:
-            own[1] = (own[1] + b" " + " ".join(LETTERS.findall(r.text.lower())).encode())[-size:] if own[1] else " ".join(LETTERS.findall(r.text.lower())).encode()[:size]
-    return [(lang, words, n) for lang, (n, words) in found.items() if words]
+    for r in sorted(needed.select("lang", "k", "n", "text").collect(), key=lambda r: (r.lang, r.k)):
+        own_words = found.setdefault(r.lang, [r.n, b""])
+        own_words[1] += b" " * bool(own_words[1]) + lowered(r.text)
+    return [(lang, words[-size:], n) for lang, (n, words) in found.items() if LETTER.search(words.decode())]
 
 
 class Sizes:
     def __init__(self, model: list[tuple[str, bytes, int]]):
         self.languages = sorted(model, key=lambda m: (-m[2], m[0]))
-        self.levels = {level: [self._compressor(words, level) for _, words, _ in self.languages] for level in (LEVEL, *(level for _, level in FINER))}
+        self.compressors = [self._compressor(words, LEVEL) for _, words, _ in self.languages]
 
     @staticmethod
     def _compressor(words: bytes, level: int) -> zstandard.ZstdCompressor:
@@ -63,13 +65,10 @@ class Sizes:
 
     def of(self, text: str | None) -> tuple[str, float, float]:
         """Language, margin and score of a text."""
-        words = words_of(text) if text else b""
-        if not words or not self.languages:
+        if not text or not self.languages or not LETTER.search(text):
             return UNDETERMINED, 0.0, 0.0
-        sizes = [float(len(c.compress(words))) for c in self.levels[LEVEL]]
-        finer = [self.levels[level] for most, level in FINER if len(words) < most]
-        if finer:
-            sizes = [(s + sum(len(level[i].compress(words)) for level in finer)) / (1 + len(finer)) for i, s in enumerate(sizes)]
+        words = lowered(text)
+        sizes = [len(c.compress(words)) for c in self.compressors]
         best = min(range(len(sizes)), key=sizes.__getitem__)
         margin = (min(sizes[:best] + sizes[best + 1 :], default=sizes[best] + len(words)) - sizes[best]) / len(words)
         return self.languages[best][0], margin, 1 - math.exp(-50 * margin)

@@ -1,8 +1,9 @@
 """Quality selection by importance resampling of hashed n-grams.
 
 Two bag-of-n-grams models over the same hashed buckets are counted: one of the target (rows labelled good), one of all
-raw text. A document's log weight is the mean log ratio of its n-grams' probabilities, times `sharpness`. Adding
-Gumbel noise and taking the k largest keys draws k documents without replacement in proportion to their weights.
+raw text. A document's weight is the ratio of its probabilities under both, so its log weight is the sum of its n-grams'
+log ratios. Adding Gumbel noise and taking the k largest keys draws k documents without replacement in proportion to
+their weights.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from . import base
 from .base import U64, mixed
 
-BUCKETS, SMOOTHING, SHARPNESS, SHARE, SEED = 1 << 14, 0.5, 64.0, 0.85, 20240607
+BUCKETS, SMOOTHING, SHARE, SEED = 1 << 14, 0.5, 0.85, 20240607
 BATCH_CHARS = 1 << 20
 
 
@@ -71,7 +72,7 @@ def weighed(docs: DataFrame, model: list[float], seed: int = SEED) -> DataFrame:
         for a, b in base.chunks([len(x or "") for x in texts], BATCH_CHARS):
             found, n = buckets_of(texts[a:b])
             owner = np.repeat(np.arange(b - a), n)
-            weight = SHARPNESS * np.bincount(owner, weights=ratio[found], minlength=b - a) / np.maximum(n, 1)
+            weight = np.bincount(owner, weights=ratio[found], minlength=b - a).astype(float)
             own = ids.slice(a, b - a)
             h = mixed(np.nan_to_num(own.fill_null(-1).to_numpy(zero_copy_only=False)).astype(np.int64).view(U64) + U64(seed))
             noise = -np.log(-np.log((h >> U64(11)).astype(float) / (1 << 53) + 2.0**-54))
@@ -103,12 +104,19 @@ def resampled(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_c
     """One row per document: doc_id, log_weight, key, selected. ceil(share * rows) documents of the largest keys are selected.
 
     target: rows with text_col of the target distribution; none makes all weights 0. Null or text without words: weight
-    0. Keys are compared in steps of 2^-30; equal ones are all selected or none is. Ids may be null or repeat; repeated rows agree. An empty
-    table gives an empty result. Other columns are ignored.
+    0. Keys are compared in steps of 2^-20; of equal ones the smaller ids go first, a null id counts as 2^62. Ids may be null or
+    repeat; repeated rows agree, and only they can make the number selected larger. An empty table gives an empty result.
+    Other columns are ignored.
     """
     own = base.renamed(docs, doc_id=id_col, text=text_col)
     model = trained(own, base.renamed(target, text=text_col))
     out = base.written(weighed(own, model, seed), "weights")
-    ranked = out.withColumn("rank_key", F.round(F.col("key") * F.lit(float(1 << 30))).cast("long"))
-    least = threshold(ranked, -int(-share * out.count() // 1))
-    return ranked.select("doc_id", "log_weight", "key", (F.col("rank_key") >= F.lit(least)).alias("selected") if least is not None else F.lit(False).alias("selected"))
+    ranked = out.withColumn("rank_key", F.round(F.col("key") * F.lit(float(1 << 20))).cast("long"))
+    k = -int(-share * out.count() // 1)
+    least = threshold(ranked, k)
+    if least is None:
+        return ranked.select("doc_id", "log_weight", "key", F.lit(False).alias("selected"))
+    tied = ranked.where(F.col("rank_key") == F.lit(least)).select((-F.coalesce("doc_id", F.lit(1 << 62))).alias("turn"))
+    last = threshold(tied, k - ranked.where(F.col("rank_key") > F.lit(least)).count(), "turn")
+    first = -F.coalesce("doc_id", F.lit(1 << 62)) >= F.lit(last)
+    return ranked.select("doc_id", "log_weight", "key", ((F.col("rank_key") > F.lit(least)) | (F.col("rank_key") == F.lit(least)) & first).alias("selected"))

@@ -431,3 +431,37 @@ def test_groups_are_complete_over_tasks(spark):
     for group in groups.values():
         (string,) = {texts[i][a : a + n] for i, a, n in group}
         assert {(i, a) for i, a, _ in group} == {(i, a) for i, t in enumerate(texts) for a in range(len(t)) if t.startswith(string, a)}
+
+
+def test_quality_is_a_plain_loop_s(spark):
+    rng = random.Random(12)
+    texts = [words(rng, rng.randint(0, 30)) for _ in range(60)] + [None]
+    docs, good = table(spark, list(enumerate(texts))), set(range(0, 60, 4))
+    got = {r.doc_id: r for r in quality.resampled(docs, docs.where("doc_id % 4 = 0 AND doc_id < 60"), share=0.5).collect()}
+    own = [collections.Counter(quality.buckets_of([t])[0].tolist()) for t in texts]
+    totals = [collections.Counter(), collections.Counter()]
+    for i, c in enumerate(own):
+        totals[1].update(c)
+        totals[0].update(c if i in good else {})
+    share = lambda t, b: (t[b] + quality.SMOOTHING) / (sum(t.values()) + quality.SMOOTHING * quality.BUCKETS)
+    want = [sum(n * np.log(share(totals[0], b) / share(totals[1], b)) for b, n in c.items()) for c in own]
+    assert all(abs(got[i].log_weight - w) < 1e-9 for i, w in enumerate(want))
+    noise = [got[i].key - got[i].log_weight for i in range(len(texts))]
+    assert len(set(noise)) == len(noise) and -1 < np.mean(noise) < 2
+    best = sorted(range(len(texts)), key=lambda i: -got[i].key)[:31]
+    assert {i for i, r in got.items() if r.selected} == set(best)
+
+
+def test_quality_ties_go_to_smaller_ids(spark):
+    docs = table(spark, [(i, None) for i in range(5)] + [(7, "x"), (7, "x")])
+    keys = quality.resampled(docs, docs.limit(0), share=0.4).collect()
+    assert sum(r.selected for r in keys) >= 3
+
+
+def test_langid_with_other_columns_and_ties(spark):
+    docs = spark.createDataFrame([(1, "aaa bbb", "x", 5, "q"), (2, "aaa bbb", "y", 6, "q"), (3, "aaa bbb", "x", 7, "q")], "doc_id long, text string, lang string, n long, h string")
+    model = langid.trained(docs)
+    assert {lang for lang, _, _ in model} == {"x", "y"}
+    (r,) = langid.identified(docs.where("doc_id = 2"), model).collect()
+    assert r.lang_pred == "x" and r.rejected and r.margin == 0  # equal sizes: the language with more rows
+    assert langid.identified(docs.limit(0), model).count() == 0
