@@ -20,6 +20,5 @@ def test_same_as_sql(spark, con, name):
     assert got[1] == want[1]
 
 
-@pytest.mark.parametrize("name", sorted(catalog.queries().keys() - catalog.oracle_sql().keys()))
-def test_runs(spark, name):
-    assert catalog.queries()[name](spark, SF).count() >= 0
+def test_every_query_has_an_oracle():
+    assert catalog.queries().keys() == catalog.oracle_sql().keys()
