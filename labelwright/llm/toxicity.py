@@ -1,9 +1,11 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Terminals are insults, threats, targets, futures, negations and reported speech. Each of five small transducers reads
-a clause's terminals; they are composed lazily, their joint states being built as they are met. A clause weighs by
-what matches in it: an insult more with a target, less in the scope of a negation or of reported speech; a threat by
-its future and its target. A document's score is a logistic function of its clauses' weights.
+Terminals are insults, threats, targets, futures, negations, reported speech, and the marks that open or close a quotation or
+a clause. Each component is a transducer: an arc reads a symbol, writes one and has a weight. Each reads what the one
+before it writes; they are composed lazily, joint states being built as they are met, and weights multiply along the arcs.
+The first reads from right to left, as a quotation's report may follow it; the others read from left to right. What they write
+in place of an insult or a threat is scored: an insult more with a target in its clause, less in the scope of a negation
+or of reported speech; a threat by its future and its target. A document's score is a logistic function of the sums.
 
 Fixed lists name the terminals. Insults are also learned: prefixes of words that labelled toxic rows share and others
 lack, chosen greedily until each toxic row is covered `COVER` times, with log-odds as weights.
@@ -13,6 +15,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
@@ -27,97 +30,196 @@ TRAINING_ROWS, LONGEST, COVER, LEAST_ROWS, LEAST_ODDS, MOST_TERMS = 8000, 1 << 1
 PREFIXES = range(3, 11)
 CUT = 0.3
 
-#: Terminals of English, German, French and Spanish; insults match as prefixes of words.
+#: Terminals of English, German, French and Spanish.
 INSULTS = "idiot moron imbecile scumbag bastard asshole dickhead retard bitch dumbass arschloch vollidiot wichser connard salope imbécile gilipollas cabrón pendejo".split()
+INSULT_ENDINGS = ["", *"s es e en n in innen ic".split()]
 THREATS = "kill murder stab strangle shoot töten umbringen erschlagen tuer égorger matar degollar".split()
-TARGETS = "you your yourself he she they them dich dir du ihr euch tu toi vous usted ustedes tú ti te".split()
-FUTURES = "will gonna shall going werde werden wird vais vas voy va".split()
-NEGATIONS = "not never no isn't aren't nicht kein keine nie pas jamais nunca".split()
-REPORTS = "said says wrote claimed called quoted reported sagte schrieb dit déclare écrit dijo escribió".split()
+VOCATIVES = "you du ihr tu vous usted ustedes tú".split()
+TARGETS = "your yourself he she they them dich dir euch toi vas ti te".split()
+FUTURES = "will gonna shall going werde werden wird vais voy va".split()
+NEGATIONS = "not never no nobody none neither nor without cannot nicht kein keine keiner nie niemand weder ohne pas jamais personne sans nunca nadie tampoco sin ni".split()
+CONTRASTS = "but however though aber sondern doch mais pero sino".split()
+REPORTS = "say said says wrote claimed call called calls quoted reported told shouted replied sagte sagt rief schrieb dit déclare écrit dijo escribió".split()
 
-INSULT, THREAT, TARGET, FUTURE, NEGATION, REPORT, OTHER = range(7)
+(INSULT, THREAT, VOCATIVE, TARGET, FUTURE, NEGATION, CONTRAST, REPORT, COMMA, OPEN, CLOSE, BREAK, OTHER) = range(13)
+#: What components write in place of an insult or a threat.
+NOT_INSULT, NOT_THREAT, SAID_INSULT, SAID_THREAT = range(13, 17)
+NEGATED, REPORTED = {INSULT: NOT_INSULT, THREAT: NOT_THREAT}, {INSULT: SAID_INSULT, THREAT: SAID_THREAT}
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}']*")
-CLAUSE = regex.compile(r"[.!?;:\n\"“”«»]+(?=\s|$)|\n")
-SCOPE, AHEAD = 3, 3
-
-#: A component's arcs: state and terminal to the next state. States count down the words a scope still has.
-COMPONENTS = (
-    lambda s, t: 1 if t == TARGET else s,  # target: seen in the clause
-    lambda s, t: SCOPE if t == NEGATION else max(s - 1, 0),  # negation: within the words after it
-    lambda s, t: 1 if t == REPORT else s,  # reported speech: to the end of the clause
-    lambda s, t: AHEAD if t == FUTURE else max(s - 1, 0),  # future: what is announced
-    lambda s, t: min(s + 1, 3) if t in (INSULT, THREAT) else s,  # offence: piling up
-)
+TOKEN = regex.compile(r"\p{L}[\p{L}\p{M}']*|[\"“”„«»]|[.!?;]+(?=[\s\"“”«»]|$)|,")
+AHEAD = 4
+
+
+def attribution(s: int, t: int) -> tuple[int, int, float]:
+    """From right to left: a quotation is reported if a report follows it within AHEAD words.
+
+    States: words that a report still reaches; -1 in a reported quotation, -2 in another.
+    """
+    if s < 0:
+        return (0 if t == OPEN else s), (REPORTED.get(t, t) if s == -1 else t), 1.0
+    if t == CLOSE:
+        return (-1 if s else -2), t, 1.0
+    return (AHEAD if t == REPORT else 0 if t == BREAK else max(s - 1, 0)), t, 1.0
+
+
+def report(s: int, t: int) -> tuple[int, int, float]:
+    """A report holds to the end of its clause, or of the quotation that it opens. States: 1 in a clause, 2 in a quotation."""
+    if t == CLOSE or (t == BREAK and s == 1):
+        return 0, t, 1.0
+    if s == 0:
+        return int(t == REPORT), t, 1.0
+    return (2 if t == OPEN else s), REPORTED.get(t, t), 1.0
+
+
+def negation(s: int, t: int) -> tuple[int, int, float]:
+    """A negation holds to a contrast or the clause's end, but for "no, ..." and an insult right after a "you".
+
+    States: 1 in its scope, 2 right after it, 3 right after a vocative in its scope.
+    """
+    if t == NEGATION:
+        return 2, t, 1.0
+    if s == 0 or t in (CONTRAST, OPEN, CLOSE, BREAK) or (t == COMMA and s == 2):
+        return 0, t, 1.0
+    if s == 3 and t in NEGATED:
+        return 0, t, 1.0
+    return (3 if t == VOCATIVE else 1), NEGATED.get(t, t), 1.0
+
+
+def announcement(s: int, t: int) -> tuple[int, int, float]:
+    """A threat weighs more within AHEAD words after a future. States: the words that are left."""
+    if t == THREAT:
+        return max(s - 1, 0), t, 2.0 if s else 0.5
+    return (AHEAD if t == FUTURE else 0 if t == BREAK else max(s - 1, 0)), t, 1.0
+
+
+def repetition(s: int, t: int) -> tuple[int, int, float]:
+    """A clause's second insult weighs a quarter more, later ones half. States: offences so far, 2 at most."""
+    if t in (INSULT, THREAT):
+        return min(s + 1, 2), t, 1 + 0.25 * s if t == INSULT else 1.0
+    return (0 if t == BREAK else s), t, 1.0
+
+
+def target(s: int, t: int) -> tuple[int, int, float]:
+    """State 1: the clause has a target, before or after its offence; its final weight is the clause's aim."""
+    return (0 if t == BREAK else 1 if t in (TARGET, VOCATIVE) else s), t, 1.0
+
+
+BACKWARD, FORWARD = (attribution,), (report, negation, announcement, repetition, target)
+
+
+class Composed:
+    """Lazy composition of transducers: arcs of joint states, made when first met; there are few."""
+
+    def __init__(self, components):
+        self.components, self.arcs = components, {}
+        self.start = (0,) * len(components)
+
+    def step(self, state: tuple, symbol: int) -> tuple[tuple, int, float]:
+        if (found := self.arcs.get((state, symbol))) is None:
+            out, total, then = symbol, 1.0, []
+            for component, s in zip(self.components, state):
+                s, out, weight = component(s, out)
+                total *= weight
+                then.append(s)
+            found = self.arcs[state, symbol] = tuple(then), out, total
+        return found
+
+
+def forms(verb: str) -> list[str]:
+    """A verb and its regular English forms; those that are no words match nothing."""
+    stem = verb.removesuffix("e")
+    return [verb, f"{verb}s", *(f"{stem}{twice}{e}" for twice in ("", stem[-1]) for e in ("ed", "ing"))]
+
+
 FEATURES = ("plain", "plain_most", "aimed", "negated", "reported", "threat")
 
 
 class Grammar:
-    """The composed transducer over a lexicon of insults with weights."""
+    """The composed transducers over a lexicon: insults as prefixes of words, with weights, and the fixed lists."""
+
+    MOST_WORDS = 50_000
 
     def __init__(self, insults: dict[str, float]):
-        self.weights = {**{w: 3.0 for w in INSULTS}, **insults}
-        self.words = {w: k for k, ws in ((TARGET, TARGETS), (FUTURE, FUTURES), (NEGATION, NEGATIONS), (REPORT, REPORTS), (THREAT, THREATS)) for w in ws}
-        self.arcs: dict[tuple, tuple] = {}
+        self.weights, self.backward, self.forward = insults, Composed(BACKWARD), Composed(FORWARD)
+        named = ((VOCATIVE, VOCATIVES), (TARGET, TARGETS), (FUTURE, FUTURES), (NEGATION, NEGATIONS), (CONTRAST, CONTRASTS), (REPORT, REPORTS))
+        self.fixed = {w: (kind, 1.0) for kind, ws in named for w in ws}
+        self.fixed |= {w: (THREAT, 1.0) for verb in THREATS for w in forms(verb)}
+        self.fixed |= {w + e: (INSULT, 3.0) for w in INSULTS for e in INSULT_ENDINGS}
+        self.seen: dict[str, tuple[int, float]] = {}
         self.finder = ahocorasick.Automaton()
-        for w in (*self.weights, *THREATS):
+        for w in (*insults, *INSULTS, *(v.removesuffix("e") for v in THREATS)):
             self.finder.add_word(w, len(w))
         self.finder.make_automaton()
 
-    def step(self, state: tuple, terminal: int) -> tuple:
-        if (found := self.arcs.get((state, terminal))) is None:
-            found = self.arcs[state, terminal] = tuple(f(s, terminal) for f, s in zip(COMPONENTS, state))
+    def terminal(self, word: str) -> tuple[int, float]:
+        """A word's terminal and weight; the words met last are kept."""
+        if (found := self.seen.get(word)) is None:
+            own = word.rstrip("'").removesuffix("'s")
+            most = max((self.weights[p] for n in range(2, len(own) + 1) if (p := own[:n]) in self.weights), default=None)
+            short = NEGATION if own.endswith("n't") else FUTURE if own.endswith("'ll") else OTHER
+            found = (INSULT, most) if most is not None else self.fixed.get(own, (short, 1.0))
+            if len(self.seen) >= self.MOST_WORDS:
+                self.seen.clear()
+            self.seen[word] = found
         return found
 
-    def terminal(self, word: str) -> tuple[int, float]:
-        most = max((self.weights[p] for n in range(2, len(word) + 1) if (p := word[:n]) in self.weights), default=None)
-        if most is not None:
-            return INSULT, most
-        return self.words.get(word, OTHER), 1.0
-
-    def clause(self, words: list[str]) -> list[float]:
-        """FEATURES' weights of a clause, but for plain_most."""
-        state, plain, negated, reported, threat = (0,) * len(COMPONENTS), 0.0, 0.0, 0.0, 0.0
-        for word in words:
-            kind, weight = self.terminal(word)
-            state = self.step(state, kind)
-            _, no, said, ahead, piled = state
-            if kind == INSULT:
-                weight *= 1 + 0.25 * (piled - 1)
-                if said:
-                    reported += weight
-                elif no:
-                    negated += weight
+    def symbols(self, line: str) -> tuple[bytearray, dict[int, float]]:
+        """A line's symbols, one byte each, and the weights of its insults by place."""
+        out, weights = bytearray(), {}
+        for m in TOKEN.finditer(line):
+            token = m[0]
+            first = token[0]
+            if first in '"“”„«»':
+                before, after = line[m.start() - 1 : m.start()] if m.start() else " ", line[m.end() : m.end() + 1] or " "
+                if after.isspace():  # set off by spaces on both sides, the mark itself tells
+                    out.append(OPEN if before.isspace() and first == "«" else CLOSE)
                 else:
-                    plain += weight
-            elif kind == THREAT and not no and not said:
-                threat += 2.0 if ahead else 0.5
-        aimed = state[0]
-        return [plain, plain, plain * aimed, negated, reported, threat * (1 + aimed)]
+                    out.append(OPEN if before.isspace() or before in "([:,-—" else CLOSE)
+            elif first in ".!?;":
+                out.append(BREAK)
+            elif first == ",":
+                out.append(COMMA)
+            else:
+                kind, weight = self.terminal(token)
+                if kind == INSULT:
+                    weights[len(out)] = weight
+                out.append(kind)
+        out.append(BREAK)
+        return out, weights
+
+    def clauses(self, line: str) -> Iterator[list[float]]:
+        """FEATURES' weights of each clause of a line, plain_most as plain."""
+        symbols, weights = self.symbols(line)
+        if CLOSE in symbols:  # else it writes what it reads
+            state = self.backward.start
+            for i in range(len(symbols) - 1, -1, -1):
+                state, symbols[i], _ = self.backward.step(state, symbols[i])
+        state, sums = self.forward.start, [0.0] * (SAID_THREAT + 1)
+        for i, symbol in enumerate(symbols):
+            if symbol == BREAK:
+                plain, aimed = sums[INSULT], state[-1]
+                yield [plain, plain, plain * aimed, sums[NOT_INSULT], sums[SAID_INSULT], sums[THREAT] * (1 + aimed)]
+                sums = [0.0] * len(sums)
+            state, out, weight = self.forward.step(state, symbol)
+            sums[out] += weight * weights.get(i, 1.0)
 
     def features(self, text: str | None) -> np.ndarray | None:
-        """Of the clauses in which an insult or a threat begins a word; None if there is none."""
+        """Sums over the lines in which an insult or a threat begins a word; None if there is none."""
         if not text:
             return None
-        low = text.lower()
-        starts = {a for end, n in self.finder.iter(low) if (a := end - n + 1) == 0 or not low[a - 1].isalpha()}
-        if not starts:
-            return None
-        sums, done = np.zeros(len(FEATURES)), -1
-        edges = None
-        for a in sorted(starts):
-            if a < done:
+        low = text.lower().replace("’", "'")
+        sums, done = None, -1
+        for end, n in self.finder.iter(low):
+            a = end - n + 1
+            if a < done or (a and low[a - 1].isalpha()):
                 continue
-            if edges is None:
-                edges = [0, *(m.end() for m in CLAUSE.finditer(low)), len(low)]
-                at = 0
-            while edges[at + 1] <= a:
-                at += 1
-            done = edges[at + 1]
-            found = np.array(self.clause(WORD.findall(low[edges[at] : done])))
-            most = max(sums[1], found[1])
-            sums += found
-            sums[1] = most
-        return np.log1p(sums)
+            done = low.find("\n", a) + 1 or len(low) + 1
+            sums = np.zeros(len(FEATURES)) if sums is None else sums
+            for clause in self.clauses(low[low.rfind("\n", 0, a) + 1 : done]):
+                most = max(sums[1], clause[1])
+                sums += clause
+                sums[1] = most
+        return None if sums is None else np.log1p(sums)
 
 
 def learned(toxic: list[set[str]], other: list[set[str]]) -> dict[str, float]:

@@ -257,6 +257,41 @@ def test_toxic_grammar():
     assert g.features("agrumpf is no start of a word") is None
 
 
+@pytest.mark.parametrize(
+    ("text", "where"),
+    [
+        ("you are an idiot", {"plain", "aimed"}), ("Idiot, that is what you are", {"plain", "aimed"}), ("5\" idiot", {"plain"}), ("idiotically small", set()), ("two idiots. You are here", {"plain"}),
+        ('he said: "you are an idiot"', {"reported"}), ('"You are an idiot," he said.', {"reported"}), ('"We won. You are an idiot!" she replied', {"reported"}), ("« Vous êtes un connard » dit-il", {"reported"}),
+        ('she said "no." You are an idiot', {"plain", "aimed"}), ('"You are an idiot." We left. She said no', {"plain", "aimed"}),
+        ("no one is an idiot", {"negated"}), ("not at all in my view an idiot", {"negated"}), ("I don’t think that you are an idiot", {"negated"}), ("sie ist kein Arschloch", {"negated"}),
+        ("not mad but an idiot", {"plain"}), ("no, you idiot", {"plain", "aimed"}), ("not now, you idiot", {"plain", "aimed"}), ("I will not kill you", set()), ("I'll kill you", {"threat"}), ("stabbed and strangled", {"threat"}),
+    ],
+)
+def test_toxic_clauses(text, where):
+    found = toxicity.Grammar({}).features(text)
+    assert {f for f, x in zip(toxicity.FEATURES, found if found is not None else ()) if x and f != "plain_most"} == where
+
+
+def test_composed_arcs_are_the_components_one_by_one():
+    rng = random.Random(13)
+    for components in (toxicity.BACKWARD, toxicity.FORWARD):
+        joint = toxicity.Composed(components)
+        for _ in range(300):
+            symbols = [rng.randrange(toxicity.OTHER + 1) for _ in range(rng.randint(0, 40))]
+            want, weights = list(symbols), [1.0] * len(symbols)
+            for component in components:
+                s = 0
+                for i, symbol in enumerate(want):
+                    s, want[i], w = component(s, symbol)
+                    weights[i] *= w
+            state, got = joint.start, []
+            for symbol in symbols:
+                state, *made = joint.step(state, symbol)
+                got.append(tuple(made))
+            assert got == list(zip(want, weights))
+        assert len(joint.arcs) < 20_000
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
