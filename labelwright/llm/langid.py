@@ -2,7 +2,8 @@
 
 A text is lower-cased; for each language the whole of it is compressed by zstandard with a raw-content dictionary of that
 language, and the smallest result wins. All texts are compressed at one level. Equal sizes go to the language with more
-training documents. The margin is (second - best) / length; a narrow one is a rejection.
+training documents. The margin is (second - best) / length; a narrow one is a rejection. Sizes are whole bytes: below
+1 / NARROW bytes of text only a tie is narrow.
 """
 
 from __future__ import annotations

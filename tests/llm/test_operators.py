@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from labelwright.llm import base, bpe, catalog, components, fingerprint, hamming, langid, near_dedup, oracles, packing, pii, quality, suffix_dedup, toxicity
@@ -216,6 +217,55 @@ def test_parsing_is_locally_consistent():
     assert (a[:-1] == a[1:]).mean() < 0.3
 
 
+def brute_phrases(text):
+    """Hashed names of each level by a loop over a text's symbols, as the module's docstring says."""
+    word, mixes = (1 << 64) - 1, lambda x: int(base.mixed(np.array([x], np.uint64))[0])
+    names, levels = [mixes(ord(c) + 1) for c in text], []
+    for _ in range(fingerprint.LEVELS[-1]):
+        runs = []
+        for x in names:
+            if runs and runs[-1][0] == x:
+                runs[-1][1] += 1
+            else:
+                runs.append([x, 1])
+        symbols = [x if n == 1 else mixes((x + n * int(base.MIX_A)) & word) for x, n in runs]
+        labels = symbols
+        for _ in range(4):
+            low = [a ^ b for a, b in zip(labels, labels[1:])]
+            places = [((d & -d).bit_length() - 1) for d in low]
+            labels = [labels[0] & 1] + [2 * i + (x >> i & 1) for i, x in zip(places, labels[1:])]
+        starts = [0]
+        for i in range(2, len(labels)):
+            if labels[i] > labels[i - 1] and (i + 1 == len(labels) or labels[i] > labels[i + 1]):
+                starts.append(i)
+        names = []
+        for a, b in zip(starts, [*starts[1:], len(symbols)]):
+            total = sum(mixes(x) * int(fingerprint._steps[j & 4095]) for j, x in enumerate(symbols[a:b]))
+            names.append(mixes((total + (b - a) * int(base.MIX_B)) & word))
+        levels.append(names)
+    return [levels[i - 1] for i in fingerprint.LEVELS]
+
+
+def test_fingerprints_are_a_plain_loop_s():
+    rng = random.Random(14)
+    texts = [words(rng, rng.randint(1, 80)) for _ in range(25)] + ["x", "aaaa", "ab" * 40, "é" * 9 + "ü", "中文 abc"]
+    got = fingerprint.minima([*texts, ""])
+    for text, row in zip(texts, got):
+        want = [min((n ^ int(seed)) * int(base.MIX_A) & ((1 << 64) - 1) for n in names) for names in brute_phrases(text) for seed in fingerprint.SEEDS]
+        assert row.tolist() == (base.mixed(np.array(want, np.uint64)) >> np.uint64(48)).tolist()
+
+
+def test_fingerprints_of_texts_longer_than_a_batch(spark):
+    rng = random.Random(15)
+    rows = [(i, words(rng, n)) for i, n in ((1, 20), (2, 250_000), (3, 200_000), (4, 5))]
+    assert len(rows[1][1]) > fingerprint.BATCH_CHARS
+    out = {r.doc_id: r for r in fingerprint.compared(table(spark, rows)).collect()}
+    for (i, text), (_, then) in zip(rows, rows[1:] + rows[:1]):
+        half = len(text) // 2
+        assert out[i].edited == text[: len(text) - half] + then[:half]
+        assert out[i].fingerprint == fingerprint.written_out(fingerprint.minima([text]))[0]
+
+
 def test_long_unrelated_texts_are_unlike():
     rng = np.random.default_rng(9)
     a, b = ("".join(map(chr, rng.integers(97, 123, 1 << 20))) for _ in range(2))
@@ -237,6 +287,38 @@ def test_langid(spark):
     assert langid.trained(docs.limit(0)) == []
 
 
+def brute_language(model, text):
+    """(language, margin in bytes) by compressing the lower-cased text with each dictionary in turn."""
+    sizes = []
+    for lang, words_, n in model:
+        d = zstandard.ZstdCompressionDict(words_, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(level=langid.LEVEL)
+        c = zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+        sizes.append((len(c.compress(text.lower().encode())), -n, lang))
+    sizes.sort()
+    return sizes[0][2], sizes[1][0] - sizes[0][0]
+
+
+def test_langid_is_a_plain_loop_s(spark):
+    docs = base.documents(spark, SF)
+    model = langid.trained(docs.where(~catalog.held_out()))
+    rows = [(i, r.text) for i, r in enumerate(docs.limit(40).collect())] + [(100, "der die das " * 40_000), (101, "x")]
+    for r in langid.identified(table(spark, rows), model).collect():
+        text = dict(rows)[r.doc_id]
+        lang, gap = brute_language(model, text)
+        size = len(text.lower().encode())
+        assert r.lang_pred == lang and abs(r.margin * size - gap) < 1e-6 and r.rejected == (gap / size < langid.NARROW)
+
+
+def test_langid_rejects_junk_more_than_text(spark):
+    docs = base.documents(spark, SF)
+    model = langid.trained(docs.where(~catalog.held_out()))
+    rng = random.Random(16)
+    junk = [(i, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz   ") for _ in range(rng.randint(100, 800)))) for i in range(60)]
+    assert langid.identified(table(spark, junk), model).where("rejected").count() > 30
+    assert langid.identified(docs, model).where("rejected").count() < 0.1 * docs.count()
+
+
 def test_toxicity(spark):
     rng = random.Random(6)
     rows = [(i, words(rng, 30) + (f". you {rng.choice(['zorbish', 'zorbed', 'grumpf'])} {words(rng, 3)}." if i % 4 == 0 else "."), int(i % 4 == 0)) for i in range(400)]
@@ -389,6 +471,14 @@ def test_hamming_odd(spark):
     assert hamming.top_k(df.limit(0), df, "id", "code").count() == 0
 
 
+def test_signs(spark):
+    rows = [([1.0, -1.0] * 32,), ([0.5],), (None,), ([None, float("nan"), 2.0],), ([],)]
+    df = spark.createDataFrame(rows, "v array<double>")
+    assert [r[0] for r in df.select(hamming.signs("v")).collect()] == [0x5555555555555555, 1, None, 4, 0]
+    with pytest.raises(Exception, match="65 components"):
+        spark.createDataFrame([([1.0] * 65,)], "v array<double>").select(hamming.signs("v")).collect()
+
+
 def test_quality(spark):
     rng = random.Random(8)
     rows = [(i, words(rng, 40) if i % 3 else words(rng, 40, ["###", "$$$", "%%%"])) for i in range(300)]
@@ -411,6 +501,10 @@ def test_pipeline(spark):
         assert sorted(out.columns) == sorted(docs.columns)
         before, after = ({r.doc_id: r for r in x.collect()} for x in (docs, out))
         assert after.keys() <= before.keys() and all(r.n_chars == len(r.text) for r in after.values())
+        if name == "language":
+            model = langid.trained(docs.where(~catalog.held_out()))
+            want = {i for i, r in before.items() if langid.LETTER.search(r.text or "") and brute_language(model, r.text)[1] / len(r.text.lower().encode()) >= langid.NARROW}
+            assert after.keys() == want and all(r.text == before[i].text for i, r in after.items())
         if name == "near_dedup":
             assert after.keys() == {i for i, (_, c) in brute_components([(i, r.text) for i, r in before.items()]).items() if i == c}
         if name == "suffix_dedup":
