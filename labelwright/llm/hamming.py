@@ -28,13 +28,17 @@ CANDIDATES = 1 << 21
 
 
 def signs(vector: str) -> Column:
-    """64-bit code of an array column: bit i is set where component i is above 0. Missing, null and NaN components are not."""
+    """64-bit code of an array column: bit i is set where component i is above 0. Missing, null and NaN components are not.
+
+    An array of more than BITS components is an error, as its code would leave some out.
+    """
     total = F.lit(0).cast("long")
     for i in range(BITS):
         bit = F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")
         value = F.get(F.col(vector), F.lit(i))
         total = total.bitwiseOR(F.when((value > 0) & ~F.isnan(value), bit).otherwise(F.lit(0).cast("long")))
-    return F.when(F.col(vector).isNotNull(), total)
+    too_long = F.raise_error(F.format_string(f"a vector has %d components; codes have {BITS} bits", F.size(vector))).cast("long")
+    return F.when(F.size(vector) > BITS, too_long).when(F.col(vector).isNotNull(), total)
 
 
 def _cuts(rows: int) -> list[tuple[int, int]]:
@@ -148,7 +152,8 @@ def top_k(rows: DataFrame, queries: DataFrame, id_col: str, code_col: str, k: in
         return pa.table([pa.array(asked_codes[query].view(np.int64)), pa.array(codes[at].view(np.int64)), pa.array(least[at]), pa.array(distance)], names=names)
 
     base.ship(rows.sparkSession)
-    near = left.unionByName(right).groupBy("r", "q").applyInArrow(cell, "ask long, code long, least long, distance long")
+    cells = left.unionByName(right).repartition(min(row_blocks * query_blocks, 4 * parts), "r", "q")  # by number: AQE leaves them apart
+    near = cells.groupBy("r", "q").applyInArrow(cell, "ask long, code long, least long, distance long")
     best = F.row_number().over(Window.partitionBy("ask").orderBy("distance", "least"))
     near = near.withColumn("turn", best).where(F.col("turn") <= k + 1).select("ask", "code", "distance")
     pairs = asked.select(F.col("id").alias("query_id"), F.col("code").alias("ask")).join(near, "ask").join(few, "code").select("query_id", "distance", F.explode("ids").alias("neighbour_id")).where("neighbour_id <> query_id")
