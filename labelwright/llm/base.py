@@ -257,9 +257,12 @@ def without_ids(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame
     return stay.unionByName(seen.where(f"_may AND `{key}` IS NOT NULL").drop("_may").join(gone, key, "left_anti"))
 
 
-def appended(df: DataFrame, source: str, name: str, kind: str, function: Callable[[pa.Array], pa.Array], most: int = 1 << 20) -> DataFrame:
-    """df with a column computed from a string or int-array column, in slices of about `most` bytes; a column of that name is replaced."""
-    kept = [c for c in df.columns if c != name]
+def appended(df: DataFrame, source: str, name: str, kind: str, function: Callable[[pa.Array], pa.Array], most: int = 1 << 20, keep: bool = True) -> DataFrame:
+    """df with a column computed from a string or int-array column, in slices of about `most` bytes; a column of that name is replaced.
+
+    keep=False leaves the source column out, so that it does not travel back.
+    """
+    kept = [c for c in df.columns if c != name and (keep or c != source)]
     inner = df.select(F.col(f"`{source}`").alias("value"), F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)]).alias("rest"))
 
     def run(batch):
