@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, divergence, fingerprint, hamming, langid, near_dedup, oracles, packing, pii, quality, suffix_dedup, token_counts, toxicity
+from . import bpe, divergence, fingerprint, hamming, langid, lexical, near_dedup, oracles, packing, pii, quality, suffix_dedup, token_counts, toxicity
 from .base import among, documents, written
 
 
@@ -93,13 +93,17 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audited(documents(spark, sf_dir))
 
 
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     out = token_counts.counted(docs, tokenizer("byte_bpe_50k.json"), keep_text=False)
     return out.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprint, op2_suffix_dedup, op3_near_dedup, op4_langid, op5_bpe, op6_toxicity, op7_pii, op8_hamming, op9_packing, op10_quality, op11_divergence, op13_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_fingerprint, op2_suffix_dedup, op3_near_dedup, op4_langid, op5_bpe, op6_toxicity, op7_pii, op8_hamming, op9_packing, op10_quality, op11_divergence, op12_lexical, op13_token_counts)}
 
 
 def queries() -> dict:
@@ -108,4 +112,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     """The others have no SQL form, or none that is quick on whole tables; tests/llm hold them against brute force."""
-    return {"op3_near_dedup": oracles.NEAR_DEDUP, "op8_hamming": oracles.HAMMING, "op11_divergence": oracles.DIVERGENCE}
+    return {"op3_near_dedup": oracles.NEAR_DEDUP, "op8_hamming": oracles.HAMMING, "op11_divergence": oracles.DIVERGENCE, "op12_lexical": oracles.LEXICAL}

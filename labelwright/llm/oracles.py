@@ -33,3 +33,15 @@ f AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM f)
 SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 10
 """
+
+LEXICAL = r"""
+WITH t AS (SELECT i, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM (SELECT row_number() OVER () AS i, doc_id, text FROM documents)),
+a AS (SELECT count(*) AS n, sum(len(ws)) AS l FROM t WHERE len(ws) > 0),
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY ALL),
+o AS (SELECT i, doc_id, len(ws) AS n, unnest(ws) AS term FROM t),
+p AS (SELECT i, doc_id, n, term, count(*) AS tf FROM o SEMI JOIN q USING (term) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(a.n) + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, a GROUP BY term),
+s AS (SELECT item_id, i, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * p.n * a.n) // a.l)))) AS BIGINT) AS score FROM q JOIN p USING (term) JOIN w USING (term), a GROUP BY item_id, i, doc_id),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+"""
