@@ -191,9 +191,9 @@ def unpacked_values(data: np.ndarray, at: np.ndarray, count: np.ndarray, widths:
             if not width:
                 out[places] = 0
                 continue
-            n = BLOCK * width // 8
+            n = -(-BLOCK * width // 8)
             raw = data[np.minimum(at[own][:, None] + np.arange(n), len(data) - 1)]
-            bits = np.unpackbits(raw, axis=1, bitorder="little").reshape(len(own), BLOCK, width)
+            bits = np.unpackbits(raw, axis=1, bitorder="little")[:, : BLOCK * width].reshape(len(own), BLOCK, width)
             out[places] = (bits @ (1 << np.arange(width)))[inside]
 
 
