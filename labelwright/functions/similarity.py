@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -92,9 +93,54 @@ def reaches(common: Column, a: Column, b: Column, threshold: int) -> Column:
     return common * 200 >= (F.length(a) + F.length(b)) * threshold
 
 
-def may_reach(a: Column, b: Column, threshold: int) -> Column:
-    """A bound from lengths alone, to skip pairs whose ratio can't be as high."""
-    return F.least(F.length(a), F.length(b)) * 200 >= (F.length(a) + F.length(b)) * threshold
+class Goals:
+    """Common-subsequence lengths of one text with many others at once: their rows of bits lie side by side in one integer."""
+
+    def __init__(self, goals: list[str]):
+        self.sizes = np.array([len(g) for g in goals], np.int64)
+        self.starts = np.cumsum(self.sizes + 1) - (self.sizes + 1)  # a bit between two rows takes up the carry
+        self.places: dict[str, int] = {}
+        self.full = 0
+        at = {}
+        for g, start in zip(goals, self.starts.tolist()):
+            for j, ch in enumerate(g):
+                at.setdefault(ch, []).append(start + j)
+        for ch, bits in at.items():
+            self.places[ch] = self._number(np.array(bits))
+        self.full = sum(self.places.values())  # each bit is one letter's
+
+    def _number(self, bits: np.ndarray) -> int:
+        flags = np.zeros(int((self.sizes + 1).sum()), np.uint8)
+        flags[bits] = 1
+        return int.from_bytes(np.packbits(flags, bitorder="little").tobytes(), "little")
+
+    def lengths(self, texts: list[str]) -> np.ndarray:
+        """A row for each text, a column for each goal."""
+        n = -(-int((self.sizes + 1).sum()) // 8)
+        rows = bytearray()
+        for text in texts:
+            row = self.full
+            for ch in text:
+                if hit := row & self.places.get(ch, 0):
+                    row = (row + hit | row - hit) & self.full
+            rows += row.to_bytes(n, "little")
+        bits = np.unpackbits(np.frombuffer(bytes(rows), np.uint8).reshape(len(texts), n), axis=1, bitorder="little")
+        ends = np.stack((self.starts, self.starts + self.sizes), axis=1).ravel()
+        left = np.add.reduceat(np.pad(bits, ((0, 0), (0, 1))).astype(np.int32), ends, axis=1)[:, ::2]
+        return self.sizes - np.where(self.sizes > 0, left, 0)
+
+
+def least_sum(size: int, words: int, threshold: int) -> int:
+    """What the gains of a run's words sum to at least, if the run is to score `threshold` to one decimal against `size` characters.
+
+    A run scores so if DEPTH * common >= (20 * threshold - 1) * (its length + size): its rounded score is then at or above. The
+    common length is at most the sum of the words' own, and one more for each space between them that the needle also has;
+    the length is the words' and the spaces'. So a word's gain is DEPTH * common - (20 * threshold - 1) * its length.
+    """
+    return (20 * threshold - 1) * (size + words - 1)
+
+
+DEPTH = 4000
 
 
 def differences(spark):

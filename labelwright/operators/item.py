@@ -40,47 +40,80 @@ def circular(side: Column, source: Column) -> Column:
     return F.coalesce((side == ARTWORK) & (source == "parsed_from_artwork"), F.lit(False))
 
 
-def best_hits(asked: DataFrame, units: DataFrame, settings: Settings = DEFAULT, common=lcs_length) -> DataFrame:
-    """(item_id, field, hit, score, code, sheet, column, block, outcome): of asked (item_id, field, needle) the best sheet's hit.
+def records(items: DataFrame, declared: DataFrame, values: DataFrame) -> DataFrame:
+    """(item_id, side, fields): a row for each of items (item_id, side), with a struct for each compared field, in order.
 
-    Each sheet's units (item_id, sheet, unit, column, block, text) are searched by themselves; ties go to the earlier
-    sheet, and a sheet without a hit comes last. Only a class or type is also searched without its trailing code.
+    declared (item_id, field, declared, source) and values (item_id, field, value, sheet, column, block, declined) have at
+    most one row a field; all three inputs are brought together by one shuffle. A field without a row has nulls.
     """
-    keys = ("item_id", "field", "sheet")
-    pairs = asked.join(units, "item_id").select(*keys, "needle", "unit", "text")
-    hits = search.verified(pairs, *keys, strip_code=F.col("field") == "class_type", settings=settings, common=common)
+    said = F.struct("field", "declared", "source")
+    read = F.struct("field", "value", "sheet", "column", "block", "declined")
+    none = lambda table, c: F.lit(None).cast(table.select(c).schema[0].dataType)
+    heads = items.select("item_id", F.struct("side").alias("head"), none(declared, said).alias("said"), none(values, read).alias("read"))
+    heads = heads.unionByName(declared.select("item_id", said.alias("said")), allowMissingColumns=True).unionByName(values.select("item_id", read.alias("read")), allowMissingColumns=True)
+    whole = heads.groupBy("item_id").agg(F.max("head").alias("head"), F.collect_list("said").alias("said"), F.collect_list("read").alias("read")).where("head IS NOT NULL")
+    of = lambda c, f: F.get(F.filter(c, lambda x: x["field"] == f), F.lit(0))
+    side = F.col("head.side")
+
+    def one(f: Column) -> Column:
+        d, v = of("said", f), of("read", f)
+        own = circular(side, d["source"])
+        shown = F.when(~(f.isin(*PRESENCE) & own), d["declared"])
+        asks = ~missing(shown) & (f.isin(*SEARCHED) | f.isin(*RESCUED) & v["value"].isNull())
+        return F.struct(
+            f.alias("field"), own.alias("own"), shown.alias("said"), F.when(asks, F.trim(shown)).alias("needle"), v["value"].alias("value"),
+            v["sheet"].alias("sheet"), v["column"].alias("column"), v["block"].alias("block"), v["declined"].alias("declined"),
+        )
+
+    return whole.select("item_id", side.alias("side"), F.transform(F.array(*map(F.lit, COMPARED)), one).alias("fields"))
+
+
+def best_hits(asked: DataFrame, units: DataFrame, settings: Settings = DEFAULT, common=lcs_length, strict: bool = False) -> DataFrame:
+    """(item_id, hits): of asked (item_id, asks), an array of (field, needle), the best sheet's hit of each field of items with units.
+
+    A hit is a struct (field, hit, score, code, sheet, column, block, outcome). Each sheet's units (item_id, sheet, unit,
+    column, block, text) are searched by themselves; ties go to the earlier sheet, and a sheet without a hit comes last.
+    Only a class or type is also searched without its trailing code. Stretches of units are dealt out, and each gives a row
+    of its best run for the shuffle by item.
+    """
+    pairs = asked.join(units, "item_id").select("item_id", "sheet", "unit", "column", "block", "text", F.explode("asks").alias("a"))
+    pairs = pairs.select("item_id", "a.field", "a.needle", "sheet", "column", "block", "unit", "text")
+    keys = ("item_id", "field", "sheet", "column", "block")
+    turns = search.both_turns(pairs, *keys, strip_code=F.col("field") == "class_type")
+    best = search.hits(turns, *keys, "declared", "turn", common=common, strict=strict).repartition("item_id")
+    place = F.struct(F.round("raw", 1).alias("score"), "hit", F.struct("column", "block").alias("unit"))
+    turn = lambda i: F.max_by(F.when(F.col("raw").isNotNull(), place), F.when(F.col("turn") == i, search.order(strict, "unit", "size", "start"))).alias(f"h{i}")
+    sheets = best.groupBy("item_id", "field", "sheet", "declared").agg(turn(0), turn(1))
+    sheets = sheets.select("item_id", "field", "sheet", *search.chosen(F.col("h0"), F.col("h1"), F.col("declared"), settings))
     rank = F.struct(F.coalesce("score", F.lit(-1.0)), -F.col("sheet"))
-    best = hits.groupBy("item_id", "field").agg(F.max_by(F.struct("hit", "score", "code", "outcome", "sheet", "unit"), rank).alias("b")).select("item_id", "field", "b.*")
-    return best.join(units.select("item_id", "sheet", "unit", "column", "block"), ["item_id", "sheet", "unit"], "left")
+    hit = F.struct("field", "hit", "score", "code", "sheet", F.col("unit.column").alias("column"), F.col("unit.block").alias("block"), "outcome")
+    fields = sheets.groupBy("item_id", "field").agg(F.max_by(hit, rank).alias("h"))
+    return fields.groupBy("item_id").agg(F.collect_list("h").alias("hits"))
 
 
-def decided(items: DataFrame, declared: DataFrame, values: DataFrame, units: DataFrame, settings: Settings = DEFAULT, common=lcs_length) -> DataFrame:
+def decided(items: DataFrame, declared: DataFrame, values: DataFrame, units: DataFrame, settings: Settings = DEFAULT, common=lcs_length, strict: bool = False) -> DataFrame:
     """A row for every compared field of items (item_id, side): outcome, score, code, label_value, declared, sheet, column, block.
 
-    declared (item_id, field, declared, source); values (item_id, field, value, sheet, column, block, declined): the merged
-    readings; units: see best_hits. Brand and class are searched where they are declared and there is text, else compared
-    with the reading. Net contents that no pattern found are taken from a search at match level; alcohol never is. A hit
-    below review gives no label value. On a circular row a declared presence field is withdrawn, and a match is
-    artwork_derived, without a score. A field that a ranking declined has that as its code, unless it was searched for.
+    declared and values: see records(); units and strict: see best_hits(). Brand and class are searched where they are
+    declared and there is text, else compared with the reading. Net contents that no pattern found are taken from a search at
+    match level; alcohol never is. A hit below review gives no label value. On a circular row a declared presence field is
+    withdrawn, and a match is artwork_derived, without a score. A field that a ranking declined has that as its code, unless
+    it was searched for. Every input is shuffled by item once; the records are used for the search and for the decision.
     """
-    rows = items.select("item_id", "side", F.explode(F.array(*map(F.lit, COMPARED))).alias("field"))
-    rows = rows.join(declared, ["item_id", "field"], "left").join(values, ["item_id", "field"], "left")
-    own = circular(F.col("side"), F.col("source"))
+    whole = records(items, declared, values)
+    asks = F.transform(F.filter("fields", lambda f: f["needle"].isNotNull()), lambda f: F.struct(f["field"].alias("field"), f["needle"].alias("needle")))
+    hits = best_hits(whole.select("item_id", asks.alias("asks")).where(F.size("asks") > 0), units, settings, common, strict)
+    both = whole.join(hits, "item_id", "left").select("item_id", "hits", F.explode("fields").alias("f")).select("item_id", "hits", "f.*")
     field = F.col("field")
-    rows = rows.withColumn("own", own).withColumn("said", F.when(~(field.isin(*PRESENCE) & own), F.col("declared")))
-    asks = ~missing(F.col("said")) & (field.isin(*SEARCHED) | field.isin(*RESCUED) & F.col("value").isNull())
-    asked = rows.where(asks).select("item_id", "field", F.trim("said").alias("needle"))
-    hits = best_hits(asked, units, settings, common)
-    hits = hits.select("item_id", "field", *[F.col(c).alias(f"hit_{c}") for c in ("hit", "score", "code", "outcome", "sheet", "column", "block")])
-    seen = rows.join(hits, ["item_id", "field"], "left")
-    searched = field.isin(*SEARCHED) & F.col("hit_outcome").isNotNull()
-    rescued = field.isin(*RESCUED) & F.coalesce(F.col("hit_score") >= settings.match_threshold, F.lit(False))
-    shows = F.col("hit_outcome").isin("match", "needs_review")
-    pick = lambda hit, read: F.when(searched, F.when(shows, F.col(hit))).when(rescued, F.col(hit)).otherwise(F.col(read))
-    seen = seen.withColumn("searched", searched).withColumn("rescued", rescued).withColumn("label_value", pick("hit_hit", "value"))
+    seen = both.withColumn("h", F.get(F.filter("hits", lambda h: h["field"] == field), F.lit(0))).drop("hits")
+    searched = field.isin(*SEARCHED) & F.col("h.outcome").isNotNull()
+    rescued = field.isin(*RESCUED) & F.coalesce(F.col("h.score") >= settings.match_threshold, F.lit(False))
+    shows = F.col("h.outcome").isin("match", "needs_review")
+    pick = lambda hit, read: F.when(searched, F.when(shows, F.col(f"h.{hit}"))).when(rescued, F.col(f"h.{hit}")).otherwise(F.col(read))
+    seen = seen.withColumn("searched", searched).withColumn("rescued", rescued).withColumn("label_value", pick("hit", "value"))
     label, said = F.col("label_value"), F.col("said")
-    code = lambda c: verdict(F.col("hit_outcome"), F.col("hit_score"), c)
-    found = F.when(F.col("hit_score").isNull(), code("no_text")).when(F.col("hit_outcome") == "match", code("found")).when(shows, code("close")).otherwise(code("not_found"))
+    code = lambda c: verdict(F.col("h.outcome"), F.col("h.score"), c)
+    found = F.when(F.col("h.score").isNull(), code("no_text")).when(F.col("h.outcome") == "match", code("found")).when(shows, code("close")).otherwise(code("not_found"))
     seen = seen.withColumn("lcs", common(normalized(label), normalized(said)))
     text = text_verdict(label, said, settings, F.col("lcs"))
     made = (
@@ -95,7 +128,7 @@ def decided(items: DataFrame, declared: DataFrame, values: DataFrame, units: Dat
     return judged.select(
         "item_id", "field", F.when(derived, "artwork_derived").otherwise(F.col("v.outcome")).alias("outcome"), F.when(~derived, F.col("v.score")).alias("score"),
         F.when(declined, "declined").when(derived, "artwork").otherwise(F.col("v.code")).alias("code"), "label_value", F.when(~missing(said), said).alias("declared"),
-        pick("hit_sheet", "sheet").alias("sheet"), pick("hit_column", "column").alias("column"), pick("hit_block", "block").alias("block"),
+        pick("sheet", "sheet").alias("sheet"), pick("column", "column").alias("column"), pick("block", "block").alias("block"),
     )
 
 

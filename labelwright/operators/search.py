@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
-from ..functions.quantities import once
-from ..functions.similarity import lcs_length, ratio
+from ..functions.similarity import DEPTH, Goals, lcs_length, least_sum, ratio
 from ..functions.text import normalized, tokens, without_code
 from ..functions.verdict import band
+from ..session import ship
 
 
 STRETCH = 64
@@ -22,60 +24,195 @@ def units(lines: DataFrame, item: str = "item_id") -> DataFrame:
     return own.where(F.size(tokens(F.col("text"))) > 0).select(item, "column", "block", turn.alias("unit"), "text")
 
 
-def exact_at(words: Column, needle: Column) -> Column:
-    """1-based place of the first run of words equal to the needle's words, null if none. Arrays of normalized words."""
-    n = F.size(needle)
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: (i + n - 1 <= F.size(words)) & (F.slice(words, i, n) == needle))
-    return F.when(n > 0, F.get(starts, F.lit(0)))
+def windows(pairs: DataFrame, *keys: str) -> DataFrame:
+    """(keys, unit, before, size, start, hit, seen, goal): the runs of a unit's words that a needle is compared with.
 
+    pairs: keys, needle, unit, text. Runs have one word less than the needle, as many or one more; lengths below one word
+    or beyond the unit's are left out, not cut to fit. A pair without any run has one row, of nulls. Texts are dealt out in
+    stretches of STRETCH starts, so that a long one is many tasks' work and no row carries the whole of it.
+    """
+    split = pairs.withColumn("words", tokens(F.col("text"))).withColumn("want", tokens(F.col("needle")))
+    goal = F.array_join(F.transform("want", lambda t: t["norm"]), " ").alias("goal")
+    size = F.coalesce(F.size("words"), F.lit(0))
+    first = F.explode(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0)), F.lit(STRETCH))).alias("before")
+    dealt = split.select(*keys, "unit", goal, F.coalesce(F.size("want"), F.lit(0)).alias("n"), size.alias("m"), "words", first)
+    dealt = dealt.select(*keys, "unit", "goal", "n", "m", "before", F.slice("words", F.col("before") + 1, F.col("n") + STRETCH).alias("words"))
+    dealt = dealt.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "unit", "before")
+    return runs(dealt, *keys, "unit", "goal")
 
-def found(pairs: DataFrame, *keys: str, common=lcs_length) -> DataFrame:
-    """The hit of each group of pairs (keys, needle, unit, text): text, score to one decimal, unit; no row if no hit.
 
-    An exact run in any unit beats every window, however early. Windows have one word less, as many or one more than the
-    needle. Equal scores go to the earlier unit, then the shorter window, then the earlier start.
+def runs(dealt: DataFrame, *keys: str) -> DataFrame:
+    """(keys, before, size, start, hit, seen) of stretches (keys, n, m, before, words): all runs of n - 1 to n + 1 words that start in each.
+
+    words: the printed and normalized words from place `before` on, of m in all; enough of them for the longest run.
     """
-    split = pairs.withColumn("words", tokens(F.col("text"))).withColumn("want", F.transform(tokens(F.col("needle")), lambda t: t["norm"]))
-    split = split.where(F.size("want") > 0).withColumn("n", F.size("want")).withColumn("goal", normalized(F.col("needle")))
-    norms = F.transform("words", lambda t: t["norm"])
-    at = split.withColumn("at", once(exact_at, norms, F.col("want")))  # not cut into words for every place
-    printed = lambda w: F.array_join(F.transform(w, lambda t: t["printed"]), " ")
-    exact = at.where("at IS NOT NULL").select(*keys, "unit", F.lit(0).alias("size"), F.col("at").alias("start"), printed(F.slice("words", F.col("at"), F.col("n"))).alias("hit"), F.lit(100.0).alias("raw"), F.lit(1).alias("sure"))
-    rest = at.join(exact.select(*keys).distinct(), list(keys), "left_anti")
-    sizes = F.array_distinct(F.transform(F.array(F.col("n") - 1, F.col("n"), F.col("n") + 1), lambda s: F.least(F.greatest(s, F.lit(1)), F.size("words"))))
-    # a row of windows carries a stretch of the text, long enough for the windows that start in it, never the whole text
-    first = F.explode(F.sequence(F.lit(0), F.size("words") - 1, F.lit(STRETCH)))
-    stretches = rest.where(F.size("words") > 0).select(*keys, "unit", "goal", "n", "words", sizes.alias("sizes"), F.size("words").alias("m"), first.alias("before"))
-    stretches = stretches.select(*keys, "unit", "goal", "m", "sizes", "before", F.slice("words", F.col("before") + 1, F.col("n") + STRETCH).alias("words"))
-    stretches = stretches.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "unit", "before")  # a long text is many tasks' work
-    windows = stretches.select("*", F.explode("sizes").alias("size")).drop("sizes")
+    sizes = F.filter(F.array(F.col("n") - 1, F.col("n"), F.col("n") + 1), lambda s: (s >= 1) & (s <= F.col("m") - F.col("before")) & (F.col("n") > 0))
     last = F.least(F.lit(STRETCH), F.col("m") - F.col("before") - F.col("size") + 1)
-    windows = windows.withColumn("last", last).where("last > 0").select("*", F.explode(F.sequence(F.lit(1), F.col("last"))).alias("at"))
-    cut = windows.withColumn("own", F.slice("words", F.col("at"), F.col("size"))).drop("words")
-    cut = cut.select(*keys, "unit", "goal", "size", (F.col("before") + F.col("at")).alias("start"), printed(F.col("own")).alias("hit"), F.array_join(F.transform("own", lambda t: t["norm"]), " ").alias("seen"))
-    scored = cut.select(*keys, "unit", "size", "start", "hit", ratio(common(F.col("seen"), F.col("goal")), F.col("seen"), F.col("goal")).alias("raw"), F.lit(0).alias("sure"))
-    order = F.struct("sure", "raw", -F.col("unit"), -F.col("size"), -F.col("start"))
-    return exact.unionByName(scored).groupBy(*keys).agg(F.max_by(F.struct("hit", "raw", "unit"), order).alias("best")).select(*keys, F.col("best.hit").alias("hit"), F.round("best.raw", 1).alias("score"), F.col("best.unit").alias("unit"))
+    every = dealt.select("*", F.explode_outer(sizes).alias("size")).select("*", F.explode_outer(F.sequence(F.lit(1), last)).alias("at"))
+    own = every.withColumn("own", F.slice("words", F.col("at"), F.col("size")))
+    joined = lambda part: F.array_join(F.transform("own", lambda t: t[part]), " ")
+    return own.select(*keys, "before", "size", (F.col("before") + F.col("at")).alias("start"), joined("printed").alias("hit"), joined("norm").alias("seen"))
+
+
+def order(strict: bool, *place: str) -> Column:
+    """What the best of scored runs is the greatest of: raw, then the earliest place.
+
+    strict: the place that a pass in order would end with if it keeps a best score rounded to one decimal and compares raw
+    scores with that. Such a pass takes the first run of the highest rounded score, as its raw score is above all lower
+    rounded ones; from then on it takes each run whose raw score is above that rounded one. So the last of those is its
+    result, or the first of the highest rounded score where there is none: the greatest of a struct, in any order of rows.
+    """
+    if not strict:
+        return F.struct("raw", *[-F.col(c) for c in place])
+    rounded = F.round("raw", 1)
+    above = F.col("raw") > rounded
+    return F.struct(rounded, above, *[F.when(above, F.col(c)).otherwise(-F.col(c)) for c in place])
+
 
+def hits(pairs: DataFrame, *keys: str, common=lcs_length, strict: bool = False) -> DataFrame:
+    """(keys, unit, size, start, hit, raw): of each stretch of each pair the best run, as order() has it; nulls where there is none.
+
+    One shuffle: the best of a stretch is chosen where its runs are made.
+    """
+    every = windows(pairs, *keys)
+    scored = every.withColumn("raw", ratio(common(F.col("seen"), F.col("goal")), F.col("seen"), F.col("goal")))
+    best = scored.groupBy(*keys, "unit", "before").agg(F.max_by(F.struct("size", "start", "hit", "raw"), order(strict, "unit", "size", "start")).alias("best"))
+    return best.select(*keys, "unit", "best.*")
+
+
+def found(pairs: DataFrame, *keys: str, common=lcs_length, strict: bool = False) -> DataFrame:
+    """The hit of each group of pairs (keys, needle, unit, text): text, score to one decimal, unit; no row if no hit.
+
+    A run equal to the needle scores 100, which no other does, so it beats every other, however early. Equal scores go to the
+    earlier unit, then the shorter run, then the earlier start; strict: see order().
+    """
+    best = hits(pairs, *keys, common=common, strict=strict).where("raw IS NOT NULL").groupBy(*keys).agg(F.max_by(F.struct("hit", "raw", "unit"), order(strict, "unit", "size", "start")).alias("best"))
+    return best.select(*keys, F.col("best.hit").alias("hit"), F.round("best.raw", 1).alias("score"), F.col("best.unit").alias("unit"))
 
-def verified(pairs: DataFrame, *keys: str, strip_code: bool | Column = True, settings: Settings = DEFAULT, common=lcs_length) -> DataFrame:
-    """Outcome of searching each needle: keys, hit, score, code, outcome.
 
-    A value that does not match is searched again without its trailing code, and that hit is taken if it is better.
-    The rounded score is banded. No hit at all is a mismatch without a score.
+def both_turns(pairs: DataFrame, *keys: str, strip_code: bool | Column = True, text: str = "text") -> DataFrame:
+    """pairs (keys, needle, unit, text) with turn 0 for each needle as it is, and 1 for what is left of it without a trailing code.
+
+    `declared` is the needle as it was.
+    """
+    asks = F.lit(strip_code) if isinstance(strip_code, bool) else strip_code
+    ask = lambda turn, c: F.struct(F.lit(turn).alias("turn"), c.alias("needle"))
+    turns = F.filter(F.array(ask(0, F.col("needle")), ask(1, F.when(asks, without_code(F.col("needle"))))), lambda t: (t["turn"] == 0) | t["needle"].isNotNull())
+    return pairs.select(*keys, "unit", text, F.col("needle").alias("declared"), F.explode(turns).alias("ask")).select(*keys, "unit", text, "declared", "ask.turn", "ask.needle")
+
+
+def verified(pairs: DataFrame, *keys: str, strip_code: bool | Column = True, settings: Settings = DEFAULT, common=lcs_length, strict: bool = False) -> DataFrame:
+    """Outcome of searching each needle: keys, hit, score, unit, code, outcome.
+
+    A value that does not match is also searched without its trailing code, and that hit is taken if it is better: both are
+    searched at once. The rounded score is banded. No hit at all is a mismatch without a score.
+    """
+    best = hits(both_turns(pairs, *keys, strip_code=strip_code), *keys, "declared", "turn", common=common, strict=strict)
+    turn = lambda i: F.max_by(F.when(F.col("raw").isNotNull(), F.struct(F.round("raw", 1).alias("score"), "hit", "unit")), F.when(F.col("turn") == i, order(strict, "unit", "size", "start"))).alias(f"h{i}")
+    out = best.groupBy(*keys, "declared").agg(turn(0), turn(1))
+    return out.select(*keys, *chosen(F.col("h0"), F.col("h1"), F.col("declared"), settings))
+
+
+def chosen(plain: Column, shorter: Column, needle: Column, settings: Settings = DEFAULT) -> list[Column]:
+    """hit, score, unit, code, outcome of the hits (struct score, hit, unit) of a needle and of what is left without its code."""
+    fails = F.coalesce(plain["score"], F.lit(-1.0)) < settings.match_threshold
+    better = F.coalesce(fails & (shorter["score"] > F.coalesce(plain["score"], F.lit(-1.0))), F.lit(False))
+    pick = lambda c: F.when(better, shorter[c]).otherwise(plain[c])
+    outcome = F.when(pick("score").isNull(), "mismatch").otherwise(band(pick("score"), settings))
+    code = F.when(better, F.regexp_extract(needle, r"([A-Z0-9]{1,3})\s*$", 1))
+    return [pick("hit").alias("hit"), pick("score").alias("score"), pick("unit").alias("unit"), code.alias("code"), outcome.alias("outcome")]
+
+
+GOALS, GAINS = 4096, 1 << 21
+
+
+def gains(words: DataFrame, goals: list[tuple[int, str, int]], threshold: int) -> DataFrame:
+    """(word, goal, sizes): distinct words (word) that a run of `threshold` or more against a goal (number, text, words) may need.
+
+    In a run that scores as high some word has at least the average of the gains that least_sum() asks for. sizes: the numbers
+    of words of the runs for which this one does. Every word is compared with all goals at once.
+    """
+    ship(words.sparkSession)
+    numbers = np.array([g[0] for g in goals], np.int64)
+    own = Goals([g[1] for g in goals])
+    needs = np.array([[_average(len(text), n, n + d, threshold) for d in (-1, 0, 1)] for _, text, n in goals], np.int64)
+    counts = np.array([[n + d for d in (-1, 0, 1)] for _, _, n in goals], np.int32)
+
+    def run(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, max(1, (1 << 22) // max(1, len(goals)))):
+                part = batch.column(0).slice(a, max(1, (1 << 22) // max(1, len(goals))))
+                texts = part.to_pylist()
+                gain = DEPTH * own.lengths(texts) - (20 * threshold - 1) * np.array([[len(t)] for t in texts])
+                w, g = np.nonzero(gain >= needs.min(axis=1))
+                enough = gain[w, g][:, None] >= needs[g]
+                sizes = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(enough.sum(axis=1)))).astype(np.int32), pa.array(counts[g][enough]))
+                yield pa.RecordBatch.from_arrays([part.take(pa.array(w)), pa.array(numbers[g]), sizes], names=["word", "goal", "sizes"])
+
+    return words.select("word").mapInArrow(run, "word string, goal long, sizes array<int>")
+
+
+def _average(size: int, n: int, words: int, threshold: int) -> int:
+    """The least gain of a run's best word; more than any gain where the run has no word."""
+    if words < 1:
+        return 1 << 60
+    return -(-(least_sum(size, words, threshold) - DEPTH * min(words - 1, n - 1)) // words)
+
+
+def reaching(needles: DataFrame, texts: DataFrame, text_id: str, threshold: int = DEFAULT.review_threshold, common=lcs_length) -> DataFrame:
+    """(needle, text_id, hit, score): for each distinct normalized needle and each text the best run, where its score is at least `threshold`.
+
+    needles: needle; texts: text_id, text. The rows are those of found() over all pairs of the two whose score is as high, with
+    its rules for ties; no pair is made to get them. Texts' distinct words are compared with the needles, GOALS of them at a
+    time, and form an index: of a run that reaches the threshold one word has its share of the run's common subsequence. Where
+    such a word occurs, and only there, runs around it are scored. Needles or texts without words, and nulls, have no row.
     """
-    plain = found(pairs, *keys, common=common)
-    asked = pairs.select(*keys, "needle").distinct()
-    out = asked.join(plain, list(keys), "left").withColumn("code", F.lit(None).cast("string"))
-    if strip_code is not False:
-        stripped = pairs.where(strip_code) if isinstance(strip_code, Column) else pairs
-        again = stripped.join(plain.where(F.col("score") >= settings.match_threshold).select(*keys), list(keys), "left_anti").withColumn("shorter", without_code(F.col("needle"))).where("shorter IS NOT NULL")
-        second = found(again.drop("needle").withColumnRenamed("shorter", "needle"), *keys, common=common)
-        second = second.select(*keys, *[F.col(c).alias(f"{c}2") for c in ("hit", "score", "unit")])
-        out = out.join(second, list(keys), "left")
-        better = F.coalesce(F.col("score2") > F.coalesce("score", F.lit(-1.0)), F.lit(False))
-        out = out.select(*keys, "needle", *[F.when(better, F.col(f"{c}2")).otherwise(F.col(c)).alias(c) for c in ("hit", "score", "unit")], F.when(better, F.regexp_extract("needle", r"([A-Z0-9]{1,3})\s*$", 1)).alias("code"))
-    return out.select(*keys, "hit", "score", "unit", "code", F.when(F.col("score").isNull(), "mismatch").otherwise(band(F.col("score"), settings)).alias("outcome"))
+    goal = F.array_join(F.transform(tokens(F.col("needle")), lambda t: t["norm"]), " ")
+    asked = needles.select(goal.alias("needle")).where("needle <> ''").distinct()
+    asked = asked.select("needle", F.xxhash64("needle").alias("goal"), F.size(F.split("needle", " ")).alias("n"))
+    size = asked.agg(F.count("*").alias("count"), F.max("n").alias("n")).first()
+    blocks = max(1, -(-size["count"] // GOALS))
+    found = None
+    for block in range(blocks):  # a pass over the index for so many needles; nearly always one
+        held = [(r.goal, r.needle, r.n) for r in asked.where(F.pmod("goal", F.lit(blocks)) == block).collect()]
+        part = _reaching(held, asked, texts, text_id, size["n"] or 0, threshold, common)
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def candidates(held: list, asked: DataFrame, texts: DataFrame, text_id: str, most: int, threshold: int) -> DataFrame:
+    """(goal, needle, text_id, size, start, hit, seen): the runs that reaching() scores, each once."""
+    split = texts.select(text_id, tokens(F.col("text")).alias("words")).withColumn("m", F.size("words")).where("m > 0")
+    words = split.select(F.explode(F.transform("words", lambda t: t["norm"])).alias("word")).distinct()
+    index = gains(words, held, threshold)
+    # a stretch also has the words before it that a run around its first word may start with
+    before = F.explode(F.sequence(F.lit(0), F.col("m") - 1, F.lit(STRETCH))).alias("before")
+    dealt = split.select(text_id, "m", "words", before).withColumn("left", F.least(F.col("before"), F.lit(most + 1)))
+    dealt = dealt.select(text_id, "m", "before", "left", F.slice("words", F.col("before") - F.col("left") + 1, F.col("left") + STRETCH + most + 1).alias("words"))
+    at = dealt.select("*", F.explode(F.sequence(F.lit(0), F.least(F.lit(STRETCH), F.col("m") - F.col("before")) - 1)).alias("i"))
+    at = at.withColumn("word", F.get("words", F.col("left") + F.col("i"))["norm"])
+    hits = at.join(small(index), "word").select(text_id, "m", "goal", "before", "left", "i", "words", F.explode("sizes").alias("size"))
+    place = F.col("before") + F.col("i") + 1  # of the word, from 1
+    starts = F.sequence(F.greatest(place - F.col("size") + 1, F.lit(1)), F.least(place, F.col("m") - F.col("size") + 1))
+    hits = hits.where((F.col("m") >= F.col("size"))).select("*", F.explode(starts).alias("start"))
+    own = hits.withColumn("own", F.slice("words", F.col("start") - F.col("before") + F.col("left"), F.col("size")))
+    joined = lambda part: F.array_join(F.transform("own", lambda t: t[part]), " ")
+    rows = own.select(text_id, "goal", "size", "start", joined("printed").alias("hit"), joined("norm").alias("seen")).join(small(asked.select("goal", "needle")), "goal")
+    long_ = F.length("seen") + F.length("needle")
+    rows = rows.where(F.least(F.length("seen"), F.length("needle")) * DEPTH >= long_ * (20 * threshold - 1))
+    return rows.groupBy("goal", "needle", text_id, "size", "start").agg(F.first("hit").alias("hit"), F.first("seen").alias("seen"))
+
+
+def small(table: DataFrame) -> DataFrame:
+    """table, written down by its count: up to GAINS rows it may be broadcast, beyond that Spark joins as it likes."""
+    return F.broadcast(table) if table.count() <= GAINS else table
+
+
+def _reaching(held: list, asked: DataFrame, texts: DataFrame, text_id: str, most: int, threshold: int, common) -> DataFrame:
+    rows = candidates(held, asked, texts, text_id, most, threshold)
+    scored = rows.withColumn("raw", ratio(common(F.col("seen"), F.col("needle")), F.col("seen"), F.col("needle"))).where(F.round("raw", 1) >= threshold)
+    best = scored.groupBy("needle", text_id).agg(F.max_by(F.struct("hit", "raw"), order(False, "size", "start")).alias("best"))
+    return best.select("needle", text_id, F.col("best.hit").alias("hit"), F.round("best.raw", 1).alias("score"))
 
 
 RUN = 5

@@ -53,7 +53,7 @@ def sql_found(name: str, pairs: str, keys: str) -> str:
 {name}_s AS (SELECT *, len(want) AS n, len(w) AS m FROM {name}_t WHERE len(want) > 0 AND len(w) > 0),
 {name}_e AS (SELECT {keys}, unit, n AS size, s AS start, w[s : s + n - 1] AS c, 100.0::DOUBLE AS raw, 1 AS sure FROM (SELECT *, unnest(range(1, m + 1)) AS s FROM {name}_s) WHERE [t.n FOR t IN w[s : s + n - 1]] = want),
 {name}_w AS (SELECT {keys}, unit, goal, size, start, w[start : start + size - 1] AS c FROM (SELECT *, unnest(range(1, m - size + 2)) AS start FROM
-  (SELECT *, unnest(list_distinct([least(greatest(n + d, 1), m) FOR d IN [-1, 0, 1]])) AS size FROM {name}_s s WHERE NOT EXISTS (SELECT 1 FROM {name}_e e WHERE {' AND '.join(f'e.{k.strip()} = s.{k.strip()}' for k in keys.split(','))})))),
+  (SELECT *, unnest([n + d FOR d IN [-1, 0, 1] IF n + d BETWEEN 1 AND m]) AS size FROM {name}_s s WHERE NOT EXISTS (SELECT 1 FROM {name}_e e WHERE {' AND '.join(f'e.{k.strip()} = s.{k.strip()}' for k in keys.split(','))})))),
 {name}_x AS (SELECT *, array_to_string([t.n FOR t IN c], ' ') AS seen FROM {name}_w),
 {sql_lcs(f'{name}_l', f'SELECT seen AS a, goal AS b FROM {name}_x')},
 {name}_a AS (SELECT {keys}, unit, size, start, c, raw, sure FROM {name}_e UNION ALL SELECT {keys}, unit, size, start, c, CASE WHEN length(seen) + length(goal) = 0 THEN 100 ELSE 200.0 * lcs / (length(seen) + length(goal)) END, 0 FROM {name}_x JOIN {name}_l ON seen = a AND goal = b),
