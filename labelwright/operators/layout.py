@@ -54,11 +54,13 @@ def lines(words: DataFrame, *keys: str) -> DataFrame:
 
 
 def blocks(rows: DataFrame, *keys: str, settings: Settings = DEFAULT) -> DataFrame:
-    """Blocks of neighbouring lines of one size: keys, island, first_line, n_lines, text, height, top, confidence.
+    """Blocks of neighbouring lines of one size: keys, island, first_line, n_lines, text, height, top, confidence, column, block.
 
-    A line joins the one before it if it follows it directly in the same region, their heights are within 25 %, and its
+    Lines that are `sideways` (where there is such a column) are in no block and part their neighbours, as their height is not
+    their type's. A line joins the one before it if it follows it directly in the same region, their heights are within 25 %, and its
     top is at most 2.5 line heights below. Heights of 0 never join.
     """
+    rows = rows.where(~F.coalesce("sideways", F.lit(False))) if "sideways" in rows.columns else rows
     order = Window.partitionBy(*keys).orderBy("line_idx")
     before = lambda c: F.lag(c).over(order)
     tall, short = F.greatest("height", before("height")), F.least("height", before("height"))
@@ -68,18 +70,7 @@ def blocks(rows: DataFrame, *keys: str, settings: Settings = DEFAULT) -> DataFra
     )
     marked = rows.withColumn("starts", (~F.coalesce(joins, F.lit(False))).cast("int")).withColumn("island", F.sum("starts").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_idx", "text"))), lambda x: x["text"]), " ")
-    return marked.groupBy(*keys, "island").agg(F.min("line_idx").alias("first_line"), F.count("*").alias("n_lines"), text.alias("text"), F.max("height").alias("height"), F.min("top").alias("top"), F.round(F.avg("confidence"), 1).alias("confidence"))
-
-
-def stand_out(found: DataFrame, *keys: str, settings: Settings = DEFAULT) -> DataFrame:
-    """The block that stands out of each sheet by size: keys and its columns, or none.
-
-    The tallest counts if the next is at most 0.7 of it; a sole block always does; without heights the first line's does.
-    """
-    order = Window.partitionBy(*keys).orderBy(F.desc("height"), "top", "first_line")
-    found = found.where(~F.coalesce(F.col("sideways"), F.lit(False))) if "sideways" in found.columns else found
-    ranked = found.withColumn("rank", F.row_number().over(order)).withColumn("next", F.lead("height").over(order)).where(F.col("rank") == 1)
-    return ranked.where(F.col("next").isNull() | (F.col("height") <= 0) | (F.col("next") <= F.col("height") * settings.stand_out)).drop("rank", "next")
+    return marked.groupBy(*keys, "island").agg(F.min("line_idx").alias("first_line"), F.count("*").alias("n_lines"), text.alias("text"), F.max("height").alias("height"), F.min("top").alias("top"), F.round(F.avg("confidence"), 1).alias("confidence"), F.min("column").alias("column"), F.min("block").alias("block"))
 
 
 def unclaimed(rows: DataFrame, claims: list[DataFrame], *keys: str) -> DataFrame:
@@ -90,17 +81,37 @@ def unclaimed(rows: DataFrame, claims: list[DataFrame], *keys: str) -> DataFrame
     return rows.join(taken.distinct(), [*keys, "line_idx"], "left_anti")
 
 
+def by_size(found: DataFrame, *keys: str, settings: Settings = DEFAULT) -> DataFrame:
+    """found with turn, the block's rank by size on its sheet, and clear: it stands out of those that follow.
+
+    The tallest is first. A block stands out if the next is at most 0.7 of it; the last one always does, and without heights
+    the first line's does.
+    """
+    order = Window.partitionBy(*keys).orderBy(F.desc("height"), "top", "first_line")
+    clear = F.col("next").isNull() | (F.col("height") <= 0) | (F.col("next") <= F.col("height") * settings.stand_out)
+    return found.withColumn("turn", F.row_number().over(order)).withColumn("next", F.lead("height").over(order)).withColumn("clear", clear).drop("next")
+
+
+def stand_out(found: DataFrame, *keys: str, settings: Settings = DEFAULT) -> DataFrame:
+    """The block that stands out of each sheet by size: keys and its columns, or none."""
+    return by_size(found, *keys, settings=settings).where("turn = 1 AND clear").drop("turn", "clear")
+
+
 def two_fields(found: DataFrame, sheets: DataFrame, *keys: str, settings: Settings = DEFAULT) -> DataFrame:
-    """(keys, field, text, declined): brand_name, the block that stands out, and class_type, the one that does of the rest.
+    """(keys, field, text, declined, and found's confidence, height, column, block): brand_name, the block that stands out of its
+    sheet by size (see by_size), and class_type, the one that does of the rest.
 
-    The second is looked for only where there is a first. declined: there were blocks, and none stood out.
+    The second is looked for only where there is a first. declined: there were blocks to choose from, and none was chosen.
     """
-    first = stand_out(found, *keys, settings=settings).select(*keys, "first_line", "text")
-    rest = found.join(first.select(*keys, "first_line"), [*keys, "first_line"], "left_anti").join(first.select(*keys), list(keys), "left_semi")
-    second = stand_out(rest, *keys, settings=settings).select(*keys, "text")
-    some = lambda table: table.select(*keys).distinct().withColumn("had", F.lit(True))
-    made = lambda name, hits, had: sheets.select(*keys).join(hits.select(*keys, "text"), list(keys), "left").join(some(had), list(keys), "left").select(*keys, F.lit(name).alias("field"), "text", (F.col("text").isNull() & F.coalesce("had", F.lit(False))).alias("declined"))
-    return made("brand_name", first, found).unionByName(made("class_type", second, rest))
+    ranked = by_size(found, *keys, settings=settings)
+    carried = [c for c in ("text", "confidence", "height", "column", "block") if c in found.columns]
+    pick = lambda turn: F.max(F.when((F.col("turn") == turn) & F.col("clear"), F.struct(*carried)))
+    own = ranked.groupBy(*keys).agg(pick(1).alias("first"), pick(2).alias("second"), F.count("*").alias("n"))
+    both = sheets.select(*keys).join(own, list(keys), "left").withColumn("second", F.when(F.col("first").isNotNull(), F.col("second")))
+    left = F.coalesce("n", F.lit(0)) - F.when(F.col("first").isNotNull(), 1).otherwise(0)
+    row = lambda field, c, n: F.struct(F.lit(field).alias("field"), F.col(c).alias("b"), (F.col(c).isNull() & (n > 0)).alias("declined"))
+    rows = both.select(*keys, F.explode(F.array(row("brand_name", "first", F.coalesce("n", F.lit(0))), row("class_type", "second", left))).alias("r"))
+    return rows.select(*keys, "r.field", "r.b.*", "r.declined").select(*keys, "field", *carried, "declined")
 
 
 def segmentation(rows: DataFrame, *keys: str) -> DataFrame:

@@ -17,11 +17,11 @@ from ..session import ship
 STRETCH = 64
 
 
-def units(lines: DataFrame, item: str = "item_id") -> DataFrame:
-    """Search units of lines (item, column, block, line_idx, text): one per region in order of first appearance."""
-    own = lines.groupBy(item, "column", "block").agg(F.min("line_idx").alias("first"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_idx", "text"))), lambda x: x["text"]), " ").alias("text"))
-    turn = F.row_number().over(Window.partitionBy(item).orderBy("first")) - 1
-    return own.where(F.size(tokens(F.col("text"))) > 0).select(item, "column", "block", turn.alias("unit"), "text")
+def units(lines: DataFrame, *keys: str) -> DataFrame:
+    """Search units of lines (keys, column, block, line_idx, text): one per region in order of first appearance."""
+    own = lines.groupBy(*keys, "column", "block").agg(F.min("line_idx").alias("first"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_idx", "text"))), lambda x: x["text"]), " ").alias("text"))
+    turn = F.row_number().over(Window.partitionBy(*keys).orderBy("first")) - 1
+    return own.where(F.size(tokens(F.col("text"))) > 0).select(*keys, "column", "block", turn.alias("unit"), "text")
 
 
 def windows(pairs: DataFrame, *keys: str) -> DataFrame:

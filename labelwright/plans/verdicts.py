@@ -57,8 +57,8 @@ def _decided(spark, sf_dir):
 
 
 _ASKED = f"""SELECT item_id, field, trim(said) AS needle FROM rows_ WHERE NOT {sql_missing('said')} AND (field IN ('brand_name', 'class_type') OR field = 'net_contents' AND value IS NULL)"""
-_DECISIONS = f"""items AS (SELECT p_partkey AS item_id, {_SIDE} AS side FROM part), declared_ AS ({_SQL_DECLARED}), values_ AS ({_SQL_VALUES}), units_ AS ({_SQL_UNITS}),
-rows_ AS (SELECT *, CASE WHEN NOT (own AND field IN ('alcohol_content', 'net_contents')) THEN declared END AS said FROM (SELECT *, side = 'application_artwork' AND source = 'parsed_from_artwork' AS own FROM items JOIN declared_ USING (item_id) JOIN values_ USING (item_id, field))),
+#: From items, declared_, values_ and units_ to `decided`.
+_DECIDE = f"""rows_ AS (SELECT *, CASE WHEN NOT (own AND field IN ('alcohol_content', 'net_contents')) THEN declared END AS said FROM (SELECT *, side = 'application_artwork' AND source = 'parsed_from_artwork' AS own FROM items JOIN declared_ USING (item_id) JOIN values_ USING (item_id, field))),
 {sql_verified('f', f'SELECT item_id, field, sheet, needle, unit, text FROM ({_ASKED}) JOIN units_ USING (item_id)', 'item_id, field, sheet', "field = 'class_type'")},
 best AS (SELECT f.* EXCLUDE (unit), u.region_column AS hit_column, u.block AS hit_block FROM (SELECT *, row_number() OVER (PARTITION BY item_id, field ORDER BY coalesce(score, -1) DESC, sheet) AS turn FROM f) f LEFT JOIN units_ u ON u.item_id = f.item_id AND u.sheet = f.sheet AND u.unit = f.unit WHERE turn = 1),
 seen AS (SELECT r.*, b.hit, b.score AS hit_score, b.outcome AS hit_outcome, b.sheet AS hit_sheet, hit_column, hit_block, b.item_id IS NOT NULL AND r.field IN ('brand_name', 'class_type') AS searched, coalesce(r.field = 'net_contents' AND b.score >= 95, false) AS rescued FROM rows_ r LEFT JOIN best b ON b.item_id = r.item_id AND b.field = r.field),
@@ -74,6 +74,7 @@ judged AS (SELECT *, CASE WHEN searched THEN {{'outcome': hit_outcome, 'score':
 decided AS (SELECT item_id, field, CASE WHEN own AND r.outcome = 'match' THEN 'artwork_derived' ELSE r.outcome END AS outcome, CASE WHEN NOT (own AND r.outcome = 'match') THEN r.score END AS score,
   CASE WHEN declined AND NOT searched AND NOT rescued THEN 'declined' WHEN own AND r.outcome = 'match' THEN 'artwork' ELSE r.code END AS code, label_value, CASE WHEN NOT {sql_missing('said')} THEN said END AS declared,
   CASE WHEN searched THEN CASE WHEN hit_outcome <> 'mismatch' THEN hit_sheet END WHEN rescued THEN hit_sheet ELSE sheet END AS sheet, CASE WHEN searched THEN CASE WHEN hit_outcome <> 'mismatch' THEN hit_column END WHEN rescued THEN hit_column ELSE region_column END AS "column", CASE WHEN searched THEN CASE WHEN hit_outcome <> 'mismatch' THEN hit_block END WHEN rescued THEN hit_block ELSE block END AS block FROM judged)"""
+_DECISIONS = f"""items AS (SELECT p_partkey AS item_id, {_SIDE} AS side FROM part), declared_ AS ({_SQL_DECLARED}), values_ AS ({_SQL_VALUES}), units_ AS ({_SQL_UNITS}), {_DECIDE}"""
 
 
 @query(f"WITH RECURSIVE {_DECISIONS} SELECT * FROM decided")
@@ -155,8 +156,8 @@ _REJOIN = r"regexp_replace({0}, '([\p{{L}}\p{{N}}_])[-‐‑]\s+([\p{{L}}\p{{N}}
 _OPEN, _GO = r"(?i)according\s+to\s+the|surgeon\s+general", r"(?i)surgeon\s+general|should\s+not\s+drink|birth\s+defects|alcoholic\s+beverages"
 
 
-@query(rf"""WITH l AS (SELECT *, {_CONF} AS confidence FROM ({_STATEMENT_LINES})),
-a AS (SELECT *, concat_ws(' ', text, lead(text, 1) OVER w, lead(text, 2) OVER w) AS ahead FROM l WINDOW w AS (PARTITION BY item_id ORDER BY line_idx)),
+#: From lines l to the check of each item's statement, v.
+_SQL_STATEMENT = rf"""a AS (SELECT *, concat_ws(' ', text, lead(text, 1) OVER w, lead(text, 2) OVER w) AS ahead FROM l WINDOW w AS (PARTITION BY item_id ORDER BY line_idx)),
 f AS (SELECT item_id, coalesce(min(line_idx) FILTER (regexp_matches(text, '(?i)government\s+warning\s*:?')), min(line_idx) FILTER (regexp_matches(text, '(?i)\bwarning\b') AND regexp_matches(ahead, '{_OPEN}') AND regexp_matches(ahead, '{_GO}')), min(line_idx) FILTER (regexp_matches(text, '{_OPEN}') AND regexp_matches(ahead, '{_GO}'))) AS first FROM a GROUP BY 1),
 k AS (SELECT l.*, string_agg(text, chr(10)) OVER (PARTITION BY item_id ORDER BY line_idx) AS so_far FROM l JOIN f USING (item_id) WHERE line_idx >= first AND regexp_matches(text, '\p{{L}}')),
 z AS (SELECT *, length({_SPACE.format(_REJOIN.format('so_far'))}) AS size FROM k),
@@ -168,8 +169,13 @@ q AS (SELECT *, coalesce(o.opening <> '' AND regexp_matches(substr(o.after, 1, 2
 r AS (SELECT *, legible OR opened AS found, CASE WHEN legible THEN regexp_extract(t, '(?is)government\s+warning\s*:?(.*)$', 1) WHEN opened THEN (CASE WHEN regexp_matches(line, '(?is)^.*\bwarning\s*:?(.*)$') AND length(regexp_extract(line, '(?is)^.*\bwarning\s*:?(.*)$', 1)) <= 40 THEN regexp_extract(line, '(?is)^.*\bwarning\s*:?(.*)$', 1) ELSE '' END) || o.opening || o.after ELSE '' END AS rest FROM q),
 s AS (SELECT *, CASE WHEN legible THEN upper(prefix) = prefix END AS prefix_upper, lower({_SPACE.format(_REJOIN.format('rest'))}) AS seen, lower('{STATEMENT_BODY}') AS want FROM r),
 u AS (SELECT *, found AND seen = want AS exact, CASE WHEN seen = want THEN 0 ELSE levenshtein(seen, want) END AS distance FROM s),
-v AS (SELECT *, found AND NOT exact AND distance BETWEEN 1 AND {DEFAULT.near_miss_edits} AS near_miss FROM u LEFT JOIN g USING (item_id))
-SELECT item_id, found, prefix_upper, exact, CASE WHEN found THEN distance END AS distance, near_miss, CASE WHEN exact AND prefix_upper THEN 'match' WHEN near_miss AND prefix_upper THEN 'needs_review' WHEN found AND (NOT exact OR prefix_upper IS NULL) AND NOT near_miss AND differing > 0 AND differing = illegible THEN 'not_certified' ELSE 'mismatch' END AS outcome FROM v""")
+v AS (SELECT *, found AND NOT exact AND distance BETWEEN 1 AND {DEFAULT.near_miss_edits} AS near_miss FROM u LEFT JOIN g USING (item_id))"""
+_SQL_STATEMENT_OUTCOME = "CASE WHEN exact AND prefix_upper THEN 'match' WHEN near_miss AND prefix_upper THEN 'needs_review' WHEN found AND (NOT exact OR prefix_upper IS NULL) AND NOT near_miss AND differing > 0 AND differing = illegible THEN 'not_certified' ELSE 'mismatch' END"
+
+
+@query(rf"""WITH l AS (SELECT *, {_CONF} AS confidence FROM ({_STATEMENT_LINES})),
+{_SQL_STATEMENT}
+SELECT item_id, found, prefix_upper, exact, CASE WHEN found THEN distance END AS distance, near_miss, {_SQL_STATEMENT_OUTCOME} AS outcome FROM v""")
 def statement_lines(spark, sf_dir):
     """The statement's check from lines with confidences: its first line, its block, its legibility and its outcome."""
     return statement.judged(_statement_lines(spark, sf_dir), "item_id")
@@ -206,21 +212,22 @@ def _sized(spark, sf_dir):
     return spark.sql(f"SELECT {_LINE} FROM _sized_lines GROUP BY l_orderkey, l_linenumber").withColumnRenamed("col", "column")
 
 
-_SQL_BLOCKS = f"""l AS (SELECT {_LINE} FROM lineitem GROUP BY l_orderkey, l_linenumber), k AS (SELECT * FROM l WHERE NOT claimed),
-p AS (SELECT *, CASE WHEN line_idx = lag(line_idx) OVER w + 1 AND col = lag(col) OVER w AND block = lag(block) OVER w AND least(height, lag(height) OVER w) > 0 AND abs(height - lag(height) OVER w) <= 0.25 * greatest(height, lag(height) OVER w) AND top - lag(top) OVER w <= 2.5 * greatest(height, lag(height) OVER w) THEN 0 ELSE 1 END AS s FROM k WINDOW w AS (PARTITION BY l_orderkey ORDER BY line_idx)),
+#: From unclaimed lines k to blocks b.
+_SQL_JOINED = """p AS (SELECT *, CASE WHEN line_idx = lag(line_idx) OVER w + 1 AND col = lag(col) OVER w AND block = lag(block) OVER w AND least(height, lag(height) OVER w) > 0 AND abs(height - lag(height) OVER w) <= 0.25 * greatest(height, lag(height) OVER w) AND top - lag(top) OVER w <= 2.5 * greatest(height, lag(height) OVER w) THEN 0 ELSE 1 END AS s FROM k WINDOW w AS (PARTITION BY l_orderkey ORDER BY line_idx)),
 g AS (SELECT *, sum(s) OVER (PARTITION BY l_orderkey ORDER BY line_idx) AS island FROM p),
-b AS (SELECT l_orderkey, island, min(line_idx) AS first_line, string_agg(text, ' ' ORDER BY line_idx) AS text, max(height) AS height, min(top) AS top FROM g GROUP BY 1, 2)"""
+b AS (SELECT l_orderkey, island, min(line_idx) AS first_line, string_agg(text, ' ' ORDER BY line_idx) AS text, max(height) AS height, min(top) AS top, round(avg(confidence), 1) AS confidence, min(col) AS col, min(block) AS block FROM g GROUP BY 1, 2)"""
+_SQL_BLOCKS = f"""l AS (SELECT {_LINE} FROM lineitem GROUP BY l_orderkey, l_linenumber), k AS (SELECT * FROM l WHERE NOT claimed), {_SQL_JOINED}"""
 
 
 @query(f"""WITH {_SQL_BLOCKS}, r AS (SELECT *, row_number() OVER w AS turn, lead(height) OVER w AS next FROM b WINDOW w AS (PARTITION BY l_orderkey ORDER BY height DESC, top, first_line)),
 f AS (SELECT * FROM r WHERE turn = 1 AND (next IS NULL OR height <= 0 OR next <= 0.7 * height)), r2 AS (SELECT *, row_number() OVER w AS turn2, lead(height) OVER w AS next2 FROM r WHERE turn > 1 AND l_orderkey IN (SELECT l_orderkey FROM f) WINDOW w AS (PARTITION BY l_orderkey ORDER BY height DESC, top, first_line)),
 s AS (SELECT * FROM r2 WHERE turn2 = 1 AND (next2 IS NULL OR height <= 0 OR next2 <= 0.7 * height)), o AS (SELECT DISTINCT l_orderkey FROM l)
-SELECT o.l_orderkey, 'brand_name' AS field, f.text, f.text IS NULL AND o.l_orderkey IN (SELECT l_orderkey FROM b) AS declined FROM o LEFT JOIN f USING (l_orderkey) UNION ALL SELECT o.l_orderkey, 'class_type', s.text, s.text IS NULL AND o.l_orderkey IN (SELECT l_orderkey FROM r2) FROM o LEFT JOIN s USING (l_orderkey)""")
+SELECT o.l_orderkey, 'brand_name' AS field, f.text, f.text IS NULL AND o.l_orderkey IN (SELECT l_orderkey FROM b) AS declined FROM o LEFT JOIN f USING (l_orderkey) UNION ALL SELECT o.l_orderkey, 'class_type', s.text, s.text IS NULL AND o.l_orderkey IN (SELECT l_orderkey FROM r2 UNION SELECT l_orderkey FROM b WHERE l_orderkey NOT IN (SELECT l_orderkey FROM f)) FROM o LEFT JOIN s USING (l_orderkey)""")
 def field_blocks(spark, sf_dir):
     """Brand and class by size: unclaimed lines, their blocks, and those that stand out."""
     rows = _sized(spark, sf_dir)
     found = layout.blocks(layout.unclaimed(rows, [rows.where("claimed")], "l_orderkey"), "l_orderkey")
-    return layout.two_fields(found, rows.select("l_orderkey").distinct(), "l_orderkey")
+    return layout.two_fields(found, rows.select("l_orderkey").distinct(), "l_orderkey").select("l_orderkey", "field", "text", "declined")
 
 
 @query(f"""SELECT l_orderkey, count(DISTINCT col) AS columns, count(DISTINCT (col, block)) AS regions, count(*) AS n_lines, round(coalesce(avg(confidence), 0), 1) AS confidence FROM (SELECT {_LINE} FROM lineitem GROUP BY l_orderkey, l_linenumber) GROUP BY 1""")
