@@ -10,8 +10,8 @@ from ..functions.quantities import abv_verdict, net_contents_verdict, verdict
 from ..functions.similarity import lcs_length
 from ..functions.text import missing, normalized
 from ..functions.verdict import text_verdict
-from ..vocab import COMPARED
-from . import search
+from ..vocab import COMPARED, FIELDS
+from . import search, statement
 
 UPLOADED, ARTWORK = "uploaded_photographs", "application_artwork"
 SEARCHED, PRESENCE, RESCUED = ("brand_name", "class_type"), ("alcohol_content", "net_contents"), ("net_contents",)
@@ -40,18 +40,20 @@ def circular(side: Column, source: Column) -> Column:
     return F.coalesce((side == ARTWORK) & (source == "parsed_from_artwork"), F.lit(False))
 
 
-def records(items: DataFrame, declared: DataFrame, values: DataFrame) -> DataFrame:
-    """(item_id, side, fields): a row for each of items (item_id, side), with a struct for each compared field, in order.
+def records(items: DataFrame, declared: DataFrame, values: DataFrame, names: tuple[str, ...] = COMPARED) -> DataFrame:
+    """(item_id, side, fields): a row for each of items (item_id, side), with a struct for each field of names, in order.
 
     declared (item_id, field, declared, source) and values (item_id, field, value, sheet, column, block, declined) have at
-    most one row a field; all three inputs are brought together by one shuffle. A field without a row has nulls.
+    most one row a field; all three inputs are brought together by one shuffle. A field without a row has nulls. Rows with a
+    null item_id are left out.
     """
     said = F.struct("field", "declared", "source")
-    read = F.struct("field", "value", "sheet", "column", "block", "declined")
+    counts = [c for c in ("differing", "illegible") if c in values.columns]
+    read = F.struct("field", "value", "sheet", "column", "block", "declined", *counts)
     none = lambda table, c: F.lit(None).cast(table.select(c).schema[0].dataType)
     heads = items.select("item_id", F.struct("side").alias("head"), none(declared, said).alias("said"), none(values, read).alias("read"))
     heads = heads.unionByName(declared.select("item_id", said.alias("said")), allowMissingColumns=True).unionByName(values.select("item_id", read.alias("read")), allowMissingColumns=True)
-    whole = heads.groupBy("item_id").agg(F.max("head").alias("head"), F.collect_list("said").alias("said"), F.collect_list("read").alias("read")).where("head IS NOT NULL")
+    whole = heads.where("item_id IS NOT NULL").groupBy("item_id").agg(F.max("head").alias("head"), F.collect_list("said").alias("said"), F.collect_list("read").alias("read")).where("head IS NOT NULL")
     of = lambda c, f: F.get(F.filter(c, lambda x: x["field"] == f), F.lit(0))
     side = F.col("head.side")
 
@@ -63,9 +65,10 @@ def records(items: DataFrame, declared: DataFrame, values: DataFrame) -> DataFra
         return F.struct(
             f.alias("field"), own.alias("own"), shown.alias("said"), F.when(asks, F.trim(shown)).alias("needle"), v["value"].alias("value"),
             v["sheet"].alias("sheet"), v["column"].alias("column"), v["block"].alias("block"), v["declined"].alias("declined"),
+            *[v[c].alias(c) for c in counts],
         )
 
-    return whole.select("item_id", side.alias("side"), F.transform(F.array(*map(F.lit, COMPARED)), one).alias("fields"))
+    return whole.select("item_id", side.alias("side"), F.transform(F.array(*map(F.lit, names)), one).alias("fields"))
 
 
 def best_hits(asked: DataFrame, units: DataFrame, settings: Settings = DEFAULT, common=lcs_length, strict: bool = False) -> DataFrame:
@@ -91,7 +94,7 @@ def best_hits(asked: DataFrame, units: DataFrame, settings: Settings = DEFAULT,
     return fields.groupBy("item_id").agg(F.collect_list("h").alias("hits"))
 
 
-def decided(items: DataFrame, declared: DataFrame, values: DataFrame, units: DataFrame, settings: Settings = DEFAULT, common=lcs_length, strict: bool = False) -> DataFrame:
+def decided(items: DataFrame, declared: DataFrame, values: DataFrame, units: DataFrame, settings: Settings = DEFAULT, common=lcs_length, strict: bool = False, body: str | None = None) -> DataFrame:
     """A row for every compared field of items (item_id, side): outcome, score, code, label_value, declared, sheet, column, block.
 
     declared and values: see records(); units and strict: see best_hits(). Brand and class are searched where they are
@@ -99,8 +102,11 @@ def decided(items: DataFrame, declared: DataFrame, values: DataFrame, units: Dat
     match level; alcohol never is. A hit below review gives no label value. On a circular row a declared presence field is
     withdrawn, and a match is artwork_derived, without a score. A field that a ranking declined has that as its code, unless
     it was searched for. Every input is shuffled by item once; the records are used for the search and for the decision.
+
+    body: the statement's, where it is to be decided, too. Its value is the statement as read, with the counts differing and
+    illegible; its row has no score and no declared value.
     """
-    whole = records(items, declared, values)
+    whole = records(items, declared, values, COMPARED if body is None else FIELDS)
     asks = F.transform(F.filter("fields", lambda f: f["needle"].isNotNull()), lambda f: F.struct(f["field"].alias("field"), f["needle"].alias("needle")))
     hits = best_hits(whole.select("item_id", asks.alias("asks")).where(F.size("asks") > 0), units, settings, common, strict)
     both = whole.join(hits, "item_id", "left").select("item_id", "hits", F.explode("fields").alias("f")).select("item_id", "hits", "f.*")
@@ -122,8 +128,12 @@ def decided(items: DataFrame, declared: DataFrame, values: DataFrame, units: Dat
         .when(field == "net_contents", net_contents_verdict(label, said, text))
         .otherwise(text)
     )
+    if body is not None:
+        checks = statement.checked(label, body, settings, F.coalesce("differing", F.lit(0)), F.coalesce("illegible", F.lit(0)))
+        said_so = F.struct(checks["outcome"].alias("outcome"), F.lit(None).cast("double").alias("score"), F.when(checks["found"], "statement").otherwise("absent").alias("code"))
+        made = F.when(field == "government_warning", said_so).otherwise(made)
     judged = seen.withColumn("v", made)
-    derived = F.col("own") & (F.col("v.outcome") == "match")
+    derived = F.col("own") & (F.col("v.outcome") == "match") & (field != "government_warning")
     declined = F.coalesce(F.col("declined"), F.lit(False)) & ~F.col("searched") & ~F.col("rescued")
     return judged.select(
         "item_id", "field", F.when(derived, "artwork_derived").otherwise(F.col("v.outcome")).alias("outcome"), F.when(~derived, F.col("v.score")).alias("score"),

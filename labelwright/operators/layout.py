@@ -53,14 +53,12 @@ def lines(words: DataFrame, *keys: str) -> DataFrame:
     return made.withColumn("line_idx", F.row_number().over(order) - 1).withColumn("sideways", (F.col("width") > 0) & (F.col("height") > F.col("width")))
 
 
-def blocks(rows: DataFrame, *keys: str, settings: Settings = DEFAULT) -> DataFrame:
-    """Blocks of neighbouring lines of one size: keys, island, first_line, n_lines, text, height, top, confidence, column, block.
+def islands(rows: DataFrame, *keys: str, settings: Settings = DEFAULT) -> DataFrame:
+    """rows with `island`: the number of the block of neighbouring lines of one size that a line is in.
 
-    Lines that are `sideways` (where there is such a column) are in no block and part their neighbours, as their height is not
-    their type's. A line joins the one before it if it follows it directly in the same region, their heights are within 25 %, and its
+    A line joins the one before it if it follows it directly in the same region, their heights are within 25 %, and its
     top is at most 2.5 line heights below. Heights of 0 never join.
     """
-    rows = rows.where(~F.coalesce("sideways", F.lit(False))) if "sideways" in rows.columns else rows
     order = Window.partitionBy(*keys).orderBy("line_idx")
     before = lambda c: F.lag(c).over(order)
     tall, short = F.greatest("height", before("height")), F.least("height", before("height"))
@@ -68,9 +66,27 @@ def blocks(rows: DataFrame, *keys: str, settings: Settings = DEFAULT) -> DataFra
         (F.col("line_idx") == before("line_idx") + 1) & (F.col("column") == before("column")) & (F.col("block") == before("block"))
         & (short > 0) & ((tall - short) <= tall * settings.size_tolerance) & (F.col("top") - before("top") <= tall * settings.gap_lines)
     )
-    marked = rows.withColumn("starts", (~F.coalesce(joins, F.lit(False))).cast("int")).withColumn("island", F.sum("starts").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    marked = rows.withColumn("starts", (~F.coalesce(joins, F.lit(False))).cast("int"))
+    return marked.withColumn("island", F.sum("starts").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("starts")
+
+
+def as_blocks() -> list[Column]:
+    """Aggregates of a block's lines: first_line, n_lines, text, height, top, confidence, column, block."""
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_idx", "text"))), lambda x: x["text"]), " ")
-    return marked.groupBy(*keys, "island").agg(F.min("line_idx").alias("first_line"), F.count("*").alias("n_lines"), text.alias("text"), F.max("height").alias("height"), F.min("top").alias("top"), F.round(F.avg("confidence"), 1).alias("confidence"), F.min("column").alias("column"), F.min("block").alias("block"))
+    return [
+        F.min("line_idx").alias("first_line"), F.count("*").alias("n_lines"), text.alias("text"), F.max("height").alias("height"), F.min("top").alias("top"),
+        F.round(F.avg("confidence"), 1).alias("confidence"), F.min_by("column", "line_idx").alias("column"), F.min_by("block", "line_idx").alias("block"),
+    ]
+
+
+def blocks(rows: DataFrame, *keys: str, settings: Settings = DEFAULT) -> DataFrame:
+    """Blocks of neighbouring lines of one size (see islands): keys, island, and as_blocks()'s columns.
+
+    Lines that are `sideways` (where there is such a column) are in no block and part their neighbours, as their height is not
+    their type's.
+    """
+    rows = rows.where(~F.coalesce("sideways", F.lit(False))) if "sideways" in rows.columns else rows
+    return islands(rows, *keys, settings=settings).groupBy(*keys, "island").agg(*as_blocks())
 
 
 def unclaimed(rows: DataFrame, claims: list[DataFrame], *keys: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, Settings
 from ..functions.quantities import states_alcohol, states_net_contents
 from ..functions.similarity import lcs_length
-from ..vocab import STATEMENT_BODY
+from ..vocab import FIELDS, STATEMENT_BODY
 from . import item, layout, search, statement
 
 
@@ -33,32 +33,37 @@ def fields(lines: DataFrame, *keys: str, body: str = STATEMENT_BODY, settings: S
     """(keys, field, value, confidence, prominence, column, block, declined, differing, illegible): a row for each of the five fields of each sheet.
 
     lines: as layout.lines() makes them. Alcohol and net contents are the lines that state them, the statement its lines, brand
-    and class the blocks that stand out of the lines that nothing claims. prominence is the type's height, 0 for a field found
-    by pattern. A field that is not there has a null value, and so has a statement that its check does not find. differing and
-    illegible are the statement's lines as statement.legibility() counts them; 0 for other fields.
+    and class the blocks that stand out of the lines that nothing claims (see layout.two_fields). prominence is the type's
+    height, 0 for a field found by pattern. A field that is not there has a null value, and so has a statement that its check
+    does not find. differing and illegible are the statement's lines as statement.legibility() counts them; null for other fields.
+
+    Windows and groups of one partitioning: lines are shuffled once, and each step reads the one before it, so that nothing is
+    computed twice.
     """
-    claimed = located(lines, *keys, body=body)
     differs, unsure = statement.illegibility(body, settings)
-    own = F.col("claim") == "government_warning"
-    sheets = claimed.groupBy(*keys).agg(
-        *[F.max(F.when(c, F.struct("text", "confidence", "column", "block"))).alias(n) for n, c in (("alcohol_content", F.col("claim") == "alcohol_content"), ("net_contents", (F.col("claim") == "net_contents") | F.col("both")))],
-        F.max(F.when(statement.located(F.col("statement"))[0], F.col("statement"))).alias("statement"), F.min_by(F.struct("column", "block"), F.when(F.col("claim") == "government_warning", F.col("line_idx"))).alias("place"),
-        layout.mean_confidence(F.when(own, F.col("confidence"))).alias("sure"), F.count_if(own & differs).alias("differing"), F.count_if(own & unsure).alias("illegible"),
+    kind = F.coalesce("claim", F.when(F.coalesce("sideways", F.lit(False)), "sideways").otherwise("size"))
+    claimed = located(lines, *keys, body=body).withColumn("kind", kind).withColumn("differs", differs).withColumn("unsure", unsure)
+    # claimed lines leave their places, so that they part their neighbours
+    placed = layout.islands(claimed, *keys, "kind", settings=settings).withColumn("island", F.when(F.col("kind") == "size", F.col("island")).otherwise(0))
+    more = [F.max("statement").alias("statement"), F.max("both").alias("both"), F.count_if("differs").alias("differing"), F.count_if("unsure").alias("illegible")]
+    parts = placed.groupBy(*keys, "kind", "island").agg(*layout.as_blocks(), *more)
+    ranked = layout.by_size(parts, *keys, "kind", settings=settings)
+
+    def pick(cond, value=F.col("text"), size=F.lit(0.0), differing=F.lit(None).cast("long"), illegible=F.lit(None).cast("long")):
+        own = F.struct(value.alias("value"), "confidence", size.alias("prominence"), "column", "block", differing.alias("differing"), illegible.alias("illegible"))
+        return F.max(F.when(cond, own))
+
+    large = lambda turn: pick((F.col("kind") == "size") & (F.col("turn") == turn) & F.col("clear"), size=F.col("height").cast("double"))
+    said = (F.col("kind") == "government_warning") & statement.located(F.col("statement"))[0]
+    sheets = ranked.groupBy(*keys).agg(
+        large(1).alias("brand_name"), large(2).alias("class_type"), pick(F.col("kind") == "alcohol_content").alias("alcohol_content"), pick((F.col("kind") == "net_contents") | F.col("both")).alias("net_contents"),
+        pick(said, F.col("statement"), differing=F.col("differing"), illegible=F.col("illegible")).alias("government_warning"), F.count_if(F.col("kind") == "size").alias("sized"),
     )
-    zero = F.lit(0).cast("long")
-
-    def row(field, value, confidence, column, block, differing=zero, illegible=zero):
-        return F.struct(F.lit(field).alias("field"), value.alias("value"), confidence.alias("confidence"), column.alias("column"), block.alias("block"), differing.alias("differing"), illegible.alias("illegible"))
-
-    line = lambda n: row(n, F.col(f"{n}.text"), F.col(f"{n}.confidence"), F.col(f"{n}.column"), F.col(f"{n}.block"))
-    said = row("government_warning", F.col("statement"), F.when(F.col("statement").isNotNull(), F.col("sure")), F.col("place.column"), F.col("place.block"), F.col("differing"), F.col("illegible"))
-    stated = sheets.select(*keys, F.explode(F.array(line("alcohol_content"), line("net_contents"), said)).alias("r")).select(*keys, "r.*")
-    stated = stated.withColumn("prominence", F.lit(0.0)).withColumn("declined", F.lit(False))
-    # places stay, so that a claimed line parts its neighbours
-    large = layout.two_fields(layout.blocks(claimed.where("claim IS NULL"), *keys, settings=settings), sheets, *keys, settings=settings)
-    large = large.withColumnRenamed("text", "value").withColumnRenamed("height", "prominence").withColumn("differing", zero).withColumn("illegible", zero)
-    columns = [*keys, "field", "value", "confidence", "prominence", "column", "block", "declined", "differing", "illegible"]
-    return stated.select(*columns).unionByName(large.select(*columns))
+    first = F.col("brand_name").isNotNull()
+    sheets = sheets.withColumn("class_type", F.when(first, F.col("class_type")))
+    left = {"brand_name": F.col("sized"), "class_type": F.col("sized") - first.cast("int")}
+    row = lambda f: F.struct(F.lit(f).alias("field"), F.col(f).alias("r"), (F.col(f).isNull() & (left.get(f, F.lit(0)) > 0)).alias("declined"))
+    return sheets.select(*keys, F.explode(F.array(*map(row, FIELDS))).alias("x")).select(*keys, "x.field", "x.r.*", "x.declined")
 
 
 def merged(read: DataFrame, key: str = "item_id", sheet: str = "sheet") -> DataFrame:
@@ -83,12 +88,5 @@ def verified(words: DataFrame, items: DataFrame, declared: DataFrame, photos: Da
     keys = ("item_id", "sheet")
     lines = layout.lines(words, *keys)
     values = merged(fields(lines, *keys, body=body, settings=settings))
-    read = values.where("field <> 'government_warning'").drop("differing", "illegible")
-    rows = item.decided(items, declared, read, search.units(lines, *keys), settings, common, strict)
-    best = values.where("field = 'government_warning' AND value IS NOT NULL").select("item_id", "sheet", "column", "block", "differing", "illegible", F.col("value").alias("statement"))
-    both = items.select("item_id").join(best, "item_id", "left")
-    checks = statement.checked(F.col("statement"), body, settings, F.coalesce("differing", F.lit(0)), F.coalesce("illegible", F.lit(0)))
-    none = lambda kind: F.lit(None).cast(kind)
-    code = F.when(checks["found"], "statement").otherwise("absent")
-    said = both.select("item_id", F.lit("government_warning").alias("field"), checks["outcome"].alias("outcome"), none("double").alias("score"), code.alias("code"), F.when(checks["found"], F.col("statement")).alias("label_value"), none("string").alias("declared"), "sheet", "column", "block")
-    return item.with_panels(rows.unionByName(said), photos)
+    rows = item.decided(items, declared, values, search.units(lines, *keys), settings, common, strict, body)
+    return item.with_panels(rows, photos)
