@@ -112,23 +112,30 @@ def file_side(content_type: Column, head: Column, text: Column, decodable: Colum
     )
 
 
+def by_area(*keys: str):
+    """The order in which panels are read: the largest first, then by page and place."""
+    return Window.partitionBy(*keys).orderBy(F.desc("pixels"), "page", "ordinal")
+
+
 def scan(panels: DataFrame, *keys: str, settings: Settings = DEFAULT) -> DataFrame:
     """panels (keys, ordinal, page, pixels, reads, has_text, satisfies) with rank and status, largest first.
 
     too_small: under the least area. not_read: beyond the first 8. A panel is read while the reads before it are below the
-    budget and no panel before satisfied: read or no_text; else not_needed or not_reached, whichever came first.
+    budget and no panel before satisfied: read or no_text; else not_needed or not_reached, whichever came first. A panel that
+    can't be decoded has a null has_text: in its turn it is undecodable, costs no reads and satisfies nothing.
     """
     own = panels.withColumn("fits", F.col("pixels") >= settings.min_pixels)
-    order = Window.partitionBy(*keys, "fits").orderBy(F.desc("pixels"), "page", "ordinal")
+    order = by_area(*keys, "fits")
     past = order.rowsBetween(Window.unboundedPreceding, -1)
-    ranked = own.withColumn("rank", F.row_number().over(order)).withColumn("spent", F.coalesce(F.sum("reads").over(past), F.lit(0))).withColumn("over", F.coalesce(F.max((F.col("satisfies") & F.col("has_text")).cast("int")).over(past), F.lit(0)))
+    charged = F.when(F.col("has_text").isNotNull(), F.col("reads"))
+    ranked = own.withColumn("rank", F.row_number().over(order)).withColumn("spent", F.coalesce(F.sum(charged).over(past), F.lit(0))).withColumn("over", F.coalesce(F.max((F.col("satisfies") & F.col("has_text")).cast("int")).over(past), F.lit(0)))
     stop = Window.partitionBy(*keys, "fits").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     spent_at = F.min(F.when(F.col("spent") >= settings.max_reads, F.col("rank"))).over(stop)
     over_at = F.min(F.when(F.col("over") == 1, F.col("rank"))).over(stop)
     status = (
         F.when(~F.col("fits"), "too_small").when(F.col("rank") > settings.max_pictures, "not_read")
         .when(over_at.isNotNull() & (spent_at.isNull() | (over_at <= spent_at)), "not_needed").when(spent_at.isNotNull(), "not_reached")
-        .when(F.col("has_text"), "read").otherwise("no_text")
+        .when(F.col("has_text").isNull(), "undecodable").when(F.col("has_text"), "read").otherwise("no_text")
     )
     return ranked.withColumn("status", status).drop("fits", "spent", "over")
 

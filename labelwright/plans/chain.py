@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.similarity import lcs_length_udf
-from ..operators import reading
+from ..operators import layout, panels, reading
 from ..vocab import STATEMENT_PREFIX
 from .registry import query, table
 from .verdicts import _DECIDE, _PIECES, _SQL_JOINED, _SQL_STATEMENT, _SQL_STATEMENT_OUTCOME
@@ -67,8 +67,34 @@ every AS (SELECT * FROM decided UNION ALL SELECT i.item_id, 'government_warning'
 @query(f"WITH RECURSIVE {_CHAIN}, photos AS ({_PHOTOS}) SELECT item_id, field, outcome, score, code, label_value, declared, sheet, block, panel FROM every LEFT JOIN photos USING (item_id, sheet)")
 def item_chain(spark, sf_dir):
     """From word boxes to decided fields: lines, claims, blocks by size, merged readings, searches, verdicts and the statement."""
+    words, of = _inputs(spark, sf_dir)
+    return reading.verified(words, of(_ITEMS), of(_DECLARED), of(_PHOTOS), common=lcs_length_udf(spark)).drop("column")
+
+
+def _inputs(spark, sf_dir):
     table(spark, sf_dir, "part").createOrReplaceTempView("_chain_parts")
     of = lambda sql: spark.sql(sql.replace("FROM part", "FROM _chain_parts"))
     words = of(_LINES).select("*", F.posexplode(F.split("text", " ")).alias("i", "w"))
-    words = words.select("item_id", "sheet", F.lit(1).alias("page"), F.lit(0).alias("column"), "block", F.lit(1).alias("par"), "line", F.col("i").alias("word_idx"), F.col("w").alias("text"), "conf", (F.col("i") * 130).alias("left"), (F.col("line") * 20).alias("top"), "width", "height")
-    return reading.verified(words, of(_ITEMS), of(_DECLARED), of(_PHOTOS), common=lcs_length_udf(spark)).drop("column")
+    return words.select("item_id", "sheet", F.lit(1).alias("page"), F.lit(0).alias("column"), "block", F.lit(1).alias("par"), "line", F.col("i").alias("word_idx"), F.col("w").alias("text"), "conf", (F.col("i") * 130).alias("left"), (F.col("line") * 20).alias("top"), "width", "height"), of
+
+
+#: Panels of a document, a sheet each and one without lines; the size, the cost and what became of the picture by rule.
+_PANELS = " UNION ALL ".join(f"SELECT p_partkey AS item_id, {k} AS ordinal, {k} % 2 AS page, CAST(200000 + (p_partkey * {k + 3}) % 7 * 90000 AS BIGINT) AS pixels, CAST(4 + (p_partkey + {k}) % 9 AS INT) AS reads, CASE WHEN (p_partkey + {k}) % 8 = 0 THEN NULL ELSE {k} < 3 END AS has_text FROM part" for k in range(4))
+
+
+@query(f"""WITH RECURSIVE {_CHAIN}, pn AS ({_PANELS}),
+own AS (SELECT item_id, sheet, bool_or(field = 'brand_name' AND value IS NOT NULL) AS brand, bool_or(field = 'class_type' AND value IS NOT NULL) AS class, bool_or(field = 'alcohol_content') AS alcohol, bool_or(field = 'net_contents') AS contents FROM rd GROUP BY 1, 2),
+hit AS (SELECT item_id, sheet, bool_or(field = 'brand_name' AND outcome = 'match') AS brand, bool_or(field = 'class_type' AND outcome = 'match') AS class FROM f GROUP BY 1, 2),
+ask AS (SELECT item_id, bool_or(field = 'brand_name' AND coalesce(trim(declared), '') <> '') AS brand, bool_or(field = 'class_type' AND coalesce(trim(declared), '') <> '') AS class FROM declared_ GROUP BY 1),
+sw AS (SELECT pn.*, coalesce(has_text, false) AND coalesce(CASE WHEN ask.brand THEN hit.brand ELSE own.brand END, false) AS brand, coalesce(has_text, false) AND coalesce(CASE WHEN ask.class THEN hit.class ELSE own.class END, false) AS class, coalesce(has_text AND own.alcohol, false) AS alcohol, coalesce(has_text AND own.contents, false) AS contents, coalesce(has_text AND st.found, false) AS warning
+  FROM pn LEFT JOIN own ON own.item_id = pn.item_id AND own.sheet = ordinal LEFT JOIN hit ON hit.item_id = pn.item_id AND hit.sheet = ordinal LEFT JOIN ask ON ask.item_id = pn.item_id LEFT JOIN st ON st.item_id = 10 * pn.item_id + ordinal),
+rn AS (SELECT *, pixels >= 250000 AS fits, row_number() OVER w AS rank, coalesce(sum(reads) FILTER (has_text IS NOT NULL) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent, bool_or(brand) OVER w AND bool_or(class) OVER w AND bool_or(alcohol) OVER w AND bool_or(contents) OVER w AND bool_or(warning) OVER w AS satisfies FROM sw WINDOW w AS (PARTITION BY item_id, pixels >= 250000 ORDER BY pixels DESC, page, ordinal)),
+ov AS (SELECT *, coalesce(bool_or(satisfies AND coalesce(has_text, false)) OVER (PARTITION BY item_id, fits ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS over FROM rn),
+sp AS (SELECT *, min(rank) FILTER (spent >= 16) OVER v AS spent_at, min(rank) FILTER (over) OVER v AS over_at FROM ov WINDOW v AS (PARTITION BY item_id, fits ORDER BY rank ROWS UNBOUNDED PRECEDING))
+SELECT item_id, ordinal, rank, satisfies, CASE WHEN NOT fits THEN 'too_small' WHEN rank > 8 THEN 'not_read' WHEN over_at IS NOT NULL AND (spent_at IS NULL OR over_at <= spent_at) THEN 'not_needed' WHEN spent_at IS NOT NULL THEN 'not_reached' WHEN has_text IS NULL THEN 'undecodable' WHEN has_text THEN 'read' ELSE 'no_text' END AS status FROM sp""")
+def panel_pool(spark, sf_dir):
+    """The scan of a document's pictures, stopped by what the panels so far show of its declared values."""
+    words, of = _inputs(spark, sf_dir)
+    lines = layout.lines(words, "item_id", "sheet").withColumnRenamed("sheet", "ordinal")
+    out = panels.scanned(of(_PANELS), lines, of(_DECLARED), "item_id", common=lcs_length_udf(spark))
+    return out.select("item_id", "ordinal", F.col("rank").cast("long").alias("rank"), "satisfies", "status")
