@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import batch, presentation, quality
+from ..operators import batch, order_statistics, presentation, quality
 from ..sources import tables
 from .registry import made, query, table
 
@@ -166,3 +166,11 @@ def phase_totals(spark, sf_dir):
     ms = F.round(F.col("value") * 100).cast("long").cast("double") * F.when(F.col("event_type") == "view", F.when(F.col("user_id") % 2 == 0, 1).otherwise(100)).otherwise(1)
     e = table(spark, sf_dir, "events").select("user_id", F.when(F.col("event_type") == "view", "total").otherwise(F.col("event_type")).alias("phase"), ms.alias("ms"))
     return quality.phase_totals(e, ["click", "error", "purchase"], "user_id")
+
+
+@query("SELECT event_type, user_id % 3 AS shard, count(value) AS n, min(value) AS least, quantile_cont(value, 0.05) AS p05, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.95) AS p95, quantile_cont(value, 0.999) AS p999, max(value) AS most FROM events GROUP BY ALL")
+def value_quantiles(spark, sf_dir):
+    """Exact quantiles of each type and shard, by narrowing intervals."""
+    e = made(spark, sf_dir, "events", "event_type", "user_id % 3 AS shard", "value")
+    out = order_statistics.quantiles(e, "value", (0.05, 0.5, 0.95, 0.999), "event_type", "shard")
+    return out.select("event_type", "shard", "n", "least", *[F.col("quantiles")[i].alias(c) for i, c in enumerate(("p05", "median", "p95", "p999"))], "most")
