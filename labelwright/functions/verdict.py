@@ -77,3 +77,20 @@ def checks(df: DataFrame, outcome: str, *keys: str) -> DataFrame:
     passed = F.count_if(F.col(outcome).isin("match", "present"))
     derived = F.count_if(F.col(outcome) == "artwork_derived")
     return df.groupBy(*keys).agg(passed.alias("passed"), (F.count("*") - derived).alias("checks"), derived.alias("derived"))
+
+
+def rolled_tallies(df: DataFrame, outcome: str, *levels: str) -> DataFrame:
+    """(levels, level, n, a count of each outcome, worst, passed, derived): of each group of all levels, of ever fewer of them, and of all rows.
+
+    levels go from the widest to the narrowest, such as batch and item. level is how many of them a row is of; the others are
+    null. worst is the outcome that a roll-up shows. One pass: rows are expanded to the levels after they are counted by the
+    narrowest, so that the shuffle has one row a group and task.
+    """
+    rank = F.array_position(F.array(*map(F.lit, ROLL_UP)), F.col(outcome))
+    own = df.groupBy(*levels).agg(F.count("*").alias("n"), *[F.count_if(F.col(outcome) == o).alias(o) for o in OUTCOMES], F.min(F.when(rank > 0, rank)).alias("least"))
+    sets = [list(levels[:k]) for k in range(len(levels), -1, -1)]
+    numbers = ["n", *OUTCOMES]
+    level = sum((1 - F.grouping(c).cast("int") for c in levels), F.lit(0)).alias("level")
+    every = own.groupingSets([[F.col(c) for c in s] for s in sets], *levels).agg(level, *[F.sum(c).alias(c) for c in numbers], F.min("least").alias("least"))
+    worst = F.try_element_at(F.array(*map(F.lit, ROLL_UP)), F.col("least").cast("int"))
+    return every.select(*levels, "level", *numbers, worst.alias("worst"), (F.col("match") + F.col("present")).alias("passed"), F.col("artwork_derived").alias("derived"))

@@ -61,6 +61,17 @@ def refuse_oversized(files: DataFrame, batch: str = "batch_id", settings: Settin
         raise ValueError(f"{worst} rows in a batch; {settings.max_rows} are allowed")
 
 
+def refusals(files: DataFrame, batch: str = "batch_id", settings: Settings = DEFAULT) -> DataFrame:
+    """(batch, error, rows, limit): the batches with more rows than are allowed, by the stems of their files (batch, filename)."""
+    sizes = files.groupBy(batch).agg(F.count_distinct(stem(F.col("filename"))).alias("rows"))
+    return sizes.where(F.col("rows") > settings.max_rows).select(batch, F.lit("batch_too_large").alias("error"), "rows", F.lit(settings.max_rows).cast("long").alias("limit"))
+
+
+def admitted(files: DataFrame, batch: str = "batch_id", settings: Settings = DEFAULT) -> DataFrame:
+    """files without those of refused batches: such a batch is refused as a whole, before any of its files is looked at."""
+    return files.join(refusals(files, batch, settings).select(batch), batch, "left_anti")
+
+
 def bucket_tally(rows: DataFrame, outcome: str = "row_outcome") -> DataFrame:
     """(turn, bucket, n): rows of each outcome and of `error`, zero where there is none; turn is the order of display."""
     spark = rows.sparkSession

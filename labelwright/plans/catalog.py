@@ -406,7 +406,7 @@ def latency_stats(spark, sf_dir):
 
 
 def queries() -> dict:
-    from . import batches, chain, papers, searches, verdicts  # noqa: F401  they register their queries
+    from . import batches, chain, papers, searches, streams, verdicts  # noqa: F401  they register their queries
 
     return dict(FOUND)
 
