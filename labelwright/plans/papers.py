@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import documents
+from ..operators import documents, ticks
 from .registry import made, query, table
 
 # --- values of a document, which an order stands for -------------------------------------------------------------------
@@ -134,3 +134,42 @@ def basis_sentences(spark, sf_dir):
     side = documents.file_side(F.lit("image/png"), head, F.regexp_replace("html", documents.MARKS, ""), k != 1, k == 2)
     named = F.create_map(*[F.lit(x) for pair in documents.BASES.items() for x in pair])
     return table(spark, sf_dir, "pages").select("page_id", F.try_element_at(named, side["basis"]).alias("sentence"))
+
+
+# --- boxes on a page of luminances -----------------------------------------------------------------------------------------
+
+_WIDE, _HIGH = 64, 24
+#: A page's words: three captions in a line, one of them missing, broken over two lines or at the page's edge by rule.
+_CAPTIONS = [
+    (0, "'TYPE'", "2", "1", "8", "4"), (1, "CASE WHEN c_custkey % 13 = 0 THEN 'VINE' ELSE 'Wine:' END", "CASE WHEN c_custkey % 17 = 0 THEN 0 ELSE 12 END", "8 + c_custkey % 5", "18", "11 + c_custkey % 5"),
+    (2, "'DISTILLED'", "30", "9", "36", "12"), (3, "'(SPIRITS),'", "37", "9", "42", "12"), (4, "'distilled'", "32", "10", "38", "13"), (5, "'Spirits'", "39", "CASE WHEN c_custkey % 11 = 0 THEN 20 ELSE 10 END", "44", "13"),
+    (6, "'MALT'", "54", "12", "58", "16"), (7, "'BEVERAGES'", "59", "12", "63", "16"),
+]
+_WORDS_SQL = " UNION ALL ".join(f"SELECT c_custkey, {i} AS word_idx, {t} AS text, CAST({a} AS INT) AS x_left, CAST({b} AS INT) AS y_top, CAST({c} AS INT) AS x_right, CAST({d} AS INT) AS y_bottom FROM customer" for i, t, a, b, c, d in _CAPTIONS)
+_INK = "CASE WHEN c_custkey % 4 = CASE WHEN x < 16 THEN 0 WHEN x < 36 THEN 1 ELSE 2 END AND (x + y + c_custkey) % 3 = 0 THEN 60 ELSE 0 END"
+_CELL = f"CAST(250 - (x * 7 + y * 3 + c_custkey) % 9 - {_INK} AS BIGINT)"
+_STEMS = [("wine", ("wine",)), ("distilled spirits", ("distilled", "spirits")), ("malt beverage", ("malt", "beverage"))]
+_RUNS = " UNION ALL ".join(
+    f"SELECT c_custkey, '{option}' AS option, word_idx, l, t, r, b FROM (SELECT c_custkey, word_idx, " + (
+        f"x_left AS l, y_top AS t, x_right AS r, y_bottom AS b FROM s WHERE starts_with(lower(text), '{stems[0]}'))" if len(stems) == 1 else
+        f"least(x_left, l2) AS l, least(y_top, t2) AS t, greatest(x_right, r2) AS r, greatest(y_bottom, b2) AS b FROM s WHERE starts_with(lower(text), '{stems[0]}') AND starts_with(lower(n2), '{stems[1]}') AND abs(y_top - t2) <= greatest(y_bottom - y_top, b2 - t2) * 0.5)")
+    for option, stems in _STEMS
+)
+
+
+@query(f"""WITH w AS (SELECT * REPLACE (regexp_replace(text, '^[ .:,]+|[ .:,]+$', '', 'g') AS text) FROM ({_WORDS_SQL})),
+s AS (SELECT *, lead(text) OVER o AS n2, lead(x_left) OVER o AS l2, lead(y_top) OVER o AS t2, lead(x_right) OVER o AS r2, lead(y_bottom) OVER o AS b2 FROM w WINDOW o AS (PARTITION BY c_custkey ORDER BY word_idx)),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey, option ORDER BY word_idx) AS k FROM ({_RUNS})) WHERE k = 1),
+z AS (SELECT c_custkey, option, greatest(round_even(l - (b - t) * 0.25 - (b - t) * 2.4, 0), 0) AS x0, least(round_even(l - (b - t) * 0.25, 0), {_WIDE}) AS x1, greatest(round_even((t + b) / 2 - (b - t) * 1.2, 0), 0) AS y0, least(round_even((t + b) / 2 - (b - t) * 1.2 + (b - t) * 2.4, 0), {_HIGH}) AS y1 FROM f),
+c AS (SELECT c_custkey, x, y, {_CELL} AS luminance FROM customer, range({_WIDE}) a(x), range({_HIGH}) e(y)),
+m AS (SELECT z.c_custkey, option, avg(luminance) AS luminance FROM z LEFT JOIN c ON c.c_custkey = z.c_custkey AND x >= x0 AND x < x1 AND y >= y0 AND y < y1 GROUP BY 1, 2),
+g AS (SELECT c_custkey, count(*) AS options, count(luminance) AS read, arg_min(option, (luminance, option)) AS darkest, min(luminance) AS least, list_sort(list(luminance) FILTER (luminance IS NOT NULL))[2] AS next FROM m GROUP BY 1),
+r AS (SELECT *, CASE WHEN coalesce(options, 0) < 3 THEN 'not_located' WHEN read < 3 THEN 'unreadable' WHEN next - least < 12 THEN 'too_close' ELSE 'ticked' END AS reason FROM customer LEFT JOIN g USING (c_custkey))
+SELECT c_custkey, CASE WHEN reason = 'ticked' THEN darkest END AS value, CASE WHEN reason IN ('ticked', 'too_close') THEN round(next - least, 1) END AS separation, reason FROM r""")
+def ticked_pages(spark, sf_dir):
+    """The ticked box of each page, from its captions' places and its luminances."""
+    table(spark, sf_dir, "customer").createOrReplaceTempView("_ticked_customers")
+    words = spark.sql(_WORDS_SQL.replace("FROM customer", "FROM _ticked_customers")).withColumnsRenamed({"x_left": "left", "y_top": "top", "x_right": "right", "y_bottom": "bottom"})
+    pages = table(spark, sf_dir, "customer").select("c_custkey", F.lit(_WIDE).alias("width"), F.lit(_HIGH).alias("height"))
+    grid = pages.select("c_custkey", F.explode(F.sequence(F.lit(0), F.lit(_WIDE - 1))).alias("x")).select("*", F.explode(F.sequence(F.lit(0), F.lit(_HIGH - 1))).alias("y"))
+    return ticks.read(words, grid.selectExpr("c_custkey", "x", "y", f"{_CELL} AS luminance"), pages, "c_custkey")

@@ -25,3 +25,6 @@ STATEMENT_BODY = (
     "risk of birth defects. (2) Consumption of alcoholic beverages impairs your ability to drive a car or operate "
     "machinery, and may cause health problems."
 )
+#: What the captions of the product types begin with, and the place of their boxes in caption heights.
+OPTION_STEMS = {"wine": ("wine",), "distilled spirits": ("distilled", "spirits"), "malt beverage": ("malt", "beverage")}
+BOX_SIZE, BOX_GAP = 2.4, 0.25
