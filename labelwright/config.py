@@ -24,6 +24,7 @@ class Settings:
     column_gap_share: float = 0.025
     column_gap_type: float = 1.25
     confidence_tie: float = 1.0
+    strict_text: bool = False
 
 
 DEFAULT = Settings()

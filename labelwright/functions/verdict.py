@@ -32,10 +32,10 @@ def compared_text(label: Column, declared: Column, settings: Settings = DEFAULT,
     return F.coalesce(missing_outcome(label, declared), F.when((a == "") | (b == ""), "needs_review"), F.when(a == b, "match").otherwise(banded(common(a, b), a, b, settings)))
 
 
-def text_verdict(label: Column, declared: Column, settings: Settings = DEFAULT, lcs: Column | None = None) -> Column:
+def text_verdict(label: Column, declared: Column, settings: Settings = DEFAULT, lcs: Column | None = None, folded: tuple[Column, Column] | None = None) -> Column:
     """struct (outcome, score, code) of two texts; outcomes as compared_text() gives them, scores to one decimal.
 
-    lcs: a column with the common length of the normalized texts, where it is computed already.
+    lcs: a column with the common length of the normalized texts, where it is computed already; folded: those texts.
     """
 
     def decide(a: Column, b: Column, n: Column) -> Column:
@@ -47,7 +47,7 @@ def text_verdict(label: Column, declared: Column, settings: Settings = DEFAULT,
             .otherwise(verdict(banded(n, a, b, settings), F.round(ratio(n, a, b), 1), "text"))
         )
 
-    a, b = normalized(label), normalized(declared)
+    a, b = folded or (normalized(label), normalized(declared))
     return once(decide, a, b, F.when(a != b, lcs_length(a, b)) if lcs is None else lcs)
 
 

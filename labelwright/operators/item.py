@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, Settings
 from ..functions.quantities import abv_verdict, net_contents_verdict, verdict
 from ..functions.similarity import lcs_length
-from ..functions.text import missing, normalized
+from ..functions.text import NATIVE, Folding, folding, missing
 from ..functions.verdict import text_verdict
 from ..vocab import COMPARED, FIELDS
 from . import search, statement
@@ -71,7 +71,7 @@ def records(items: DataFrame, declared: DataFrame, values: DataFrame, names: tup
     return whole.select("item_id", side.alias("side"), F.transform(F.array(*map(F.lit, names)), one).alias("fields"))
 
 
-def best_hits(asked: DataFrame, units: DataFrame, settings: Settings = DEFAULT, common=lcs_length, strict: bool = False) -> DataFrame:
+def best_hits(asked: DataFrame, units: DataFrame, settings: Settings = DEFAULT, common=lcs_length, strict: bool = False, folding: Folding = NATIVE) -> DataFrame:
     """(item_id, hits): of asked (item_id, asks), an array of (field, needle), the best sheet's hit of each field of items with units.
 
     A hit is a struct (field, hit, score, code, sheet, column, block, outcome). Each sheet's units (item_id, sheet, unit,
@@ -83,7 +83,7 @@ def best_hits(asked: DataFrame, units: DataFrame, settings: Settings = DEFAULT,
     pairs = pairs.select("item_id", "a.field", "a.needle", "sheet", "column", "block", "unit", "text")
     keys = ("item_id", "field", "sheet", "column", "block")
     turns = search.both_turns(pairs, *keys, strip_code=F.col("field") == "class_type")
-    best = search.hits(turns, *keys, "declared", "turn", common=common, strict=strict).repartition("item_id")
+    best = search.hits(turns, *keys, "declared", "turn", common=common, strict=strict, folding=folding).repartition("item_id")
     place = F.struct(F.round("raw", 1).alias("score"), "hit", F.struct("column", "block").alias("unit"))
     turn = lambda i: F.max_by(F.when(F.col("raw").isNotNull(), place), F.when(F.col("turn") == i, search.order(strict, "unit", "size", "start"))).alias(f"h{i}")
     sheets = best.groupBy("item_id", "field", "sheet", "declared").agg(turn(0), turn(1))
@@ -105,10 +105,13 @@ def decided(items: DataFrame, declared: DataFrame, values: DataFrame, units: Dat
 
     body: the statement's, where it is to be decided, too. Its value is the statement as read, with the counts differing and
     illegible; its row has no score and no declared value.
+
+    settings.strict_text: texts are compared after NFKC and casefold; see text.folding(). Hits are then in composed form.
     """
+    text_form = folding(items.sparkSession, settings.strict_text)
     whole = records(items, declared, values, COMPARED if body is None else FIELDS)
     asks = F.transform(F.filter("fields", lambda f: f["needle"].isNotNull()), lambda f: F.struct(f["field"].alias("field"), f["needle"].alias("needle")))
-    hits = best_hits(whole.select("item_id", asks.alias("asks")).where(F.size("asks") > 0), units, settings, common, strict)
+    hits = best_hits(whole.select("item_id", asks.alias("asks")).where(F.size("asks") > 0), units, settings, common, strict, text_form)
     both = whole.join(hits, "item_id", "left").select("item_id", "hits", F.explode("fields").alias("f")).select("item_id", "hits", "f.*")
     field = F.col("field")
     seen = both.withColumn("h", F.get(F.filter("hits", lambda h: h["field"] == field), F.lit(0))).drop("hits")
@@ -120,8 +123,9 @@ def decided(items: DataFrame, declared: DataFrame, values: DataFrame, units: Dat
     label, said = F.col("label_value"), F.col("said")
     code = lambda c: verdict(F.col("h.outcome"), F.col("h.score"), c)
     found = F.when(F.col("h.score").isNull(), code("no_text")).when(F.col("h.outcome") == "match", code("found")).when(shows, code("close")).otherwise(code("not_found"))
-    seen = seen.withColumn("lcs", common(normalized(label), normalized(said)))
-    text = text_verdict(label, said, settings, F.col("lcs"))
+    seen = seen.withColumn("_a", text_form.fold(text_form.compose(label))).withColumn("_b", text_form.fold(text_form.compose(said)))
+    seen = seen.withColumn("lcs", common(F.col("_a"), F.col("_b")))
+    text = text_verdict(label, said, settings, F.col("lcs"), (F.col("_a"), F.col("_b")))
     made = (
         F.when(F.col("searched"), found)
         .when(field == "alcohol_content", abv_verdict(label, said, text["score"], settings))

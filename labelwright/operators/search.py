@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
 from ..functions.similarity import DEPTH, Goals, lcs_length, least_sum, ratio
-from ..functions.text import normalized, tokens, without_code
+from ..functions.text import NATIVE, Folding, normalized, tokens, without_code
 from ..functions.verdict import band
 from ..session import ship
 
@@ -24,14 +24,15 @@ def units(lines: DataFrame, *keys: str) -> DataFrame:
     return own.where(F.size(tokens(F.col("text"))) > 0).select(*keys, "column", "block", turn.alias("unit"), "text")
 
 
-def windows(pairs: DataFrame, *keys: str) -> DataFrame:
+def windows(pairs: DataFrame, *keys: str, folding: Folding = NATIVE) -> DataFrame:
     """(keys, unit, before, size, start, hit, seen, goal): the runs of a unit's words that a needle is compared with.
 
     pairs: keys, needle, unit, text. Runs have one word less than the needle, as many or one more; lengths below one word
     or beyond the unit's are left out, not cut to fit. A pair without any run has one row, of nulls. Texts are dealt out in
     stretches of STRETCH starts, so that a long one is many tasks' work and no row carries the whole of it.
     """
-    split = pairs.withColumn("words", tokens(F.col("text"))).withColumn("want", tokens(F.col("needle")))
+    split = pairs.withColumn("_text", folding.compose(F.col("text"))).withColumn("_needle", folding.compose(F.col("needle")))
+    split = split.withColumn("words", tokens(F.col("_text"), folding.fold)).withColumn("want", tokens(F.col("_needle"), folding.fold))
     goal = F.array_join(F.transform("want", lambda t: t["norm"]), " ").alias("goal")
     size = F.coalesce(F.size("words"), F.lit(0))
     first = F.explode(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0)), F.lit(STRETCH))).alias("before")
@@ -69,24 +70,24 @@ def order(strict: bool, *place: str) -> Column:
     return F.struct(rounded, above, *[F.when(above, F.col(c)).otherwise(-F.col(c)) for c in place])
 
 
-def hits(pairs: DataFrame, *keys: str, common=lcs_length, strict: bool = False) -> DataFrame:
+def hits(pairs: DataFrame, *keys: str, common=lcs_length, strict: bool = False, folding: Folding = NATIVE) -> DataFrame:
     """(keys, unit, size, start, hit, raw): of each stretch of each pair the best run, as order() has it; nulls where there is none.
 
     One shuffle: the best of a stretch is chosen where its runs are made.
     """
-    every = windows(pairs, *keys)
+    every = windows(pairs, *keys, folding=folding)
     scored = every.withColumn("raw", ratio(common(F.col("seen"), F.col("goal")), F.col("seen"), F.col("goal")))
     best = scored.groupBy(*keys, "unit", "before").agg(F.max_by(F.struct("size", "start", "hit", "raw"), order(strict, "unit", "size", "start")).alias("best"))
     return best.select(*keys, "unit", "best.*")
 
 
-def found(pairs: DataFrame, *keys: str, common=lcs_length, strict: bool = False) -> DataFrame:
+def found(pairs: DataFrame, *keys: str, common=lcs_length, strict: bool = False, folding: Folding = NATIVE) -> DataFrame:
     """The hit of each group of pairs (keys, needle, unit, text): text, score to one decimal, unit; no row if no hit.
 
     A run equal to the needle scores 100, which no other does, so it beats every other, however early. Equal scores go to the
     earlier unit, then the shorter run, then the earlier start; strict: see order().
     """
-    best = hits(pairs, *keys, common=common, strict=strict).where("raw IS NOT NULL").groupBy(*keys).agg(F.max_by(F.struct("hit", "raw", "unit"), order(strict, "unit", "size", "start")).alias("best"))
+    best = hits(pairs, *keys, common=common, strict=strict, folding=folding).where("raw IS NOT NULL").groupBy(*keys).agg(F.max_by(F.struct("hit", "raw", "unit"), order(strict, "unit", "size", "start")).alias("best"))
     return best.select(*keys, F.col("best.hit").alias("hit"), F.round("best.raw", 1).alias("score"), F.col("best.unit").alias("unit"))
 
 
@@ -101,13 +102,13 @@ def both_turns(pairs: DataFrame, *keys: str, strip_code: bool | Column = True, t
     return pairs.select(*keys, "unit", text, F.col("needle").alias("declared"), F.explode(turns).alias("ask")).select(*keys, "unit", text, "declared", "ask.turn", "ask.needle")
 
 
-def verified(pairs: DataFrame, *keys: str, strip_code: bool | Column = True, settings: Settings = DEFAULT, common=lcs_length, strict: bool = False) -> DataFrame:
+def verified(pairs: DataFrame, *keys: str, strip_code: bool | Column = True, settings: Settings = DEFAULT, common=lcs_length, strict: bool = False, folding: Folding = NATIVE) -> DataFrame:
     """Outcome of searching each needle: keys, hit, score, unit, code, outcome.
 
     A value that does not match is also searched without its trailing code, and that hit is taken if it is better: both are
     searched at once. The rounded score is banded. No hit at all is a mismatch without a score.
     """
-    best = hits(both_turns(pairs, *keys, strip_code=strip_code), *keys, "declared", "turn", common=common, strict=strict)
+    best = hits(both_turns(pairs, *keys, strip_code=strip_code), *keys, "declared", "turn", common=common, strict=strict, folding=folding)
     turn = lambda i: F.max_by(F.when(F.col("raw").isNotNull(), F.struct(F.round("raw", 1).alias("score"), "hit", "unit")), F.when(F.col("turn") == i, order(strict, "unit", "size", "start"))).alias(f"h{i}")
     out = best.groupBy(*keys, "declared").agg(turn(0), turn(1))
     return out.select(*keys, *chosen(F.col("h0"), F.col("h1"), F.col("declared"), settings))

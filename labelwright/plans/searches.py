@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..functions.similarity import lcs_length_udf
 from ..operators import search
 from .registry import query, sql_lcs, sql_normalized, sql_verified, table
@@ -60,3 +61,17 @@ def search_short_units(spark, sf_dir):
     """Needles in units with fewer words than they have: a run of one word less is the shortest that is compared."""
     table(spark, sf_dir, "part").createOrReplaceTempView("_short_parts")
     return search.verified(spark.sql(_SHORT.replace("FROM part", "FROM _short_parts")), "p_partkey", common=lcs_length_udf(spark)).select("p_partkey", "hit", "score", "code", "outcome")
+
+
+#: Texts with signs that stand for others: a ligature, a fraction, a sharp s, a dotted capital I, wide letters, an accent on its own.
+_SIGNED = "replace(replace(replace(replace(replace(replace(text, 'fi', 'ﬁ'), 'on', 'on½'), 'ss', 'ß'), 'D', 'İ'), 'th', 'ｔＨ'), 'é', concat('e', chr(769)))"
+_SPELT = "replace(replace(replace(replace(replace(replace({0}, 'ﬁ', 'fi'), '½', '1⁄2'), 'ß', 'ss'), 'İ', concat('i', chr(775))), 'ｔＨ', 'th'), concat('e', chr(769)), 'é')"
+
+
+@query(f"SELECT doc_id, md5({sql_normalized(_SPELT.format(_SIGNED))}) AS folded, length({_SIGNED}) AS size FROM documents WHERE text IS NOT NULL")
+def strict_texts(spark, sf_dir):
+    """NFKC and casefold by native functions, of whole texts with signs that it changes; lower case that keeps lengths."""
+    table(spark, sf_dir, "documents").createOrReplaceTempView("_signed_documents")
+    signed = spark.sql(f"SELECT doc_id, {_SIGNED.replace('chr(769)', 'decode(unhex(\'CC81\'), \'UTF-8\')')} AS text FROM _signed_documents WHERE text IS NOT NULL")
+    lower = T.lower_same_length(F.col("text"))
+    return signed.select("doc_id", F.md5(T.strict_folded(spark)(F.col("text"))).alias("folded"), F.length(lower).cast("long").alias("size"))
