@@ -51,7 +51,8 @@ SPELLED_RUN = regex.compile(rf"(?:(?<![^\W_])plus\s|\+\s?)?{_digit}(?:[\s,-]{{0,
 RUN_PART = regex.compile(rf"(?P<plus>plus\s|\+)|(?P<dot>{_bracketed}|\s?(?<![^\W_])(?:{_dot})(?![^\W_])\s?|\.)|(?P<digit>{_digit})", regex.I)
 AT = rf"(?:\s{{0,2}}{_open}(?:@|{_at}){_shut}\s{{0,2}}|\s(?:{_at})\s|\s?@\s?)"
 DOT = rf"(?:\s{{0,2}}{_open}(?:\.|{_dot}){_shut}\s{{0,2}}|\s(?:{_dot})\s|\.)"
-DISGUISED = regex.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]++(?:{DOT}[A-Za-z0-9_%+-]++){{0,5}}?(?P<at>{AT})[A-Za-z0-9-]++(?P<dots>(?:{DOT}[A-Za-z0-9-]++){{1,6}})", regex.I)
+#: Any number of labels; one that follows another's point begins no address, so that a long chain is read once.
+DISGUISED = regex.compile(rf"(?<![A-Za-z0-9._%+-])(?<![A-Za-z0-9_%+-]{DOT})[A-Za-z0-9_%+-]++(?:{DOT}[A-Za-z0-9_%+-]++)*+(?P<at>{AT})[A-Za-z0-9-]++(?P<dots>(?:{DOT}[A-Za-z0-9-]++)++)", regex.I)
 AT_RE, DOT_RE = regex.compile(AT, regex.I), regex.compile(DOT, regex.I)
 BRACKETED = regex.compile(rf"{_open}(?:@|{_at}|\.|{_dot}){_shut}", regex.I)
 SPOKEN_DOT = regex.compile(rf"\s(?:{_dot})\s", regex.I)
@@ -199,7 +200,8 @@ def _mails(tape: Tape) -> None:
         if spaced and (HANDLE.fullmatch(m["at"]) and _ending(m) not in ENDINGS or NUMBER.fullmatch(tape.text, m.end("at"), m.end())):
             continue
         worded = any(c.isalpha() for c in m["at"]) and not any(c in m["at"] for c in "[({<")
-        if worded and not BRACKETED.search(m["dots"]) and not (SPOKEN_DOT.search(m["dots"]) and (_ending(m) in ENDINGS or _labelled(m))):
+        local = regex.split(r"[^a-z0-9]", tape.text[m.start() : m.start("at")].lower())[-1]
+        if worded and not BRACKETED.search(m["dots"]) and (local in COMMON or not (SPOKEN_DOT.search(m["dots"]) and (_ending(m) in ENDINGS or _labelled(m)))):
             continue  # an ordinary "at", before an address or among other words
         a, b = m.span("at")
         edits += [(*d.span(), ".") for d in DOT_RE.finditer(tape.text, m.start(), a) if d[0] != "."]

@@ -225,14 +225,15 @@ def candidates(texts: DataFrame, length: int, gram: int, groups: bool) -> DataFr
                     if (hot := wanted[i].get(key)) is None:
                         continue
                     part = texts[i][a : a + n + length - 1]
-                    if known(xxhash.xxh3_128_digest(part), names[i], a, len(part)):
+                    if not (hot and groups) and known(xxhash.xxh3_128_digest(part), names[i], a, len(part)):
                         continue
                     if not hot:
                         out.append((key, names[i], a, p, len(part), None, part, None, None))
                         continue
                     for j in range(n):
                         w = xxhash.xxh3_128_digest(part[j : j + length])
-                        if n == 1 or not known(w, names[i], a + j, length):
+                        # a group's windows follow their own twins: a snippet's twin may have windows that are twins themselves
+                        if n == 1 and not groups or not known(w, names[i], a + j, length):
                             out.append((int.from_bytes(w[:8], "little", signed=True), names[i], a + j, 0, length, w, None, None, None))
                 if len(out) + len(spans) > FLUSH:
                     yield rows()
@@ -336,6 +337,9 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
     repeat names the string that a group's occurrences share. Occurrences that a task did not send, as it had met their
     snippet before, follow their twin into its groups, and equal texts follow the one that stands for them; a text that
     comes twice is a group as a whole. Rows with a null id are left out.
+
+    Where a minimizer occurs more than `hot` times, its groups are the `length`-byte strings in its windows, each with all its
+    occurrences: together they cover what the maximal repeats cover, which hold them.
     """
     found = Found(docs, length, gram, hot, True)
     own = found.spans.where("twin IS NULL").select("repeat", "text", "start", "size", "snippet")

@@ -21,12 +21,13 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import base
 
 TRAINING_ROWS, LONGEST, COVER, LEAST_ROWS, LEAST_ODDS, MOST_TERMS = 8000, 1 << 15, 4, 4, 3.0, 400
+TRAINING_BYTES = 64 << 20
 PREFIXES = range(3, 11)
 CUT = 0.3
 
@@ -270,22 +271,31 @@ def fitted(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> list[float]:
     return w.tolist()
 
 
+def least(rows: DataFrame, key, most: int) -> DataFrame:
+    """The rows of the `most` least values of a 64-bit key, without repeated rows. Only keys are sorted, never texts."""
+    keyed = rows.withColumn("_h", key)
+    last = keyed.select("_h").distinct().orderBy("_h").limit(most).agg(F.max("_h")).first()[0]
+    return keyed.where(F.col("_h") <= (last if last is not None else 0)).distinct()
+
+
 def sampled(labels: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
-    """About 2 * rows of the labels (doc_id, toxic), those of the least hash of the id: enough for trained(), before any join."""
-    known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL")
-    return known.where(F.abs(F.xxhash64("doc_id") % 1_000_000) * max(known.count(), 1) <= 2 * rows * 1_000_000)
+    """2 * rows of the labels (doc_id, toxic), those of the least hash of the id: enough for trained(), before any join."""
+    known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").select("doc_id", "toxic")
+    return least(known, F.xxhash64("doc_id"), 2 * rows).drop("_h")
 
 
-def trained(labelled: DataFrame, rows: int = TRAINING_ROWS) -> tuple[dict[str, float], list[float]]:
+def trained(labelled: DataFrame, rows: int = TRAINING_ROWS, size: int = TRAINING_BYTES) -> tuple[dict[str, float], list[float]]:
     """(insult lexicon, bias and weights) of labelled rows (doc_id, text, toxic 0 or 1).
 
-    Learns from about `rows` rows, those of the least hash, and of equal texts from one; texts over LONGEST characters are
-    not sampled. Null texts and labels are left out. With labels of one value only, the fixed lists and weights hold.
+    Learns from `rows` rows at most, those of the least hash, up to `size` bytes of text, and of equal texts from one; texts
+    over LONGEST characters are not sampled. Null texts and labels are left out. With labels of one value only, the fixed
+    lists and weights hold.
     """
-    usable = labelled.where(F.col("toxic").isNotNull() & F.length("text").between(1, LONGEST))
-    total = max(usable.count(), 1)
-    share = F.abs(F.xxhash64("doc_id", "text") % 1_000_000) * total <= rows * 1_000_000
-    sample = {r.text: int(r.toxic) for r in sorted(usable.where(share).select("doc_id", "text", "toxic").collect())}
+    usable = labelled.where(F.col("toxic").isNotNull() & F.length("text").between(1, LONGEST)).select("doc_id", "text", "toxic")
+    some = least(usable, F.xxhash64("doc_id", "text"), rows)
+    before = F.sum(F.octet_length("text")).over(Window.orderBy("_h", "doc_id", "toxic").rowsBetween(Window.unboundedPreceding, 0))  # of `rows` rows
+    chosen = some.withColumn("_size", before).where(F.col("_size") <= size).select("doc_id", "text", "toxic")
+    sample = {r.text: int(r.toxic) for r in sorted(chosen.collect())}
     y = np.array(list(sample.values()), float)
     if not 0 < y.sum() < len(y):
         return {}, [-4.0, 1.0, 1.0, 1.0, 0.2, 0.2, 1.0]

@@ -547,14 +547,15 @@ def test_repeats_of_clashing_ids(spark):
     assert sorted(bytes(r.kept).decode() for r in out) == sorted([a, b, c, ""])
 
 
-def test_groups_are_complete_over_tasks(spark):
+@pytest.mark.parametrize("hot", [5000, 2])
+def test_groups_are_complete_over_tasks(spark, hot):
     rng = random.Random(9)
     passages = ["".join(rng.choice("abcdefgh") for _ in range(50)) for _ in range(4)]
     texts = ["".join(rng.choice(passages)[rng.randint(0, 9) :] + "".join(rng.choice("uvwxyz") for _ in range(30)) for _ in range(3)) for _ in range(40)]
     texts += texts[:3]
     docs = table(spark, list(enumerate(texts)), False).repartition(5)
     groups = collections.defaultdict(set)
-    for r in suffix_dedup.repeated(docs, length=20, gram=6).collect():
+    for r in suffix_dedup.repeated(docs, length=20, gram=6, hot=hot).collect():
         groups[r.repeat].add((r.doc_id, r.start, r.size))
     assert groups
     for group in groups.values():
@@ -594,3 +595,23 @@ def test_langid_with_other_columns_and_ties(spark):
     (r,) = langid.identified(docs.where("doc_id = 2"), model).collect()
     assert r.lang_pred == "x" and r.rejected and r.margin == 0  # equal sizes: the language with more rows
     assert langid.identified(docs.limit(0), model).count() == 0
+
+
+def test_addresses_of_any_number_of_labels():
+    for n in (1, 7, 40):
+        text = "mail " + " dot ".join(f"ab{i}" for i in range(n)) + " at " + " dot ".join(f"cd{i}" for i in range(n)) + " dot example dot com now"
+        assert [(text[a:b].split()[0], text[a:b].split()[-1]) for a, b, kind, *_ in pii.spans(text) if kind == "email"] == [("ab0", "com")]
+    assert not [s for s in pii.spans("he is at work dot com") if s[2] == "email"]
+    chain = " dot ".join(["word"] * 20_000)
+    import time
+
+    began = time.time()
+    assert pii.spans("x at y.z " + chain) is not None and time.time() - began < 20
+
+
+def test_training_rows_are_bounded(spark):
+    df = spark.range(300).selectExpr("id AS doc_id", "concat('text ', id) AS text", "CAST(id % 2 AS INT) AS toxic")
+    few = toxicity.least(df.unionByName(df), F.xxhash64("doc_id"), 20)
+    assert few.count() == 20 and few.select("doc_id").distinct().count() == 20
+    assert toxicity.sampled(df.unionByName(df), 25).count() == 50 and toxicity.sampled(df.limit(0)).count() == 0
+    assert toxicity.trained(df, rows=0)[0] == {} and toxicity.trained(df, size=0)[0] == {}
