@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,36 +57,59 @@ def _caption(text: str, number: int | None, field: str) -> str:
 
 
 CAPTIONS = {field: _caption(text, number, field) for text, number, field in CAPTION_TABLE}
+CODE_CAPTION = {"class_type_code": rf"(?i)^\s*{phrase(CAPTION_TABLE[2][0])}(?:\s+{any_of(CAPTION_WORDS[:2])})?\s*{CAPTION_WORDS[2]}\b"}
 STOPS = rf"(?i)^\s*(?:(?:item\s+)?\d{{1,2}}[a-z]?\s*[.)]\s*\S|{any_of([*STOP_PHRASES, *(text for text, _, _ in CAPTION_TABLE)])})"
 QUALIFIER = rf"(?i)^\s*\p{{Ps}}\s*(?:{'|'.join(x.replace(' ', chr(92) + 's+') for x in INSTRUCTIONS)})\s*(?:\p{{Pe}}|[|1])?"
 SEPARATORS = r"[\s:.\-\u2013]"
 RESIDUE = rf"(?i)^(?:{SEPARATORS}*{any_of(CAPTION_WORDS)})+"
-LEADING = rf"^{SEPARATORS}+"
+LEADING = r"^[\s:\-\u2013]+"
 CODED = rf"^\s*(\d{{1,4}})\s*[-\u2013:]\s*(.+)$"
 MARKS = rf"(?i){any_of(MARK_PHRASES)}"
 PRODUCT_TYPES = {name: rf"(?i)\b{any_of(phrases)}" for name, phrases in PRODUCT_PHRASES.items()}
 
 
+def bare(c: Column) -> Column:
+    """c without the caption words and separators that it begins with; null if nothing is left."""
+    plain = F.trim(F.regexp_replace(F.regexp_replace(c, RESIDUE, ""), LEADING, ""))
+    return F.when(plain != "", plain)
+
+
 def cleaned(c: Column) -> Column:
     """What is left of a caption's line, without instructions, caption words and separators; null if nothing."""
-    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, QUALIFIER, ""), RESIDUE, ""), LEADING, "")
-    plain = F.trim(plain)
-    return F.when(plain != "", plain)
+    return bare(F.regexp_replace(c, QUALIFIER, ""))
 
 
-def caption_values(lines: DataFrame, *keys: str) -> DataFrame:
-    """(keys, field, value): the first line of each caption gives its rest, or the next of two lines before a blank or a stop."""
+def caption_values(lines: DataFrame, *keys: str, captions: dict[str, str] = CAPTIONS) -> DataFrame:
+    """(keys, field, value): the first line of each caption gives its rest, or the two lines below it, up to a blank or a stop, as one."""
     order = Window.partitionBy(*keys).orderBy("line_idx")
     ahead = lines.withColumn("one", F.lead("text", 1).over(order)).withColumn("two", F.lead("text", 2).over(order))
     stops = lambda c: F.coalesce((F.trim(c) == "") | c.rlike(STOPS), F.lit(True))
-    field = F.explode(F.filter(F.array(*[F.when(F.col("text").rlike(p), F.struct(F.lit(f).alias("field"), F.regexp_replace("text", p, "").alias("rest"))) for f, p in CAPTIONS.items()]), lambda x: x.isNotNull()))
+    field = F.explode(F.filter(F.array(*[F.when(F.col("text").rlike(p), F.struct(F.lit(f).alias("field"), F.regexp_replace("text", p, "").alias("rest"))) for f, p in captions.items()]), lambda x: x.isNotNull()))
     hits = ahead.select(*keys, "line_idx", "one", "two", field.alias("hit"))
     first = hits.groupBy(*keys, F.col("hit.field").alias("field")).agg(F.min_by(F.struct("hit.rest", "one", "two"), "line_idx").alias("at"))
-    one, two = cleaned(F.col("at.one")), cleaned(F.col("at.two"))
-    below = F.when(~stops(F.col("at.one")), F.coalesce(one, F.when(~stops(F.col("at.two")), two)))
+    one, two = F.col("at.one"), F.col("at.two")
+    below = F.when(~stops(one), bare(F.concat_ws(" ", F.trim(one), F.when(~stops(two), F.trim(two)))))
     return first.select(*keys, "field", F.coalesce(cleaned(F.col("at.rest")), below).alias("value"))
 
 
+def text_values(lines: DataFrame, *keys: str) -> DataFrame:
+    """(keys, brand_name, fanciful_name, class_type, class_type_code, alcohol_content, net_contents, beverage_type, found): a document's text.
+
+    A class or type that starts with its code is parted from it; else the code is what the code's own caption has at its
+    head. beverage_type is the one product type that the text names. found: the text gave any value, so it is an application's.
+    """
+    every = caption_values(lines, *keys, captions={**CAPTIONS, **CODE_CAPTION})
+    of = lambda f: F.max(F.when(F.col("field") == f, F.col("value")))
+    own = every.groupBy(*keys).agg(*[of(f).alias(f) for f in (*CAPTIONS, "class_type_code")])
+    both = sole_type(lines, "text", *keys).withColumnRenamed("product_type", "beverage_type").join(own, list(keys), "left")
+    coded = coded_type(F.col("class_type"))
+    apart = F.regexp_extract("class_type_code", r"^(\d{1,4})\b", 1)
+    code = F.coalesce(coded["code"], F.when(apart != "", apart))
+    values = [F.col("brand_name"), F.col("fanciful_name"), F.when(F.col("class_type").isNotNull(), coded["name"]).alias("class_type"), code.alias("class_type_code"), F.col("alcohol_content"), F.col("net_contents"), F.col("beverage_type")]
+    found = reduce(lambda a, b: a | b, [F.col(f).isNotNull() for f in (*CAPTIONS, "beverage_type")])
+    return both.select(*keys, *values, found.alias("found"))
+
+
 def coded_type(c: Column) -> Column:
     """struct (code, name) of a class or type that starts with its code."""
     code = F.regexp_extract(c, CODED, 1)

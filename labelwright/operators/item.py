@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
-from ..functions.quantities import abv_verdict, net_contents_verdict, verdict
+from ..functions.quantities import abv_verdict, held, net_contents_verdict, verdict, with_abv
 from ..functions.similarity import lcs_length
 from ..functions.text import NATIVE, Folding, folding, missing
 from ..functions.verdict import text_verdict
@@ -126,9 +126,11 @@ def decided(items: DataFrame, declared: DataFrame, values: DataFrame, units: Dat
     seen = seen.withColumn("_a", text_form.fold(text_form.compose(label))).withColumn("_b", text_form.fold(text_form.compose(said)))
     seen = seen.withColumn("lcs", common(F.col("_a"), F.col("_b")))
     text = text_verdict(label, said, settings, F.col("lcs"), (F.col("_a"), F.col("_b")))
+    seen = seen.withColumn("_seen", F.when(field == "alcohol_content", label)).withColumn("_said", F.when(field == "alcohol_content", said))
+    seen = with_abv(with_abv(seen, "_seen", "_seen_"), "_said", "_said_")
     made = (
         F.when(F.col("searched"), found)
-        .when(field == "alcohol_content", abv_verdict(label, said, text["score"], settings))
+        .when(field == "alcohol_content", abv_verdict(label, said, text["score"], settings, (held("_seen_"), held("_said_"))))
         .when(field == "net_contents", net_contents_verdict(label, said, text))
         .otherwise(text)
     )

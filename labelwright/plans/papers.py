@@ -173,3 +173,49 @@ def ticked_pages(spark, sf_dir):
     pages = table(spark, sf_dir, "customer").select("c_custkey", F.lit(_WIDE).alias("width"), F.lit(_HIGH).alias("height"))
     grid = pages.select("c_custkey", F.explode(F.sequence(F.lit(0), F.lit(_WIDE - 1))).alias("x")).select("*", F.explode(F.sequence(F.lit(0), F.lit(_HIGH - 1))).alias("y"))
     return ticks.read(words, grid.selectExpr("c_custkey", "x", "y", f"{_CELL} AS luminance"), pages, "c_custkey")
+
+
+# --- a document's text: its own words as values of captions ---------------------------------------------------------------
+
+_TEXT_LINES = [
+    "split_part(t, chr(10), 1)",
+    "CASE doc_id % 4 WHEN 0 THEN concat('6. BRAND NAME (Required): ', split_part(t, ' ', 1)) ELSE 'Item 6) Brand  Name (Required)' END",
+    "CASE doc_id % 4 WHEN 3 THEN ' ' ELSE split_part(t, ' ', 2) END",
+    "CASE WHEN doc_id % 3 = 0 THEN concat(' : ', split_part(t, ' ', 3)) ELSE '7. FANCIFUL NAME (If any' END",
+    "split_part(t, chr(10), 2)",
+    "CASE doc_id % 5 WHEN 0 THEN 'CLASS/TYPE CODE' WHEN 1 THEN concat('Class or type code: ', doc_id % 900, ' x') ELSE 'STATUS : OPEN' END",
+    "CASE WHEN doc_id % 5 = 0 THEN CAST(doc_id % 700 AS STRING) ELSE 'Alcohol content' END",
+    "concat(doc_id % 50, '% alc')",
+    "CASE doc_id % 6 WHEN 0 THEN concat('Class/Type Description: ', doc_id % 1000, ' - ', lang, ' WINE') WHEN 1 THEN 'CLASS TYPE' ELSE concat('class / type designation: ', lang, CASE WHEN doc_id % 6 < 4 THEN ' of malt beverages' ELSE '' END) END",
+    "concat(source, CASE WHEN doc_id % 7 = 0 THEN ' distilled spirits' ELSE ' house' END)",
+    "CASE WHEN doc_id % 2 = 0 THEN 'NET CONTENTS 750 mL' ELSE split_part(t, ' ', 4) END",
+]
+_TEXT_SQL = " UNION ALL ".join(f"SELECT doc_id, {i} AS line_idx, {e} AS text FROM (SELECT doc_id, coalesce(text, '') AS t, lang, source FROM documents)" for i, e in enumerate(_TEXT_LINES))
+_RESIDUE, _STOPS, _QUALIFIER, _CODED = (p.replace(r"\u2013", "–") for p in (documents.RESIDUE, documents.STOPS, documents.QUALIFIER, documents.CODED))
+_TYPE = r"class(?:\s*/\s*|\s+(?:or\s+)?)type"
+_CODED_TYPE = rf"(?i)^\s*{_TYPE}(?:\s+(?:description|designation))?\s*code\b"
+_PATTERNS = {
+    "brand_name": r"(?i)^\s*(?:item\s+)?(?:6\s*[.)]\s*)?brand\s+name\b", "fanciful_name": r"(?i)^\s*(?:item\s+)?(?:7\s*[.)]\s*)?fanciful\s+name\b", "class_type": rf"(?i)^\s*{_TYPE}\b",
+    "class_type_code": _CODED_TYPE, "alcohol_content": r"(?i)^\s*alcohol\s+content\b", "net_contents": r"(?i)^\s*net\s+contents\b",
+}
+_BARE = rf"nullif(trim(regexp_replace(regexp_replace({{0}}, '{_RESIDUE}', ''), '^[\s:–-]+', '')), '')"
+_OF = ", ".join(f"max(value) FILTER (field = '{f}') AS {f}" for f in _PATTERNS)
+_HITS = " UNION ALL ".join(f"SELECT *, '{f}' AS field, regexp_replace(text, '{p}', '') AS rest FROM a WHERE regexp_matches(text, '{p}')" + (f" AND NOT regexp_matches(text, '{_CODED_TYPE}')" if f == "class_type" else "") for f, p in _PATTERNS.items())
+
+
+@query(f"""WITH l AS ({_TEXT_SQL.replace('AS STRING', 'AS VARCHAR')}),
+a AS (SELECT *, lead(text, 1) OVER w AS one, lead(text, 2) OVER w AS two FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY line_idx)),
+h AS (SELECT *, coalesce(trim(one) = '' OR regexp_matches(one, '{_STOPS}'), true) AS stop1, coalesce(trim(two) = '' OR regexp_matches(two, '{_STOPS}'), true) AS stop2 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, field ORDER BY line_idx) AS k FROM ({_HITS})) WHERE k = 1),
+v AS (SELECT doc_id, field, coalesce({_BARE.format(f"regexp_replace(rest, '{_QUALIFIER}', '')")}, CASE WHEN NOT stop1 THEN {_BARE.format("trim(one) || CASE WHEN stop2 THEN '' ELSE ' ' || trim(two) END")} END) AS value FROM h),
+o AS (SELECT doc_id, {_OF} FROM v GROUP BY 1),
+s AS (SELECT doc_id, bool_or(regexp_matches(text, '(?i)\\bwines?\\b')) AS w, bool_or(regexp_matches(text, '(?i)\\bdistilled\\s+spirits\\b')) AS d, bool_or(regexp_matches(text, '(?i)\\bmalt\\s+beverages?\\b')) AS m FROM l GROUP BY 1),
+b AS (SELECT *, CASE WHEN w::INT + d::INT + m::INT = 1 THEN CASE WHEN w THEN 'wine' WHEN d THEN 'distilled spirits' ELSE 'malt beverage' END END AS beverage_type FROM s LEFT JOIN o USING (doc_id))
+SELECT doc_id, brand_name, fanciful_name, CASE WHEN regexp_matches(class_type, '{_CODED}') THEN trim(regexp_extract(class_type, '{_CODED}', 2)) ELSE class_type END AS class_type, coalesce(nullif(regexp_extract(class_type, '{_CODED}', 1), ''), nullif(regexp_extract(class_type_code, '^(\\d{{1,4}})\\b', 1), '')) AS class_type_code, alcohol_content, net_contents, beverage_type,
+  coalesce(brand_name, fanciful_name, class_type, alcohol_content, net_contents, beverage_type) IS NOT NULL AS found, CASE WHEN doc_id % 9 = 0 THEN 'undecodable' WHEN coalesce(brand_name, fanciful_name, class_type, alcohol_content, net_contents, beverage_type) IS NOT NULL THEN 'captions' ELSE 'no_marks' END AS basis FROM b""")
+def document_texts(spark, sf_dir):
+    """The values that a document's captions have in its own text, its code and type, and what it is taken for by them."""
+    table(spark, sf_dir, "documents").createOrReplaceTempView("_captioned_documents")
+    lines = spark.sql(_TEXT_SQL.replace("FROM documents", "FROM _captioned_documents"))
+    values = documents.text_values(lines, "doc_id")
+    side = documents.file_side(F.lit("image/png"), F.lit(None).cast("binary"), F.lit(""), F.col("doc_id") % 9 != 0, F.col("found"))
+    return values.withColumn("basis", side["basis"])
