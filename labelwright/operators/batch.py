@@ -125,7 +125,7 @@ def shape_counts(groups: DataFrame, *keys: str) -> DataFrame:
 
 
 def export_rows(results: DataFrame) -> DataFrame:
-    """One guarded row for each item and field of results (item, position, error, fields), one for an errored item."""
-    flat = results.select("item", "position", "error", F.explode_outer("fields").alias("f"))
+    """One guarded row for each item and field of results (item, position, error, fields), one for an errored item; place is the field's."""
+    flat = results.select("item", "position", "error", F.posexplode_outer("fields").alias("place", "f"))
     cells = [guarded_cell(F.col(c)).alias(c) for c in ("item", "error")] + [guarded_cell(F.col(f"f.{c}")).alias(c) for c in ("field", "label_value", "application_value", "outcome", "reason")]
-    return flat.select("position", *cells, F.format_number("f.score", 1).alias("score"))
+    return flat.select("position", "place", *cells, F.format_number("f.score", 1).alias("score"))

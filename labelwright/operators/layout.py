@@ -135,6 +135,12 @@ def segmentation(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count_distinct("column").alias("columns"), F.count_distinct("column", "block").alias("regions"), F.count("*").alias("n_lines"), mean_confidence(F.col("confidence")).alias("confidence"))
 
 
+def bounds(cols: DataFrame, *keys: str) -> DataFrame:
+    """(keys, n_columns, bounds): a sheet's columns, with an array of structs (left, right) in their order, of columns() rows."""
+    every = F.transform(F.array_sort(F.collect_list(F.struct("column", "col_left", "col_right"))), lambda c: F.struct(c["col_left"].alias("left"), c["col_right"].alias("right")))
+    return cols.groupBy(*keys).agg(F.count("*").alias("n_columns"), every.alias("bounds"))
+
+
 def mean_confidence(c: Column) -> Column:
     """An aggregate: the mean to one decimal, 0.0 of nothing."""
     return F.round(F.coalesce(F.avg(c), F.lit(0.0)), 1)

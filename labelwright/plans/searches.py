@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.register import register
 from ..functions.similarity import lcs_length_udf
 from ..operators import search
 from .registry import query, sql_lcs, sql_normalized, sql_verified, table
@@ -75,3 +76,18 @@ def strict_texts(spark, sf_dir):
     signed = spark.sql(f"SELECT doc_id, {_SIGNED.replace('chr(769)', 'decode(unhex(\'CC81\'), \'UTF-8\')')} AS text FROM _signed_documents WHERE text IS NOT NULL")
     lower = T.lower_same_length(F.col("text"))
     return signed.select("doc_id", F.md5(T.strict_folded(spark)(F.col("text"))).alias("folded"), F.length(lower).cast("long").alias("size"))
+
+
+_DAMAGED = "concat(translate(p_name, 'ei', 'cl'), ' ', p_size % 10)"
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT p_partkey, p_name AS a, {_DAMAGED} AS b, CASE WHEN p_size % 5 = 0 THEN ' ' WHEN p_size % 7 = 0 THEN NULL ELSE p_brand END AS c FROM part), {sql_lcs('l', 'SELECT b AS a, a AS b FROM p')}
+SELECT p_partkey, {sql_normalized('upper(p.b)')} AS norm, coalesce(trim(c), '') = '' AS missing, lower(regexp_replace(p.a, ' ', '_')) || '.' || p_partkey AS stem, lcs, round(200.0 * lcs / (length(p.a) + length(p.b)), 6) AS ratio, {sql_normalized('p.b')} || ' fi' AS strict, p.a AS expected, p.b AS observed
+FROM p JOIN l ON l.a = p.b AND l.b = p.a""")
+def sql_functions_text(spark, sf_dir):
+    """Every registered function from SQL, on names and what damage made of them."""
+    register(spark)
+    table(spark, sf_dir, "part").createOrReplaceTempView("_damaged_parts")
+    spark.sql(f"SELECT *, {_DAMAGED} AS damaged, CASE WHEN p_size % 5 = 0 THEN ' ' WHEN p_size % 7 = 0 THEN NULL ELSE p_brand END AS c FROM _damaged_parts").createOrReplaceTempView("_damaged_names")
+    return spark.sql("""SELECT p_partkey, lw_normalized(upper(damaged)) AS norm, lw_missing(c) AS missing, lw_stem(concat('a/b\\\\', replace(initcap(p_name), ' ', '_'), '.', p_partkey, '.png')) AS stem, lw_lcs(damaged, p_name) AS lcs, round(lw_ratio(damaged, p_name), 6) AS ratio, lw_strict_normalized(concat(damaged, ' \ufb01')) AS strict,
+        array_join(transform(filter(lw_differences(damaged, p_name), d -> d.kind <> 'added'), d -> d.text), '') AS expected, array_join(transform(filter(lw_differences(damaged, p_name), d -> d.kind <> 'missing'), d -> d.text), '') AS observed FROM _damaged_names""")

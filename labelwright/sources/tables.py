@@ -64,10 +64,10 @@ PARTS = ("files", "image", "application_document")
 def write_csv(rows: DataFrame, path: str) -> None:
     """export_rows() as CSV of eight columns with a header, quoted where needed; lines end in CR LF.
 
-    Rows are lines of text in order of position, as Spark's CSV writer has no line end of two characters.
+    Rows are lines of text in order of position and of an item's fields, as Spark's CSV writer has no line end of two characters.
     """
     cell = lambda c: F.coalesce(F.when(F.col(c).rlike(r'[",\r\n]'), F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.col(c)), F.lit(""))
     line = F.concat_ws(",", *[cell(c) for c in EXPORT])
-    head = rows.sparkSession.createDataFrame([(-1, ",".join(EXPORT.values()))], "position long, line string")
-    ordered = head.unionByName(rows.select(F.col("position").cast("long").alias("position"), line.alias("line"))).orderBy("position").select("line")
+    head = rows.sparkSession.createDataFrame([(-1, 0, ",".join(EXPORT.values()))], "position long, place int, line string")
+    ordered = head.unionByName(rows.select(F.col("position").cast("long").alias("position"), F.col("place").cast("int").alias("place"), line.alias("line"))).orderBy("position", "place").select("line")
     ordered.write.mode("overwrite").option("lineSep", "\r\n").text(path)
