@@ -247,13 +247,13 @@ GROUP = "repeat long, text binary, start long, size long, snippet long, twin bin
 
 
 def grouped(found: DataFrame, length: int, groups: bool) -> DataFrame:
-    """Of candidates, with groups the maximal repeats by occurrence, else the runs (text, start, size) that they cover.
+    """Of candidates, with groups the maximal repeats by occurrence, else bundles of the runs that they cover (see bundled).
 
     repeat: 64-bit hash of the string that a group's occurrences share; snippet: where the occurrence's snippet starts. A
     group is maximal within its minimizer's windows; a longer repeat comes as overlapping groups of the same occurrences.
     Rows with twin are strings that a task has met before.
     """
-    schema = GROUP if groups else "text binary, start long, size long"
+    schema = GROUP if groups else BUNDLE
     kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()) if groups else (pa.binary(), pa.int64(), pa.int64())
 
     def run(batches):
@@ -286,7 +286,10 @@ def grouped(found: DataFrame, length: int, groups: bool) -> DataFrame:
             """What is found, once it is more than most; runs that touch are one."""
             if len(out) > most and not groups:
                 out[:] = united(out)
-            if len(out) > most >> 1:
+            if len(out) > most >> 1 and not groups:
+                yield bundled(out)
+                out.clear()
+            elif len(out) > most >> 1:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=[x.split()[0] for x in schema.split(", ")])
                 out.clear()
 
@@ -311,6 +314,59 @@ def grouped(found: DataFrame, length: int, groups: bool) -> DataFrame:
     return base.by_arrow(dealt, run, schema)
 
 
+BUNDLE, BUNDLES = "bundle int, texts binary, starts array<long>, sizes array<long>", 4096
+
+
+def bundled(spans: list[tuple[bytes, int, int]]) -> pa.RecordBatch:
+    """Spans (text, start, size) as a row for each of BUNDLES ranges of texts' names that has some.
+
+    A window that many texts share leaves each of them a span in that window's task. Such spans travel by the bundle, and
+    are no rows of their own.
+    """
+    names = np.frombuffer(b"".join(s[0] for s in spans), np.uint8).reshape(len(spans), 16)
+    bundle = (names[:, 0].astype(np.int64) << 4) | (names[:, 1] >> 4)
+    order = np.argsort(bundle, kind="stable")
+    first = np.flatnonzero(np.concatenate(([True], np.diff(bundle[order]) != 0)))
+    edges = np.concatenate((first, [len(spans)]))
+    lists = lambda values: pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(np.array(values, np.int64)[order]))
+    texts = pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((16 * edges).astype(np.int32)), pa.py_buffer(names[order].tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(bundle[order][first], pa.int32()), texts, lists([s[1] for s in spans]), lists([s[2] for s in spans])], names=["bundle", "texts", "starts", "sizes"])
+
+
+def by_text(bundles: DataFrame) -> DataFrame:
+    """(text_key, found): each text's runs, united, of bundles of spans. A task holds the spans of one bundle of texts at a time."""
+
+    def run(batches):
+        held: list[tuple[bytes, np.ndarray, np.ndarray]] = []
+        now = None
+
+        def close() -> Iterator[pa.RecordBatch]:
+            spans = united([(t[16 * i : 16 * i + 16], int(a), int(n)) for t, starts, sizes in held for i, (a, n) in enumerate(zip(starts, sizes))])
+            keys, runs = [], []
+            for text, start, size in spans:
+                if not keys or keys[-1] != text:
+                    keys.append(text)
+                    runs.append([])
+                runs[-1].append({"start": start, "size": size})
+            kind = pa.list_(pa.struct([("start", pa.int64()), ("size", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(runs, kind)], names=["text_key", "found"])
+
+        for batch in batches:
+            starts, sizes = (batch.column(i) for i in (2, 3))
+            for i, (bundle, texts) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                if bundle != now:
+                    if held:
+                        yield from close()
+                    held.clear()
+                    now = bundle
+                held.append((texts, starts[i].values.to_numpy(), sizes[i].values.to_numpy()))
+        if held:
+            yield from close()
+
+    dealt = bundles.repartition(base.shuffle_parts(bundles.sparkSession), "bundle").sortWithinPartitions("bundle")
+    return base.by_arrow(dealt, run, "text_key binary, found array<struct<start:long,size:long>>")
+
+
 def signed(digest: bytes) -> int:
     return int.from_bytes(digest[:8], "little", signed=True)
 
@@ -376,7 +432,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)]).alias("rest")).where("doc_id IS NOT NULL")
     found = Found(own.select("doc_id", "text"), length, gram, hot, False)
     one = found.equal.where("n = 1").select("text_key", F.col("rep").alias("doc_id"))
-    parts = found.spans.groupBy(F.col("text").alias("text_key")).agg(F.collect_list(F.struct("start", "size")).alias("found"))
+    parts = by_text(found.spans)
     whole = found.equal.where("n > 1").select("text_key").join(found.texts, "text_key")
     whole = whole.select("doc_id", "text_key", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("size"))).alias("found")).distinct()
     spans = parts.join(one, "text_key").select("doc_id", "text_key", "found").unionByName(whole)
