@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import verdict
+from ..functions.text import without_code
 from ..operators import batch, guarded, progress
 from ..vocab import OUTCOMES, ROLL_UP
 from .batches import _SQL_LINES, _lines
-from .registry import made, query
+from .registry import made, query, sql_missing, table
 
 #: A row's line of JSON: whole, cut off, no object, without a name, or with a type, size or word that can't be used.
 _WORDS = """concat('[{"text": "', event_type, '", "height": ', user_id % 50, '}, {"text": "x", "height": ', CASE WHEN event_id % 13 = 4 THEN '"tall"' ELSE '7.5' END, '}]')"""
@@ -86,3 +87,38 @@ def rolled_tallies(spark, sf_dir):
     """Tallies and the worst outcome by item, by batch and in all, from one pass."""
     rows = made(spark, sf_dir, "lineitem", "l_suppkey % 5 AS batch_id", "l_orderkey AS item_id", f"{_RESULT} AS outcome")
     return verdict.rolled_tallies(rows, "outcome", "batch_id", "item_id")
+
+
+# --- rules on texts as they are: blank lines, capitals at the end, counts of files -----------------------------------------
+
+_SIDES = "SELECT doc_id, split_part(text, chr(10), 2) AS label, CASE WHEN lang = 'de' THEN split_part(text, chr(10), 40) ELSE split_part(text, chr(10), 3) END AS declared FROM documents"
+_CODES = "SELECT conv_id, turn, concat(substring(upper(translate(text, 'ß', 's')), 1 + turn % 9, 30), CASE WHEN length(text) % 3 = 0 THEN ' ' ELSE '' END) AS t FROM conversations"
+
+
+@query(f"""SELECT doc_id, CASE WHEN {sql_missing('declared')} THEN 'not_compared' WHEN {sql_missing('label')} THEN 'mismatch' END AS missing, CASE WHEN {sql_missing('declared')} THEN CASE WHEN {sql_missing('label')} THEN 'mismatch' ELSE 'present' END END AS presence FROM ({_SIDES})""")
+def missing_texts(spark, sf_dir):
+    """What is said where a line of a text is missing or blank, and of fields that need only be there."""
+    table(spark, sf_dir, "documents").createOrReplaceTempView("_sided_documents")
+    sides = spark.sql(_SIDES.replace("FROM documents", "FROM _sided_documents"))
+    label, declared = F.col("label"), F.col("declared")
+    return sides.select("doc_id", verdict.missing_outcome(label, declared).alias("missing"), verdict.presence(label, declared).alias("presence"))
+
+
+@query(rf"SELECT conv_id, turn, nullif(regexp_extract(t, '^(.*\S)\s+([A-Z0-9]{{1,3}})\s*$', 1), '') AS plain, regexp_matches(t, '^.*\S\s+[A-Z0-9]{{1,3}}\s*$') AS coded FROM ({_CODES})")
+def trailing_codes(spark, sf_dir):
+    """Texts in capitals with and without a short word at their end."""
+    table(spark, sf_dir, "conversations").createOrReplaceTempView("_coded_turns")
+    turns = spark.sql(_CODES.replace("FROM conversations", "FROM _coded_turns"))
+    return turns.select("conv_id", "turn", without_code(F.col("t")).alias("plain"), without_code(F.col("t")).isNotNull().alias("coded"))
+
+
+_COUNTED = "SELECT o_custkey AS item, count(*) FILTER (WHERE o_orderstatus = 'F') AS labels, count(*) FILTER (WHERE o_orderpriority LIKE '1%') AS applications, count(*) FILTER (WHERE o_totalprice > 300000) AS panels FROM orders GROUP BY o_custkey"
+
+
+@query(f"SELECT item, CASE WHEN labels > 3 THEN 'too_many_photos' WHEN applications > 1 THEN 'too_many_application_documents' WHEN labels = 0 AND panels = 0 THEN 'no_label_to_check' END AS error, CASE WHEN applications > 1 THEN 'duplicate_application_document' WHEN labels > 1 THEN 'duplicate_label_stem' WHEN labels = 0 AND panels = 0 THEN 'no_label_to_check' END AS row_error FROM ({_COUNTED})")
+def counted_errors(spark, sf_dir):
+    """Errors of items and of rows by the counts of their files."""
+    table(spark, sf_dir, "orders").createOrReplaceTempView("_counted_orders")
+    counts = spark.sql(_COUNTED.replace("FROM orders", "FROM _counted_orders"))
+    a, n, p = F.col("applications"), F.col("labels"), F.col("panels")
+    return counts.select("item", batch.item_error(a, n, p).alias("error"), batch.row_error(a, n, p).alias("row_error"))
