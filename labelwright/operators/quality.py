@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.similarity import lcs_length
+from . import item
 from .order_statistics import quantiles
 
 
@@ -19,6 +21,22 @@ def metrics(df: DataFrame, *keys: str, reported: str = "reported", truth: str =
     )
 
 
+def golden_truth(items: DataFrame, declared: DataFrame, printed: DataFrame, common=lcs_length) -> DataFrame:
+    """(item_id, field, truth): the outcome that the comparison rules give of what is printed and what is declared.
+
+    items, declared and printed as item.decided() takes items, declared and values. There is no text to search, so that a
+    difference of a verdict from it is the reading's or the search's.
+    """
+    none = items.select("item_id").limit(0).selectExpr("item_id", "0 AS sheet", "0 AS unit", "0 AS column", "0 AS block", "'' AS text")
+    return item.decided(items, declared, printed, none, common=common).select("item_id", "field", F.col("outcome").alias("truth"))
+
+
+def evaluated(verdicts: DataFrame, truth: DataFrame) -> DataFrame:
+    """metrics() by field of verdicts (item_id, field, outcome) against truth (item_id, field, truth); fields of one side only take no part."""
+    both = verdicts.select("item_id", "field", F.col("outcome").alias("reported")).join(truth, ["item_id", "field"])
+    return metrics(both, "field")
+
+
 def latencies(df: DataFrame, value: str, *keys: str) -> DataFrame:
     """(keys, least, mean, median, most); the median is exact, however large a group is."""
     return quantiles(df, value, (0.5,), *keys).select(*keys, "least", "mean", F.col("quantiles")[0].alias("median"), "most")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.similarity import lcs_length_udf
-from ..operators import layout, panels, reading
+from ..operators import layout, panels, quality, reading
 from ..vocab import STATEMENT_PREFIX
 from .registry import query, table
 from .verdicts import _DECIDE, _PIECES, _SQL_JOINED, _SQL_STATEMENT, _SQL_STATEMENT_OUTCOME
@@ -98,3 +98,25 @@ def panel_pool(spark, sf_dir):
     lines = layout.lines(words, "item_id", "sheet").withColumnRenamed("sheet", "ordinal")
     out = panels.scanned(of(_PANELS), lines, of(_DECLARED), "item_id", common=lcs_length_udf(spark))
     return out.select("item_id", "ordinal", F.col("rank").cast("long").alias("rank"), "satisfies", "status")
+
+
+#: What is printed of each field, as a golden file has it: the line's text where the line is there.
+_GOLDEN_LINES = {"brand_name": (0, 0), "class_type": (0, 1), "alcohol_content": (0, 2), "net_contents": (1, 1)}
+_GOLDEN = " UNION ALL ".join(
+    f"SELECT p_partkey AS item_id, '{field}' AS field, CASE WHEN {when} THEN {text} END AS value, {sheet} AS sheet, 0 AS region_column, {block} AS block, false AS declined FROM part"
+    for field, at in _GOLDEN_LINES.items() for sheet, line, _, _, block, text, when in _PRINTED if (sheet, line) == at
+)
+
+
+@query(f"""WITH RECURSIVE {_CHAIN}, truth AS (WITH RECURSIVE items AS ({_ITEMS}), declared_ AS ({_DECLARED}), values_ AS ({_GOLDEN}), units_ AS (SELECT 0 AS item_id, 0 AS sheet, 0 AS unit, 0 AS region_column, 0 AS block, '' AS text WHERE false), {_DECIDE} SELECT item_id, field, outcome AS truth FROM decided),
+b AS (SELECT field, outcome AS reported, truth FROM every JOIN truth USING (item_id, field))
+SELECT field, count(*) FILTER (reported = 'match' AND truth = 'match') / nullif(count(*) FILTER (reported = 'match'), 0) AS precision, count(*) FILTER (reported = 'match' AND truth = 'match') / nullif(count(*) FILTER (truth = 'match'), 0) AS recall,
+  count(*) FILTER (reported = 'needs_review') / count(*) AS review_rate, count(*) FILTER (reported = 'match' AND truth = 'mismatch') / nullif(count(*) FILTER (reported = 'match'), 0) AS false_match FROM b GROUP BY field""")
+def golden_metrics(spark, sf_dir):
+    """Verdicts from words against the truth, which is what the same rules say of the printed values themselves."""
+    words, of = _inputs(spark, sf_dir)
+    common = lcs_length_udf(spark)
+    printed = of(_GOLDEN).withColumnRenamed("region_column", "column")
+    truth = quality.golden_truth(of(_ITEMS), of(_DECLARED), printed, common)
+    reported = reading.verified(words, of(_ITEMS), of(_DECLARED), of(_PHOTOS), common=common)
+    return quality.evaluated(reported, truth)
