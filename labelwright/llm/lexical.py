@@ -10,6 +10,9 @@ search() brings the postings of the items' terms together by segment. There each
 only (shallow moves): a stretch of rows between two limits has the sum of its blocks' greatest scores as its bound. The stretches
 of the highest bounds are scored first; then those below the tenth score so far are skipped, and their blocks never
 decompressed unless another stretch needs them. Segments' best rows are merged by a window.
+
+One segment of PRIMED is searched before the others: an item's tenth score there is a score that its tenth document has at
+least, and all segments skip what lies below it from the start. Only that number of each item goes from pass to pass.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 from . import base, terms
 
 TABLE = terms.byte_table(terms.ALPHANUMERIC)
-BLOCK, TOP, SEGMENT_BYTES, SEGMENT_ROWS, ITEMS, NEEDLES, ROUND = 128, 10, 1 << 25, 1 << 18, 512, 1 << 15, 16
+BLOCK, TOP, SEGMENT_BYTES, SEGMENT_ROWS, ITEMS, NEEDLES, ROUND, PRIMED = 128, 10, 1 << 24, 1 << 18, 512, 1 << 15, 16, 32
 SEGMENTS = "segment string, rows long, n_docs long, n_terms long, ids binary, lengths binary"
 POSTINGS = "segment string, term string, df long, firsts array<int>, lasts array<int>, impacts array<int>, impact_sizes array<int>, widths binary, data binary"
 
@@ -242,8 +245,11 @@ class Searched:
         self.rows[places] = rows
         self.impact[places] = np.repeat(self.weight[self.of_term[new]], count) * ((1_000_000_000 * n) // (1000 * n + 8 * self.m[rows]))
 
-    def best(self, needles: np.ndarray, times: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, scores) of the best rows for an item's terms, which occur in it so many times; equal scores by ascending row."""
+    def best(self, needles: np.ndarray, times: np.ndarray, most: int, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, scores) of the best rows for an item's terms, which occur in it so many times; equal scores by ascending row.
+
+        Rows with a score below `least` are of no interest.
+        """
         blocks = _ranges(self.edges[needles], self.edges[needles + 1] - self.edges[needles])
         factor = np.repeat(times, self.edges[needles + 1] - self.edges[needles])
         first, end, bound = self.first[blocks], self.end[blocks], factor * self.most[blocks]
@@ -254,7 +260,7 @@ class Searched:
         np.subtract.at(rise, stop, bound)
         bounds = np.cumsum(rise)[:-1]
         order = np.argsort(-bounds, kind="stable")
-        rows, scores, floor, done, step = np.empty(0, np.int64), np.empty(0, np.int64), 1, 0, ROUND
+        rows, scores, floor, done, step = np.empty(0, np.int64), np.empty(0, np.int64), least, 0, ROUND
         while done < len(order):
             chosen = order[done : done + step]
             chosen = chosen[bounds[chosen] >= floor]
@@ -276,7 +282,7 @@ class Searched:
             rows, scores = np.concatenate((rows, found + lowest)), np.concatenate((scores, sums[found]))
             top = np.lexsort((rows, -scores))[:most]
             rows, scores = rows[top], scores[top]
-            floor = int(scores[-1]) if len(scores) == most else 1  # an equal score may still win by its row
+            floor = max(least, int(scores[-1])) if len(scores) == most else least  # an equal score may still win by its row
         return rows, scores
 
 
@@ -312,13 +318,11 @@ def search(index: tuple[DataFrame, DataFrame], items: DataFrame, most: int = TOP
     n_docs, n_terms = int(whole["n_docs"] or 0), max(int(whole["n_terms"] or 0), 1)
     block = F.pmod(F.xxhash64("item_id"), F.lit(blocks)).cast("int")
     kind = wanted.schema["item_id"].dataType.simpleString()
-    dealt = wanted.groupBy(block.alias("block"), "term").agg(F.collect_list(F.struct("item_id", "times")).alias("users"))  # ITEMS or so at most
     key = F.xxhash64("term")
     near = base.among(postings.withColumn("_key", key), wanted.select(key.alias("_key")).distinct(), "_key").drop("_key")
     near = base.written(near.join(wanted.select("term").distinct(), "term", "left_semi"), "needed_postings")
     weight = F.floor(1000 * F.log((2 * n_docs + 2) / (2 * F.sum("df") + 1).cast("double"))).alias("weight")
     weights = near.groupBy("term").agg(weight)
-    found = near.join(dealt.join(weights, "term"), "term").select("segment", "block", "term", "df", "weight", "firsts", "lasts", "impacts", "impact_sizes", "widths", "data", "users")
     own = segments.select("segment", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "ids", "lengths")
 
     def run(postings: pa.Table, own: pa.Table) -> pa.Table:
@@ -332,20 +336,30 @@ def search(index: tuple[DataFrame, DataFrame], items: DataFrame, most: int = TOP
         users = users.chunk(0) if isinstance(users, pa.ChunkedArray) else users
         flat = users.flatten()
         names = flat.field("item_id").dictionary_encode("encode")
-        of_term, item, times = np.repeat(np.arange(len(users)), pc.list_value_length(users).to_numpy()), names.indices.to_numpy(), flat.field("times").to_numpy()
+        of_term, item, times, least = np.repeat(np.arange(len(users)), pc.list_value_length(users).to_numpy()), names.indices.to_numpy(), flat.field("times").to_numpy(), flat.field("least").to_numpy()
         by = np.argsort(item, kind="stable")
         out = []
         for part in np.split(by, np.flatnonzero(np.diff(item[by])) + 1):
-            rows, scores = segment.best(of_term[part], times[part], most)
+            rows, scores = segment.best(of_term[part], times[part], most, int(least[part[0]]))
             out.append((np.full(len(rows), item[part[0]]), ids[rows], scores))
         item, doc, scores = (np.concatenate(x) for x in zip(*out))
         doc = pa.array(doc, mask=doc == np.iinfo(np.int64).min)
         return pa.table([names.dictionary.take(pa.array(item)), doc, pa.array(scores)], schema=schema)
 
+    def best(postings: DataFrame, own: DataFrame, wanted: DataFrame) -> DataFrame:
+        """(item_id, doc_id, score): each segment's best rows for the items of wanted (item_id, term, times, least)."""
+        dealt = wanted.groupBy(block.alias("block"), "term").agg(F.collect_list(F.struct("item_id", "times", "least")).alias("users"))  # ITEMS or so at most
+        found = postings.join(dealt.join(weights, "term"), "term").select("segment", "block", "term", "df", "weight", "firsts", "lasts", "impacts", "impact_sizes", "widths", "data", "users")
+        return found.groupBy("segment", "block").cogroup(own.groupBy("segment", "block")).applyInArrow(run, f"item_id {kind}, doc_id long, score long")
+
     base.ship(near.sparkSession)
-    best = found.groupBy("segment", "block").cogroup(own.groupBy("segment", "block")).applyInArrow(run, f"item_id {kind}, doc_id long, score long")
+    some = lambda table: table.where(F.pmod(F.xxhash64("segment"), F.lit(PRIMED)) == 0)
+    first = best(some(near), some(own), wanted.withColumn("least", F.lit(1).cast("long")))
+    turn = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score")))
+    floors = base.written(first.withColumn("turn", turn).where(F.col("turn") == most).select(F.col("item_id").alias("_item"), F.col("score").alias("_least")), "least_scores")
+    primed = wanted.join(floors, F.col("item_id").eqNullSafe(F.col("_item")), "left").select("item_id", "term", "times", F.coalesce("_least", F.lit(1)).alias("least"))
     order = Window.partitionBy("item_id").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("item_id", "rank", "doc_id", "score")
+    return best(near, own, primed).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("item_id", "rank", "doc_id", "score")
 
 
 def ranked(docs: DataFrame, items: DataFrame, most: int = TOP) -> DataFrame:

@@ -144,9 +144,9 @@ def plain_search(rows, items, most=10):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("segment_bytes", [500, 1 << 25])
+@pytest.mark.parametrize("segment_bytes,primed", [(500, 2), (500, 32), (1 << 25, 1)])
 @pytest.mark.parametrize("block", [4, lexical.BLOCK])
-def test_search_is_a_plain_loop_s(spark, monkeypatch, segment_bytes, block):
+def test_search_is_a_plain_loop_s(spark, monkeypatch, segment_bytes, primed, block):
     rng = random.Random(7)
     own = [f"w{int(rng.paretovariate(0.6))}" for _ in range(4000)]
     rows = [(rng.choice([None, k, k, k // 2]), " ".join(rng.choice(own) for _ in range(rng.randrange(40)))) for k in range(300)]
@@ -154,6 +154,7 @@ def test_search_is_a_plain_loop_s(spark, monkeypatch, segment_bytes, block):
     items = [(k, " ".join(rng.choice(own) for _ in range(rng.randrange(1, 12)))) for k in range(40)] + [(90, None), (91, ""), (92, "nowhere"), (93, "é É W1 w1 w1")]
     monkeypatch.setattr(lexical, "BLOCK", block)
     monkeypatch.setattr(lexical, "ITEMS", 8)
+    monkeypatch.setattr(lexical, "PRIMED", primed)
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("segment", F.lit(1)).withColumn("term", F.lit("x"))
     asked = spark.createDataFrame(items + items[:3], "item_id long, text string").withColumn("block", F.lit(1))
     if block != 4:  # workers know BLOCK as the module has it; the small one is tried below, in one process
