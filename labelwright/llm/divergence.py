@@ -37,11 +37,14 @@ def term_counts(docs: DataFrame) -> DataFrame:
         rows = pa.concat_arrays(named["row_list"].chunks)
         group_of = rows.value_parent_indices().take(pa.array(rows.flatten().to_numpy().argsort()))
         yield _rows(named, pa.array(range(len(named))), pa.array([""] * len(named)), pa.array([0] * len(named)), pa.array([0] * len(named)))
+        parts = []
         for row, term, n, names in terms.counts(batch.column(0), TABLE):
             found = pa.table({"group": group_of.take(pa.array(row)), "term": term, "n": n}).group_by(["group", "term"]).aggregate([("n", "sum"), ("n", "count")])
-            found = found.combine_chunks()
-            if len(found):
-                yield _rows(named, found["group"], names.take(found["term"].combine_chunks()), found["n_sum"], found["n_count"])
+            words = names.take(found["term"].combine_chunks())
+            parts.append(pa.table({"group": found["group"], "term": words, "n": found["n_sum"], "docs": found["n_count"]}))
+        found = pa.concat_tables(parts).group_by(["group", "term"]).aggregate([("n", "sum"), ("docs", "sum")])  # a batch's slices share most terms
+        if len(found):
+            yield _rows(named, found["group"], found["term"], found["n_sum"], found["docs_sum"])
 
     sums = [F.sum("n").alias("n"), F.sum("docs").alias("docs")]
     return base.mapped(own, run, "lang string, source string, term string, n long, docs long").groupBy("lang", "source", "term").agg(*sums)
