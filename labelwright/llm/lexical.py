@@ -6,10 +6,12 @@ numbers and occurrences, each packed at the block's least bit width. Beside it s
 the pairs (occurrences, length) that no other posting of the block beats in both: the greatest score that the block can give
 follows from them exactly, for any counts of the whole collection, so that the index is made in one pass.
 
-search() brings the postings of the items' terms together by segment. There each item moves over its terms' block limits
-only (shallow moves): a stretch of rows between two limits has the sum of its blocks' greatest scores as its bound. The stretches
-of the highest bounds are scored first; then those below the tenth score so far are skipped, and their blocks never
-decompressed unless another stretch needs them. Segments' best rows are merged by a window.
+search() brings the postings of the items' terms together by segment. There an item's terms go from the one of the highest
+possible score down. As soon as ten scores are known, a row that may still count has a term of the first few, which together with
+all later ones can reach the tenth; only such rows are candidates. For each further term a shallow move to the block that
+would hold a candidate gives that block's greatest score; candidates that can't reach the tenth score with it and the greatest
+scores of the terms to come go, and only blocks that hold one of the others are decompressed. Segments' best rows are merged
+by a window.
 
 One segment of PRIMED is searched before the others: an item's tenth score there is a score that its tenth document has at
 least, and all segments skip what lies below it from the start. Only that number of each item goes from pass to pass.
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from . import base, terms
 
 TABLE = terms.byte_table(terms.ALPHANUMERIC)
-BLOCK, TOP, SEGMENT_BYTES, SEGMENT_ROWS, ITEMS, NEEDLES, ROUND, PRIMED = 128, 10, 1 << 24, 1 << 18, 512, 1 << 15, 16, 32
+BLOCK, TOP, SEGMENT_BYTES, SEGMENT_ROWS, ITEMS, NEEDLES, PRIMED = 128, 10, 1 << 24, 1 << 18, 512, 1 << 15, 32
 SEGMENTS = "segment string, rows long, n_docs long, n_terms long, ids binary, lengths binary"
 POSTINGS = "segment string, term string, df long, firsts array<int>, lasts array<int>, impacts array<int>, impact_sizes array<int>, widths binary, data binary"
 
@@ -245,44 +247,65 @@ class Searched:
         self.rows[places] = rows
         self.impact[places] = np.repeat(self.weight[self.of_term[new]], count) * ((1_000_000_000 * n) // (1000 * n + 8 * self.m[rows]))
 
+    def shallow(self, term: int, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The block of a term that would hold each of ascending rows, and whether the row is within its limits."""
+        a, b = self.edges[term], self.edges[term + 1]
+        block = np.minimum(a + np.searchsorted(self.end[a:b], rows, "right"), b - 1)
+        return block, (self.first[block] <= rows) & (rows < self.end[block])
+
+    def impacts(self, blocks: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """The impact of ascending rows in a term's blocks, ascending and each once; 0 where a row has no posting there."""
+        self.decompress(blocks)
+        at = _ranges(self.to[blocks], self.count[blocks])
+        own = self.rows[at]
+        place = np.minimum(np.searchsorted(own, rows), len(own) - 1)
+        return np.where(own[place] == rows, self.impact[at[place]], 0)
+
+    def scored(self, order: list[tuple[int, int, int]], rows: np.ndarray, floor: int) -> tuple[np.ndarray, np.ndarray]:
+        """Those of ascending rows whose score is at least floor, and their scores. order: (term, times, highest score), the highest first."""
+        sums, rest = np.zeros(len(rows), np.int64), sum(top for _, _, top in order)
+        for term, times, top in order:
+            rest -= top
+            block, inside = self.shallow(term, rows)
+            stay = sums + np.where(inside, times * self.most[block], 0) + rest >= floor
+            rows, sums, block, inside = rows[stay], sums[stay], block[stay], inside[stay]
+            if inside.any():
+                sums[inside] += times * self.impacts(np.unique(block[inside]), rows[inside])
+        return rows[sums >= floor], sums[sums >= floor]
+
+    def rows_of(self, term: int, times: int, others: int, floor: int) -> np.ndarray:
+        """A term's rows, but for those of blocks that can't reach floor with the highest scores of all other terms."""
+        blocks = np.arange(self.edges[term], self.edges[term + 1])
+        blocks = blocks[times * self.most[blocks] + others >= floor]
+        self.decompress(blocks)
+        return self.rows[_ranges(self.to[blocks], self.count[blocks])].astype(np.int64)
+
     def best(self, needles: np.ndarray, times: np.ndarray, most: int, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
         """(rows, scores) of the best rows for an item's terms, which occur in it so many times; equal scores by ascending row.
 
         Rows with a score below `least` are of no interest.
         """
-        blocks = _ranges(self.edges[needles], self.edges[needles + 1] - self.edges[needles])
-        factor = np.repeat(times, self.edges[needles + 1] - self.edges[needles])
-        first, end, bound = self.first[blocks], self.end[blocks], factor * self.most[blocks]
-        limits, place = np.unique(np.concatenate((first, end)), return_inverse=True)  # stretches lie between two limits
-        begin, stop = place[: len(first)], place[len(first) :]
-        rise = np.zeros(len(limits), np.int64)
-        np.add.at(rise, begin, bound)
-        np.subtract.at(rise, stop, bound)
-        bounds = np.cumsum(rise)[:-1]
-        order = np.argsort(-bounds, kind="stable")
-        rows, scores, floor, done, step = np.empty(0, np.int64), np.empty(0, np.int64), least, 0, ROUND
-        while done < len(order):
-            chosen = order[done : done + step]
-            chosen = chosen[bounds[chosen] >= floor]
-            if not len(chosen):
-                break
-            done, step = done + len(chosen), 4 * step
-            marks = np.zeros(len(limits), np.int64)
-            marks[chosen] = 1
-            before = np.concatenate(([0], np.cumsum(marks)))
-            needed = before[stop] > before[begin]
-            self.decompress(blocks[needed])
-            at = _ranges(self.to[blocks[needed]], self.count[blocks[needed]])
-            own = self.rows[at]
-            inside = marks[np.searchsorted(limits, own, "right") - 1] > 0
-            lowest = int(limits[0])
-            sums = np.zeros(int(limits[-1]) - lowest, np.int64)
-            np.add.at(sums, own[inside] - lowest, (self.impact[at] * np.repeat(factor[needed], self.count[blocks[needed]]))[inside])
-            found = np.flatnonzero(sums >= floor)
-            rows, scores = np.concatenate((rows, found + lowest)), np.concatenate((scores, sums[found]))
-            top = np.lexsort((rows, -scores))[:most]
-            rows, scores = rows[top], scores[top]
-            floor = max(least, int(scores[-1])) if len(scores) == most else least  # an equal score may still win by its row
+        tops = [int(n * self.most[self.edges[t] : self.edges[t + 1]].max()) for t, n in zip(needles, times)]
+        order = sorted(zip(needles.tolist(), times.tolist(), tops), key=lambda x: -x[2])
+        whole, rest = sum(tops), sum(tops)
+        # the rows of the best blocks give a first floor
+        strong = [self.edges[t] + int(np.argmax(self.most[self.edges[t] : self.edges[t + 1]])) for t, _, _ in order[:2]]
+        self.decompress(np.array(strong))
+        seen = np.unique(np.concatenate([self.rows[self.to[b] : self.to[b] + self.count[b]] for b in strong])).astype(np.int64)
+        rows, scores = self.scored(order, seen, least)
+        first = np.lexsort((rows, -scores))[:most]
+        rows, scores = rows[first], scores[first]
+        floor = max(least, int(scores[-1])) if len(scores) == most else least
+        new = []
+        for term, n, top in order:
+            if rest < floor:
+                break  # a row with none of the terms so far can't reach it; an equal score may still win by its row
+            new.append(self.rows_of(term, n, whole - top, floor))
+            rest -= top
+        found, sums = self.scored(order, np.setdiff1d(np.concatenate([*new, seen[:0]]), seen), floor)
+        rows, scores = np.concatenate((rows, found)), np.concatenate((scores, sums))
+        first = np.lexsort((rows, -scores))[:most]
+        rows, scores = rows[first], scores[first]
         return rows, scores
 
 
