@@ -171,6 +171,7 @@ def reaching(needles: DataFrame, texts: DataFrame, text_id: str, threshold: int
     goal = F.array_join(F.transform(tokens(F.col("needle")), lambda t: t["norm"]), " ")
     asked = needles.select(goal.alias("needle")).where("needle <> ''").distinct()
     asked = asked.select("needle", F.xxhash64("needle").alias("goal"), F.size(F.split("needle", " ")).alias("n"))
+    texts = spread(texts.select(text_id, "text"))
     size = asked.agg(F.count("*").alias("count"), F.max("n").alias("n")).first()
     blocks = max(1, -(-size["count"] // GOALS))
     found = None
@@ -204,6 +205,12 @@ def candidates(held: list, asked: DataFrame, texts: DataFrame, text_id: str, mos
     return rows.groupBy("goal", "needle", text_id, "size", "start").agg(F.first("hit").alias("hit"), F.first("seen").alias("seen"))
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """table in as many partitions as a shuffle has, where a small input came in fewer; a large one stays where it is."""
+    parts = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return table.repartition(parts) if table.rdd.getNumPartitions() < parts else table
+
+
 def small(table: DataFrame) -> DataFrame:
     """table, written down by its count: up to GAINS rows it may be broadcast, beyond that Spark joins as it likes."""
     return F.broadcast(table) if table.count() <= GAINS else table
