@@ -147,5 +147,10 @@ def mean_confidence(c: Column) -> Column:
 
 
 def item_confidence(sheets: DataFrame, *keys: str) -> DataFrame:
-    """(keys, confidence): the mean of the usable sheets' means (keys, confidence, error), not weighted by words."""
-    return sheets.groupBy(*keys).agg(F.round(F.coalesce(F.avg(F.when(F.col("error").isNull(), F.col("confidence"))), F.lit(0.0)), 1).alias("confidence"))
+    """(keys, confidence): the mean of the usable sheets' means (keys, confidence, error), not weighted by words.
+
+    It is rounded as SQL engines round doubles: ten times the mean to a whole number. The product's own rounding takes up the
+    last bit that a sum of doubles may lack, so that a mean of 36.15 that came out as 36.14999999999999 is 36.2.
+    """
+    mean = F.coalesce(F.avg(F.when(F.col("error").isNull(), F.col("confidence"))), F.lit(0.0))
+    return sheets.groupBy(*keys).agg((F.round(mean * 10) / 10).alias("confidence"))
