@@ -12,3 +12,9 @@ def test_a_mean_between_two_tenths_rounds_as_its_sum_of_decimals(spark):
     assert {r.item: r.confidence for r in got} == {1: 27.6, 2: 56.9, 3: 0.0, 4: 1.3}  # 55.1 / 2 and 113.7 / 2 in doubles are below 27.55 and 56.85
 
 
+def test_copies_of_a_file_name_are_not_paired(spark, tmp_path):
+    types = F.when(F.col("id") % 3 == 0, "GIN").when(F.col("id") % 3 == 1, "RUM")  # else null
+    part = spark.range(200_000).select(F.col("id").alias("p_partkey"), F.lit("oak").alias("p_name"), types.alias("p_type"), (F.col("id") % 50).alias("p_size"))
+    part.unionByName(spark.createDataFrame([(-1, "ash", "GIN", 30), (-2, None, "GIN", 30)], "p_partkey long, p_name string, p_type string, p_size long")).write.parquet(f"{tmp_path}/part.parquet")
+    got = {tuple(r) for r in catalog.queries()["golden_rows"](spark, str(tmp_path)).collect()}
+    assert got == {("oak.png", 200_000 * 96_000, 2), ("ash.png", 1, 1)}  # 19,200,000,000 pairs
