@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..vocab import BOX_GAP, BOX_SIZE, OPTION_STEMS
@@ -34,26 +34,18 @@ def windows(boxes: DataFrame, pages: DataFrame, *keys: str) -> DataFrame:
     return boxes.join(pages.select(*keys, "width", "height"), list(keys)).select(*keys, "option", x(right - size).alias("x0"), y(top).alias("y0"), x(right).alias("x1"), y(top + size).alias("y1"))
 
 
-def summed(cells: DataFrame, *keys: str) -> DataFrame:
-    """cells (keys, x, y, luminance) with area: the sum of all luminances from the page's corner to each cell, itself included.
-
-    One running sum along each line of cells, and one down each column of those sums: no task has a page.
-    """
-    along = F.sum("luminance").over(Window.partitionBy(*keys, "y").orderBy("x"))
-    return cells.select(*keys, "x", "y", along.alias("line")).withColumn("area", F.sum("line").over(Window.partitionBy(*keys, "x").orderBy("y"))).drop("line")
-
-
 def means(boxes: DataFrame, cells: DataFrame, *keys: str) -> DataFrame:
     """(keys, option, luminance): the mean of the cells in each window (keys, option, x0, y0, x1, y1), null where it holds none.
 
-    A window's sum is that of four corners of the summed-area table; a corner before the page's first line or column is 0.
+    cells: keys, x, y, luminance. They pass a table of their partition's windows one by one and are summed there, so that they
+    are neither sorted nor held, and what leaves a task is a sum for each window. Cells that come partitioned by keys are not
+    shuffled, either.
     """
-    corner = lambda x, y, sign: F.struct((F.col(x) - 1).alias("x"), (F.col(y) - 1).alias("y"), F.lit(sign).alias("sign"))
-    four = F.array(corner("x1", "y1", 1), corner("x0", "y1", -1), corner("x1", "y0", -1), corner("x0", "y0", 1))
-    cut = boxes.withColumn("size", F.greatest(F.col("x1") - F.col("x0"), F.lit(0)) * F.greatest(F.col("y1") - F.col("y0"), F.lit(0)))
-    asked = cut.select(*keys, "option", "size", F.explode(four).alias("c")).select(*keys, "option", "size", "c.*")
-    found = asked.join(summed(cells, *keys), [*keys, "x", "y"], "left").groupBy(*keys, "option", "size").agg(F.sum(F.col("sign") * F.col("area")).alias("sum"))
-    return found.select(*keys, "option", F.when(F.col("size") > 0, F.col("sum") / F.col("size")).alias("luminance"))
+    asked = boxes.where("x1 > x0 AND y1 > y0").select(*keys, "option", "x0", "y0", "x1", "y1").hint("shuffle_hash")
+    inside = (F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1")) & (F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y1"))
+    met = cells.select(*keys, "x", "y", "luminance").join(asked, list(keys)).where(inside)
+    found = met.groupBy(*keys, "option").agg((F.sum("luminance") / F.count("luminance")).alias("luminance"))
+    return boxes.select(*keys, "option").join(found, [*keys, "option"], "left")
 
 
 def read(words: DataFrame, cells: DataFrame, pages: DataFrame, *keys: str) -> DataFrame:

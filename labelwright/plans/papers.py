@@ -171,7 +171,9 @@ def ticked_pages(spark, sf_dir):
     table(spark, sf_dir, "customer").createOrReplaceTempView("_ticked_customers")
     words = spark.sql(_WORDS_SQL.replace("FROM customer", "FROM _ticked_customers")).withColumnsRenamed({"x_left": "left", "y_top": "top", "x_right": "right", "y_bottom": "bottom"})
     pages = table(spark, sf_dir, "customer").select("c_custkey", F.lit(_WIDE).alias("width"), F.lit(_HIGH).alias("height"))
-    grid = pages.select("c_custkey", F.explode(F.sequence(F.lit(0), F.lit(_WIDE - 1))).alias("x")).select("*", F.explode(F.sequence(F.lit(0), F.lit(_HIGH - 1))).alias("y"))
+    # dealt out by page before its cells are made, so that no cell is
+    dealt = pages.select("c_custkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "c_custkey")
+    grid = dealt.select("c_custkey", F.explode(F.sequence(F.lit(0), F.lit(_WIDE - 1))).alias("x")).select("*", F.explode(F.sequence(F.lit(0), F.lit(_HIGH - 1))).alias("y"))
     return ticks.read(words, grid.selectExpr("c_custkey", "x", "y", f"{_CELL} AS luminance"), pages, "c_custkey")
 
 

@@ -18,3 +18,14 @@ def test_copies_of_a_file_name_are_not_paired(spark, tmp_path):
     part.unionByName(spark.createDataFrame([(-1, "ash", "GIN", 30), (-2, None, "GIN", 30)], "p_partkey long, p_name string, p_type string, p_size long")).write.parquet(f"{tmp_path}/part.parquet")
     got = {tuple(r) for r in catalog.queries()["golden_rows"](spark, str(tmp_path)).collect()}
     assert got == {("oak.png", 200_000 * 96_000, 2), ("ash.png", 1, 1)}  # 19,200,000,000 pairs
+
+
+def test_cells_of_pages_are_neither_sorted_nor_held(spark):
+    from labelwright.operators import ticks
+
+    cells = spark.range(40).repartition(4, "id").select("id", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("x")).select("*", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("y"), (F.col("x") * 3 + F.col("id") % 2).cast("long").alias("luminance"))
+    boxes = spark.createDataFrame([(0, "a", 1, 2, 4, 5), (1, "a", 1, 2, 4, 5), (1, "b", 2, 2, 5, 3), (1, "c", 3, 3, 3, 9), (2, "a", 50, 50, 60, 60)], "id long, option string, x0 int, y0 int, x1 int, y1 int")
+    out = ticks.means(boxes, cells, "id")
+    assert {(r.id, r.option): r.luminance for r in out.collect()} == {(0, "a"): 6.0, (1, "a"): 7.0, (1, "b"): 10.0, (1, "c"): None, (2, "a"): None}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Window" not in plan
