@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +31,8 @@ from . import base
 from .base import U64, mixed
 
 LENGTH, GRAM, HOT = 200, 50, 5000
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
+SLICE = 1 << 22
 SEEN = 100_000
 BASE = U64(0x5851F42D4C957F2D)
 INVERSE = U64(pow(0x5851F42D4C957F2D, -1, 1 << 64))
@@ -145,6 +147,10 @@ def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """(doc_id, n_bytes, text_key, anchors): the minimizers of a text's snippets, a repeated one as often."""
 
     def run(batch):
+        for a, b in base.chunks(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist(), SLICE):
+            yield sliced(batch.slice(a, b - a))
+
+    def sliced(batch):
         ids, texts = batch.column(0), [(x or "").encode() for x in batch.column(1).to_pylist()]
         found: list[list[np.ndarray]] = [[] for _ in texts]
         for owner, _, _, _, h in snippets(texts, length, gram):
@@ -154,7 +160,7 @@ def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
         sizes = [sum(map(len, x)) for x in found]
         flat = np.concatenate([p for x in found for p in x]) if any(sizes) else np.empty(0, np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(flat))
-        yield pa.RecordBatch.from_arrays([ids, pa.array([len(x) for x in texts], pa.int64()), pa.array([xxhash.xxh3_128_digest(x) for x in texts], pa.binary()), lists], names=["doc_id", "n_bytes", "text_key", "anchors"])
+        return pa.RecordBatch.from_arrays([ids, pa.array([len(x) for x in texts], pa.int64()), pa.array([xxhash.xxh3_128_digest(x) for x in texts], pa.binary()), lists], names=["doc_id", "n_bytes", "text_key", "anchors"])
 
     return base.mapped(docs, run, "doc_id long, n_bytes long, text_key binary, anchors array<long>")
 
@@ -439,6 +445,10 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     joined = base.zipped(own, ("rest",), keyed=True).join(spans, ["doc_id", "text_key"], "left").select("doc_id", "z", "found", F.col("rest.c0").alias("rest"))
 
     def run(batch):
+        for a, b in base.chunks(pc.binary_length(batch.column(1)).to_pylist(), SLICE >> 2):
+            yield sliced(batch.slice(a, b - a))
+
+    def sliced(batch):
         kept, sizes, runs = [], [], []
         for z, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             text = base.unpacked(z)
@@ -455,7 +465,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             kept.append(left.decode() if as_text else left)
             runs.append([{"start": a, "stop": b} for a, b in own])
         span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(runs, span), pa.array(kept, pa.string() if as_text else pa.binary()), batch.column(3)], names=["doc_id", "n_bytes", "spans", "kept", "rest"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(runs, span), pa.array(kept, pa.string() if as_text else pa.binary()), batch.column(3)], names=["doc_id", "n_bytes", "spans", "kept", "rest"])
 
     kind = own.schema["rest"].dataType.simpleString()
     out = base.mapped(joined, run, f"doc_id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept {'string' if as_text else 'binary'}, rest {kind}")
