@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import unicodedata
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from . import base, bpe
 
 CAPACITY, END_ID, SLACK, ITEMS_PER_TASK, FAN_IN = 4096, 1, 8, 100_000, 8
-BATCH_BYTES = 1 << 22
+BATCH_BYTES = 1 << 21
 SEPARATORS = "[\x1c-\x1f]"  # white space by some rules and not by the tokenizer's
 LATIN = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"  # letters whose lower case is one letter, and which are in normal form
 
@@ -40,12 +41,7 @@ class Tokens:
     """
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab = spec["model"]["vocab"]
@@ -57,10 +53,23 @@ class Tokens:
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.cut = regex.compile(PATTERN)
 
+    @cached_property
+    def tokenizer(self):
+        """The library's own, which few texts need: it is made for the first of them."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        made = Tokenizer.from_file(self.path)
+        made.no_truncation()
+        made.no_padding()
+        return made
+
     def _encoded(self, texts: list[str]) -> bpe.Runs:
+        if not texts:
+            return bpe.Runs(np.empty(0, np.int32), np.empty(0, np.int64))
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         found = [np.array(e.ids, np.int32) for e in encode(texts, add_special_tokens=False)]
-        return bpe.Runs(np.concatenate(found) if found else np.empty(0, np.int32), np.array([len(x) for x in found], np.int64))
+        return bpe.Runs(np.concatenate(found), np.array([len(x) for x in found], np.int64))
 
     def _parts(self, word: str) -> list[str]:
         """What the pre-tokenizer cuts out of a word."""

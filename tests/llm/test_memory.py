@@ -26,3 +26,18 @@ def test_texts_longer_than_a_segment_have_every_window_once():
     text = bytes(i * i % 251 for i in range(2 * suffix_dedup.SEGMENT + 500))
     seen = sorted(a for _, begin, count, _, _ in suffix_dedup.snippets([b"short", text], 200, 50) for x, n in zip(begin.tolist(), count.tolist()) for a in range(x, x + n))
     assert seen == list(range(len(text) - 199))
+
+
+def test_batches_of_texts_are_small(spark):
+    from labelwright.llm import base
+
+    before = spark.conf.get(base.ROWS_SETTING)
+    try:
+        spark.conf.set(base.ROWS_SETTING, "10000")
+        sizes = base.by_arrow(spark.range(6000).coalesce(1), lambda batches: (b.slice(0, 1) for b in batches), "id long")
+        assert sizes.count() >= 3
+        spark.conf.set(base.ROWS_SETTING, "500")
+        base.smaller_batches(spark)
+        assert spark.conf.get(base.ROWS_SETTING) == "500"
+    finally:
+        spark.conf.set(base.ROWS_SETTING, before)
