@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -184,11 +185,12 @@ def reaching(needles: DataFrame, texts: DataFrame, text_id: str, threshold: int
 
 def candidates(held: list, asked: DataFrame, texts: DataFrame, text_id: str, most: int, threshold: int) -> DataFrame:
     """(goal, needle, text_id, size, start, hit, seen): the runs that reaching() scores, each once."""
-    split = texts.select(text_id, tokens(F.col("text")).alias("words")).withColumn("m", F.size("words")).where("m > 0")
+    # a filter on the words would make Spark cut a text again for it; explode leaves texts without words out
+    split = texts.select(text_id, tokens(F.col("text")).alias("words")).withColumn("m", F.size("words"))
     words = split.select(F.explode(F.transform("words", lambda t: t["norm"])).alias("word")).distinct()
-    index = gains(words, held, threshold)
+    index = gains(words, held, threshold).persist(StorageLevel.MEMORY_AND_DISK)  # it is counted, then joined
     # a stretch also has the words before it that a run around its first word may start with
-    before = F.explode(F.sequence(F.lit(0), F.col("m") - 1, F.lit(STRETCH))).alias("before")
+    before = F.explode(F.when(F.col("m") > 0, F.sequence(F.lit(0), F.col("m") - 1, F.lit(STRETCH)))).alias("before")
     dealt = split.select(text_id, "m", "words", before).withColumn("left", F.least(F.col("before"), F.lit(most + 1)))
     dealt = dealt.select(text_id, "m", "before", "left", F.slice("words", F.col("before") - F.col("left") + 1, F.col("left") + STRETCH + most + 1).alias("words"))
     at = dealt.select("*", F.explode(F.sequence(F.lit(0), F.least(F.lit(STRETCH), F.col("m") - F.col("before")) - 1)).alias("i"))

@@ -29,3 +29,13 @@ def test_cells_of_pages_are_neither_sorted_nor_held(spark):
     assert {(r.id, r.option): r.luminance for r in out.collect()} == {(0, "a"): 6.0, (1, "a"): 7.0, (1, "b"): 10.0, (1, "c"): None, (2, "a"): None}
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "ShuffledHashJoin" in plan and "Window" not in plan
+
+
+def test_the_index_of_words_is_made_once(spark):
+    from labelwright.operators import search
+
+    needles = spark.createDataFrame([("old oak",)], "needle string")
+    texts = spark.createDataFrame([(1, "the old oak barrel"), (2, " - "), (3, None), (4, "")], "doc_id long, text string")
+    out = search.reaching(needles, texts, "doc_id")
+    assert [(r.doc_id, r.hit, r.score) for r in out.collect()] == [(1, "old oak", 100.0)]
+    assert "InMemoryRelation" in out._jdf.queryExecution().executedPlan().toString()
