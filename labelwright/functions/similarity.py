@@ -6,6 +6,8 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,13 +60,27 @@ def _lcs_arrays(a: Column, b: Column) -> Column:
 
 
 def lcs_length_udf(spark):
-    """The same by bit-parallel rows in Python integers: one operation on big integers per character."""
+    """The same by bit-parallel rows in Python integers: one operation on big integers per character.
+
+    Its attribute `runs` is best_runs() as a function of two columns: words joined by NEXT, and an array of goals in this form.
+    """
     ship(spark)
 
     @F.pandas_udf("int")
     def length(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([_lcs(x, y) for x, y in zip(a, b)], dtype="Int32")
 
+    @F.arrow_udf("array<struct<raw:double,size:int,start:int>>")
+    def runs(words: pa.Array, goals: pa.Array) -> pa.Array:
+        counts = pc.list_value_length(goals).to_numpy(zero_copy_only=False)
+        w, g = words.dictionary_encode(), goals.flatten().dictionary_encode()
+        pairs = np.repeat(w.indices.to_numpy().astype(np.int64), counts) * max(1, len(g.dictionary)) + g.indices.to_numpy()
+        own, back = np.unique(pairs, return_inverse=True)  # equal texts are scored once a batch
+        raw, size, start = best_runs(w.dictionary.to_pylist(), g.dictionary.to_pylist(), *np.divmod(own, max(1, len(g.dictionary))))
+        best = pa.StructArray.from_arrays([pa.array(raw), pa.array(size), pa.array(start)], names=["raw", "size", "start"], mask=pa.array(size == 0))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), best.take(pa.array(back)))
+
+    length.runs = runs
     return length
 
 
@@ -82,6 +98,104 @@ def _lcs(a: str | None, b: str | None) -> int | None:
     return len(b) - row.bit_count()
 
 
+#: Between words that are handed over as one text; no normalized word has it.
+NEXT = "\n"
+#: Starts of runs in a stretch of words, goals' signs in a row of bits, pairs and numbers held at once.
+STRETCH, SIGNS, PAIRS, TABLE = 64, 64, 1024, 1 << 22
+
+
+def best_runs(texts: list[str], goals: list[str], t: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(raw, size, start) of the best run of n - 1 to n + 1 words of each pair (texts[t], goals[g]), n the goal's words; size 0: none.
+
+    Words are joined by NEXT; the first STRETCH words are starts. Equal ratios go to the shorter run, then the earlier start.
+    All starts of a block of pairs go through their signs together, and a longer run goes on from the shorter one's row of bits.
+    """
+    words = lambda x: np.array([y.count(NEXT) + 1 for y in x], np.int64)
+    some = lambda x: np.array([y != "" for y in x], bool)
+    signs = np.frombuffer("".join(x + NEXT for x in texts).encode("utf-32-le"), np.uint32)
+    ends = np.flatnonzero(signs == ord(NEXT))
+    begins = np.concatenate(([0], ends + 1))
+    per, n = words(texts), words(goals) * some(goals)
+    first, m = np.cumsum(per) - per, per * some(texts)
+    plain = [x.replace(NEXT, " ") for x in goals]
+    long_ = np.array([len(x) for x in plain], np.int64)
+    letters = sorted(set("".join(plain)))
+    known = np.zeros(max([ord(" "), *map(ord, letters), int(signs.max(initial=0))]) + 1, np.int32)
+    known[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+    code = known[np.where(signs == ord(NEXT), ord(" "), signs)]
+    raw, size, start = np.zeros(len(t)), np.zeros(len(t), np.int32), np.zeros(len(t), np.int32)
+    starts = np.where(n[g] > 0, np.clip(m[t] - np.maximum(n[g] - 1, 1) + 1, 0, STRETCH), 0)
+    order = np.argsort(g, kind="stable")
+    order = order[starts[order] > 0]
+    step = min(PAIRS, max(1, TABLE // (len(letters) + 1)))
+    for a in range(0, len(order), step):
+        pairs = order[a : a + step]
+        of, pair = np.unique(g[pairs], return_inverse=True)
+        here = np.repeat(np.arange(len(pairs)), starts[pairs])
+        before = np.cumsum(starts[pairs]) - starts[pairs]
+        at = np.arange(len(here)) - before[here]
+        word, ask = first[t[pairs]][here] + at, g[pairs][here]
+        sizes = n[ask] + np.array([[-1], [0], [1]])
+        fits = (sizes >= 1) & (at + sizes <= m[t[pairs]][here])
+        lengths = np.where(fits, ends[np.minimum(word + sizes - 1, len(ends) - 1)] - begins[word], -1)
+        common = _common(code, begins[word], lengths, [plain[x] for x in of], pair[here], known)
+        scores = np.where(fits, 200.0 * common / np.where(fits, lengths + long_[ask], 1), -1.0)
+        best = np.maximum.reduceat(scores.max(axis=0), before)
+        place = np.where(scores == best[here], sizes * STRETCH + at, np.iinfo(np.int64).max).min(axis=0)
+        place = np.minimum.reduceat(place, before)
+        raw[pairs], size[pairs], start[pairs] = best, place // STRETCH, place % STRETCH + 1
+    return raw, size, start
+
+
+def _common(code: np.ndarray, at: np.ndarray, lengths: np.ndarray, goals: list[str], goal: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Common lengths of goals[goal] and the signs code[at : at + length], for some lengths (-1: none) of each place; 0 where there is none.
+
+    A goal of over SIGNS signs has several numbers as its row; their carries go from one to the next.
+    """
+    limbs = max(1, -(-max(map(len, goals)) // SIGNS))
+    table, full = np.zeros((limbs, len(goals), int(known.max()) + 1), np.uint64), np.zeros((limbs, len(goals)), np.uint64)
+    for k, text in enumerate(goals):
+        for j, ch in enumerate(text):
+            bit = np.uint64(1 << j % SIGNS)
+            table[j // SIGNS, k, known[ord(ch)]] |= bit
+            full[j // SIGNS, k] |= bit
+    turn = np.argsort(-lengths.max(axis=0), kind="stable")  # the longest first, so that those still at work are a head
+    at, goal, lengths = at[turn], goal[turn], lengths[:, turn]
+    most = lengths.max(axis=0)
+    ended = [np.argsort(x, kind="stable") for x in lengths]
+    steps = np.arange(int(most[0]) + 2)
+    bounds = [np.searchsorted(x[o], steps) for x, o in zip(lengths, ended)]
+    alive = np.searchsorted(-most, -steps)
+    all_, base, table = full[:, goal], (goal * table.shape[2]).astype(np.int32), table.reshape(limbs, -1)
+    rows, zeros = all_.copy(), np.zeros(lengths.shape, np.int64)
+    for s in range(int(most[0]) + 1):
+        for k, o in enumerate(ended):
+            done = o[bounds[k][s] : bounds[k][s + 1]]
+            if len(done):
+                zeros[k, done] = np.bitwise_count(all_[:, done] & ~rows[:, done]).sum(axis=0)
+        n = alive[s]
+        if not n:
+            break
+        cell, carry = base[:n] + code.take(at[:n] + s), None
+        for x in range(limbs):
+            row = rows[x, :n]
+            hit = table[x].take(cell)
+            hit &= row
+            sum_ = row + hit
+            if limbs > 1:
+                more = sum_ < row
+                if carry is not None:
+                    sum_ += carry
+                    more |= sum_ < carry
+                carry = more.astype(np.uint64)
+            row -= hit
+            row |= sum_
+            row &= all_[x, :n]
+    out = np.zeros(lengths.shape, np.int64)
+    out[:, turn] = zeros
+    return out
+
+
 def ratio(common: Column, a: Column, b: Column) -> Column:
     """0 to 100: twice the common length over both; two empty texts are alike."""
     total = F.length(a) + F.length(b)

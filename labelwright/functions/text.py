@@ -18,7 +18,7 @@ QUOTES, STRAIGHT = "‘’‚‛′´`“”″", "'" * 7 + '"' * 3
 
 def missing(c: Column) -> Column:
     """Null, empty or white space only."""
-    return F.coalesce(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")), F.lit("")) == ""
+    return ~F.coalesce(c.rlike(r"(?U)\S"), F.lit(False))
 
 
 def one_spaced(c: Column) -> Column:
@@ -146,7 +146,13 @@ def rejoined_hyphens(c: Column) -> Column:
 def tokens(c: Column, fold: Callable[[Column], Column] = normalized) -> Column:
     """Array of struct (printed, norm) of the words that normalize to something."""
     words = F.filter(F.split(c, r"(?U)\s+"), lambda w: w != "")
-    return F.filter(F.transform(words, lambda w: F.struct(w.alias("printed"), fold(w).alias("norm"))), lambda t: t["norm"] != "")
+    norm = lambda w: F.when(w.rlike("^[A-Za-z0-9]+$"), F.lower(w)).otherwise(fold(w))  # a plain word only has its case to lose
+    return F.filter(F.transform(words, lambda w: F.struct(w.alias("printed"), norm(w).alias("norm"))), lambda t: t["norm"] != "")
+
+
+def has_words(c: Column) -> Column:
+    """Whether tokens() has any, without cutting the text."""
+    return F.translate(c, QUOTES, STRAIGHT).rlike(r"(?U)[^\s\p{P}]")
 
 
 def stem(name: Column) -> Column:

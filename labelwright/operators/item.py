@@ -76,14 +76,15 @@ def best_hits(asked: DataFrame, units: DataFrame, settings: Settings = DEFAULT,
 
     A hit is a struct (field, hit, score, code, sheet, column, block, outcome). Each sheet's units (item_id, sheet, unit,
     column, block, text) are searched by themselves; ties go to the earlier sheet, and a sheet without a hit comes last.
-    Only a class or type is also searched without its trailing code. Stretches of units are dealt out, and each gives a row
-    of its best run for the shuffle by item.
+    Only a class or type is also searched without its trailing code. Units meet an item's needles where its records are, and
+    each stretch gives a row of its best run for each needle.
     """
-    pairs = asked.join(units, "item_id").select("item_id", "sheet", "unit", "column", "block", "text", F.explode("asks").alias("a"))
-    pairs = pairs.select("item_id", "a.field", "a.needle", "sheet", "column", "block", "unit", "text")
-    keys = ("item_id", "field", "sheet", "column", "block")
-    turns = search.both_turns(pairs, *keys, strip_code=F.col("field") == "class_type")
-    best = search.hits(turns, *keys, "declared", "turn", common=common, strict=strict, folding=folding).repartition("item_id")
+    asked = asked.select("item_id", search.asked(F.col("asks")).alias("asks")).select("*", search.goals(F.col("asks")).alias("goals"))
+    own = asked.join(units.repartition(int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")), "item_id"), "item_id")
+    keys = ("item_id", "sheet", "column", "block")
+    best = search.unit_hits(own, *keys, common=common, strict=strict, folding=folding)
+    if search.in_rows(common, strict, folding):
+        best = best.repartition("item_id")
     place = F.struct(F.round("raw", 1).alias("score"), "hit", F.struct("column", "block").alias("unit"))
     turn = lambda i: F.max_by(F.when(F.col("raw").isNotNull(), place), F.when(F.col("turn") == i, search.order(strict, "unit", "size", "start"))).alias(f"h{i}")
     sheets = best.groupBy("item_id", "field", "sheet", "declared").agg(turn(0), turn(1))
@@ -123,8 +124,10 @@ def decided(items: DataFrame, declared: DataFrame, values: DataFrame, units: Dat
     label, said = F.col("label_value"), F.col("said")
     code = lambda c: verdict(F.col("h.outcome"), F.col("h.score"), c)
     found = F.when(F.col("h.score").isNull(), code("no_text")).when(F.col("h.outcome") == "match", code("found")).when(shows, code("close")).otherwise(code("not_found"))
-    seen = seen.withColumn("_a", text_form.fold(text_form.compose(label))).withColumn("_b", text_form.fold(text_form.compose(said)))
-    seen = seen.withColumn("lcs", common(F.col("_a"), F.col("_b")))
+    as_text = lambda c: F.when(~F.col("searched") & (field != "government_warning"), text_form.fold(text_form.compose(c)))  # others have verdicts of their own
+    seen = seen.withColumn("_a", as_text(label)).withColumn("_b", as_text(said))
+    compared = F.col("_a") != F.col("_b")
+    seen = seen.withColumn("lcs", common(F.when(compared, F.col("_a")), F.when(compared, F.col("_b"))))
     text = text_verdict(label, said, settings, F.col("lcs"), (F.col("_a"), F.col("_b")))
     seen = seen.withColumn("_seen", F.when(field == "alcohol_content", label)).withColumn("_said", F.when(field == "alcohol_content", said))
     seen = with_abv(with_abv(seen, "_seen", "_seen_"), "_said", "_said_")

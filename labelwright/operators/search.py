@@ -9,20 +9,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
-from ..functions.similarity import DEPTH, Goals, lcs_length, least_sum, ratio
-from ..functions.text import NATIVE, Folding, normalized, tokens, without_code
+from ..functions.similarity import DEPTH, NEXT, STRETCH, Goals, lcs_length, least_sum, ratio
+from ..functions.text import NATIVE, Folding, has_words, normalized, tokens, without_code
 from ..functions.verdict import band
 from ..session import ship
 
 
-STRETCH = 64
-
-
 def units(lines: DataFrame, *keys: str) -> DataFrame:
     """Search units of lines (keys, column, block, line_idx, text): one per region in order of first appearance."""
     own = lines.groupBy(*keys, "column", "block").agg(F.min("line_idx").alias("first"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_idx", "text"))), lambda x: x["text"]), " ").alias("text"))
     turn = F.row_number().over(Window.partitionBy(*keys).orderBy("first")) - 1
-    return own.where(F.size(tokens(F.col("text"))) > 0).select(*keys, "column", "block", turn.alias("unit"), "text")
+    return own.where(has_words(F.col("text"))).select(*keys, "column", "block", turn.alias("unit"), "text")
 
 
 def windows(pairs: DataFrame, *keys: str, folding: Folding = NATIVE) -> DataFrame:
@@ -82,6 +79,51 @@ def hits(pairs: DataFrame, *keys: str, common=lcs_length, strict: bool = False,
     return best.select(*keys, "unit", "best.*")
 
 
+def asked(needles: Column) -> Column:
+    """What unit_hits() searches for, of needles, an array of structs (field, needle): each as it is (turn 0), and a class or type
+    also without a trailing code (turn 1). An array of structs (field, declared, turn, needle).
+    """
+    ask = lambda a, turn, c: F.struct(a["field"].alias("field"), a["needle"].alias("declared"), F.lit(turn).alias("turn"), c.alias("needle"))
+    turns = F.flatten(F.transform(needles, lambda a: F.array(ask(a, 0, a["needle"]), ask(a, 1, F.when(a["field"] == "class_type", without_code(a["needle"]))))))
+    return F.filter(turns, lambda a: (a["turn"] == 0) | a["needle"].isNotNull())
+
+
+def goals(asks: Column) -> Column:
+    """The words of the needles of asked(), each needle's joined by NEXT."""
+    return F.transform(asks, lambda a: F.coalesce(F.array_join(F.transform(tokens(a["needle"]), lambda w: w["norm"]), NEXT), F.lit("")))
+
+
+def in_rows(common, strict: bool, folding: Folding) -> bool:
+    """Whether unit_hits() needs a row for each run: for a pass in order, other folding, or a `common` without runs (see lcs_length_udf())."""
+    return strict or folding is not NATIVE or not hasattr(common, "runs")
+
+
+def unit_hits(units: DataFrame, *keys: str, common=lcs_length, strict: bool = False, folding: Folding = NATIVE) -> DataFrame:
+    """(keys, field, declared, turn, unit, size, start, hit, raw): of each stretch of units (keys, unit, text, asks, goals) the best run for each of its asks.
+
+    asks and goals: as asked() and goals() make them. The rows of hits(), nulls where there is no run; a unit's words are cut
+    once for all asks, and its runs stay in one row, unless they must be rows: see in_rows().
+    """
+    own = ("field", "declared", "turn")
+    if in_rows(common, strict, folding):
+        pairs = units.select(*keys, "unit", "text", F.explode("asks").alias("a")).select(*keys, "unit", "text", *[f"a.{c}" for c in own], "a.needle")
+        return hits(pairs, *keys, *own, common=common, strict=strict, folding=folding)
+    split = units.select(*keys, "unit", "asks", "goals", tokens(F.col("text")).alias("words"))
+    first = F.explode(F.sequence(F.lit(0), F.greatest(F.coalesce(F.size("words"), F.lit(0)) - 1, F.lit(0)), F.lit(STRETCH))).alias("before")
+    most = F.array_max(F.transform("goals", lambda g: F.size(F.split(g, NEXT))))
+    dealt = split.select("*", first).withColumn("words", F.slice("words", F.col("before") + 1, most + STRETCH))
+    seen = F.coalesce(F.array_join(F.transform("words", lambda w: w["norm"]), NEXT), F.lit(""))
+    best = dealt.withColumn("runs", common.runs(seen, F.col("goals")))
+
+    def row(a: Column, i: Column) -> Column:
+        run = F.get("runs", i)
+        hit = F.when(run.isNotNull(), F.array_join(F.transform(F.slice("words", run["start"], run["size"]), lambda w: w["printed"]), " "))
+        return F.struct(*[a[c].alias(c) for c in own], run["size"].alias("size"), (F.col("before") + run["start"]).alias("start"), hit.alias("hit"), run["raw"].alias("raw"))
+
+    each = best.select(*keys, "unit", F.explode(F.transform("asks", row)).alias("r"))
+    return each.select(*keys, *[f"r.{c}" for c in own], "unit", *[f"r.{c}" for c in ("size", "start", "hit", "raw")])
+
+
 def found(pairs: DataFrame, *keys: str, common=lcs_length, strict: bool = False, folding: Folding = NATIVE) -> DataFrame:
     """The hit of each group of pairs (keys, needle, unit, text): text, score to one decimal, unit; no row if no hit.
 
