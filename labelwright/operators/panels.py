@@ -29,13 +29,12 @@ def shown(lines: DataFrame, declared: DataFrame, *keys: str, settings: Settings
     read = reading.fields(lines, *panel, settings=settings)
     own = read.groupBy(*panel).agg(*[F.bool_or((F.col("field") == f) & F.col("value").isNotNull()).alias(f"own_{f}") for f in FIELDS])
     asked = declared.where(F.col("field").isin(*ASKED) & ~missing(F.col("declared"))).select(*keys, "field", F.trim("declared").alias("needle"))
-    pairs = asked.join(search.units(lines, *panel), list(keys)).select(*panel, "field", "needle", "unit", "text")
-    turns = search.both_turns(pairs, *panel, "field", strip_code=F.col("field") == "class_type")
-    best = search.hits(turns, *panel, "field", "declared", "turn", common=common).groupBy(*panel).agg(
+    needed = asked.groupBy(*keys).agg(F.collect_list(F.struct("field", "needle")).alias("asks"), *[F.bool_or(F.col("field") == f).alias(f"asks_{f}") for f in ASKED])
+    pairs = needed.select(*keys, search.asked(F.col("asks")).alias("asks")).select("*", search.goals(F.col("asks")).alias("goals")).join(search.units(lines, *panel), list(keys))
+    best = search.unit_hits(pairs, *panel, common=common).groupBy(*panel).agg(
         *[F.max(F.when(F.col("field") == f, F.round("raw", 1))).alias(f"hit_{f}") for f in ASKED]
     )
-    needed = asked.groupBy(*keys).agg(*[F.bool_or(F.col("field") == f).alias(f"asks_{f}") for f in ASKED])
-    both = own.join(best, list(panel), "left").join(needed, list(keys), "left")
+    both = own.join(best, list(panel), "left").join(needed.drop("asks"), list(keys), "left")
     hit = lambda f: F.coalesce(F.col(f"hit_{f}") >= settings.match_threshold, F.lit(False))
     shows = {f: F.when(F.coalesce(f"asks_{f}", F.lit(False)), hit(f)).otherwise(F.col(f"own_{f}")) if f in ASKED else F.col(f"own_{f}") for f in FIELDS}
     return both.select(*panel, *[c.alias(f) for f, c in shows.items()])

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from labelwright.functions.similarity import NEXT, STRETCH, _lcs, best_runs, lcs_length_udf
-from labelwright.operators import item, search
+from labelwright.operators import item, panels, search
 
 
 def slow(text, goal):
@@ -52,3 +52,7 @@ def test_items_search_without_rows_of_runs(spark):
     got = {r.field: (r.outcome, r.label_value, r.sheet) for r in out.collect()}
     assert got["brand_name"] == ("match", "OAK BARREL,", 1) and got["class_type"] == ("match", "old gin", 1)
     assert "runs(" in out._jdf.queryExecution().executedPlan().toString()
+    lines = spark.createDataFrame([(1, 0, 0, 0, 1, "OAK BARREL", 90.0, 20.0, 90.0, 0, False)], "item_id long, ordinal int, line_idx int, column int, block int, text string, confidence double, height double, width double, top int, sideways boolean")
+    shown = panels.shown(lines, declared, "item_id", common=lcs_length_udf(spark))
+    assert [(r.brand_name, r.class_type) for r in shown.collect()] == [(True, False)]
+    assert "runs(" in shown._jdf.queryExecution().executedPlan().toString()
