@@ -146,11 +146,18 @@ def mean_confidence(c: Column) -> Column:
     return F.round(F.coalesce(F.avg(c), F.lit(0.0)), 1)
 
 
-def item_confidence(sheets: DataFrame, *keys: str) -> DataFrame:
+def item_confidence(sheets: DataFrame, *keys: str, order: str | None = None) -> DataFrame:
     """(keys, confidence): the mean of the usable sheets' means (keys, confidence, error), not weighted by words.
 
     It is rounded as SQL engines round doubles: ten times the mean to a whole number. The product's own rounding takes up the
     last bit that a sum of doubles may lack, so that a mean of 36.15 that came out as 36.14999999999999 is 36.2.
+    order: the column by which an item's sheets are summed up, one after the other. Without it the last bit of a sum, and so a
+    mean between two tenths, depends on how rows are dealt out.
     """
-    mean = F.coalesce(F.avg(F.when(F.col("error").isNull(), F.col("confidence"))), F.lit(0.0))
-    return sheets.groupBy(*keys).agg((F.round(mean * 10) / 10).alias("confidence"))
+    usable = F.when(F.col("error").isNull(), F.col("confidence"))
+    rounded = lambda mean: (F.round(F.coalesce(mean, F.lit(0.0)) * 10) / 10).alias("confidence")
+    if order is None:
+        return sheets.groupBy(*keys).agg(rounded(F.avg(usable)))
+    turns = Window.partitionBy(*keys).orderBy(order)
+    so_far = sheets.select(*keys, F.avg(usable).over(turns.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("_mean"), F.lead(F.lit(True)).over(turns).alias("_more"))
+    return so_far.where("_more IS NULL").select(*keys, rounded(F.col("_mean")))

@@ -237,8 +237,8 @@ def segmentations(spark, sf_dir):
 
 @query("SELECT user_id, round(coalesce(avg(CASE WHEN event_type <> 'error' THEN value END), 0), 1) AS confidence FROM events WHERE event_type IN ('error', 'view') GROUP BY 1")
 def item_confidences(spark, sf_dir):
-    sheets = made(spark, sf_dir, "events", "user_id", "event_type", "value AS confidence", "CASE WHEN event_type = 'error' THEN 'no_text_found' END AS error").where("event_type IN ('error', 'view')")
-    return layout.item_confidence(sheets, "user_id")
+    sheets = made(spark, sf_dir, "events", "event_id", "user_id", "event_type", "value AS confidence", "CASE WHEN event_type = 'error' THEN 'no_text_found' END AS error").where("event_type IN ('error', 'view')")
+    return layout.item_confidence(sheets, "user_id", order="event_id")
 
 
 @query("""WITH b AS (SELECT l_orderkey AS sheet, l_linenumber, (l_partkey % 997)::INT AS l, (l_partkey % 997)::INT + l_quantity::INT AS r FROM lineitem) SELECT sheet, l_linenumber, l AS "left", CASE WHEN (l + r) / 2 < 300 THEN 0 WHEN (l + r) / 2 < 700 THEN 1 ELSE 2 END AS "column" FROM b""")
