@@ -196,6 +196,18 @@ def _common(code: np.ndarray, at: np.ndarray, lengths: np.ndarray, goals: list[s
     return out
 
 
+def common_lengths(texts: list[str], goals: list[str], goal: np.ndarray) -> np.ndarray:
+    """Length of the longest common subsequence of each text with goals[goal]; neither is empty."""
+    of, pair = np.unique(goal, return_inverse=True)
+    own = [goals[x] for x in of.tolist()]
+    signs = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    lengths = np.array([len(x) for x in texts], np.int64)
+    letters = sorted(set("".join(own)))
+    known = np.zeros(max([*map(ord, letters), int(signs.max(initial=0))]) + 1, np.int32)
+    known[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+    return _common(known[signs], np.cumsum(lengths) - lengths, lengths[None], own, pair, known)[0]
+
+
 def ratio(common: Column, a: Column, b: Column) -> Column:
     """0 to 100: twice the common length over both; two empty texts are alike."""
     total = F.length(a) + F.length(b)
@@ -208,40 +220,57 @@ def reaches(common: Column, a: Column, b: Column, threshold: int) -> Column:
 
 
 class Goals:
-    """Common-subsequence lengths of one text with many others at once: their rows of bits lie side by side in one integer."""
+    """Common-subsequence lengths of texts with many goals at once: goals' rows of bits lie side by side in numbers of SIGNS bits.
+
+    A bit between two rows takes up the carry. Goals of SIGNS signs or more are compared one by one.
+    """
 
     def __init__(self, goals: list[str]):
         self.sizes = np.array([len(g) for g in goals], np.int64)
-        self.starts = np.cumsum(self.sizes + 1) - (self.sizes + 1)  # a bit between two rows takes up the carry
-        self.places: dict[str, int] = {}
-        self.full = 0
-        at = {}
-        for g, start in zip(goals, self.starts.tolist()):
-            for j, ch in enumerate(g):
-                at.setdefault(ch, []).append(start + j)
-        for ch, bits in at.items():
-            self.places[ch] = self._number(np.array(bits))
-        self.full = sum(self.places.values())  # each bit is one letter's
-
-    def _number(self, bits: np.ndarray) -> int:
-        flags = np.zeros(int((self.sizes + 1).sum()), np.uint8)
-        flags[bits] = 1
-        return int.from_bytes(np.packbits(flags, bitorder="little").tobytes(), "little")
+        self.long = [(k, g) for k, g in enumerate(goals) if len(g) >= SIGNS]
+        self.limb, self.shift, at = np.zeros(len(goals), np.int64), np.zeros(len(goals), np.uint64), 0
+        for k, g in enumerate(goals):
+            if 0 < len(g) < SIGNS:
+                at = at if at % SIGNS + len(g) <= SIGNS else -(-at // SIGNS) * SIGNS
+                self.limb[k], self.shift[k] = at // SIGNS, at % SIGNS
+                at += len(g) + 1
+        self.mask = np.array([(1 << len(g)) - 1 if len(g) < SIGNS else 0 for g in goals], np.uint64)
+        letters = sorted(set("".join(g for g in goals if len(g) < SIGNS)))
+        self.known = np.zeros(max(map(ord, letters), default=0) + 2, np.int32)
+        self.known[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.table = np.zeros((len(letters) + 1, -(-at // SIGNS)), np.uint64)
+        for k, g in enumerate(goals):
+            for j, ch in enumerate(g) if len(g) < SIGNS else ():
+                self.table[self.known[ord(ch)], self.limb[k]] |= np.uint64(1) << (self.shift[k] + np.uint64(j))
+        self.full = np.bitwise_or.reduce(self.table, axis=0)
 
     def lengths(self, texts: list[str]) -> np.ndarray:
         """A row for each text, a column for each goal."""
-        n = -(-int((self.sizes + 1).sum()) // 8)
-        rows = bytearray()
-        for text in texts:
-            row = self.full
-            for ch in text:
-                if hit := row & self.places.get(ch, 0):
-                    row = (row + hit | row - hit) & self.full
-            rows += row.to_bytes(n, "little")
-        bits = np.unpackbits(np.frombuffer(bytes(rows), np.uint8).reshape(len(texts), n), axis=1, bitorder="little")
-        ends = np.stack((self.starts, self.starts + self.sizes), axis=1).ravel()
-        left = np.add.reduceat(np.pad(bits, ((0, 0), (0, 1))).astype(np.int32), ends, axis=1)[:, ::2]
-        return self.sizes - np.where(self.sizes > 0, left, 0)
+        out = np.zeros((len(texts), len(self.sizes)), np.int64)
+        step = max(1, (1 << 17) // max(1, len(self.full), len(self.sizes)))
+        for a in range(0, len(texts) if len(self.full) else 0, step):
+            part = texts[a : a + step]
+            signs = np.frombuffer("".join(part).encode("utf-32-le"), np.uint32)
+            code = self.known.take(np.minimum(signs, len(self.known) - 1))
+            own = np.repeat(np.arange(len(part)), [len(x) for x in part])[code > 0]  # a sign that no goal has changes no row
+            code, size = code[code > 0], np.bincount(own, minlength=len(part))
+            turn = np.argsort(-size, kind="stable")  # the longest first, so that those still at work are a head
+            begins = (np.cumsum(size) - size)[turn]
+            alive = np.searchsorted(-size[turn], -np.arange(int(size.max(initial=0))))
+            rows = np.repeat(self.full[None], len(part), axis=0)
+            for s, n in enumerate(alive.tolist()):
+                row = rows[:n]
+                hit = self.table.take(code.take(begins[:n] + s), axis=0)
+                hit &= row
+                sum_ = row + hit
+                row -= hit
+                row |= sum_
+                row &= self.full
+            left = np.bitwise_count(rows.take(self.limb, axis=1) >> self.shift & self.mask)
+            out[a + turn] = np.where(self.mask > 0, self.sizes - left, 0)
+        for k, goal in self.long:
+            out[:, k] = [_lcs(x, goal) for x in texts]
+        return out
 
 
 def least_sum(size: int, words: int, threshold: int) -> int:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import unicodedata
 from collections.abc import Callable
 from typing import NamedTuple
@@ -150,6 +151,35 @@ def tokens(c: Column, fold: Callable[[Column], Column] = normalized) -> Column:
     return F.filter(F.transform(words, lambda w: F.struct(w.alias("printed"), norm(w).alias("norm"))), lambda t: t["norm"] != "")
 
 
+#: White space as the native forms have it; str.split() also cuts at four separators of information.
+SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
+def printed_words(text: str) -> list[str]:
+    """The words of tokens(), in Python, with those that normalize to nothing."""
+    if any(x in text for x in "\x1c\x1d\x1e\x1f"):
+        return [w for w in SPACES.split(text) if w]
+    return text.split()
+
+
+def punctuation(spark) -> dict[int, str]:
+    """What normalized() makes spaces of, for str.translate(): the signs that the session's own expressions know, as versions of Unicode differ. Asked for once a session."""
+    context = spark.sparkContext
+    if not hasattr(context, "_labelwright_punctuation"):
+        sign = F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32")
+        found = spark.range(0x110000).where("id NOT BETWEEN 55296 AND 57343").where(sign.rlike(r"\p{P}")).collect()
+        context._labelwright_punctuation = dict.fromkeys([*map(ord, QUOTES), *(r.id for r in found)], " ")
+    return context._labelwright_punctuation
+
+
+def normalized_word(word: str, signs: dict[int, str]) -> str:
+    """normalized() of one word, in Python; signs: see punctuation()."""
+    plain = word.strip("!\"#%&'()*,-./:;?@[\\]_`{}")
+    if plain.isascii() and plain.isalnum():
+        return plain.lower()
+    return " ".join(x for x in word.translate(signs).split(" ") if x).lower()
+
+
 def has_words(c: Column) -> Column:
     """Whether tokens() has any, without cutting the text."""
     return F.translate(c, QUOTES, STRAIGHT).rlike(r"(?U)[^\s\p{P}]")

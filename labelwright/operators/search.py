@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..config import DEFAULT, Settings
-from ..functions.similarity import DEPTH, NEXT, STRETCH, Goals, lcs_length, least_sum, ratio
-from ..functions.text import NATIVE, Folding, has_words, normalized, tokens, without_code
+from ..functions.similarity import DEPTH, NEXT, STRETCH, Goals, common_lengths, lcs_length, least_sum, ratio
+from ..functions.text import NATIVE, SPACES, Folding, has_words, normalized, normalized_word, printed_words, punctuation, tokens, without_code
 from ..functions.verdict import band
 from ..session import ship
 
@@ -167,40 +167,88 @@ def chosen(plain: Column, shorter: Column, needle: Column, settings: Settings =
     return [pick("hit").alias("hit"), pick("score").alias("score"), pick("unit").alias("unit"), code.alias("code"), outcome.alias("outcome")]
 
 
-GOALS, GAINS = 4096, 1 << 21
+#: Needles of a pass; numbers of a table of gains that a task holds before it begins a new one; words of texts searched at once.
+GOALS, GAINS, WORDS = 4096, 1 << 24, 1 << 16
+#: Printed words that a task knows at once, and characters of a text that are cut into words at once.
+KNOWN, PIECE = 1 << 19, 1 << 20
 
 
-def gains(words: DataFrame, goals: list[tuple[int, str, int]], threshold: int) -> DataFrame:
-    """(word, goal, sizes): distinct words (word) that a run of `threshold` or more against a goal (number, text, words) may need.
+class Gains(dict):
+    """The index of words: numbers of printed words, equal where their normalized forms are, and the gains of these against goals (text, words).
 
-    In a run that scores as high some word has at least the average of the gains that least_sum() asks for. sizes: the numbers
-    of words of the runs for which this one does. Every word is compared with all goals at once.
+    Number 0 is of words that normalize to nothing, WALL stands between texts and for words that are too long for any goal, and is in no run. In a run that scores
+    `threshold` or more the gains that least_sum() speaks of have a least sum, and some word has at least the average of it:
+    `goal` and `size` are those of the runs for which a word does, in `count` entries of a word from `first` on.
     """
-    ship(words.sparkSession)
-    numbers = np.array([g[0] for g in goals], np.int64)
-    own = Goals([g[1] for g in goals])
-    needs = np.array([[_average(len(text), n, n + d, threshold) for d in (-1, 0, 1)] for _, text, n in goals], np.int64)
-    counts = np.array([[n + d for d in (-1, 0, 1)] for _, _, n in goals], np.int32)
-
-    def run(batches):
-        for batch in batches:
-            for a in range(0, batch.num_rows, max(1, (1 << 22) // max(1, len(goals)))):
-                part = batch.column(0).slice(a, max(1, (1 << 22) // max(1, len(goals))))
-                texts = part.to_pylist()
-                gain = DEPTH * own.lengths(texts) - (20 * threshold - 1) * np.array([[len(t)] for t in texts])
-                w, g = np.nonzero(gain >= needs.min(axis=1))
-                enough = gain[w, g][:, None] >= needs[g]
-                sizes = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(enough.sum(axis=1)))).astype(np.int32), pa.array(counts[g][enough]))
-                yield pa.RecordBatch.from_arrays([part.take(pa.array(w)), pa.array(numbers[g]), sizes], names=["word", "goal", "sizes"])
-
-    return words.select("word").mapInArrow(run, "word string, goal long, sizes array<int>")
 
-
-def _average(size: int, n: int, words: int, threshold: int) -> int:
-    """The least gain of a run's best word; more than any gain where the run has no word."""
-    if words < 1:
-        return 1 << 60
-    return -(-(least_sum(size, words, threshold) - DEPTH * min(words - 1, n - 1)) // words)
+    WALL = 1
+
+    def __init__(self, goals: list[tuple[str, int]], threshold: int, signs: dict[int, str]):
+        self.own, self.threshold, self.signs = Goals([text for text, _ in goals]), threshold, signs
+        self.counts = np.array([[n + d for d in (-1, 0, 1)] for _, n in goals], np.int64)
+        self.least = np.array([[_least(len(text), n, n + d, threshold) for d in (-1, 0, 1)] for text, n in goals], np.int64)
+        self.longest = max(DEPTH * len(text) // (20 * threshold - 1) - len(text) for text, _ in goals)  # the goal's whole length in common
+        self.needs = -(-self.least // np.maximum(self.counts, 1))
+        self.texts, self.numbers = ["", None], {"": 0}
+        self.gain = np.full((2, len(goals)), -1 << 40, np.int64)
+        self.first, self.count = np.zeros(2, np.int64), np.zeros(2, np.int64)
+        self.goal, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def __missing__(self, word: str) -> int:
+        norm = normalized_word(word, self.signs)
+        if len(norm) > self.longest:
+            return self.WALL
+        number = self[word] = self.numbers.setdefault(norm, len(self.texts))
+        if number == len(self.texts):
+            self.texts.append(norm)
+        return number
+
+    def full(self, most: int, known: int) -> bool:
+        return len(self.texts) * len(self.counts) > most or len(self) > known
+
+    def learn(self) -> None:
+        """Gains of the words that are new since the last call; every word is compared with all goals at once."""
+        step = max(1, (1 << 21) // len(self.counts))
+        if len(self.gain) < len(self.texts):
+            self.gain = np.concatenate((self.gain, np.zeros((len(self.texts), len(self.counts)), np.int64)))
+        while (done := len(self.first)) < len(self.texts):
+            new = self.texts[done : done + step]
+            gain = DEPTH * self.own.lengths(new) - (20 * self.threshold - 1) * np.array([[len(t)] for t in new])
+            w, g = np.nonzero(gain >= self.needs.min(axis=1))
+            x, d = np.nonzero(gain[w, g][:, None] >= self.needs[g])
+            count = np.bincount(w[x], minlength=len(new))
+            self.first = np.concatenate((self.first, len(self.goal) + np.cumsum(count) - count))
+            self.count = np.concatenate((self.count, count))
+            self.goal, self.size = np.concatenate((self.goal, g[x])), np.concatenate((self.size, self.counts[g[x], d]))
+            self.gain[done : done + len(new)] = gain
+
+    def runs(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, size, goal), each once, of the runs of words (numbers) whose gains sum to what the goal asks for at least."""
+        self.learn()
+        count = self.count[words]
+        place = np.repeat(np.arange(len(words)), count)
+        entry = np.arange(len(place)) + np.repeat(self.first[words] - (np.cumsum(count) - count), count)
+        goal, size = self.goal[entry], self.size[entry]
+        goals, flat, made = len(self.counts), self.gain.ravel(), [np.zeros((3, 0), np.int64)]
+        for s in np.unique(size).tolist():
+            walled = np.pad(words.astype(np.int64), s, constant_values=self.WALL) * goals
+            here, step = np.flatnonzero(size == s), max(1, (1 << 20) // s)
+            for a in range(0, len(here), step):
+                p, g = place[here[a : a + step]], goal[here[a : a + step]]
+                total = np.zeros((2 * s, len(p)), np.int64)
+                for d in range(2 * s - 1):
+                    total[d + 1] = total[d] + flat.take(walled.take(p + d + 1) + g)
+                k, x = np.nonzero(total[s:] - total[:s] >= self.least[g, s - self.counts[g, 0]])
+                made.append(np.stack((p[x] - s + 1 + k, np.full(len(x), s), g[x])))
+        start, size, goal = np.concatenate(made, axis=1)
+        high = int(size.max(initial=0)) + 1
+        start, own = np.divmod(np.unique((start * high + size) * goals + goal), high * goals)
+        return start, *np.divmod(own, goals)
+
+
+def _least(size: int, n: int, words: int, threshold: int) -> int:
+    """The least sum of a run's gains; more than any where the run has no word."""
+    return least_sum(size, words, threshold) - DEPTH * min(words - 1, n - 1) if words >= 1 else 1 << 60
 
 
 def reaching(needles: DataFrame, texts: DataFrame, text_id: str, threshold: int = DEFAULT.review_threshold, common=lcs_length) -> DataFrame:
@@ -208,45 +256,93 @@ def reaching(needles: DataFrame, texts: DataFrame, text_id: str, threshold: int
 
     needles: needle; texts: text_id, text. The rows are those of found() over all pairs of the two whose score is as high, with
     its rules for ties; no pair is made to get them. Texts' distinct words are compared with the needles, GOALS of them at a
-    time, and form an index: of a run that reaches the threshold one word has its share of the run's common subsequence. Where
-    such a word occurs, and only there, runs around it are scored. Needles or texts without words, and nulls, have no row.
+    time, and form an index (Gains): of a run that reaches the threshold one word has its share of the run's common subsequence.
+    Where such a word occurs, and only there, the runs around it whose words together have enough of it are scored. Texts are
+    cut and searched where they are read. Needles or texts without words, and nulls, have no row.
     """
     goal = F.array_join(F.transform(tokens(F.col("needle")), lambda t: t["norm"]), " ")
-    asked = needles.select(goal.alias("needle")).where("needle <> ''").distinct()
+    asked = needles.select("needle").distinct().select(goal.alias("needle")).where("needle <> ''").distinct()
     asked = asked.select("needle", F.xxhash64("needle").alias("goal"), F.size(F.split("needle", " ")).alias("n"))
     texts = spread(texts.select(text_id, "text"))
-    size = asked.agg(F.count("*").alias("count"), F.max("n").alias("n")).first()
-    blocks = max(1, -(-size["count"] // GOALS))
+    blocks = max(1, -(-asked.count() // GOALS))
     found = None
-    for block in range(blocks):  # a pass over the index for so many needles; nearly always one
-        held = [(r.goal, r.needle, r.n) for r in asked.where(F.pmod("goal", F.lit(blocks)) == block).collect()]
-        part = _reaching(held, asked, texts, text_id, size["n"] or 0, threshold, common)
+    for block in range(blocks):  # a pass over the texts for so many needles; nearly always one
+        held = [(r.needle, r.n) for r in asked.where(F.pmod("goal", F.lit(blocks)) == block).collect()]
+        part = _reaching(held, texts, text_id, threshold, common)
         found = part if found is None else found.unionByName(part)
     return found
 
 
-def candidates(held: list, asked: DataFrame, texts: DataFrame, text_id: str, most: int, threshold: int) -> DataFrame:
-    """(goal, needle, text_id, size, start, hit, seen): the runs that reaching() scores, each once."""
-    # a filter on the words would make Spark cut a text again for it; explode leaves texts without words out
-    split = texts.select(text_id, tokens(F.col("text")).alias("words")).withColumn("m", F.size("words"))
-    words = split.select(F.explode(F.transform("words", lambda t: t["norm"])).alias("word")).distinct()
-    index = gains(words, held, threshold).persist(StorageLevel.MEMORY_AND_DISK)  # it is counted, then joined
-    # a stretch also has the words before it that a run around its first word may start with
-    before = F.explode(F.when(F.col("m") > 0, F.sequence(F.lit(0), F.col("m") - 1, F.lit(STRETCH)))).alias("before")
-    dealt = split.select(text_id, "m", "words", before).withColumn("left", F.least(F.col("before"), F.lit(most + 1)))
-    dealt = dealt.select(text_id, "m", "before", "left", F.slice("words", F.col("before") - F.col("left") + 1, F.col("left") + STRETCH + most + 1).alias("words"))
-    at = dealt.select("*", F.explode(F.sequence(F.lit(0), F.least(F.lit(STRETCH), F.col("m") - F.col("before")) - 1)).alias("i"))
-    at = at.withColumn("word", F.get("words", F.col("left") + F.col("i"))["norm"])
-    hits = at.join(small(index), "word").select(text_id, "m", "goal", "before", "left", "i", "words", F.explode("sizes").alias("size"))
-    place = F.col("before") + F.col("i") + 1  # of the word, from 1
-    starts = F.sequence(F.greatest(place - F.col("size") + 1, F.lit(1)), F.least(place, F.col("m") - F.col("size") + 1))
-    hits = hits.where((F.col("m") >= F.col("size"))).select("*", F.explode(starts).alias("start"))
-    own = hits.withColumn("own", F.slice("words", F.col("start") - F.col("before") + F.col("left"), F.col("size")))
-    joined = lambda part: F.array_join(F.transform("own", lambda t: t[part]), " ")
-    rows = own.select(text_id, "goal", "size", "start", joined("printed").alias("hit"), joined("norm").alias("seen")).join(small(asked.select("goal", "needle")), "goal")
-    long_ = F.length("seen") + F.length("needle")
-    rows = rows.where(F.least(F.length("seen"), F.length("needle")) * DEPTH >= long_ * (20 * threshold - 1))
-    return rows.groupBy("goal", "needle", text_id, "size", "start").agg(F.first("hit").alias("hit"), F.first("seen").alias("seen"))
+def candidates(held: list, texts: DataFrame, text_id: str, threshold: int) -> DataFrame:
+    """(needle, text_id, size, start, hit, seen): the runs that reaching() scores, which reach the threshold by common_lengths(); one that two pieces of a text have may come twice.
+
+    held: needles' texts and numbers of words. A task cuts its texts into words, in pieces, and looks for runs in WORDS of them
+    at once; a piece begins with the last words of the one before it that a run around its first word may start with.
+    """
+    ship(texts.sparkSession)
+    types = {f.name: f.dataType for f in texts.schema}
+    schema = StructType([StructField("needle", StringType()), StructField(text_id, types[text_id]), *[StructField(c, IntegerType()) for c in ("size", "start")], *[StructField(c, StringType()) for c in ("hit", "seen")]])
+    goals, lengths = [text for text, _ in held], np.array([len(text) for text, _ in held], np.int64)
+    signs = punctuation(texts.sparkSession)
+    limit, most = GAINS, max((n for _, n in held), default=0)
+
+    def run(batches):
+        index = Gains(held, threshold, signs) if held else None
+
+        def searched(ids, rows, begins, offsets, words, printed):
+            numbers = np.concatenate(words)
+            start, size, goal = index.runs(numbers)
+            numbers = [index.texts[x] for x in numbers.tolist()]
+            seen = [" ".join(numbers[a:b]) for a, b in zip(start.tolist(), (start + size).tolist())]
+            if seen:
+                reach = DEPTH * common_lengths(seen, goals, goal) >= (20 * threshold - 1) * (np.array([len(x) for x in seen]) + lengths[goal])
+                start, size, goal, seen = start[reach], size[reach], goal[reach], [x for x, ok in zip(seen, reach.tolist()) if ok]
+            text = np.searchsorted(begins, start, "right") - 1
+            columns = [
+                pa.array([goals[g] for g in goal.tolist()], pa.string()), ids.take(pa.array(np.array(rows, np.int64)[text])),
+                pa.array(size.astype(np.int32)), pa.array((start - np.array(begins)[text] + np.array(offsets)[text] + 1).astype(np.int32)),
+                pa.array([" ".join(printed[a:b]) for a, b in zip(start.tolist(), (start + size).tolist())], pa.string()), pa.array(seen, pa.string()),
+            ]
+            return pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+        for batch in batches if held else ():
+            ids, block, size = batch.column(0), ([], [], [], [], []), 0
+            for row, text in enumerate(batch.column(1)):
+                offset, words, printed = 0, np.zeros(0, np.int64), []
+                for piece in pieces(text.as_py(), PIECE):
+                    kept = max(0, len(words) - most)
+                    offset, words, printed = offset + kept, words[kept:], printed[kept:]
+                    numbers = np.fromiter(map(index.__getitem__, piece), np.int64, len(piece))
+                    if not numbers.all():
+                        some = np.flatnonzero(numbers)
+                        numbers, piece = numbers[some], [piece[x] for x in some.tolist()]
+                    words, printed = np.concatenate((words, numbers)), printed + piece
+                    rows, begins, offsets, held_words, held_printed = block
+                    rows.append(row), begins.append(size), offsets.append(offset)
+                    held_words += [words, [Gains.WALL]]
+                    held_printed += printed
+                    held_printed.append("")
+                    size += len(words) + 1
+                    if size >= WORDS:
+                        yield searched(ids, *block)
+                        block, size = ([], [], [], [], []), 0
+                        if index.full(limit, KNOWN):
+                            index = Gains(held, threshold, signs)
+                            words = np.fromiter(map(index.__getitem__, printed), np.int64, len(printed))
+            if size:
+                yield searched(ids, *block)
+
+    return texts.select(text_id, "text").mapInArrow(run, schema)
+
+
+def pieces(text: str | None, most: int):
+    """Lists of the words of a text, of at least `most` characters and what is left of the last word; the last one as it is."""
+    at = 0
+    while text is not None and at < len(text):
+        gap = SPACES.search(text, at + most)
+        end = gap.start() if gap else len(text)
+        yield printed_words(text[at:end] if at or gap else text)
+        at = end
 
 
 def spread(table: DataFrame) -> DataFrame:
@@ -255,13 +351,8 @@ def spread(table: DataFrame) -> DataFrame:
     return table.repartition(parts) if table.rdd.getNumPartitions() < parts else table
 
 
-def small(table: DataFrame) -> DataFrame:
-    """table, written down by its count: up to GAINS rows it may be broadcast, beyond that Spark joins as it likes."""
-    return F.broadcast(table) if table.count() <= GAINS else table
-
-
-def _reaching(held: list, asked: DataFrame, texts: DataFrame, text_id: str, most: int, threshold: int, common) -> DataFrame:
-    rows = candidates(held, asked, texts, text_id, most, threshold)
+def _reaching(held: list, texts: DataFrame, text_id: str, threshold: int, common) -> DataFrame:
+    rows = candidates(held, texts, text_id, threshold)
     scored = rows.withColumn("raw", ratio(common(F.col("seen"), F.col("needle")), F.col("seen"), F.col("needle"))).where(F.round("raw", 1) >= threshold)
     best = scored.groupBy("needle", text_id).agg(F.max_by(F.struct("hit", "raw"), order(False, "size", "start")).alias("best"))
     return best.select("needle", text_id, F.col("best.hit").alias("hit"), F.round("best.raw", 1).alias("score"))

@@ -2,11 +2,13 @@
 
 import random
 import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
 from labelwright.functions.similarity import Goals, _lcs
+from labelwright.functions.text import normalized_word, printed_words, punctuation, tokens
 from labelwright.operators import item, search
 from labelwright.plans import catalog, searches  # noqa: F401
 
@@ -58,6 +60,35 @@ def test_index_leaves_out_most_runs(spark):
     assert 0 < rows < made[0].count() < 0.05 * 3 * words * needles
 
 
+@pytest.mark.parametrize("piece, words, known", [(1, 1, 0), (40, 30, 20), (1 << 20, 1 << 16, 1 << 19)])
+def test_index_in_pieces_of_texts(spark, monkeypatch, piece, words, known):
+    rng = random.Random(piece)
+    some = "the old oak barrel red bolt small ring a of company gear - \u2019 B\u00f6lt".split()
+    needles = ["old oak barrel", "red bolt", "ring", "small ring of the old company"]
+    texts = [(k, " ".join(damaged(rng, rng.choice(needles)) if rng.random() < 0.3 else rng.choice(some) for _ in range(60))) for k in range(12)]
+    n, t = spark.createDataFrame([(x,) for x in needles], "needle string"), spark.createDataFrame(texts, "doc_id long, text string")
+    pairs = n.join(t, F.lit(True)).select("needle", "doc_id", F.lit(0).alias("unit"), "text", F.col("needle").alias("asked"))
+    want = {(r.asked, r.doc_id, r.hit, r.score) for r in search.found(pairs, "asked", "doc_id").where("score >= 80").collect()}
+    for name, value in (("PIECE", piece), ("WORDS", words), ("KNOWN", known)):
+        monkeypatch.setattr(search, name, value)
+    assert {tuple(r) for r in search.reaching(n, t, "doc_id").collect()} == want
+    assert len(want) > 12
+
+
+def test_search_makes_no_row_of_a_word(spark):
+    plan = catalog.queries()["search_names_in_documents"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan
+
+
+def test_words_in_python_are_the_native_ones(spark):
+    signs = [chr(x) for x in (*range(1, 0xD800), *range(0xE000, 0x110000)) if unicodedata.category(chr(x)) not in ("Cn", "Co")]
+    texts = [" ".join(w for ch in signs[a : a + 500] for w in (f"A{ch}B{ch}{ch}c", ch, f"{ch}D\u03a3", f"x{ch}")) for a in range(0, len(signs), 500)]
+    got = spark.createDataFrame(list(enumerate(texts)), "k int, text string").select("k", "text", tokens(F.col("text")).alias("t")).collect()
+    known = punctuation(spark)
+    for r in got:
+        assert [(t.printed, t.norm) for t in r.t] == [(w, n) for w in printed_words(r.text) if (n := normalized_word(w, known))]
+
+
 def in_order(runs):
     best = None
     for hit, raw in runs:
