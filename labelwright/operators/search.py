@@ -170,7 +170,7 @@ def chosen(plain: Column, shorter: Column, needle: Column, settings: Settings =
 #: Needles of a pass; numbers of a table of gains that a task holds before it begins a new one; words of texts searched at once.
 GOALS, GAINS, WORDS = 4096, 1 << 24, 1 << 16
 #: Printed words that a task knows at once, and characters of a text that are cut into words at once.
-KNOWN, PIECE = 1 << 19, 1 << 20
+KNOWN, PIECE = 1 << 17, 1 << 20
 
 
 class Gains(dict):
@@ -190,7 +190,8 @@ class Gains(dict):
         self.longest = max(DEPTH * len(text) // (20 * threshold - 1) - len(text) for text, _ in goals)  # the goal's whole length in common
         self.needs = -(-self.least // np.maximum(self.counts, 1))
         self.texts, self.numbers = ["", None], {"": 0}
-        self.gain = np.full((2, len(goals)), -1 << 40, np.int64)
+        wide = max(len(text) for text, _ in goals) >= 1 << 14
+        self.gain = np.full((2, len(goals)), -1 << (50 if wide else 30), np.int64 if wide else np.int32)
         self.first, self.count = np.zeros(2, np.int64), np.zeros(2, np.int64)
         self.goal, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -210,7 +211,7 @@ class Gains(dict):
         """Gains of the words that are new since the last call; every word is compared with all goals at once."""
         step = max(1, (1 << 21) // len(self.counts))
         if len(self.gain) < len(self.texts):
-            self.gain = np.concatenate((self.gain, np.zeros((len(self.texts), len(self.counts)), np.int64)))
+            self.gain = np.concatenate((self.gain, np.zeros((len(self.texts), len(self.counts)), self.gain.dtype)))
         while (done := len(self.first)) < len(self.texts):
             new = self.texts[done : done + step]
             gain = DEPTH * self.own.lengths(new) - (20 * self.threshold - 1) * np.array([[len(t)] for t in new])
@@ -261,13 +262,13 @@ def reaching(needles: DataFrame, texts: DataFrame, text_id: str, threshold: int
     cut and searched where they are read. Needles or texts without words, and nulls, have no row.
     """
     goal = F.array_join(F.transform(tokens(F.col("needle")), lambda t: t["norm"]), " ")
-    asked = needles.select("needle").distinct().select(goal.alias("needle")).where("needle <> ''").distinct()
-    asked = asked.select("needle", F.xxhash64("needle").alias("goal"), F.size(F.split("needle", " ")).alias("n"))
+    asked = needles.select("needle").distinct().select(goal.alias("needle"))  # distinct() or a filter after this would have every row of needles normalized
     texts = spread(texts.select(text_id, "text"))
     blocks = max(1, -(-asked.count() // GOALS))
     found = None
     for block in range(blocks):  # a pass over the texts for so many needles; nearly always one
-        held = [(r.needle, r.n) for r in asked.where(F.pmod("goal", F.lit(blocks)) == block).collect()]
+        of_block = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("needle"), F.lit(blocks)) == block)
+        held = [(text, text.count(" ") + 1) for text in sorted({r.needle for r in of_block.collect() if r.needle})]
         part = _reaching(held, texts, text_id, threshold, common)
         found = part if found is None else found.unionByName(part)
     return found
